@@ -44,3 +44,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session asks for fewer: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+    """(a long, b long) -> (node, root): root is the smallest node of the component; nodes without an edge are absent.
+
+    Alternates large-star and small-star steps, which halve the depth of chains and keep the number of
+    edges bounded; each round is written to the shared folder. Minima are combined map-side and the
+    joins back to a hub's edges are splittable, so a hub costs no single task.
+    """
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, name)
+    before = None
+    for _ in range(max_rounds):
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("s"))
+        e = materialize(small.select("s.u", "s.v").where("u != v").distinct(), name)
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before == tuple(now):
+            break
+        before = tuple(now)
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": decontaminate.op2,
         "op3_mix_sources": mixing.op3,
+        "op7_secret_scans": secrets.op7,
+        "op9_simhash": simhash.op9,
         "op10_quality_rules": quality_rules.op10,
     }
 
@@ -15,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
+        "op7_secret_scans": secrets.OP7_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }

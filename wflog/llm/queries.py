@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, secrets, simhash
+from . import decontaminate, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2,
         "op3_mix_sources": mixing.op3,
+        "op6_suffix_dedup": suffix_dedup.op6,
         "op7_secret_scans": secrets.op7,
+        "op8_line_dedup": line_dedup.op8,
         "op9_simhash": simhash.op9,
         "op10_quality_rules": quality_rules.op10,
     }

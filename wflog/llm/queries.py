@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_license_scans": licenses.op1,
         "op2_decontaminate": decontaminate.op2,
         "op3_mix_sources": mixing.op3,
+        "op4_quality_classifier": quality_classifier.op4,
+        "op5_language_id": language_id.op5,
         "op6_suffix_dedup": suffix_dedup.op6,
         "op7_secret_scans": secrets.op7,
         "op8_line_dedup": line_dedup.op8,

@@ -187,9 +187,9 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", negatives: int = 300)
     text = F.col(text_col)
     n = docs.where(text.isNotNull()).count()
     part = int(min(1.0, negatives / n) * (1 << 20)) if n else 0
-    lines = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) < part)).select(F.explode(F.slice(F.split(text, "\n"), 1, 20)).alias("line"))
+    lines = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) < part)).select(F.explode(F.split(text, "\n")).alias("line"))
     taught = "licen[cs]e|rights reserved|copyright|public domain|permission"
-    rows = lines.where(~F.lower("line").rlike(taught) & (F.length("line") > 0)).select(F.substring("line", 1, 2000).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()
+    rows = lines.where(~F.lower("line").rlike(taught) & (F.length("line") > 0)).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()
     sent = spark.sparkContext.broadcast(Model([r[0] for r in rows]))
 
     @F.pandas_udf(FOUND)

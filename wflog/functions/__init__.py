@@ -1 +1,69 @@
+"""Scalar functions shared by the operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def payload_fingerprint(payload: Column) -> Column:
+    """SHA-256 of the payload, upper-case hex."""
+    return F.upper(F.sha2(payload, 256))
+
+
+def envelope_fingerprint(*parts: Column) -> Column:
+    """SHA-256, upper-case hex, of the parts in order, each with its length before it; null is marked."""
+    text = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("~")) for p in parts]
+    return F.upper(F.sha2(F.concat_ws("|", *text), 256))
+
+
+def _b64(c: Column) -> Column:
+    return F.base64(F.encode(c, "utf-8"))
+
+
+def route_key(kind: str, owner: Column, version: Column, name: Column, correlation: Column | None = None) -> Column:
+    """Storage key of a route: kind, owner (instance or definition), version, name and correlation in base64."""
+    parts = [F.lit(kind), owner.cast("string"), version.cast("string"), _b64(name)]
+    return F.concat_ws("|", *parts, *([] if correlation is None else [_b64(correlation)]))
+
+
+def fiber_id(kind: str, *parts: Column) -> Column:
+    """Upper-case SHA-256 of kind and parts joined by a bar."""
+    return F.upper(F.sha2(F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts]), 256))
+
+
+def child_id(run_id: Column, ordinal: Column) -> Column:
+    """First 32 hex digits of SHA-256 over a label, the run and the ordinal, a line each; never all zero."""
+    h = F.substring(F.sha2(F.concat(F.lit("wflog-dag-child-v1\n"), run_id.cast("string"), F.lit("\n"), ordinal.cast("string"), F.lit("\n")), 256), 1, 32)
+    return F.when(h == "0" * 32, F.lit("0" * 31 + "1")).otherwise(h)
+
+
+def backoff_seconds(attempt: Column, initial: float = 1.0, most: float = 60.0) -> Column:
+    """Doubling from ``initial`` with each attempt, ``most`` at last."""
+    return F.least(F.lit(most), F.lit(initial) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
+
+
+def render_tags(tags: Column) -> Column:
+    """`k=v, k=v` sorted by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ", ")
+
+
+def canonical_location(path: Column) -> Column:
+    """Compiler path -> canonical location: `then`/`else` become `if:true`/`if:false`, `branches/k` `parallel:k`, numbers `n:k`, k in 8 digits."""
+    number = lambda x: F.lpad(x, 8, "0")
+
+    def step(acc, x):
+        after_branches = acc["held"] == "branches"
+        digits = x.rlike("^[0-9]+$")
+        word = (
+            F.when(after_branches & digits, F.concat(F.lit("parallel:"), number(x)))
+            .when(x == "then", F.lit("if:true"))
+            .when(x == "else", F.lit("if:false"))
+            .when(digits, F.concat(F.lit("n:"), number(x)))
+            .otherwise(x)
+        )
+        out = F.when(x == "branches", acc["out"]).otherwise(F.concat(acc["out"], F.array(word)))
+        return F.struct(out.alias("out"), F.when(x == "branches", x).otherwise(F.lit("")).alias("held"))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("held"))
+    return F.array_join(F.aggregate(F.split(path, "/"), start, step, lambda acc: acc["out"]), "/")

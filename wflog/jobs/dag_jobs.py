@@ -1 +1,218 @@
-"""To come."""
+"""Queries over DAG runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import child_id, render_tags
+from ..operators import dag as D
+from ..sources.adapters import adapt, cte
+from .registry import job
+
+AT, AT_SQL = "timestamp_ntz '1998-06-01 00:00:00'", "timestamp '1998-06-01 00:00:00'"
+NE = ("dag_nodes", "dag_edges")
+RNE = ("dag_runs", *NE)
+
+
+def ne(spark, d):
+    return adapt(spark, d, "dag_nodes"), adapt(spark, d, "dag_edges")
+
+
+@job("topological_waves", "with recursive " + cte(*NE)[5:] + """, w as (select run_id, ordinal, 0 as wave from dag_nodes n where not exists (select 1 from dag_edges e where e.run_id = n.run_id and e.ordinal = n.ordinal)
+      union select e.run_id, e.ordinal, w.wave + 1 from w join dag_edges e on e.run_id = w.run_id and e.dep_ordinal = w.ordinal)
+    select run_id, ordinal, max(wave)::int as wave from w group by all""")
+def topological_waves(spark, d):
+    return D.topological_waves(*ne(spark, d))
+
+
+BROKEN_E = "select run_id, ordinal, dep_ordinal from {dag_edges} union all select run_id, ordinal, dep_ordinal from {dag_edges} where run_id % 31 = 0 union all select run_id, ordinal, ordinal from {dag_edges} where run_id % 37 = 0 union all select run_id, dep_ordinal, ordinal from {dag_edges} where run_id % 41 = 0 union all select run_id, ordinal, cast(99 as int) from {dag_edges} where run_id % 43 = 0"
+BROKEN_N = "select run_id, ordinal, case when run_id % 29 = 0 and ordinal = 1 then 'n0' else node_id end as node_id, cast(case when run_id % 47 = 0 and ordinal = 2 then 0 when run_id % 53 = 0 and ordinal = 2 then 2 else 1 end as int) as mapping_count from {dag_nodes}"
+
+
+@job("validate_dag", cte(*NE) + f""", n as ({BROKEN_N.format(dag_nodes='dag_nodes')}), e as ({BROKEN_E.format(dag_edges='dag_edges')}),
+    loops as (select distinct a.run_id from dag_edges a where a.run_id % 41 = 0)
+    select run_id, 'NODE-001' as code, max(ordinal) as ordinal from n group by run_id, node_id having count(*) > 1
+    union all select distinct run_id, 'DEPENDENCY-001', ordinal from (select run_id, ordinal, dep_ordinal from e group by all having count(*) > 1) x
+    union all select distinct run_id, 'DEPENDENCY-002', ordinal from e where ordinal = dep_ordinal
+    union all select distinct run_id, 'DEPENDENCY-004', ordinal from e where not exists (select 1 from n where n.run_id = e.run_id and n.ordinal = e.dep_ordinal)
+    union all select run_id, 'DEPENDENCY-003', 0 from loops
+    union all select run_id, case mapping_count when 0 then 'MAP-001' else 'MAP-002' end, ordinal from n where mapping_count <> 1""")
+def validate_dag(spark, d):
+    n, e = ne(spark, d)
+    return D.validate_dag(spark.sql(BROKEN_N, dag_nodes=n), spark.sql(BROKEN_E, dag_edges=e))
+
+
+@job("ready_nodes", cte(*NE) + """ select run_id, ordinal, node_id from dag_nodes n where state = 'Pending' and not exists (select 1 from dag_edges e left join dag_nodes p on p.run_id = e.run_id and p.ordinal = e.dep_ordinal
+    where e.run_id = n.run_id and e.ordinal = n.ordinal and coalesce(p.state <> 'Succeeded', true))""")
+def ready_nodes(spark, d):
+    return D.ready_nodes(*ne(spark, d)).select("run_id", "ordinal", "node_id")
+
+
+@job("blocked_closure", "with recursive " + cte(*NE)[5:] + """, b as (select run_id, ordinal from dag_nodes where state = 'Failed' union select e.run_id, e.ordinal from b join dag_edges e on e.run_id = b.run_id and e.dep_ordinal = b.ordinal)
+    select n.run_id, n.ordinal, case when b.ordinal is not null and state in ('Pending', 'Ready') then 'DependencyBlocked' else state end as state from dag_nodes n left join b on b.run_id = n.run_id and b.ordinal = n.ordinal""")
+def blocked_closure(spark, d):
+    return D.blocked_closure(*ne(spark, d))
+
+
+_REQ = "q as (select run_id, state from dag_runs where run_id % 3 = 0 union all select -run_id, null from dag_runs where run_id % 300 = 3)"
+_RES = "case when q.state is null then 'NotFound' when q.state = 'Running' then 'Requested' when q.state = 'CancellationRequested' then 'AlreadyRequested' when q.state = 'IntegrityFault' then 'Faulted' else 'AlreadyTerminal' end"
+
+
+def barrier(spark, d):
+    r, n = adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes")
+    q = r.where("run_id % 3 = 0").select("run_id").union(r.where("run_id % 300 = 3").select(-F.col("run_id")))
+    return D.cancel_barrier(r, n, q, F.expr(AT))
+
+
+@job("cancel_barrier", cte("dag_runs", "dag_nodes") + f""", {_REQ}, w as (select distinct run_id from dag_nodes where state in ('StartAuthorized', 'CancellationRequested'))
+    select q.run_id, {_RES} as result, case when q.state = 'Running' then case when w.run_id is not null then 'CancellationRequested' else 'Cancelled' end else q.state end as state from q left join w using (run_id)""")
+def cancel_barrier(spark, d):
+    return barrier(spark, d)[0]
+
+
+@job("cancel_barrier_nodes", cte("dag_runs", "dag_nodes") + f""" select n.run_id, ordinal, case when n.state in ('Pending', 'Ready') then 'Cancelled' when n.state = 'StartAuthorized' then 'CancellationRequested' else n.state end as state,
+    case when n.state in ('Pending', 'Ready') then {AT_SQL} else completed_at end as completed_at from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running' and n.run_id % 3 = 0""")
+def cancel_barrier_nodes(spark, d):
+    return barrier(spark, d)[1].select("run_id", "ordinal", "state", "completed_at")
+
+
+@job("cancel_barrier_sends", cte("dag_runs", "dag_nodes") + " select n.run_id, ordinal, child_id, 'dag-child-cancel-v1' as kind from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running' and n.run_id % 3 = 0 and n.state = 'StartAuthorized'")
+def cancel_barrier_sends(spark, d):
+    return barrier(spark, d)[2]
+
+
+@job("run_outcome", cte("dag_runs", "dag_nodes") + """, p as (select run_id, bool_or(state in ('Pending', 'Ready', 'StartAuthorized', 'CancellationRequested')) as live, bool_and(state = 'Succeeded') as ok from dag_nodes group by 1)
+    select run_id, case when live then 'Nonterminal' when state = 'CancellationRequested' then 'Cancelled' when ok then 'Succeeded' else 'Failed' end as outcome from dag_runs join p using (run_id)""")
+def run_outcome(spark, d):
+    return D.run_outcome(adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes"))
+
+
+RECORDS = """select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) + case when user_id % 7 = 0 and event_id % 50 = 0 then 1 else 0 end as stream_version,
+  case when row_number() over (partition by user_id order by ts, event_id) = 1 then 'Created' when event_id % 199 = 0 then 'CancellationRequested' when event_id % 397 = 0 then 'Terminal' when event_id % 311 = 0 then 'IntegrityFaulted' else 'ChildJoined' end as kind,
+  case when event_id % 199 = 0 then 'CancellationRequested' when event_id % 397 = 0 then 'Succeeded' end as state, cast(event_id % 6 as int) as ordinal, case event_type when 'error' then 'Failed' else 'Succeeded' end as node_state from {events}"""
+
+
+@job("fold_dag_runs")
+def fold_dag_runs(spark, d):
+    r = spark.sql(RECORDS, events=spark.read.parquet(f"{d}/events.parquet"))
+    return D.fold_dag_runs(r.select("run_id", "stream_version", "kind", "state", F.array(F.struct("ordinal", F.col("node_state").alias("state"))).alias("changes")))
+
+
+@job("discover_runs", cte("dag_runs") + " select run_id, creation_sequence, state from dag_runs where state in ('Running', 'CancellationRequested', 'IntegrityFault') and creation_sequence > 5000 order by creation_sequence, run_id limit 1000")
+def discover_runs(spark, d):
+    return D.discover_runs(adapt(spark, d, "dag_runs"), 5000, 1000).select("run_id", "creation_sequence", "state")
+
+
+def _child(run: str, ordinal: str) -> str:
+    return f"substring(sha256('wflog-dag-child-v1' || chr(10) || {run} || chr(10) || {ordinal} || chr(10)), 1, 32)"
+
+
+@job("admit_nodes", cte("dag_runs", "dag_nodes") + f""", m as (select n.* from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running'),
+    a as (select *, count(*) filter (state in ('StartAuthorized', 'CancellationRequested')) over (partition by run_id) as active, count(*) filter (state = 'Ready') over (partition by run_id order by ordinal) as rank from m)
+    select run_id, ordinal, {_child('run_id', 'ordinal')} as child_id from a where state = 'Ready' and rank + active <= 2""")
+def admit_nodes(spark, d):
+    return D.admit_nodes(adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes"), 2)
+
+
+@job("child_ids", cte("dag_nodes") + f" select run_id, ordinal, {_child('run_id', 'ordinal')} as child_id from dag_nodes")
+def child_ids(spark, d):
+    return adapt(spark, d, "dag_nodes").select("run_id", "ordinal", child_id(F.col("run_id"), F.col("ordinal")).alias("child_id"))
+
+
+OPERATIONS = "select 'op' || cast(event_id % 4000 as string) as operation_id, event_id as seq, md5(event_type) as fingerprint from {events}"
+
+
+@job("operation_receipts", f"with o as ({OPERATIONS.format(events='events')}), b as (select *, first_value(fingerprint) over w as f, row_number() over w as rn from o window w as (partition by operation_id order by seq))" + """
+    select operation_id, seq, fingerprint, case when rn = 1 then 'committed' when fingerprint = f then 'repeated' else 'DAG_INTEGRITY_CONFLICT' end as result from b""")
+def operation_receipts(spark, d):
+    return D.operation_receipts(spark.sql(OPERATIONS, events=spark.read.parquet(f"{d}/events.parquet")))
+
+
+CALLS = "select user_id as run_id, event_id as seq, cast(row_number() over (partition by user_id order by event_id) * 2.5 as double) as at_s, case event_type when 'click' then 'release' when 'error' then 'renew' else 'acquire' end as op, 'host-' || cast(event_id % 3 as string) as owner from {events}"
+
+
+@job("replay_run_leases")
+def replay_run_leases(spark, d):
+    return D.replay_run_leases(spark.sql(CALLS, events=spark.read.parquet(f"{d}/events.parquet")))
+
+
+READY_E = "select r.run_id, cast(0 as int) as ordinal, r.ordinal as dep_ordinal from {dag_nodes} r join {dag_nodes} z on z.run_id = r.run_id and z.ordinal = 0 where z.state = 'Ready' and r.ordinal > 0"
+
+
+@job("node_inputs", cte("dag_nodes") + f""", e as ({READY_E.format(dag_nodes='dag_nodes')}), r as (select run_id, ordinal from dag_nodes where state = 'Ready'),
+    p as (select e.run_id, e.ordinal, string_agg(node_id || '=' || output, ', ' order by node_id) filter (output is not null) as inputs, bool_or(output is null) as missing from e join dag_nodes n on n.run_id = e.run_id and n.ordinal = e.dep_ordinal group by all)
+    select r.run_id, r.ordinal, coalesce(inputs, '') as inputs, case when missing then 'DAG_INPUT_MAPPING_INVALID' end as fault from r left join p using (run_id, ordinal)""")
+def node_inputs(spark, d):
+    n = adapt(spark, d, "dag_nodes")
+    return D.node_inputs(n, spark.sql(READY_E, dag_nodes=n)).withColumn("inputs", render_tags(F.col("inputs")))
+
+
+@job("dag_fingerprint", cte(*NE) + """, x as (select run_id, ordinal, string_agg(dep_ordinal, ',' order by dep_ordinal) as deps from dag_edges group by all),
+    p as (select n.run_id, n.ordinal, length(node_id) || ':' || node_id || '[' || coalesce(deps, '') || ']' as part from dag_nodes n left join x using (run_id, ordinal))
+    select run_id, upper(sha256(string_agg(part, '|' order by ordinal))) as fingerprint from p group by run_id""")
+def dag_fingerprint(spark, d):
+    return D.dag_fingerprint(*ne(spark, d))
+
+
+SUBSCRIPTIONS = "select run_id, 's' || cast(run_id as string) || '-' || cast(k as string) as subscription_id, created_at + (run_id % 100) * interval '1' day as expires_at, run_id % 5 + k as seen_version from {dag_runs} cross join (select 0 as k union all select 2 as k) x where run_id % 4 = 0"
+
+
+@job("notify_observers", cte("dag_runs", "dag_nodes") + f""", s as ({SUBSCRIPTIONS.format(dag_runs='dag_runs')}),
+    n as (select s.run_id, subscription_id, version from s join dag_runs r using (run_id) where expires_at > {AT_SQL} and seen_version < version
+      union all select run_id, null, version from dag_runs r where state = 'Running' and exists (select 1 from dag_nodes x where x.run_id = r.run_id and x.state = 'Ready'))
+    select run_id, subscription_id, version, 'notice|' || run_id || '|' || coalesce(subscription_id, '*') || '|' || version as notice_id from n""")
+def notify_observers(spark, d):
+    r = adapt(spark, d, "dag_runs")
+    return D.notify_observers(r, adapt(spark, d, "dag_nodes"), spark.sql(SUBSCRIPTIONS, dag_runs=r), F.expr(AT))
+
+
+@job("prune_observers", cte("dag_runs") + f""", s as ({SUBSCRIPTIONS.format(dag_runs='dag_runs')}), r as (select distinct run_id from s where expires_at <= {AT_SQL} order by run_id limit 200)
+    select run_id, subscription_id, expires_at <= {AT_SQL} and run_id in (select run_id from r) as removed from s""")
+def prune_observers(spark, d):
+    removed, kept = D.prune_observers(spark.sql(SUBSCRIPTIONS, dag_runs=adapt(spark, d, "dag_runs")), F.expr(AT), 200)
+    mark = lambda f, x: f.select("run_id", "subscription_id", F.lit(x).alias("removed"))
+    return mark(removed, True).unionByName(mark(kept, False))
+
+
+@job("run_durations", "with recursive " + cte(*NE)[5:] + """, t as (select run_id, ordinal, (epoch(started_at) - epoch(ready_at))::bigint as q, (epoch(completed_at) - epoch(started_at))::bigint as w from dag_nodes where state in ('Succeeded', 'Failed')),
+    p as (select run_id, ordinal, w as len from t union select t.run_id, t.ordinal, p.len + t.w from p join dag_edges e on e.run_id = p.run_id and e.dep_ordinal = p.ordinal join t on t.run_id = e.run_id and t.ordinal = e.ordinal),
+    c as (select run_id, max(len) as critical_s from p group by 1)
+    select run_id, sum(q)::bigint as queue_s, sum(w)::bigint as work_s, any_value(critical_s) as critical_s from t join c using (run_id) group by run_id""")
+def run_durations(spark, d):
+    return D.run_durations(*ne(spark, d))
+
+
+CHILDREN = "select child_id, case when run_id % 6 = 0 then 'Completed' when run_id % 6 = 1 then 'Cancelled' when run_id % 6 = 2 then 'TimedOut' when run_id % 6 = 3 then 'Terminated' when run_id % 6 = 4 then 'Failed' else 'Running' end as status, ready_at as created_at, completed_at as updated_at, case when run_id % 6 = 4 then 'load failed' end as error_summary from {dag_nodes} where child_id is not null and run_id % 5 <> 0"
+
+
+def children(spark, d):
+    n = adapt(spark, d, "dag_nodes")
+    return n, spark.sql(CHILDREN, dag_nodes=n)
+
+
+@job("join_children", cte("dag_runs", "dag_nodes") + f""", c as ({CHILDREN.format(dag_nodes='dag_nodes')}), j as (select n.run_id, n.ordinal, n.state, c.status, r.state as run_state,
+      case when c.status = 'Completed' then 'Succeeded' when c.status = 'Cancelled' and r.state = 'CancellationRequested' then 'Cancelled' else 'Failed' end as new from dag_nodes n join c using (child_id) join dag_runs r using (run_id) where c.status <> 'Running'),
+    k as (select *, state in ('Succeeded', 'Failed', 'Cancelled') as ended from j)
+    select run_id, ordinal, case when ended then state else new end as state, case when not ended and new = 'Failed' then case status when 'Cancelled' then 'CHILD_CANCELLED' when 'TimedOut' then 'CHILD_TIMED_OUT' when 'Terminated' then 'CHILD_TERMINATED' else 'CHILD_FAILED' end end as failure_code, ended and state <> new as conflict from k""")
+def join_children(spark, d):
+    n, c = children(spark, d)
+    return D.join_children(n, adapt(spark, d, "dag_runs"), c)
+
+
+_BAD = "bad as (select run_id, run_id % 2 = 0 as cancelling from dag_runs where state = 'IntegrityFault')"
+
+
+@job("reconcile_runs", cte("dag_runs", "dag_nodes") + f""", c as ({CHILDREN.format(dag_nodes='dag_nodes')}), {_BAD},
+    j as (select n.run_id, ordinal, n.state, n.child_id, cancelling, case when c.child_id is null then null else c.status <> 'Running' end as done from dag_nodes n join bad using (run_id) left join c using (child_id)),
+    k as (select *, case when state in ('StartAuthorized', 'CancellationRequested') then case when coalesce(done, false) then 'join' when cancelling then 'cancel' when done is null then 'start' end
+      when state in ('Succeeded', 'Failed', 'Cancelled') and child_id is not null and not coalesce(done, false) then 'conflict' end as action from j)
+    select 'work' as part, run_id, ordinal, action from k where action is not null union all select 'run', run_id, null, case when cancelling then 'CancellationRequested' else 'Running' end from bad""")
+def reconcile_runs(spark, d):
+    n, c = children(spark, d)
+    work, runs = D.reconcile_runs(adapt(spark, d, "dag_runs").withColumn("cancel_requested", F.col("run_id") % 2 == 0), n, c)
+    return work.select(F.lit("work").alias("part"), "run_id", "ordinal", "action").unionByName(runs.select(F.lit("run").alias("part"), "run_id", F.lit(None).cast("int").alias("ordinal"), F.col("state").alias("action")))
+
+
+@job("reconstruct_run", cte("dag_nodes") + f", c as ({CHILDREN.format(dag_nodes='dag_nodes')}) select n.run_id, n.ordinal, n.node_id, n.state, n.child_id, c.status as child_status, c.created_at, c.updated_at, c.error_summary from dag_nodes n left join c using (child_id)")
+def reconstruct_run(spark, d):
+    return D.reconstruct_run(*children(spark, d))

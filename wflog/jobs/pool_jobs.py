@@ -1 +1,100 @@
-"""To come."""
+"""Queries over resource pools."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import pools as P
+from ..sources.adapters import adapt, cte
+from .registry import job
+
+AT, AT_SQL = "timestamp_ntz '1998-06-01 00:00:00'", "timestamp '1998-06-01 00:00:00'"
+T3 = ("pools", "tickets", "waiters")
+_AGG = "t as (select pool, sum(units)::bigint as reserved, count(*) as held, count(*) filter (review_marked) as expired, min(review_deadline) filter (review_marked) as oldest from tickets group by 1), q as (select pool, count(distinct waiter_id) as queued from waiters group by 1)"
+
+
+def three(spark, d):
+    return [adapt(spark, d, n) for n in T3]
+
+
+@job("pool_snapshots", cte(*T3) + f", {_AGG} select pool, capacity, greatest(0, capacity - coalesce(reserved, 0)) as available, coalesce(held, 0) as held, coalesce(queued, 0) as queued, coalesce(expired, 0) as expired from pools left join t using (pool) left join q using (pool)")
+def pool_snapshots(spark, d):
+    return P.pool_snapshots(*three(spark, d))
+
+
+@job("pool_management", cte(*T3) + f", {_AGG} select pool, coalesce(reserved, 0) as reserved, greatest(0, coalesce(reserved, 0) - capacity) as debt, coalesce(queued, 0) as queued, oldest as oldest_review from pools left join t using (pool) left join q using (pool)")
+def pool_management(spark, d):
+    return P.pool_management(*three(spark, d))
+
+
+REQUESTS = """select user_id as partition_id, event_id as seq, case when event_type in ('click', 'error') then 'release' else 'acquire' end as op, 'h' || cast(event_id % 6 as string) as holder,
+  array('p' || cast(event_id % 3 as string), 'p' || cast(event_id % 3 + 1 as string)) as pools, array(cast(1 + event_id % 2 as int), 1) as units, map('p0', 3, 'p1', 2, 'p2', 4) as capacities from {events}"""
+
+
+def _requests(spark, d):
+    return spark.sql(REQUESTS, events=spark.read.parquet(f"{d}/events.parquet"))
+
+
+@job("replay_pool_requests")
+def replay_pool_requests(spark, d):
+    return P.replay_pool_requests(_requests(spark, d))
+
+
+@job("replay_pool_requests_fifo")
+def replay_pool_requests_fifo(spark, d):
+    return P.replay_pool_requests(_requests(spark, d), grant="fifo")
+
+
+@job("mark_ticket_review", cte("tickets") + f" select ticket_id, review_deadline <= {AT_SQL} and not review_marked as newly, review_marked or review_deadline <= {AT_SQL} as review_marked from tickets")
+def mark_ticket_review(spark, d):
+    return P.mark_ticket_review(adapt(spark, d, "tickets"), F.expr(AT)).select("ticket_id", "newly", "review_marked")
+
+
+RESIZES = "select 'r' || cast(o_orderkey % 4000 as string) as operation_id, o_orderkey as seq, o_custkey % 50 as pool, cast(o_orderkey % 4000 % 7 + case when o_orderkey % 9 = 0 then 1 else 0 end as bigint) as capacity from {orders}"
+
+
+@job("apply_resizes", f"with r as ({RESIZES.format(orders='orders')}), b as (select *, first_value(pool) over w = pool and first_value(capacity) over w = capacity as same, row_number() over w as rn from r window w as (partition by operation_id order by seq))" + """,
+    c as (select *, case when rn = 1 then 'Applied' when same then 'Replayed' else 'Conflict' end as result from b)
+    select 'operation' as part, operation_id || '@' || seq as id, result as value from c union all select 'pool', cast(pool as varchar), cast(arg_max(capacity, seq) as varchar) from c where result = 'Applied' group by pool""")
+def apply_resizes(spark, d):
+    out, now = P.apply_resizes(spark.sql(RESIZES, orders=spark.read.parquet(f"{d}/orders.parquet")))
+    a = out.select(F.lit("operation").alias("part"), F.concat_ws("@", "operation_id", "seq").alias("id"), F.col("result").alias("value"))
+    return a.unionByName(now.select(F.lit("pool").alias("part"), F.col("pool").cast("string").alias("id"), F.col("capacity").cast("string").alias("value")))
+
+
+CONFIRM = "select 'c' || cast(event_id % 900 as string) as confirmation_id, event_id as seq, 't' || cast(event_id % 700 as string) as token, event_id from {events}"
+
+
+@job("classify_stop_confirmations")
+def classify_stop_confirmations(spark, d):
+    c = spark.sql(CONFIRM, events=spark.read.parquet(f"{d}/events.parquet"))
+    token = F.regexp_extract("token", "([0-9]+)", 1).cast("int")
+    holders = c.where(token % 3 == 0).select("token").distinct()
+    released = c.where(token % 3 == 1).select("token", F.when(token % 2 == 0, F.concat(F.lit("old"), F.col("token"))).alias("confirmation_id")).distinct()
+    return P.classify_stop_confirmations(c.drop("event_id"), holders, released)
+
+
+ENVELOPES = """select l_orderkey as instance_id, 'h' || cast(l_linenumber as string) as holder_key, case when l_linenumber = 7 then 'Other' else 'Resource' end as kind,
+  case when l_linenumber = 6 then null else 'tok' || cast(l_orderkey * 10 + l_linenumber as string) end as token,
+  case l_orderkey % 5 when 0 then 'Granted' when 1 then 'Releasing' when 2 then 'Released' when 3 then 'Quarantined' else 'Requested' end as phase, l_orderkey % 6 = 0 as review
+from {lineitem} group by l_orderkey, l_linenumber"""
+
+
+@job("outstanding_leases", cte("tickets") + f""", e as ({ENVELOPES.format(lineitem='lineitem')}), t as (select instance_id, holder_key, string_agg(ticket_id, ',' order by ticket_id) as tickets, bool_or(review_marked) as marked from tickets group by all)
+    select e.instance_id, e.holder_key, e.token, case phase when 'Granted' then 'Held' when 'Releasing' then 'Releasing' when 'Quarantined' then 'Quarantined' else 'Queued' end as status, e.review or coalesce(marked, false) as review, coalesce(tickets, '') as tickets
+    from e left join t using (instance_id, holder_key) where kind = 'Resource' and token is not null and phase not in ('Released', 'CancelledBeforeGrant')""")
+def outstanding_leases(spark, d):
+    e = spark.sql(ENVELOPES, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    json = e.groupBy("instance_id").agg(F.to_json(F.struct(F.collect_list(F.struct("kind", "token", "phase", "holder_key", "review")).alias("obligations"))).alias("envelope"))
+    return P.outstanding_leases(json, adapt(spark, d, "tickets")).withColumn("tickets", F.array_join("tickets", ","))
+
+
+@job("lease_gauges", cte("tickets") + " select pool, case when review_marked then 'quarantined' else 'held' end as state, count(*) as n, sum(units)::bigint as units, min(review_deadline) as oldest from tickets group by all")
+def lease_gauges(spark, d):
+    return P.lease_gauges(adapt(spark, d, "tickets"))
+
+
+@job("release_evidence", "with e as (select user_id as instance_id, 'h' || (event_id % 3) as holder_key, event_id as seq, event_type as evidence from events) select * from e qualify row_number() over (partition by instance_id, holder_key order by seq desc) = 1")
+def release_evidence(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return P.release_evidence(e.select(F.col("user_id").alias("instance_id"), F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")).alias("holder_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("evidence")))

@@ -1 +1,83 @@
-"""To come."""
+"""Queries over sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import store as S
+from ..sources.adapters import adapt, cte
+from .registry import job
+
+E = "event_log"
+
+
+def raw(spark, d):
+    """The log as stored rows: a payload per event, some of them damaged."""
+    e = adapt(spark, d, E)
+    encoded = S.encode_events(e.select("stream_id", "version", "event_id", "event_type", "occurred_at", "wait_id", "timer_id", "step_path", "error", "holder_key", F.col("fire_at").cast("timestamp").alias("fire_at")))
+    payload = F.when(F.col("event_id") % 211 == 0, "{broken").when(F.col("event_id") % 223 == 0, "[1]").otherwise(F.col("payload"))
+    kind = F.when(F.col("event_id") % 227 == 0, "Unknown").otherwise(F.col("event_type"))
+    return encoded.withColumn("payload", payload).withColumn("event_type", kind)
+
+
+_BAD = "event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0"
+
+
+@job("decode_events", cte(E) + f" select event_id, event_type, wait_id, timer_id, step_path, error, holder_key, fire_at from event_log where not ({_BAD})")
+def decode_events(spark, d):
+    good, _ = S.decode_events(raw(spark, d))
+    return good.select("event_id", "event_type", "wait_id", "timer_id", "step_path", "error", "holder_key", F.col("fire_at").cast("timestamp_ntz").alias("fire_at"))
+
+
+@job("decode_events_quarantine", cte(E) + f" select event_id, case when event_id % 227 = 0 then 'Unknown' else event_type end as event_type from event_log where {_BAD}")
+def decode_events_quarantine(spark, d):
+    return S.decode_events(raw(spark, d))[1].select("event_id", "event_type")
+
+
+@job("encode_events", cte(E) + """ select event_id, '{"wait_id":"' || wait_id || '","timer_id":"' || timer_id || '","step_path":"' || step_path || '"}' as payload from event_log""")
+def encode_events(spark, d):
+    return S.encode_events(adapt(spark, d, E).select("event_id", "wait_id", "timer_id", "step_path")).select("event_id", "payload")
+
+
+NEW = "select instance_id + case when instance_id % 30 = 0 then 1000000 else 0 end as instance_id, 'Completed' as status, updated_at, cast(null as timestamp{ntz}) as archived_at from {{projections}} where instance_id % 10 = 0"
+
+
+@job("upsert_projection", cte("projections") + f""", n as ({NEW.format(ntz='').format(projections='projections')}), s as (select instance_id, status, updated_at, archived_at from projections)
+    select coalesce(n.instance_id, s.instance_id) as instance_id, coalesce(n.status, s.status) as status, coalesce(n.updated_at, s.updated_at) as updated_at, case when s.instance_id is not null then s.archived_at else n.archived_at end as archived_at from s full join n on n.instance_id = s.instance_id""")
+def upsert_projection(spark, d):
+    p = adapt(spark, d, "projections").select("instance_id", "status", "updated_at", "archived_at")
+    return S.upsert_projection(p, spark.sql(NEW.format(ntz="_ntz"), projections=p))
+
+
+@job("replace_waits", cte("active_waits") + """ select wait_id, instance_id from active_waits where instance_id % 6 <> 0 union all select distinct 'new' || instance_id, instance_id from active_waits where instance_id % 12 = 0""")
+def replace_waits(spark, d):
+    w = adapt(spark, d, "active_waits").select("wait_id", "instance_id")
+    ids = w.where("instance_id % 6 = 0").select("instance_id").distinct()
+    new = ids.where("instance_id % 12 = 0").select(F.concat(F.lit("new"), F.col("instance_id").cast("string")).alias("wait_id"), "instance_id")
+    return S.replace_waits(w, new, ids)
+
+
+@job("upsert_checkpoints", cte(E) + " select stream_id as instance_id, max(version) as stream_version, max(event_id) as write_order from event_log group by 1")
+def upsert_checkpoints(spark, d):
+    e = adapt(spark, d, E)
+    return S.upsert_checkpoints(e.select(F.col("stream_id").alias("instance_id"), F.col("version").alias("stream_version"), F.col("event_id").alias("write_order")))
+
+
+HISTORY = "select cast(event_id % 6000 as string) as history_id, user_id as instance_id, ts as recorded_at, event_type as kind from {events}"
+
+
+@job("append_history", f"with h as ({HISTORY.format(events='events')}), s as (select * from h where cast(history_id as int) % 3 = 0 qualify row_number() over (partition by history_id order by recorded_at) = 1)" + """,
+    f as (select * from h qualify row_number() over (partition by history_id order by recorded_at, instance_id, kind) = 1) select * from s union all select * from f where history_id not in (select history_id from s)""")
+def append_history(spark, d):
+    from pyspark.sql import Window
+
+    h = spark.sql(HISTORY, events=spark.read.parquet(f"{d}/events.parquet"))
+    rn = F.row_number().over(Window.partitionBy("history_id").orderBy("recorded_at"))
+    stored = h.where("cast(history_id as int) % 3 = 0").withColumn("rn", rn).where("rn = 1").drop("rn")
+    return S.append_history(stored, h)
+
+
+@job("emit_outbox", "select 'm' || event_id as outbox_record_id, user_id as instance_id, event_type as kind, props as payload, 'Pending' as state, 0 as dispatch_attempt, null::timestamp as claimed_until from events where event_type = 'purchase'")
+def emit_outbox(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
+    return S.emit_outbox(e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("outbox_record_id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("kind"), F.col("props").alias("payload")))

@@ -1 +1,94 @@
-"""To come."""
+"""Streaming jobs worked through once over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.adapters import adapt, cte
+from ..sources.scratch import new_path
+from ..streaming import streams as S
+from .log_jobs import FOLD_SQL, flat
+from .registry import job
+
+E = "event_log"
+
+
+def live(spark, d, table: str):
+    """An adapted table as a stream: written once as files, in several parts, then read as a stream."""
+    t = adapt(spark, d, table)
+    path = new_path(spark, f"live-{table}")
+    t.repartition(4, "stream_id" if table == E else "acceptance_sequence").write.parquet(path)
+    return spark.readStream.schema(t.schema).parquet(path)
+
+
+def timed(stream, column: str = "occurred_at"):
+    return stream.withColumn("at", F.col(column).cast("timestamp"))
+
+
+@job("stream_fold", FOLD_SQL)
+def stream_fold(spark, d):
+    return flat(S.run_available(S.stream_fold(live(spark, d, E)), "update", ["stream_id"], "fold"))
+
+
+@job("stream_dedupe", cte("inbox") + """, b as (select *, first_value(envelope_fingerprint) over w as f, row_number() over w as rn from inbox window w as (partition by event_id order by acceptance_sequence))
+    select event_id, acceptance_sequence, case when rn = 1 then 'Accepted' when f = envelope_fingerprint then 'Duplicate' else 'Conflict' end as result from b""")
+def stream_dedupe(spark, d):
+    return S.run_available(S.stream_dedupe(timed(live(spark, d, "inbox"))), "append", None, "dedupe")
+
+
+@job("stream_match_waits")
+def stream_match_waits(spark, d):
+    rows = timed(live(spark, d, E)).where("event_type in ('WaitRegistered', 'WaitMatched')")
+    kind = F.when(F.col("event_type") == "WaitRegistered", "wait").otherwise("event")
+    rows = rows.select(F.concat_ws("|", "event_name", "correlation_id").alias("key"), kind.alias("kind"), F.col("event_id").cast("string").alias("id"), "at", F.lit(86_400_000).cast("long").alias("timeout_ms"))
+    return S.run_available(S.stream_match_waits(rows), "append", None, "match")
+
+
+_OPEN = "o as (select timer_id, max(version) filter (event_type = 'TimerScheduled') as v, max(version) as l from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled') group by 1)"
+
+
+@job("stream_timers", cte(E) + f", {_OPEN}, m as (select max(occurred_at) - interval '10' minute as wm from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled')) select e.timer_id, epoch_ms(fire_at) as due_ms from o join event_log e on e.timer_id = o.timer_id and e.version = o.v, m where o.v = o.l and epoch_ms(fire_at) <= epoch_ms(wm)")
+def stream_timers(spark, d):
+    return S.run_available(S.stream_timers(timed(live(spark, d, E))), "append", None, "timers")
+
+
+@job("stream_stuck", cte(E) + """, t as (select stream_id, epoch_ms(occurred_at) as ms, lead(epoch_ms(occurred_at)) over (partition by stream_id order by occurred_at) as nxt from event_log), m as (select epoch_ms(max(occurred_at)) - 60000 as wm from event_log)
+    select stream_id as instance_id, ms + 7200000 as at_ms, 'stuck' as change from t, m where nxt - ms > 7200000 or (nxt is null and ms + 7200000 < wm) union all select stream_id, nxt, 'cleared' from t where nxt - ms > 7200000""")
+def stream_stuck(spark, d):
+    rows = timed(live(spark, d, E)).withColumnRenamed("stream_id", "instance_id")
+    return S.run_available(S.stream_stuck(rows, 7_200_000), "append", None, "stuck")
+
+
+@job("stream_rates", cte(E) + " select time_bucket(interval '5' minute, occurred_at) as window_start, event_type, count(*) as n from event_log group by all")
+def stream_rates(spark, d):
+    out = S.run_available(S.stream_rates(timed(live(spark, d, E)), ["event_type"]), "update", ["window_start", "event_type"], "rates")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@job("stream_sessions", cte(E) + """, g as (select *, case when occurred_at - lag(occurred_at) over w >= interval '30' minute then 1 else 0 end as new from event_log window w as (partition by stream_id order by occurred_at)),
+    s as (select *, sum(new) over (partition by stream_id order by occurred_at) as k from g), m as (select max(occurred_at) - interval '10' minute as wm from event_log)
+    select stream_id as instance_id, min(occurred_at) as started_at, max(occurred_at) + interval '30' minute as ended_at, count(*) as n from s group by stream_id, k having max(occurred_at) + interval '30' minute <= (select wm from m)""")
+def stream_sessions(spark, d):
+    rows = timed(live(spark, d, E)).withColumnRenamed("stream_id", "instance_id")
+    out = S.run_available(S.stream_sessions(rows), "append", None, "sessions")
+    return out.select("instance_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")], "n")
+
+
+@job("stream_decode", cte(E) + " select event_id, event_type, 'good' as part from event_log where not (event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0) union all select event_id, case when event_id % 227 = 0 then 'Unknown' else event_type end, 'bad' from event_log where event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0")
+def stream_decode(spark, d):
+    from .store_jobs import raw
+
+    rows, path = raw(spark, d), new_path(spark, "live-raw")
+    rows.repartition(4, "event_id").write.parquet(path)
+    good, bad = new_path(spark, "good"), new_path(spark, "bad")
+    S.stream_decode(spark.readStream.schema(rows.schema).parquet(path), good, bad, new_path(spark, "decode-state")).awaitTermination()
+    part = lambda p, name: spark.read.parquet(p).select("event_id", "event_type", F.lit(name).alias("part"))
+    return part(good, "good").unionByName(part(bad, "bad"))
+
+
+@job("stream_projection_sink", cte(E) + " select stream_id as instance_id, max(version) as stream_version, max_by(event_type, version) as status from event_log group by 1")
+def stream_projection_sink(spark, d):
+    rows = live(spark, d, E).select(F.col("stream_id").alias("instance_id"), F.col("version").alias("stream_version"), F.col("event_type").alias("status"))
+    path = new_path(spark, "projection")
+    S.stream_projection_sink(rows, path, new_path(spark, "projection-state")).awaitTermination()
+    return S.latest_projection(spark, path, rows.schema)

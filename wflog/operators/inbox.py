@@ -143,7 +143,7 @@ def materialize_starts(intents: DataFrame, events: DataFrame, started: DataFrame
     s = started.select("key", F.col("instance_id").alias("new_id"))
     i = intents.join(s, "key", "left")
     done = F.col("new_id").isNotNull() & (F.col("state") == "Pending")
-    i = i.withColumn("state", F.when(done, "Materialized").otherwise(F.col("state"))).withColumn("instance_id", F.when(done, F.col("new_id")).otherwise(F.col("instance_id"))).drop("new_id")
+    i = i.withColumn("instance_id", F.when(done, F.col("new_id")).otherwise(F.col("instance_id"))).withColumn("state", F.when(done, "Materialized").otherwise(F.col("state"))).drop("new_id")
     e = events.join(s, "key", "left")
     mine = F.col("new_id").isNotNull() & F.col("instance_id").isNull() & (F.col("state") == "Received")
     key = route_key("direct", F.col("new_id"), F.col("event_contract_version"), F.col("event_name"))

@@ -30,10 +30,14 @@ def merge_scopes(*maps: Column) -> Column:
     """Maps from outer to inner scope; the later key wins."""
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+        out = F.map_concat(_without(out, m), m)
     return out
 
 
+def _without(outer: Column, inner: Column) -> Column:
+    return F.map_filter(outer, lambda k, _: ~F.map_contains_key(inner, k))
+
+
 #: Kind of event -> what an operator sees: fixed values.
 OBSERVATIONS = {
     "Started": "InstanceStarted", "Completed": "InstanceCompleted", "StepCompleted": "StepCompleted", "StepFailed": "StepFailed",

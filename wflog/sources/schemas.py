@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+#: DDL of each table, as ``spark.read.schema`` takes it.
+SCHEMAS = {
     "events": "stream_id string, version bigint, event_id string, event_type string, occurred_at timestamp, payload string",
     "stream_heads": "instance_id string, stream_version bigint",
     "checkpoints": "instance_id string, stream_version bigint, content_type string, payload binary, definition_id string, definition_version int, status string, last_step_path string, error_summary string, outcome_name string, continue_as_new_generation int, runtime_state string, parent_instance_id string, root_instance_id string",
@@ -26,8 +25,6 @@ _DDL = {
     "dag_records": "run_id string, stream_version bigint, operation_id string, kind string, state string, changes array<struct<ordinal: int, state: string, failure_code: string>>, updated_at timestamp",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 #: Kinds of events that change an instance; others are quarantined.
 EVENT_KINDS = (
     "Started", "ExecutionPositionChanged", "Parked", "Unparked", "ContinuationAttemptFailed", "ContinuationAttemptReset",

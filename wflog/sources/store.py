@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .schemas import EVENT_KINDS, PAYLOAD, SCHEMAS
 
+#: Times in payloads, to the microsecond.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def read_store(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One table with its declared schema."""
@@ -18,7 +21,7 @@ def decode_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A row is quarantined when its kind is unknown or its payload isn't an object.
     """
-    parsed = raw.withColumn("p", F.from_json("payload", PAYLOAD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = raw.withColumn("p", F.from_json("payload", PAYLOAD + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "timestampFormat": MICROS}))
     known = F.col("event_type").isin(*EVENT_KINDS)
     ok = F.coalesce(known & F.col("p").isNotNull() & F.col("p._bad").isNull() & F.trim("payload").startswith("{"), F.lit(False))
     names = [x.split()[0] for x in PAYLOAD.split(", ")]
@@ -31,7 +34,7 @@ def encode_events(events: DataFrame) -> DataFrame:
     """Inverse of ``decode_events``: the kind columns become one JSON object without null fields."""
     names = [x.split()[0] for x in PAYLOAD.split(", ") if x.split()[0] in events.columns]
     rest = [c for c in events.columns if c not in names]
-    return events.select(*rest, F.to_json(F.struct(*names)).alias("payload"))
+    return events.select(*rest, F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("payload"))
 
 
 def write_event_log(events: DataFrame, path: str) -> None:

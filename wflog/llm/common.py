@@ -49,6 +49,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def replaced(docs: DataFrame, *results: str) -> list:
+    """The columns of the struct ``row`` but those that an operator's results replace."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in results]
+
+
+def hide(docs: DataFrame, *results: str) -> DataFrame:
+    """A stage's documents with columns renamed that are named like an operator's results."""
+    for c in results:
+        docs = docs.withColumnRenamed(c, f"own__{c}")
+    return docs
+
+
+def bring_back(docs: DataFrame, *results: str) -> list:
+    """The documents' own columns after ``hide``."""
+    return [F.col(f"own__{c}").alias(c) if c in results else F.col(c) for c in docs.columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, unless the session asks for fewer: texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

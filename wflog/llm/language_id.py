@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, replaced, small_batches
 from .rolling import mix
 
 ORDER = 4
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, per_lang: int = 600) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     models = fit(docs.where(~held).select(F.col("doc_id").alias("key"), "lang", "text"), per_lang)
     row = docs.select(F.struct("*").alias("row"), held.alias("held_out"), predictor(docs.sparkSession, models)(F.col("text")).alias("language"))
-    return row.select("row.*", "held_out", "language")
+    return row.select(*replaced(docs, "held_out", "language"), "held_out", "language")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

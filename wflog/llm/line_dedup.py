@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pack, small_batches, unpack_one
+from .common import bring_back, hide, materialize, pack, replaced, small_batches, unpack_one
 from .rolling import prefixes, substring
 
 CHUNK = 1 << 20
@@ -352,22 +352,23 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
         F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum("links").alias("n_links"),
         F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("no"))).alias("gone"),
     )
-    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("th"), text.alias("whole"))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("th"))
     out = row.alias("d").join(per.alias("p"), F.col("d.row_id").eqNullSafe(F.col("p.row_id")) & (F.col("d.th") == F.col("p.th")), "left")
     # the lines are bound once, so a text is split once
-    kept = F.expr("if(p.gone is null or size(p.gone) = 0, d.whole, element_at(transform(array(split(d.whole, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), p.gone), i -> get(x, i)), '\n')), 1))")
+    kept = F.expr("if(p.gone is null or size(p.gone) = 0, whole, element_at(transform(array(split(whole, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), p.gone), i -> get(x, i)), '\n')), 1))")
     zero = F.lit(0).cast("long")
     stats = F.struct(*[F.coalesce(f"p.{c}", zero).alias(c) for c in ("n_lines", "n_exact", "n_near", "n_links")])
-    return out.select("d.row.*", stats.alias("line_dedup"), kept.alias("kept_text"))
+    return out.withColumn("whole", F.col("d.row").getField(text_col)).select(*replaced(docs, "line_dedup", "kept_text"), stats.alias("line_dedup"), kept.alias("kept_text"))
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without removed lines; a document that loses all its lines goes."""
-    out = line_dedup(docs)
+    new = ("line_dedup", "kept_text")
+    out = line_dedup(hide(docs, *new))
     lost = F.col("line_dedup.n_exact") + F.col("line_dedup.n_near")
     out = out.where((lost == 0) | (lost < F.col("line_dedup.n_lines")))
     changed = {"text": F.col("kept_text"), "n_chars": F.when(lost > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in docs.columns])
+    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else own for c, own in zip(docs.columns, bring_back(docs, *new), strict=True)])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, bring_back, hide, materialize, replaced
 
 
 def word_count(text: Column) -> Column:
@@ -115,13 +115,16 @@ def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 42, id_col: str = "
     extra = extra.when(F.col("p.cut").isNotNull() & (here <= F.col("p.cut")), 1).otherwise(0)
     copies = (F.coalesce(F.col("p.whole"), F.lit(0)) + extra).cast("long")
     mix = F.struct(F.col("mix_size").alias("size"), F.col("p.source_size"), F.col("p.target"), copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
-    return both.select("row.*", mix.alias("mix"))
+    return both.select(*replaced(docs, "mix"), mix.alias("mix"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as many times as the mix takes it."""
-    out = mix_sources(docs)
-    return out.where("mix.copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select(*[F.col(c) for c in docs.columns], "mix_copy")
+    new = ("mix", "mix_copy")
+    out = mix_sources(hide(docs, *new)).where("mix.copies > 0")
+    number = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias("mix_copy")
+    own = bring_back(docs, *new)
+    return out.select(*own, number) if "mix_copy" not in docs.columns else out.select(*own, number.alias("mix_copy_number"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

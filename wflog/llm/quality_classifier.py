@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, replaced, small_batches
 
 PLACES = 1 << 18
 _THRICE = np.array([PLACES - 1, PLACES - 2])
@@ -179,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fo
     model = fit(labelled, counts, per_class)
     score = scorer(docs.sparkSession, model)(F.col("text"))
     row = docs.select(F.struct("*").alias("row"), (bucket(F.col("doc_id"), folds) == 0).alias("held_out"), score.alias("score"))
-    return row.select("row.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return row.select(*replaced(docs, "held_out", "score", "predicted"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, bring_back, hide, materialize, replaced
 
 SYMBOLS = "#*$%&|<>"
 ROOM = " \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines.alias("lines"),
         F.md5("t").alias("digest"),
     )
-    return d.select("row.*", base.alias("base"))
+    return d.select(*replaced(docs, "base"), base.alias("base"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "source", min_words: int = 50, max_repeat: float = 0.5, min_docs: int = 20, max_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
@@ -58,7 +58,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "so
     A line is boilerplate on a host when more than max(``min_docs``, ``max_share`` of the host's distinct
     documents) hold it. kept: the base rules hold and at least ``min_left`` of the words stand outside boilerplate.
     """
-    counted = base_counts(docs, text_col).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(source_col).alias("q_host"), "base")
+    counted = base_counts(docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("q_host")))
     slim = materialize(counted.groupBy("q_host", F.col("base.digest").alias("digest")).agg(F.first("base").alias("base")), "quality-lines")
     lines = slim.select("q_host", "digest", F.explode("base.lines").alias("l")).groupBy("q_host", "digest", F.col("l.h").alias("h")).agg(F.sum("l.w").alias("w"))
     hosts = slim.groupBy("q_host").agg(F.count("*").alias("n_host"))
@@ -74,12 +74,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "so
     verdicts = verdicts.select("v.q_host", "v.digest", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost.alias("boilerplate_words"), kept.alias("kept")).alias("quality"))
     keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("q_host"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
     out = keyed.alias("d").join(verdicts.alias("v"), F.col("d.q_host").eqNullSafe(F.col("v.q_host")) & (F.col("d.digest") == F.col("v.digest")))
-    return out.select("row.*", "quality")
+    return out.select(*replaced(docs, "quality"), F.col("v.quality").alias("quality"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; texts stay as they are."""
-    return quality_rules(docs).where("quality.kept").select(*[F.col(c) for c in docs.columns])
+    return quality_rules(hide(docs, "quality")).where("quality.kept").select(*bring_back(docs, "quality"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

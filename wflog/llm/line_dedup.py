@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import bring_back, hide, materialize, pack, replaced, small_batches, unpack_one
 from .rolling import prefixes, substring
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _ROOM = np.zeros(256, bool)
 _ROOM[[9, 10, 11, 12, 13, 32]] = True
 

@@ -36,7 +36,7 @@ from .rolling import prefixes, substring
 LENGTH = 200
 PIECE = 64
 #: Bytes of text that are hashed, or sorted, at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def owned_windows(data: np.ndarray, ends: np.ndarray):

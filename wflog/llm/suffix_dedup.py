@@ -209,14 +209,14 @@ def kasai_reaches(sa: np.ndarray, words: np.ndarray, by_128: np.ndarray, length:
         q = before[pos]
         while len(pos):
             got = common[pos]
-            open_ = (got < upto) & (pos + got + 8 <= n) & (q + got + 8 <= n)
+            open_ = (got < upto) & (pos + got < n) & (q + got < n)
             pos, q, got = pos[open_], q[open_], got[open_]
             x = words[pos + got] ^ words[q + got]
             same = x == 0
             lead = np.where(same, 8, 0)
             for k in range(1, 8):  # whole equal bytes at the front of the word
                 lead += (~same) & (x >> np.uint64(64 - 8 * k) == 0)
-            common[pos] = got + lead
+            common[pos] = np.minimum(got + lead, n - np.maximum(pos, q))  # words are filled up past the end
             pos, q = pos[same], q[same]
 
     head = maybe[np.concatenate(([True], maybe[1:] // stride != maybe[:-1] // stride))]

@@ -5,8 +5,9 @@ pieces, at least one piece must stand there unchanged, so exact piece hits (one
 pieces) give all candidate places; Myers' bit-parallel distance verifies the item against the window
 around each. Item and document are compared in lower case with white space collapsed.
 
-Scale: documents are only scanned, nothing is shuffled. Items are broadcast in blocks of at most
-``block_chars`` characters, checked before; larger test sets are worked through block after block.
+Scale: documents are only scanned, nothing is shuffled. Items are broadcast in blocks of about
+``block_chars`` characters, counted before; larger test sets are worked through block after block, each
+over the documents as the block before left them.
 
 Edge cases: null and empty items or texts never match; an item below 16 characters must match
 exactly; repeated items each report; null ids pass through; empty tables give empty results.
@@ -19,9 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 HIT = "array<struct<item_id: long, distance: int>>"
+SQL_HIT = "array<struct<item_id: bigint, distance: int>>"
 
 
 def normal(text: str | None) -> str:
@@ -100,19 +102,20 @@ class Matcher:
         return sorted((self.items[k][0], d) for k, d in best.items())
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 2_000_000) -> DataFrame:
     """Documents with ``leaks``, an array of struct(item_id, distance), one entry per item found."""
     small_batches(docs.sparkSession)
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
-    out = None
+    out = docs.withColumn("leaks", F.expr(f"cast(array() as {SQL_HIT})"))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part])
-        found = _finder(sent)(F.col(text_col))
-        out = found if out is None else F.concat(out, found)
-    return docs.withColumn("leaks", out)
+        out = out.withColumn("leaks", F.concat("leaks", _finder(sent)(F.col(text_col))))
+        if blocks > 1:  # a worker holds the pieces of one block at a time
+            out = materialize(out, "leaks")
+    return out
 
 
 def _finder(sent):

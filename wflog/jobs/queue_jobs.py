@@ -75,7 +75,7 @@ def coalesce_continuations(spark, d):
 @job("failure_backoff", cte("event_log") + """, a as (select stream_id, version, 'step-' || (version // 7) as step_path, event_type <> 'StepCompleted' as failed from event_log),
     b as (select *, case when not failed or step_path is distinct from lag(step_path) over w or not coalesce(lag(failed) over w, false) then 1 else 0 end as new from a window w as (partition by stream_id order by version)),
     c as (select *, sum(new) over (partition by stream_id order by version) as run from b), e as (select *, row_number() over (partition by stream_id, run order by version) as attempt from c)
-    select stream_id, version, attempt, least(60.0::double, pow(2.0::double, greatest(0, attempt - 1))) as delay_s, attempt >= 5 as park from e where failed""")
+    select stream_id, version, attempt::int as attempt, least(60.0::double, pow(2.0::double, greatest(0, attempt - 1))) as delay_s, attempt >= 5 as park from e where failed""")
 def failure_backoff(spark, d):
     step = F.concat(F.lit("step-"), F.floor(F.col("version") / 7).cast("string"))
     return Q.failure_backoff(adapt(spark, d, "event_log").select("stream_id", "version", step.alias("step_path"), (F.col("event_type") != "StepCompleted").alias("failed")))

@@ -66,11 +66,12 @@ def bring_back(docs: DataFrame, *results: str) -> list:
     return [F.col(f"own__{c}").alias(c) if c in results else F.col(c) for c in docs.columns]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, unless the session asks for fewer: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes, unless the session asks for less: texts can be long, rows of numbers are not."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = str(spark.conf.get(key)).rstrip("b")
+    if not asked.isdigit() or int(asked) > size:
+        spark.conf.set(key, str(size))
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -50,11 +50,11 @@ def split_lines(texts: list[str]):
     return codes, text[keep], number[keep], start[keep], breaks[keep]
 
 
-def identities(codes: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Two 64-bit hashes of each line and its id: character counts modulo 16 in 8 classes above 32 bits of hash."""
+def identities(codes: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = True):
+    """Two 64-bit hashes of each line (or one), its id (character counts modulo 16 in 8 classes above 32 bits of hash), the prefix sums."""
     p = prefixes(codes)
     h1 = substring(p, start, end) ^ (end - start).astype(np.uint64)
-    h2 = substring(prefixes(codes, 1), start, end, 1)
+    h2 = substring(prefixes(codes, 1), start, end, 1) if second else None
     line = np.zeros(len(codes) + 1, np.int64)
     line[start] += 1
     of = np.cumsum(line[:-1]) - 1
@@ -151,7 +151,7 @@ def _index_maker(edits: int, min_chars: int):
             if not long_.any():
                 continue
             start, end = start[long_], end[long_]
-            h1, _, ids, p = identities(codes, start, end)
+            h1, _, ids, p = identities(codes, start, end, second=False)
             _, first = np.unique(h1, return_index=True)
             first = first[~np.isin(h1[first], seen)]
             seen = np.concatenate((seen, h1[first])) if len(seen) < 1 << 21 else h1[first]  # bounded; a line let through twice is harmless

@@ -47,12 +47,12 @@ def stream_match_waits(spark, d):
 _OPEN = "o as (select timer_id, max(version) filter (event_type = 'TimerScheduled') as v, max(version) as l from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled') group by 1)"
 
 
-@job("stream_timers", cte(E) + f", {_OPEN}, m as (select max(occurred_at) - interval '10' minute as wm from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled')) select e.timer_id, epoch_ms(fire_at) as due_ms from o join event_log e on e.timer_id = o.timer_id and e.version = o.v, m where o.v = o.l and epoch_ms(fire_at) <= epoch_ms(wm)")
+@job("stream_timers", cte(E) + f", {_OPEN}, m as (select max(occurred_at) - interval '10' minute as wm from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled')) select e.timer_id, epoch_us(fire_at) // 1000 as due_ms from o join event_log e on e.timer_id = o.timer_id and e.version = o.v, m where o.v = o.l and epoch_us(fire_at) // 1000 <= epoch_us(wm) // 1000")
 def stream_timers(spark, d):
     return S.run_available(S.stream_timers(timed(live(spark, d, E))), "append", None, "timers")
 
 
-@job("stream_stuck", cte(E) + """, t as (select stream_id, epoch_ms(occurred_at) as ms, lead(epoch_ms(occurred_at)) over (partition by stream_id order by occurred_at) as nxt from event_log), m as (select epoch_ms(max(occurred_at)) - 60000 as wm from event_log)
+@job("stream_stuck", cte(E) + """, t as (select stream_id, (epoch_us(occurred_at) // 1000) as ms, lead((epoch_us(occurred_at) // 1000)) over (partition by stream_id order by occurred_at) as nxt from event_log), m as (select (epoch_us(max(occurred_at)) // 1000) - 60000 as wm from event_log)
     select stream_id as instance_id, ms + 7200000 as at_ms, 'stuck' as change from t, m where nxt - ms > 7200000 or (nxt is null and ms + 7200000 < wm) union all select stream_id, nxt, 'cleared' from t where nxt - ms > 7200000""")
 def stream_stuck(spark, d):
     rows = timed(live(spark, d, E)).withColumnRenamed("stream_id", "instance_id")

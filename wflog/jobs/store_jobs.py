@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import store as S
 from ..sources.adapters import adapt, cte
+from ..sources.scratch import new_path
 from .registry import job
 
 E = "event_log"
@@ -81,3 +82,23 @@ def append_history(spark, d):
 def emit_outbox(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
     return S.emit_outbox(e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("outbox_record_id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("kind"), F.col("props").alias("payload")))
+
+
+@job("write_event_log", cte(E) + " select cast(occurred_at as date) as occurred_date, count(*) as n, max(event_id) as last_event from event_log group by 1")
+def write_event_log(spark, d):
+    """The log appended in two commits, read back by its day folders."""
+    path = new_path(spark, "event-log")
+    e = adapt(spark, d, E)
+    for half in (0, 1):
+        S.write_event_log(e.where(F.col("event_id") % 2 == half), path)
+    return spark.read.parquet(path).groupBy("occurred_date").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+
+
+@job("read_store", cte("timers") + " select timer_id, cast(instance_id as varchar) as instance_id, fire_at, claimed from timers where fire_at < timestamp '1996-01-01'")
+def read_store(spark, d):
+    """Timers written as the store keeps them and read with the declared schema; the filter reaches the scan."""
+    path = new_path(spark, "store")
+    t = adapt(spark, d, "timers")
+    t.select("timer_id", F.col("instance_id").cast("string").alias("instance_id"), F.lit(None).cast("string").alias("command_id"), F.col("fire_at").cast("timestamp").alias("fire_at"), F.lit("wake").alias("wakeup_name"), "claimed", F.col("claimed_until").cast("timestamp").alias("claimed_until")).write.parquet(f"{path}/timers.parquet")
+    rows = S.read_store(spark, path, "timers").where(F.col("fire_at") < F.lit("1996-01-01").cast("timestamp"))
+    return rows.select("timer_id", "instance_id", F.col("fire_at").cast("timestamp_ntz").alias("fire_at"), "claimed")

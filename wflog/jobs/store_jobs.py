@@ -84,14 +84,14 @@ def emit_outbox(spark, d):
     return S.emit_outbox(e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("outbox_record_id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("kind"), F.col("props").alias("payload")))
 
 
-@job("write_event_log", cte(E) + " select cast(occurred_at as date) as occurred_date, count(*) as n, max(event_id) as last_event from event_log group by 1")
+@job("write_event_log", cte(E) + " select cast(cast(occurred_at as date) as varchar) as occurred_date, count(*) as n, max(event_id) as last_event from event_log group by 1")
 def write_event_log(spark, d):
     """The log appended in two commits, read back by its day folders."""
     path = new_path(spark, "event-log")
     e = adapt(spark, d, E)
     for half in (0, 1):
         S.write_event_log(e.where(F.col("event_id") % 2 == half), path)
-    return spark.read.parquet(path).groupBy("occurred_date").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    return spark.read.parquet(path).groupBy(F.col("occurred_date").cast("string").alias("occurred_date")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
 
 
 @job("read_store", cte("timers") + " select timer_id, cast(instance_id as varchar) as instance_id, fire_at, claimed from timers where fire_at < timestamp '1996-01-01'")

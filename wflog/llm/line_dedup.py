@@ -315,7 +315,7 @@ def _verifier(edits: int):
 def line_links(keyed: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(row_id, th, text) and the first place of each line -> links (a1, a2, b1, b2, edits) between different lines, both ways."""
     index = keyed.select("text").mapInArrow(_index_maker(edits, min_chars), "key long, id long")
-    pairs = index.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions(F.shiftright("key", 1), "key", "id").mapInArrow(_pair_maker(edits), "a long, b long")
+    pairs = index.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key", "id").mapInArrow(_pair_maker(edits), "a long, b long")
     pairs = materialize(pairs.distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     place = firsts.where(F.col("n") >= min_chars).join(ids, "id", "left_semi")

@@ -2,53 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import new_path
+
 #: Words are runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (local tests) a temporary folder is made and remembered for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("wflog.scratch.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="wflog-")
-            spark.conf.set("wflog.scratch.dir", base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts the lineage: lost executors re-read files instead of recomputing the stages before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def replaced(docs: DataFrame, *results: str) -> list:
     """The columns of the struct ``row`` but those that an operator's results replace."""
     return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in results]

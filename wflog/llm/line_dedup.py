@@ -31,8 +31,6 @@ from .common import bring_back, hide, materialize, pack, replaced, small_batches
 from .rolling import prefixes, substring
 
 CHUNK = 1 << 19
-_ROOM = np.zeros(256, bool)
-_ROOM[[9, 10, 11, 12, 13, 32]] = True
 
 
 def split_lines(texts: list[str]):
@@ -45,8 +43,8 @@ def split_lines(texts: list[str]):
     text = np.searchsorted(ends, start, side="right")
     first = np.searchsorted(start, ends - size)
     number = np.arange(len(start)) - first[text]
-    solid = np.concatenate(([0], np.cumsum((codes > 255) | ~_ROOM[np.minimum(codes, 255)])))
-    keep = solid[breaks] > solid[start]
+    solid = np.append((codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32)), False)
+    keep = np.logical_or.reduceat(solid, start)
     return codes, text[keep], number[keep], start[keep], breaks[keep]
 
 
@@ -55,12 +53,12 @@ def identities(codes: np.ndarray, start: np.ndarray, end: np.ndarray, second: bo
     p = prefixes(codes)
     h1 = substring(p, start, end) ^ (end - start).astype(np.uint64)
     h2 = substring(prefixes(codes, 1), start, end, 1) if second else None
-    line = np.zeros(len(codes) + 1, np.int64)
-    line[start] += 1
-    of = np.cumsum(line[:-1]) - 1
-    inside = (of >= 0) & (np.arange(len(codes)) < end[np.maximum(of, 0)])
-    kind = (codes * np.uint32(0x9E3779B1) >> np.uint32(29)).astype(np.int64)
-    counts = np.bincount((of * 8 + kind)[inside], minlength=8 * len(start)).reshape(-1, 8) % 16
+    step = np.zeros(len(codes) + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    kind = codes[inside] * np.uint32(0x9E3779B1) >> np.uint32(29)
+    counts = np.bincount(np.repeat(np.arange(len(start)) * 8, end - start) + kind, minlength=8 * len(start)).reshape(-1, 8) % 16
     signature = (counts.astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
     return h1, h2, signature << np.uint64(32) | h1 & np.uint64(0xFFFFFFFF), p
 
@@ -346,12 +344,15 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
     near = near.groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "other", F.coalesce("links", F.lit(0)).alias("links"))
     seen = lines.join(known, ["h1", "h2"]).withColumn("exact", place > F.col("first")).withColumn("near", ~F.col("exact") & F.coalesce(F.col("other") < place, F.lit(False)))
-    # repeated rows give the same lines twice: count and list each place once
-    per = seen.groupBy("row_id", "th", "no").agg(F.first("exact").alias("exact"), F.first("near").alias("near"), F.first("links").alias("links"))
-    per = per.groupBy("row_id", "th").agg(
-        F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum("links").alias("n_links"),
-        F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("no"))).alias("gone"),
-    )
+    # repeated rows give the same places twice: each counts and is listed once
+    places = F.size(F.collect_set("no"))
+    per = seen.groupBy("row_id", "th").agg(
+        places.cast("long").alias("n_lines"),
+        F.size(F.collect_set(F.when(F.col("exact"), F.col("no")))).cast("long").alias("n_exact"),
+        F.size(F.collect_set(F.when(F.col("near"), F.col("no")))).cast("long").alias("n_near"),
+        (F.sum("links") * places / F.count("*")).cast("long").alias("n_links"),
+        F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("no"))).alias("gone"),
+    )
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("th"))
     out = row.alias("d").join(per.alias("p"), F.col("d.row_id").eqNullSafe(F.col("p.row_id")) & (F.col("d.th") == F.col("p.th")), "left")
     # the lines are bound once, so a text is split once

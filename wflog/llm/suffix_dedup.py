@@ -337,8 +337,10 @@ def _cut_snippets(batches):
 
 def keep_bytes(text: bytes, hits) -> tuple[bytes, int, int]:
     """(kept bytes, bytes removed, maximal removed runs); hits: (start, [first, last, ...]) of repeated windows."""
+    if not hits:
+        return text, 0, 0
     step = np.zeros(len(text) + 1, np.int32)
-    for s, runs in hits or ():
+    for s, runs in hits:
         r = np.asarray(runs, np.int64).reshape(-1, 2) + s
         np.add.at(step, r[:, 0], 1)
         np.add.at(step, r[:, 1] + LENGTH, -1)

@@ -200,6 +200,22 @@ def test_suffix_dedup_equals_brute_force(spark, part):
     assert got == sorted((i, *x) for (i, _), x in zip(docs, suffix_dedup.brute_force(texts), strict=True))
 
 
+def test_suffix_dedup_of_windows_single_in_one_shard_and_repeated_in_another(spark):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    docs = []
+    for g in range(12):  # 3 contexts of a passage, each once: 3 snippets in 2 shards
+        passage = word(230)
+        docs += [(10 * g + k, word(300) + passage + word(300)) for k in range(3)]
+    for g in range(12, 24):  # the passage's windows in one snippet with copies, and in others once
+        passage, full = word(230), word(300)
+        docs += [(10 * g + k, full + passage + full) for k in range(2)] + [(10 * g + 2 + k, word(300) + passage + word(300)) for k in range(2)]
+    rows, kept = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), part=2, solve_size=0)
+    out = rows.join(kept.select("th", "th2", "n_removed", "n_spans"), ["th", "th2"])
+    got = sorted((r.id, r.n_removed, r.n_spans) for r in out.collect())
+    assert got == sorted((i, x[1], x[2]) for (i, _), x in zip(docs, suffix_dedup.brute_force([t.encode() for _, t in docs]), strict=True))
+
+
 # 7
 
 PLAIN = (

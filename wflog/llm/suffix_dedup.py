@@ -10,7 +10,8 @@
 4. The snippets of an anchor meet in one shard of a few MB; each shard gets a suffix array by
    Larsson-Sadakane refinement (numpy) and common prefixes by Kasai's rule. Windows whose common prefix reaches 200 bytes, or
    whose snippet has copies, are repeated. An anchor with more than ``part`` different snippets is dealt to
-   several shards; what stays single there is merged across shards by binary search in sorted window digests.
+   several shards; what stays single there is merged across shards by binary search in sorted window digests,
+   which also hold one digest of each different window that a shard repeats.
 5. Runs of repeated windows go back to all texts that hold the snippet, as intervals.
 
 Scale: text crosses the network twice, compressed, by its hash; all else is rows of a few numbers, one
@@ -24,6 +25,7 @@ empty tables give empty results; only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -231,7 +233,7 @@ def kasai_reaches(sa: np.ndarray, words: np.ndarray, by_128: np.ndarray, length:
 
 
 def shard_repeats(snippets: list[bytes], counts: np.ndarray, copies: np.ndarray):
-    """Which windows of the snippets repeat in the shard: one flag per window, snippet after snippet."""
+    """(one flag per window, snippet after snippet: it repeats in the shard; group of equal windows of each; text; starts)."""
     text = np.frombuffer(b"\xff".join(snippets) + b"\xff", np.uint8)
     sizes = np.array([len(s) + 1 for s in snippets])
     begin = np.cumsum(sizes) - sizes
@@ -241,7 +243,8 @@ def shard_repeats(snippets: list[bytes], counts: np.ndarray, copies: np.ndarray)
     of = np.empty(len(sa), np.int64)
     of[sa] = group
     total = np.bincount(of[starts], weights=np.repeat(copies, counts), minlength=int(group[-1]) + 1)
-    return total[of[starts]] > 1, text, starts
+    group = of[starts]
+    return total[group] > 1, group, text, starts
 
 
 def runs_of(flags: np.ndarray) -> list[int]:
@@ -254,22 +257,30 @@ def runs_of(flags: np.ndarray) -> list[int]:
 _SHARD_OUT = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("runs", pa.list_(pa.int32())), ("w1", pa.int64()), ("w2", pa.int64()), ("off", pa.int32())])
 
 
-def _shard_rows(batches):
-    """Snippets (h, part, d, copies, n, hot, snippet) sorted by (h, part) -> runs of repeated windows; of hot anchors also the digests of single windows."""
+def _shard_rows(batches, solve_size: int = CHUNK):
+    """Snippets (h, part, d, copies, n, hot, snippet) sorted by (h, part) -> runs of repeated windows; of hot anchors also window digests.
+
+    Digests are those of all single windows and of one of each different repeated window (off = -1).
+    Shards are solved together up to ``solve_size`` bytes.
+    """
 
     def solve(rows):
         h, d, copies, n, hot, snippet = zip(*rows, strict=True)
         counts = np.array(n)
-        flags, text, starts = shard_repeats(list(snippet), counts, np.minimum(np.array(copies), 2))
+        flags, group, text, starts = shard_repeats(list(snippet), counts, np.minimum(np.array(copies), 2))
         cut = np.cumsum(counts)[:-1]
         runs = [runs_of(f) for f in np.split(flags, cut)]
         out = [pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(runs, pa.list_(pa.int32()))] + [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32())]
         yield pa.RecordBatch.from_arrays(out, schema=_SHARD_OUT)
-        single = ~flags & np.repeat(np.array(hot, bool), counts)
-        if single.any():
-            row = np.repeat(np.arange(len(h)), counts)[single]
-            off = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))[single]
-            w = [substring(prefixes(text, k), starts[single], starts[single] + LENGTH, k).view(np.int64) for k in (0, 1)]
+        wide = np.repeat(np.array(hot, bool), counts)
+        again = np.flatnonzero(flags & wide)
+        sent = ~flags & wide
+        sent[again[np.unique(group[again], return_index=True)[1]]] = True
+        if sent.any():
+            row = np.repeat(np.arange(len(h)), counts)[sent]
+            off = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))[sent]
+            off[flags[sent]] = -1
+            w = [substring(prefixes(text, k), starts[sent], starts[sent] + LENGTH, k).view(np.int64) for k in (0, 1)]
             out = [np.array(h, np.int64)[row], np.array(d, np.int64)[row], None, *w, off.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.list_(pa.int32())) if x is None else pa.array(x) for x in out], schema=_SHARD_OUT)
 
@@ -277,7 +288,7 @@ def _shard_rows(batches):
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "copies", "n", "hot", "snippet", "part")), strict=True):
             key = (r[0], r[6])
-            if key != last and size > CHUNK:
+            if key != last and size > solve_size:
                 yield from solve(rows)
                 rows, size = [], 0
             last = key
@@ -288,7 +299,7 @@ def _shard_rows(batches):
 
 
 def _merge_windows(batches):
-    """Digests of windows that are single in their shards, sorted by w1 -> those found again, by binary search in the sorted digests."""
+    """Digests of windows sorted by w1 -> the single ones (off >= 0) found again, in a shard that repeats them too, by binary search in the sorted digests."""
     held = None
     for batch in _and_none(batches):
         if batch is not None:
@@ -311,6 +322,7 @@ def _merge_windows(batches):
         code = np.cumsum(np.concatenate(([True], both[1:] != both[:-1])))
         found = np.searchsorted(code, code, side="right") - np.searchsorted(code, code, side="left") > 1
         hit = order[found]
+        hit = hit[part[4][hit] >= 0]
         off = part[4][hit]
         yield pa.RecordBatch.from_arrays([pa.array(part[2][hit]), pa.array(part[3][hit]), pa.array([[o, o] for o in off.tolist()], pa.list_(pa.int32()))], ["h", "d", "runs"])
 
@@ -361,7 +373,7 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 4000) -> tuple[DataFrame, DataFrame]:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 4000, solve_size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(id, th, th2 of every row; th, th2, n_bytes, n_removed, n_spans, kept of every different text)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -381,12 +393,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         snippets = snippets.join(hot, "h", "left").select("h", F.pmod("d", parts).cast("int").alias("part"), "d", "copies", "n", F.col("m").isNotNull().alias("hot"), "snippet")
     else:
         snippets = snippets.select("h", F.lit(0).alias("part"), "d", "copies", "n", F.lit(False).alias("hot"), "snippet")
-    found = snippets.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_shard_rows, "h long, d long, runs array<int>, w1 long, w2 long, off int")
+    found = snippets.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(partial(_shard_rows, solve_size=solve_size), "h long, d long, runs array<int>, w1 long, w2 long, off int")
     found = materialize(found.where(F.col("w1").isNotNull() | (F.size("runs") > 0)), "suffix-runs")
     runs = found.where("w1 is null").select("h", "d", "runs")
     if any_hot:
-        single = found.where("w1 is not null").select("w1", "w2", "h", "d", "off")
-        runs = runs.unionByName(single.repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge_windows, "h long, d long, runs array<int>"))
+        digests = found.where("w1 is not null").select("w1", "w2", "h", "d", "off")
+        runs = runs.unionByName(digests.repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge_windows, "h long, d long, runs array<int>"))
     hits = again.join(runs, ["h", "d"]).groupBy("th", "th2").agg(F.collect_set(F.struct("s", "runs")).alias("hits"))
     packed = keyed.select("th", "th2", pack(F.col("text")).alias("z")).dropDuplicates(["th", "th2"])
     kept = packed.join(hits, ["th", "th2"], "left").mapInArrow(_apply, "th long, th2 long, n_bytes long, n_removed long, n_spans long, kept binary")

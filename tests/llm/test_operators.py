@@ -390,6 +390,18 @@ def test_boilerplate_depletes_documents(spark):
     assert all(got[i] == (False, True) for i in range(40)) and all(got[100 + i] == (False, False) for i in range(3)) and got[200] == (False, True)
 
 
+def test_boilerplate_lines_are_removed(spark):
+    line = "Boilerplate  line of the host"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = [(i, f"{line}\n\n{own(i)}\n{line.upper()} ", "a", 1000 + i) for i in range(30)]
+    docs += [(100, f"{line}\n{own(100)}", "b", 7), (101, f"  {own(101)}\n \n", "a", 8), (102, None, "a", 9), (103, line, "a", 10)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    want = {i: "\n" + own(i) for i in range(30)} | {100: docs[30][1], 101: docs[31][1], 102: None, 103: ""}
+    assert {r.doc_id: r.kept_text for r in quality_rules.quality_rules(d).collect()} == want
+    got = {r.doc_id: (r.text, r.n_chars) for r in quality_rules.quality_stage(spark, d, "").collect()}
+    assert got == {i: (want[i], len(want[i])) for i in range(30)} | {100: (want[100], 7), 101: (want[101], 8)}
+
+
 def test_quality_counts(spark):
     d = spark.createDataFrame([(1, "a b c a b c\nx #$\nx #$\n \n", "s")], "doc_id long, text string, source string")
     r = quality_rules.base_counts(d).select("base.*").first()

@@ -3,7 +3,7 @@
 Per document the base counts are computed inside the row. The method then hashes every normalised
 line (lower case, white space collapsed), counts in how many distinct documents of a host (source) it
 stands, treats lines above the host's limit as boilerplate and rejects a document when too little of
-it is left. A document's exact copies within a host are one document here: they neither raise a
+it is left; what stays is given back without those lines. A document's exact copies within a host are one document here: they neither raise a
 line's count nor deplete each other; near-duplicate operators deal with copies.
 
 Scale: the line table has one small row per distinct line of a distinct document (no text); counts
@@ -11,7 +11,7 @@ are combined map-side, so a line that stands in every document costs one row per
 meets only frequent lines and can be split when skewed.
 
 Edge cases: null and empty text have no words and fail the base rules; null source is a host of its
-own; lines without a word are ignored; empty tables give empty results; other columns pass through.
+own; lines without a word are ignored and stay; null text stays null; empty tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ SYMBOLS = "#*$%&|<>"
 ROOM = " \t\n\x0b\x0c\r"
 
 
+def line_hash(line):
+    """Hash of a normalised line."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
+
+
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``base`` = struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines, digest).
 
@@ -38,8 +43,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.select("row", "t", "words", "ls", F.expr("if(size(array_distinct(h)) < size(h), sort_array(transform(h, (x, i) -> struct(x as x, i as i))), cast(array() as array<struct<x: bigint, i: int>>))").alias("s"))
     d = d.select("row", "t", "words", "ls", F.expr("sort_array(transform(filter(s, (e, i) -> (i > 0 and get(s, i - 1).x = e.x) or get(s, i + 1).x <=> e.x), e -> e.i))").alias("p"))
     repeat = F.expr("aggregate(transform(p, (q, i) -> least(3, coalesce(get(p, i + 1), q + 3) - q)), 0L, (a, x) -> a + x)")
-    norm = lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))
-    lines = F.transform("ls", lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.size(F.array_remove(F.split(x, SPACE), "")).alias("w")))
+    lines = F.transform("ls", lambda x: F.struct(line_hash(x).alias("h"), F.size(F.array_remove(F.split(x, SPACE), "")).alias("w")))
     base = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("t", ROOM, "")).cast("long").alias("word_chars"),
@@ -53,10 +57,11 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "source", min_words: int = 50, max_repeat: float = 0.5, min_docs: int = 20, max_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
-    """Documents with ``quality`` = struct(n_words .. n_repeat_words, base_failed, boilerplate_words, kept).
+    """Documents with ``quality`` = struct(n_words .. n_repeat_words, base_failed, boilerplate_words, kept) and ``kept_text``.
 
     A line is boilerplate on a host when more than max(``min_docs``, ``max_share`` of the host's distinct
     documents) hold it. kept: the base rules hold and at least ``min_left`` of the words stand outside boilerplate.
+    kept_text: the text without its boilerplate lines.
     """
     counted = base_counts(docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("q_host")))
     slim = materialize(counted.groupBy("q_host", F.col("base.digest").alias("digest")).agg(F.first("base").alias("base")), "quality-lines")
@@ -65,21 +70,28 @@ def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "so
     frequent = lines.groupBy("q_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     frequent = frequent.alias("f").join(hosts.alias("n"), F.col("f.q_host").eqNullSafe(F.col("n.q_host"))).where(F.col("n_docs") > F.col("n_host") * F.lit(max_share)).select("f.q_host", "f.h")
     gone = lines.alias("l").join(frequent.alias("f"), F.col("l.q_host").eqNullSafe(F.col("f.q_host")) & (F.col("l.h") == F.col("f.h")), "left_semi")
-    gone = gone.groupBy("q_host", "digest").agg(F.sum("w").alias("lost"))
+    gone = gone.groupBy("q_host", "digest").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("gone"))
     verdicts = slim.select("q_host", "digest", *[F.col(f"base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
     verdicts = verdicts.alias("v").join(gone.alias("g"), F.col("v.q_host").eqNullSafe(F.col("g.q_host")) & (F.col("v.digest") == F.col("g.digest")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
     lost = F.coalesce(F.col("lost"), F.lit(0))
     kept = ~failed & (F.col("n_words") - lost >= F.col("n_words") * F.lit(min_left))
-    verdicts = verdicts.select("v.q_host", "v.digest", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost.alias("boilerplate_words"), kept.alias("kept")).alias("quality"))
+    verdicts = verdicts.select("v.q_host", "v.digest", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost.alias("boilerplate_words"), kept.alias("kept")).alias("quality"), "gone")
     keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("q_host"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
     out = keyed.alias("d").join(verdicts.alias("v"), F.col("d.q_host").eqNullSafe(F.col("v.q_host")) & (F.col("d.digest") == F.col("v.digest")))
-    return out.select(*replaced(docs, "quality"), F.col("v.quality").alias("quality"))
+    whole = F.col("d.row").getField(text_col)
+    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(F.col("v.gone"), line_hash(x))), "\n")
+    kept_text = F.when(F.col("v.gone").isNull(), whole).otherwise(rest)
+    return out.select(*replaced(docs, "quality", "kept_text"), F.col("v.quality").alias("quality"), kept_text.alias("kept_text"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go; texts stay as they are."""
-    return quality_rules(hide(docs, "quality")).where("quality.kept").select(*bring_back(docs, "quality"))
+    """Pipeline stage: documents that the rules reject go; the others lose their boilerplate lines."""
+    new = ("quality", "kept_text")
+    out = quality_rules(hide(docs, *new)).where("quality.kept")
+    cut = F.col("quality.boilerplate_words") > 0
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else own for c, own in zip(docs.columns, bring_back(docs, *new), strict=True)])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

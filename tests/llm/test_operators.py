@@ -368,6 +368,42 @@ def test_links_of_dense_groups(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_near_copies_equal_all_pairs(spark, block):
+    from wflog.llm import near_copies
+
+    rnd = random.Random(13)
+    docs = []
+    for g in range(25):
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(120)]
+        docs.append(" ".join(words))
+        for _ in range(4):
+            changed = list(words)
+            for at in rnd.sample(range(120), rnd.randint(1, 5)):
+                changed[at] = f"x{rnd.randint(0, 10**6)}"
+            docs.append(" ".join(changed))
+    docs += ["", "  \n", "one two", "One TWO"]
+    grams = []
+    for t in docs:
+        w = t.lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 10 * len(grams[i] & grams[j]) >= 8 * len(grams[i] | grams[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    d = spark.createDataFrame(list(enumerate(docs)), "th long, text string")
+    got = {}
+    for r in near_copies.near_copies(d, block=block).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    kept = simhash.simhash_stage(spark, d.withColumnRenamed("th", "doc_id"), "").collect()
+    assert {r.doc_id for r in kept} == {min(v) for v in want.values()}
+
+
 def test_components_of_chains(spark):
     rnd = random.Random(8)
     n = list(range(200))

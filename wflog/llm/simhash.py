@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, materialize, small_batches
+from .near_copies import near_copies
 
 BITS = 4
 #: (shift, width) of the five segments of the ring.
@@ -233,19 +234,22 @@ def hex16(fp: Column) -> Column:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, that of the smallest id (null last, then by fingerprint)."""
+    """Pipeline stage: of the documents linked by near copies (word 5-shingles, similarity 0.8) that of the smallest id stays (null last, then by text hash)."""
     small_batches(spark)
-    printed = materialize(docs.withColumn("simhash_fp", fingerprint("text")), "simhash-docs")
-    found = near_duplicates(printed.select("doc_id", F.col("simhash_fp").alias("fp")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    printed = materialize(docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit("")))), "simhash-docs")
+    texts = printed.select(F.col("text_hash__").alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])
+    roots = near_copies(texts)
+    found = printed.select("doc_id", F.col("text_hash__").alias("th")).join(roots, F.col("th") == F.col("node"), "left")
+    found = found.select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     keep = found.groupBy("root").agg(F.min(order).alias("k"))
-    keep = materialize(keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")), "simhash-keep")
-    kept = printed.join(keep, printed["doc_id"].eqNullSafe(keep["keep_id"]) & (printed["simhash_fp"] == keep["keep_fp"]), "left_semi")
-    # rows repeated with the same id and fingerprint: one of them stays
-    again = materialize(printed.groupBy("doc_id", "simhash_fp").agg(F.count("*").alias("n")).where("n > 1"), "simhash-again")
+    keep = materialize(keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th")), "simhash-keep")
+    kept = printed.join(keep, printed["doc_id"].eqNullSafe(keep["keep_id"]) & (printed["text_hash__"] == keep["keep_th"]), "left_semi")
+    # rows repeated with the same id and text: one of them stays
+    again = materialize(printed.groupBy("doc_id", "text_hash__").agg(F.count("*").alias("n")).where("n > 1"), "simhash-again")
     if not again.isEmpty():
-        same = kept["doc_id"].eqNullSafe(again["doc_id"]) & (kept["simhash_fp"] == again["simhash_fp"])
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "simhash_fp"]))
+        same = kept["doc_id"].eqNullSafe(again["doc_id"]) & (kept["text_hash__"] == again["text_hash__"])
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_hash__"]))
     return kept.select(*[F.col(c) for c in docs.columns])
 
 

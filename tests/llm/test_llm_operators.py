@@ -264,7 +264,7 @@ def test_banded_distance():
             assert line_dedup.banded_distance(a, b, e) == min(line_dedup.plain_distance(a, b), e + 1)
 
 
-def plain_line_dedup(docs, edits=2, least=32):
+def plain_line_dedup(docs, edits=2, per_edit=16):
     """(doc_id, n_lines, n_exact, n_near, n_links, kept) by comparing every line with every other."""
     solid = lambda x: bool(x.strip(" \t\n\r\x0b\x0c"))
     first = {}
@@ -273,42 +273,66 @@ def plain_line_dedup(docs, edits=2, least=32):
             if solid(x):
                 first.setdefault(x, (d, no))
     lines = sorted(first, key=len)
-    links = {x: set() for x in lines}
+    linked = set()
     for i, a in enumerate(lines):
+        budget = min(edits, len(a) // per_edit)
         for b in lines[i + 1 :]:
-            if len(b) - len(a) > edits:
+            if len(b) - len(a) > budget:
                 break
-            if len(a) >= least and line_dedup.banded_distance(a, b, edits) <= edits:
-                links[a].add(b)
-                links[b].add(a)
+            if budget and line_dedup.banded_distance(a, b, budget) <= budget:
+                linked.add(max(a, b, key=first.get))
     out = []
     for d, t in docs:
-        n = exact = near = linked = 0
+        n = exact = near = links = 0
         keep = []
         for no, x in enumerate(t.split("\n")):
             if not solid(x):
                 keep.append(x)
                 continue
-            n, linked = n + 1, linked + len(links[x])
+            n, links = n + 1, links + (x in linked)
             if first[x] < (d, no):
                 exact += 1
-            elif any(first[o] < (d, no) for o in links[x]):
+            elif x in linked:
                 near += 1
             else:
                 keep.append(x)
-        out.append((d, n, exact, near, linked, "\n".join(keep)))
+        out.append((d, n, exact, near, links, "\n".join(keep)))
     return out
 
 
-def test_line_dedup_equals_all_pairs(spark):
-    rnd = random.Random(9)
-    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(28, 60))) for _ in range(100)]
+@pytest.mark.parametrize(("block", "seed"), [(2048, 9), (4, 10), (16, 11)])
+def test_line_dedup_equals_all_pairs(spark, block, seed):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(12, 60))) for _ in range(100)]
     docs = [(i, "\n".join([mutate(rnd, rnd.choice(base), rnd.randint(0, 3)) for _ in range(rnd.randint(0, 8))] + [""] * rnd.randint(0, 2))) for i in range(200)]
     docs.append(docs[3])
-    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "line_dedup.*", "kept_text").collect()
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), block=block).select("doc_id", "line_dedup.*", "kept_text").collect()
     assert sorted(map(tuple, got)) == sorted(plain_line_dedup(docs))
 
 
+@pytest.mark.parametrize("block", [24, 2048])
+def test_line_dedup_of_templates_equals_all_pairs(spark, block):
+    rnd = random.Random(block)
+    made = [f"2024-01-01 request {rnd.randint(0, 10**7):07d} finished in {rnd.randint(1, 99)} ms" for _ in range(400)]
+    made += [f"item {i:04d} of the catalogue costs {i % 7} coins" for i in range(200)] + [f"one sign {chr(0x4E00 + i)} differs in these lines" for i in range(150)]
+    rnd.shuffle(made)
+    docs = [(f"doc {i:03d}", "\n".join(made[i * 10 : i * 10 + 10])) for i in range(75)]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id string, text string"), block=block).select("doc_id", "line_dedup.*", "kept_text").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_line_dedup(docs))
+
+
+def test_looks_near_is_the_edit_distance():
+    rnd = random.Random(3)
+    pairs = [(a, mutate(rnd, a, rnd.randint(0, 3))) for a in ("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 20))) for _ in range(800))]
+    both = "".join(x + y for x, y in pairs)
+    p = line_dedup.prefixes(np.frombuffer(both.encode("utf-32-le"), np.uint32))
+    na, nb = (np.array([len(x[i]) for x in pairs]) for i in (0, 1))
+    at = np.cumsum(na + nb) - na - nb
+    for k in (1, 2):
+        got = line_dedup.seem_near(p, at, na, at + na, nb, k)
+        assert got.tolist() == [line_dedup.plain_distance(x, y) <= k for x, y in pairs]
+
+
 # 9
 
 
@@ -447,6 +471,27 @@ def test_quality_counts(spark):
 # the pipeline
 
 
+def plain_near_copies(docs):
+    """The least id of each component of documents linked at a similarity of 0.8."""
+    sets = []
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}))
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if 10 * len(x & y) >= 8 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {find(d) for d, _ in sets}
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
 
@@ -464,8 +509,7 @@ def test_pipeline_stages_equal_brute_force(spark):
             want = {d: t for d, n, e, k, _, t in plain_line_dedup([(r.doc_id, r.text) for r in before]) if not e + k or e + k < n}
             assert {r.doc_id: r.text for r in after} == want
         elif name == "simhash_near_dedup":
-            comp = plain_components([r.doc_id for r in before], [plain_simhash(r.text) for r in before])
-            assert ids == set(comp.values())
+            assert ids == plain_near_copies([(r.doc_id, r.text) for r in before])
         elif name == "decontamination":
             flat = {r.doc_id: decontaminate.normal(r.text) for r in before}
             leaks = {d for d, t in flat.items() for _, i in items if decontaminate.myers(decontaminate.normal(i), t, len(decontaminate.normal(i)) // 16) <= len(decontaminate.normal(i)) // 16}

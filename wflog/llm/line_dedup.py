@@ -1,25 +1,33 @@
 """Line dedup: exact copies and near copies of earlier lines are removed.
 
 Lines are read in the order (document id, line number). A line is removed when the same line, or one
-within ``edits`` edits of it, stands earlier. Near copies are found by a segment-partition join: a line
-of n characters is indexed by its edits + 1 segments; a line that is within the budget must hold one
+within its budget of edits, stands earlier. The budget of two lines is one edit per ``per_edit`` characters of the
+shorter, at most ``edits``. Near copies are found by a segment-partition join: a line
+with a budget of k is indexed by its k + 1 segments; a line that is within the budget must hold one
 of them unchanged, near the same place. Each line therefore probes, for every length that the budget
 allows, the substrings that can align with a segment (multi-match-aware selection of positions).
 Character-count signatures prune what meets, a banded bit-parallel edit distance verifies it.
 
 Scale: lines are rows of a few numbers; only lines of candidate pairs are fetched again, from
 compressed texts. The index is deduplicated within each task, so a line that stands everywhere costs each
-task a dozen rows. Key groups are compared in tiles; what leaves a task are pairs that agree in
-position, length and character counts, not all pairs of a group.
-
-Edge cases: lines without a word are never touched; null text stays null; lines below ``min_chars``
-are only compared exactly; repeated rows (same id and text) are treated alike: neither is earlier;
-null ids come last; a document that loses all its lines is dropped by the pipeline stage; empty
+task a dozen rows. What leaves a key's group is linear in its rows: a few pairs per row, or, where a group
+is large or nearly all of it agrees (lines of one template), the rows themselves. Such rows are
+read again with their lines in the order of their places, and each looks for one earlier line within its
+budget: among lines that share a segment of a new partition, whose cuts give each segment an equal part of what varies
+in the group. A group above ``block`` rows is solved in blocks and then dealt out by those segments, again and again
+(what even that leaves in one group is dealt out as pairs of blocks), so no group is held whole. The result has all removed lines, each with one earlier line; the
+links among the lines of a template, which may be millions, are not listed.
+
+Edge cases: lines without a word are never touched; null text stays null; lines below ``per_edit`` characters
+have no edits to spend; repeated rows (same id and text) are treated alike: neither is earlier;
+null ids come last; ids may be of any type that sorts; very long texts are worked through whole, one at a time; a document that loses all its lines is dropped by the pipeline stage; empty
 tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,9 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bring_back, hide, materialize, pack, replaced, small_batches, unpack_one
-from .rolling import prefixes, substring
+from .rolling import mix, prefixes, substring
 
 CHUNK = 1 << 19
+#: Keys are even and not negative; odd ones are probes.
+_KEY = np.uint64((1 << 63) - 2)
 
 
 def split_lines(texts: list[str]):
@@ -85,32 +95,37 @@ def segments(n: np.ndarray, edits: int):
     return out
 
 
-def index_rows(codes, start, end, ids, p, edits: int):
-    """(key, id) of index rows (even keys) and probe rows (odd keys)."""
-    keys, who = [], []
+def places(k: int, shorter: int) -> list[tuple[int, int]]:
+    """(segment, shift) at which a line can hold a segment of one that is ``shorter`` characters shorter, within k edits."""
+    return [(i, d) for i in range(k + 1) for d in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1)]
+
 
-    def add(length, i, at, size, row, probe):
-        ok = (at >= 0) & (at + size <= (end - start)[row])
-        at, size, row, length = at[ok], size[ok], row[ok], length[ok]
-        s = start[row] + at
-        h = substring(p, s, s + size) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
-        h ^= h >> np.uint64(31)
-        keys.append(h & ~np.uint64(1) | np.uint64(probe))
-        who.append(ids[row])
+def budget(n: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
+    return np.minimum(edits, n // per_edit)
 
+
+def segment_key(p: np.ndarray, s: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+    h = substring(p, s, s + size) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
+    return h ^ h >> np.uint64(31)
+
+
+def index_rows(start, end, ids, p, edits: int, per_edit: int):
+    """(key, id) of index rows (even keys) and probe rows (odd keys)."""
+    keys, who = [], []
     n = end - start
-    row = np.arange(len(n))
-    for i, (at, size) in enumerate(segments(n, edits)):
-        add(n, i, at, size, row, 0)
-    for shorter in range(edits + 1):  # this line against indexed lines of its length or less
-        length = n - shorter
-        for i, (at, size) in enumerate(segments(length, edits)):
-            left = edits - i
-            low = max(-i, shorter - left)
-            high = min(i, shorter + left)
-            for shift in range(low, high + 1):
-                if shorter or shift:  # the same place at the same length is the index row itself
-                    add(length, i, at + shift, size, row, 1)
+    own = budget(n, edits, per_edit)
+    for k in range(1, edits + 1):
+        for shorter in range(k + 1):  # this line against indexed lines of its length or less
+            row = np.flatnonzero(budget(n - shorter, edits, per_edit) == k) if shorter else np.flatnonzero(own == k)
+            length = n[row] - shorter
+            cut = segments(length, k)
+            for i, shift in places(k, shorter):
+                at, size = cut[i]
+                ok = (at + shift >= 0) & (at + shift + size <= n[row])
+                h = segment_key(p, start[row[ok]] + at[ok] + shift, size[ok], length[ok], i)
+                # the same place at the same length is the index row itself
+                keys.append(h & _KEY | np.uint64(bool(shorter or shift)))
+                who.append(ids[row[ok]])
     return np.concatenate(keys), np.concatenate(who)
 
 
@@ -130,22 +145,30 @@ def _texts(batches, *columns):
 
 def _line_rows(batches):
     names = ["row_id", "th", "no", "h1", "h2", "id", "n"]
-    for rows in _texts(batches, "row_id", "th", "text"):
+    id_type = None
+
+    def known_type():
+        nonlocal id_type
+        for batch in batches:
+            id_type = batch.schema.field("row_id").type
+            yield batch
+
+    for rows in _texts(known_type(), "row_id", "th", "text"):
         codes, text, number, start, end = split_lines([r[2] for r in rows])
         if not len(start):
             continue
         h1, h2, ids, _ = identities(codes, start, end)
-        owner = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(text))
+        owner = pa.array([r[0] for r in rows], id_type).take(pa.array(text))
         th = np.array([r[1] for r in rows], np.int64)[text]
         yield pa.RecordBatch.from_arrays([owner, pa.array(th), pa.array(number.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (h1, h2, ids)), pa.array((end - start).astype(np.int32))], names)
 
 
-def _index_maker(edits: int, min_chars: int):
+def _index_maker(edits: int, per_edit: int):
     def make(batches):
         seen = np.empty(0, np.uint64)
         for rows in _texts(batches, "text"):
             codes, _, _, start, end = split_lines([r[0] for r in rows])
-            long_ = end - start >= min_chars
+            long_ = end - start >= per_edit
             if not long_.any():
                 continue
             start, end = start[long_], end[long_]
@@ -153,15 +176,31 @@ def _index_maker(edits: int, min_chars: int):
             _, first = np.unique(h1, return_index=True)
             first = first[~np.isin(h1[first], seen)]
             seen = np.concatenate((seen, h1[first])) if len(seen) < 1 << 21 else h1[first]  # bounded; a line let through twice is harmless
-            key, who = index_rows(codes, start[first], end[first], ids[first], p, edits)
+            key, who = index_rows(start[first], end[first], ids[first], p, edits, per_edit)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who.view(np.int64))], ["key", "id"])
 
     return make
 
 
-def _pair_maker(edits: int):
-    def pairs_in(key: np.ndarray, ids: np.ndarray, large: int = 64, tile: int = 2048):
-        """Pairs of ids among rows sorted by (key, id): index rows with each other and with probe rows."""
+def _pair_maker(edits: int, block: int, dense: int = 8):
+    """Rows sorted by (key, id) -> pairs of ids (kind 0: a, b) and rows of large or dense groups (kind 1 index, 2 probe: a key, b id)."""
+
+    def group_pairs(rows: np.ndarray, cols: np.ndarray, tile: int = 512):
+        """Pairs of the first ``rows`` ids of a group with all of it; None when there are many a row."""
+        a, b, total = [], [], 0
+        for i in range(0, len(rows), tile):
+            r, c = np.nonzero(signature_gap(rows[i : i + tile, None], cols[None, i:]) <= 2 * edits)
+            r, c = r + i, c + i
+            keep = r < c
+            total += int(keep.sum())
+            if total > dense * len(cols):
+                return None
+            a.append(rows[r[keep]])
+            b.append(cols[c[keep]])
+        return np.concatenate(a), np.concatenate(b)
+
+    def pairs_in(key: np.ndarray, ids: np.ndarray, large: int = 64):
+        """Of whole groups: (pairs, keys and ids of groups to be passed on)."""
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
         key, ids = key[fresh], ids[fresh]
         group = key >> np.uint64(1)
@@ -172,7 +211,7 @@ def _pair_maker(edits: int):
         small = use & (size <= large)
         left = np.repeat(np.where(small, first + size, 0), size)
         at = np.flatnonzero((left > 0) & index)
-        a, b, step = [], [], 1
+        a, b, passed, step = [], [], [], 1
         while len(at):
             at = at[at + step < left[at]]
             x, y = ids[at], ids[at + step]
@@ -181,34 +220,50 @@ def _pair_maker(edits: int):
             b.append(y[near])
             step += 1
         for s, n in zip(first[use & ~small], size[use & ~small], strict=True):
-            rows, cols = ids[s : s + int(index[s : s + n].sum())], ids[s : s + n]
-            for i in range(0, len(rows), tile):
-                for j in range(i, n, tile):
-                    r, c = np.nonzero(signature_gap(rows[i : i + tile, None], cols[None, j : j + tile]) <= 2 * edits)
-                    a.append(rows[i + r])
-                    b.append(cols[j + c])
+            found = group_pairs(ids[s : s + int(index[s : s + n].sum())], ids[s : s + n]) if n <= block else None
+            if found is None:
+                passed.append(np.arange(s, s + n))
+            else:
+                a.append(found[0])
+                b.append(found[1])
         a, b = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
         out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return out[out[:, 0] != out[:, 1]]
+        out = out[out[:, 0] != out[:, 1]]
+        passed = np.concatenate(passed or [np.empty(0, np.int64)])
+        return out[:, 0], out[:, 1], key[passed], ids[passed]
+
+    def rows_out(a, b, key, ids):
+        kind = np.concatenate((np.zeros(len(a), np.int8), (key & np.uint64(1)).astype(np.int8) + np.int8(1)))
+        first, second = np.concatenate((a, key & ~np.uint64(1))), np.concatenate((b, ids))
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["kind", "a", "b"])
 
     def make(batches):
-        held = None
+        none = np.empty(0, np.uint64)
+        key = ids = none
+        streamed = None  # a group too large to hold: its rows are passed on as they come (False: no index row, left out)
         for batch in _and_none(batches):
             if batch is not None:
                 now = tuple(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "id"))
-                held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-                if not len(held[0]):
+                if streamed is not None:
+                    n = int(np.searchsorted(now[0] >> np.uint64(1), streamed[0], side="right"))
+                    if n and streamed[1]:
+                        yield rows_out(none, none, now[0][:n], now[1][:n])
+                    now = tuple(x[n:] for x in now)
+                    streamed = streamed if not len(now[0]) else None
+                key, ids = np.concatenate((key, now[0])), np.concatenate((ids, now[1]))
+                if not len(key):
                     continue
-                other = np.flatnonzero(held[0] >> np.uint64(1) != held[0][-1] >> np.uint64(1))
-                cut = int(other[-1]) + 1 if len(other) else 0
-            elif held is None:
-                return
+                cut = int(np.searchsorted(key >> np.uint64(1), key[-1] >> np.uint64(1)))
             else:
-                cut = len(held[0])
+                cut = len(key)
             if cut:
-                found = pairs_in(held[0][:cut], held[1][:cut])
-                held = tuple(x[cut:] for x in held)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+                yield rows_out(*pairs_in(key[:cut], ids[:cut]))
+                key, ids = key[cut:], ids[cut:]
+            if len(key) > 4 * block:
+                streamed = (key[0] >> np.uint64(1), key[0] & np.uint64(1) == 0)
+                if streamed[1]:
+                    yield rows_out(none, none, key, ids)
+                key = ids = none
 
     return make
 
@@ -290,75 +345,299 @@ def plain_distance(a: str, b: str) -> int:
 
 
 def _cut_lines(batches):
-    """(packed text, line numbers) -> (id, h1, h2, line)."""
+    """(packed text, line numbers) -> (id, h1, h2, no, line) with the document's id."""
     for batch in batches:
-        out = {k: [] for k in ("id", "h1", "h2", "line")}
-        for z, want in zip(batch.column("z").to_pylist(), batch.column("want").to_pylist(), strict=True):
-            lines = unpack_one(z).decode("utf-8", "surrogatepass").split("\n")
+        out = {k: [] for k in ("id", "h1", "h2", "no")}
+        lines, owner = [], []
+        for i, (z, want) in enumerate(zip(batch.column("z").to_pylist(), batch.column("want").to_pylist(), strict=True)):
+            split = unpack_one(z).decode("utf-8", "surrogatepass").split("\n")
             for r in want:
-                for k in ("id", "h1", "h2"):
+                for k in out:
                     out[k].append(r[k])
-                out["line"].append(lines[r["no"]])
-        yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("id", "h1", "h2")), pa.array(out["line"], pa.string())], list(out))
+                lines.append(split[r["no"]])
+                owner.append(i)
+        cols = [pa.array(v, pa.int32() if k == "no" else pa.int64()) for k, v in out.items()]
+        at = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row_id").take(at), batch.column("th").take(at), *cols, pa.array(lines, pa.string())], ["row_id", "th", *out, "line"])
+
+
+def _verifier(edits: int, per_edit: int):
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within(x, y, edits, per_edit) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return near
+
+
+def within(a: str, b: str, edits: int, per_edit: int) -> bool:
+    k = min(edits, min(len(a), len(b)) // per_edit)
+    return banded_distance(a, b, k) <= k
+
+
+def common_length(p: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How far the texts at x and y agree, at most ``most``: by halving, over prefix sums."""
+    got = np.zeros(len(x), np.int64)
+    step = 1 << max(0, int(most.max()).bit_length() - 1) if len(x) else 0
+    while step:
+        i = np.flatnonzero(got + step <= most)
+        s, t = x[i] + got[i], y[i] + got[i]
+        got[i[substring(p, s, s + step) == substring(p, t, t + step)]] += step
+        step >>= 1
+    return got
+
+
+def seem_near(p: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, k: int) -> np.ndarray:
+    """Whether the texts of lengths na, nb at a, b look to be within k edits: furthest places reached on each diagonal, by hashes."""
+    far = {0: common_length(p, a, b, np.minimum(na, nb))}
+    goal = nb - na
+    out = (goal == 0) & (far[0] >= na)
+    for e in range(1, k + 1):
+        new = {}
+        for d in range(-e, e + 1):
+            best = np.full(len(a), -1, np.int64)
+            for j, gain in ((d, 1), (d - 1, 0), (d + 1, 1)):
+                if j in far:
+                    best = np.maximum(best, np.where(far[j] >= 0, far[j] + gain, -1))
+            best = np.minimum(np.minimum(best, na), nb - d)
+            ok = np.flatnonzero((best >= 0) & (best + d >= 0) & ~out & ((goal == d) if e == k else True))
+            reach = np.full(len(a), -1, np.int64)
+            i = best[ok]
+            reach[ok] = i + common_length(p, a[ok] + i, b[ok] + i + d, np.minimum(na[ok] - i, nb[ok] - i - d))
+            new[d] = reach
+            out |= (goal == d) & (reach >= na)
+        far = new
+    return out
 
 
-def _verifier(edits: int):
-    @F.pandas_udf(T.IntegerType())
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([banded_distance(x, y, edits) for x, y in zip(a, b, strict=True)], dtype="int32")
+def even_cuts(codes: np.ndarray, start: np.ndarray, length: int, k: int) -> list[int]:
+    """k cuts that give each segment an equal part of what varies among the lines of ``length``."""
+    cuts = [length * i // (k + 1) for i in range(1, k + 1)]
+    if len(start) > 1:
+        some = start[: max(2, min(512, (1 << 21) // length))]
+        grid = np.sort(codes[some[:, None] + np.arange(length)], axis=0)
+        kinds = 1 + np.count_nonzero(grid[1:] != grid[:-1], axis=0)
+        sums = np.cumsum(np.log(kinds) + 1e-4)
+        cuts = np.searchsorted(sums, sums[-1] * np.arange(1, k + 1) / (k + 1)).tolist()
+    low = 0
+    for i in range(k):  # no segment is empty
+        low = cuts[i] = min(max(cuts[i], low + 1), length - k + i)
+    return cuts
 
-    return distance
 
+def segment_rows(p: np.ndarray, start: np.ndarray, n: np.ndarray, length: np.ndarray, cuts: np.ndarray, k: int):
+    """(key, line) for lines of ``length`` to ``length`` + k characters, cut at ``cuts`` (a row of k for each line)."""
+    keys, who = [], []
+    edge = np.concatenate((np.zeros((len(n), 1), np.int64), cuts, length[:, None]), axis=1)
+    for shorter in range(k + 1):
+        row = np.flatnonzero(n - length == shorter)
+        for i, shift in places(k, shorter):
+            at, size = edge[row, i] + shift, edge[row, i + 1] - edge[row, i]
+            ok = (at >= 0) & (at + size <= n[row])
+            keys.append(segment_key(p, start[row[ok]] + at[ok], size[ok], length[row[ok]], i))
+            who.append(row[ok])
+    return np.concatenate(keys), np.concatenate(who)
 
-def line_links(keyed: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(row_id, th, text) and the first place of each line -> links (a1, a2, b1, b2, edits) between different lines, both ways."""
-    index = keyed.select("text").mapInArrow(_index_maker(edits, min_chars), "key long, id long")
-    pairs = index.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key", "id").mapInArrow(_pair_maker(edits), "a long, b long")
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    place = firsts.where(F.col("n") >= min_chars).join(ids, "id", "left_semi")
-    want = place.groupBy("first.row_id", "first.th").agg(F.collect_list(F.struct("id", "h1", "h2", F.col("first.no").alias("no"))).alias("want"))
-    texts = keyed.select("row_id", "th", pack(F.col("text")).alias("z"))
-    both = texts.alias("t").join(want.alias("w"), F.col("t.row_id").eqNullSafe(F.col("w.row_id")) & (F.col("t.th") == F.col("w.th"))).select("z", "want")
-    lines = materialize(both.mapInArrow(_cut_lines, "id long, h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]), "line-texts")
-    left = lines.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x"))
-    right = lines.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").withColumn("edits", _verifier(edits)("x", "y")).where(F.col("edits") <= edits)
-    links = materialize(links.select("a1", "a2", "b1", "b2", "edits"), "line-links")
-    return links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "edits"))
 
+def look_back(lines: list[str], length: int, settled: np.ndarray, cuts: list[int] | None, edits: int, per_edit: int):
+    """Lines of one group in the order of their places -> (for each an earlier line within its budget or -1, the cuts).
 
-def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Lines that are ``settled`` have theirs already. Each of the others walks back through the lines that share a segment with it until it
+    meets one within the budget.
+    """
+    k = min(edits, length // per_edit)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.array([len(x) for x in lines])
+    end = np.cumsum(n)
+    start = end - n
+    _, _, ids, p = identities(codes, start, end, second=False)
+    if cuts is None:
+        cuts = even_cuts(codes, start[n == length], length, k)
+    key, row = segment_rows(p, start, n, np.full(len(n), length), np.tile(np.array(cuts, np.int64), (len(n), 1)), k)
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+    key, row = key[fresh], row[fresh]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    found = np.full(len(lines), -1, np.int64)
+    at, step = np.arange(len(key)), 1
+    while True:
+        at = at[(at - step >= first[at]) & (found[row[at]] < 0) & ~settled[row[at]]]
+        if not len(at):
+            return found, cuts
+        a, b = row[at], row[at - step]
+        hope = signature_gap(ids[a], ids[b]) <= 2 * k
+        a, b = a[hope], b[hope]
+        near = seem_near(p, start[a], n[a], start[b], n[b], k)
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if found[x] < 0 and within(lines[x], lines[y], edits, per_edit):
+                found[x] = y
+        step += 1
+
+
+def _look_back_maker(edits: int, per_edit: int, block: int):
+    """Rows (k, length, first, h1, h2, line, settled) sorted by (k, first) -> found links and the rows of groups above ``block``."""
+
+    def solve(parts: list, key, cuts, hot: bool):
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        h1, h2, settled = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "settled"))
+        length = t.column("length")[0].as_py()
+        found, cuts = look_back(t.column("line").to_pylist(), length, settled, cuts, edits, per_edit)
+        keep = np.arange(len(found)) if hot else np.flatnonzero(found >= 0)
+        hit = found[keep]
+        w = [pa.array(np.where(hit >= 0, h[hit], 0), mask=hit < 0) for h in (h1, h2)]
+        at = pa.array(keep)
+        line = t.column("line") if hot else pa.nulls(len(found), t.column("line").type)
+        cols = [t.column(c).take(at) for c in ("k", "length", "first", "h1", "h2")] + [line.take(at), pa.array(settled[keep] | (hit >= 0)), pa.array([cuts] * len(keep), pa.list_(pa.int32())), *w]
+        return pa.RecordBatch.from_arrays(cols, ["k", "length", "first", "h1", "h2", "line", "settled", "cuts", "w1", "w2"]), cuts
+
+    def make(batches):
+        parts, size, key, cuts, hot = [], 0, None, None, False
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
+            for s, e in zip(edge, edge[1:], strict=False):
+                if k[s] != key:
+                    if parts and (size > 1 or hot):
+                        yield solve(parts, key, cuts, hot)[0]
+                    parts, size, key, cuts, hot = [], 0, k[s], None, False
+                while s < e:
+                    if size == block:
+                        hot = True
+                        out, cuts = solve(parts, key, cuts, hot)
+                        yield out
+                        parts, size = [], 0
+                    n = min(e - s, block - size)
+                    parts.append(batch.slice(s, n))
+                    s, size = s + n, size + n
+        if parts and (size > 1 or hot):
+            yield solve(parts, key, cuts, hot)[0]
+
+    return make
+
+
+def _deal_maker(edits: int, per_edit: int):
+    """Rows of groups above a block -> one row for each segment, keyed by it."""
+    names = ["length", "first", "h1", "h2", "line", "settled"]
+
+    def make(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines = batch.column("line").to_pylist()
+            codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = np.array([len(x) for x in lines])
+            start = np.cumsum(n) - n
+            p = prefixes(codes)
+            group = batch.column("k").to_numpy().view(np.uint64)
+            length = batch.column("length").to_numpy().astype(np.int64)
+            cuts = batch.column("cuts").to_pylist()
+            k = np.array([len(c) for c in cuts])
+            for kk in range(1, edits + 1):
+                at = np.flatnonzero(k == kk)
+                if not len(at):
+                    continue
+                key, row = segment_rows(p, start[at], n[at], length[at], np.array([cuts[i] for i in at], np.int64), kk)
+                key = mix(key + mix(group[at[row]]))
+                by = np.lexsort((row, key))
+                again = np.flatnonzero((key[by][1:] == key[by][:-1]) & (row[by][1:] == row[by][:-1])) + 1  # a repeated substring meets at two shifts
+                by = np.delete(by, again)
+                key, row = key[by], row[by]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(at[row])) for c in names)], ["k", *names])
+
+    return make
+
+
+def template_links(rows: DataFrame, edits: int, per_edit: int, block: int, depth: int = 4) -> DataFrame:
+    """(k, length, first, h1, h2, line) -> (h1, h2, w1, w2): for each line with an earlier one within its budget in a group, one such."""
+    order = rows.schema["first"].dataType.simpleString()
+    dealt = f"k long, length int, first {order}, h1 long, h2 long, line string, settled boolean"
+    rows, found = rows.withColumn("settled", F.lit(False)), []
+    for level in range(depth + 1):
+        run = rows.repartition("k").sortWithinPartitions("k", "first").mapInArrow(_look_back_maker(edits, per_edit, block if level < depth else 2 * block), dealt + ", cuts array<int>, w1 long, w2 long")
+        run = materialize(run, "line-templates")
+        found.append(run.where("w1 is not null").select("h1", "h2", "w1", "w2"))
+        rest = run.where("line is not null").drop("w1", "w2")
+        if level == depth or rest.isEmpty():
+            break
+        rows = rest.mapInArrow(_deal_maker(edits, per_edit), dealt)
+        open_ = rows.groupBy("k").agg(F.count("*").alias("rows"), F.count_if(~F.col("settled")).alias("open"))
+        if level < depth - 1:
+            rows = rows.join(open_.where("open > 0").select("k"), "k", "left_semi")
+        else:
+            # what still shares a segment in such numbers: every block of open lines meets every block
+            parts = F.ceil(F.col("rows") / F.lit(block)).cast("int")
+            rows = rows.join(open_.where("open > 0").select("k", parts.alias("parts")), "k").withColumn("own", F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            rows = rows.withColumn("k", F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))).select("k", "length", "first", "h1", "h2", "line", "settled")
+    return reduce(DataFrame.unionByName, found)
+
+
+def line_links(keyed: DataFrame, firsts: DataFrame, edits: int = 2, per_edit: int = 16, block: int = 2048) -> DataFrame:
+    """(row_id, th, text) and the first place of each line -> (h1, h2, w1, w2): for each line that has earlier ones within its budget, at least one of them."""
+    index = keyed.select("text").mapInArrow(_index_maker(edits, per_edit), "key long, id long")
+    met = index.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key", "id").mapInArrow(_pair_maker(edits, block), "kind byte, a long, b long")
+    met = materialize(met.distinct(), "line-pairs")
+    pairs, groups = met.where("kind = 0").select("a", "b"), met.where("kind > 0")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select(F.col("b").alias("id"))).distinct()
+    place = firsts.where(F.col("n") >= per_edit).join(ids, "id", "left_semi")
+    want = place.groupBy("first.row_id", "first.th").agg(F.collect_list(F.struct("id", "h1", "h2", F.col("first.no").alias("no"))).alias("want"))
+    texts = keyed.select("row_id", "th", pack(F.col("text")).alias("z"))
+    both = texts.alias("t").join(want.alias("w"), F.col("t.row_id").eqNullSafe(F.col("w.row_id")) & (F.col("t.th") == F.col("w.th"))).select("t.row_id", "t.th", "z", "want")
+    id_type = keyed.schema["row_id"].dataType.simpleString()
+    lines = both.mapInArrow(_cut_lines, f"row_id {id_type}, th long, id long, h1 long, h2 long, no int, line string").dropDuplicates(["h1", "h2"])
+    lines = materialize(lines.select("id", "h1", "h2", order_of_lines().alias("first"), "line"), "line-texts")
+    side = lambda c: lines.select(F.col("id").alias(c), F.struct("first", "h1", "h2", "line").alias(f"{c}_"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(_verifier(edits, per_edit)("a_.line", "b_.line"))
+    later, earlier = F.greatest("a_", "b_"), F.least("a_", "b_")
+    links = materialize(links.select(later["h1"].alias("h1"), later["h2"].alias("h2"), earlier["h1"].alias("w1"), earlier["h2"].alias("w2")), "line-links")
+    if groups.isEmpty():
+        return links
+    rows = groups.groupBy(F.col("a").alias("k"), F.col("b").alias("id")).agg(F.min("kind").alias("kind")).join(lines, "id")
+    length = rows.groupBy("k").agg(F.min(F.when(F.col("kind") == 1, F.length("line"))).alias("length"))
+    rows = rows.join(length, "k").where("length is not null and length(line) >= length")
+    return links.unionByName(template_links(rows.select("k", "length", "first", "h1", "h2", "line"), edits, per_edit, 2 * block))
+
+
+def order_of_lines():
+    """Places in reading order."""
+    return F.struct(F.col("row_id").isNull().alias("none"), "row_id", "th", "no")
+
+
+def line_dedup(docs: DataFrame, edits: int = 2, per_edit: int = 16, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
     """Documents with ``line_dedup`` = struct(n_lines, n_exact, n_near, n_links) and ``kept_text``.
 
-    n_exact: lines removed as copies of earlier ones, n_near: as near copies, n_links: links of its lines to different lines.
+    n_exact: lines removed as copies of earlier ones, n_near: as near copies, n_links: its lines whose text is linked to a different earlier line
+    (lines removed as copies included).
     """
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    keyed = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    lines = materialize(keyed.mapInArrow(_line_rows, "row_id long, th long, no int, h1 long, h2 long, id long, n int"), "line-rows")
-    place = F.struct(F.col("row_id").isNull().alias("none"), "row_id", "th", "no")
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("id").alias("id"), F.min("n").alias("n")), "line-firsts")
-    links = line_links(keyed, firsts, edits, min_chars)
-    near = links.join(firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other")), ["b1", "b2"])
-    near = near.groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    known = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "other", F.coalesce("links", F.lit(0)).alias("links"))
-    seen = lines.join(known, ["h1", "h2"]).withColumn("exact", place > F.col("first")).withColumn("near", ~F.col("exact") & F.coalesce(F.col("other") < place, F.lit(False)))
-    # repeated rows give the same places twice: each counts and is listed once
-    places = F.size(F.collect_set("no"))
+    keyed = docs.where(text.isNotNull()).select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    id_type = keyed.schema["row_id"].dataType.simpleString()
+    lines = materialize(keyed.mapInArrow(_line_rows, f"row_id {id_type}, th long, no int, h1 long, h2 long, id long, n int"), "line-rows")
+    place = order_of_lines()
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("id").alias("id"), F.min("n").alias("n"))
+    firsts = materialize(firsts.withColumn("copied", F.col("first") < F.col("last")).drop("last"), "line-firsts")
+    near = line_links(keyed, firsts, edits, per_edit, block).select("h1", "h2").distinct().withColumn("linked", F.lit(True))
+    # only lines that are copied or linked are looked up again; written, so that a line of very many documents can be split in the join
+    known = firsts.join(near, ["h1", "h2"], "left").where(F.col("copied") | F.col("linked")).select("h1", "h2", "first", F.coalesce("linked", F.lit(False)).alias("linked"))
+    known = materialize(known, "line-known")
+    seen = lines.join(known, ["h1", "h2"]).select("row_id", "th", "no", (place > F.col("first")).alias("exact"), "linked").where("exact or linked")
+    # repeated rows give the same places twice: each is listed once
+    listed = lambda test: F.size(F.collect_set(F.when(test, F.col("no")))).cast("long")
     per = seen.groupBy("row_id", "th").agg(
-        places.cast("long").alias("n_lines"),
-        F.size(F.collect_set(F.when(F.col("exact"), F.col("no")))).cast("long").alias("n_exact"),
-        F.size(F.collect_set(F.when(F.col("near"), F.col("no")))).cast("long").alias("n_near"),
-        (F.sum("links") * places / F.count("*")).cast("long").alias("n_links"),
-        F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("no"))).alias("gone"),
+        listed(F.col("exact")).alias("n_exact"),
+        listed(~F.col("exact")).alias("n_near"),
+        listed(F.col("linked")).alias("n_links"),
+        F.collect_set("no").alias("gone"),
     )
-    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("th"))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text).alias("th"))
     out = row.alias("d").join(per.alias("p"), F.col("d.row_id").eqNullSafe(F.col("p.row_id")) & (F.col("d.th") == F.col("p.th")), "left")
     # the lines are bound once, so a text is split once
-    kept = F.expr("if(p.gone is null or size(p.gone) = 0, whole, element_at(transform(array(split(whole, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), p.gone), i -> get(x, i)), '\n')), 1))")
+    kept = F.expr("if(p.gone is null, whole, element_at(transform(array(split(whole, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), p.gone), i -> get(x, i)), '\n')), 1))")
     zero = F.lit(0).cast("long")
-    stats = F.struct(*[F.coalesce(f"p.{c}", zero).alias(c) for c in ("n_lines", "n_exact", "n_near", "n_links")])
+    n_lines = F.coalesce(F.size(F.filter(F.split("whole", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    stats = F.struct(n_lines.alias("n_lines"), *[F.coalesce(f"p.{c}", zero).alias(c) for c in ("n_exact", "n_near", "n_links")])
     return out.withColumn("whole", F.col("d.row").getField(text_col)).select(*replaced(docs, "line_dedup", "kept_text"), stats.alias("line_dedup"), kept.alias("kept_text"))
 
 

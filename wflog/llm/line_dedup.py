@@ -438,80 +438,110 @@ def segment_rows(p: np.ndarray, start: np.ndarray, n: np.ndarray, length: np.nda
     return np.concatenate(keys), np.concatenate(who)
 
 
-def look_back(lines: list[str], length: int, settled: np.ndarray, cuts: list[int] | None, edits: int, per_edit: int):
-    """Lines of one group in the order of their places -> (for each an earlier line within its budget or -1, the cuts).
+class Group:
+    """Lines in the order of their places, joined for vectorised comparison."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n = np.array([len(x) for x in lines])
+        end = np.cumsum(self.n)
+        self.start = end - self.n
+        _, _, self.ids, self.p = identities(self.codes, self.start, end, second=False)
+
+    def look_back(self, key: np.ndarray, row: np.ndarray, settled: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
+        """For each line an earlier one of an equal key within its budget, or -1; lines that are ``settled`` look for none.
+
+        Each line walks back through the lines of its keys until it meets one within the budget.
+        """
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+        key, row = key[fresh], row[fresh]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        found = np.full(len(self.lines), -1, np.int64)
+        at, step = np.arange(len(key)), 1
+        while True:
+            at = at[(at - step >= first[at]) & (found[row[at]] < 0) & ~settled[row[at]]]
+            if not len(at):
+                return found
+            a, b = row[at], row[at - step]
+            hope = signature_gap(self.ids[a], self.ids[b]) <= 2 * edits
+            a, b = a[hope], b[hope]
+            near = seem_near(self.p, self.start[a], self.n[a], self.start[b], self.n[b], edits)
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                if found[x] < 0 and within(self.lines[x], self.lines[y], edits, per_edit):
+                    found[x] = y
+            step += 1
 
-    Lines that are ``settled`` have theirs already. Each of the others walks back through the lines that share a segment with it until it
-    meets one within the budget.
-    """
-    k = min(edits, length // per_edit)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.array([len(x) for x in lines])
-    end = np.cumsum(n)
-    start = end - n
-    _, _, ids, p = identities(codes, start, end, second=False)
-    if cuts is None:
-        cuts = even_cuts(codes, start[n == length], length, k)
-    key, row = segment_rows(p, start, n, np.full(len(n), length), np.tile(np.array(cuts, np.int64), (len(n), 1)), k)
-    order = np.lexsort((row, key))
-    key, row = key[order], row[order]
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
-    key, row = key[fresh], row[fresh]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    found = np.full(len(lines), -1, np.int64)
-    at, step = np.arange(len(key)), 1
-    while True:
-        at = at[(at - step >= first[at]) & (found[row[at]] < 0) & ~settled[row[at]]]
-        if not len(at):
-            return found, cuts
-        a, b = row[at], row[at - step]
-        hope = signature_gap(ids[a], ids[b]) <= 2 * k
-        a, b = a[hope], b[hope]
-        near = seem_near(p, start[a], n[a], start[b], n[b], k)
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            if found[x] < 0 and within(lines[x], lines[y], edits, per_edit):
-                found[x] = y
-        step += 1
-
-
-def _look_back_maker(edits: int, per_edit: int, block: int):
+
+def _look_back_maker(edits: int, per_edit: int, block: int, small: int = 48):
     """Rows (k, length, first, h1, h2, line, settled) sorted by (k, first) -> found links and the rows of groups above ``block``."""
 
-    def solve(parts: list, key, cuts, hot: bool):
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        h1, h2, settled = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "settled"))
-        length = t.column("length")[0].as_py()
-        found, cuts = look_back(t.column("line").to_pylist(), length, settled, cuts, edits, per_edit)
-        keep = np.arange(len(found)) if hot else np.flatnonzero(found >= 0)
+    def rows_out(t, found: np.ndarray, settled: np.ndarray, cuts: list[int] | None):
+        """Cuts are given for a group above ``block``: all its rows go on."""
+        h1, h2 = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+        keep = np.flatnonzero(found >= 0) if cuts is None else np.arange(len(found))
         hit = found[keep]
         w = [pa.array(np.where(hit >= 0, h[hit], 0), mask=hit < 0) for h in (h1, h2)]
         at = pa.array(keep)
-        line = t.column("line") if hot else pa.nulls(len(found), t.column("line").type)
+        line = pa.nulls(len(found), t.column("line").type) if cuts is None else t.column("line")
         cols = [t.column(c).take(at) for c in ("k", "length", "first", "h1", "h2")] + [line.take(at), pa.array(settled[keep] | (hit >= 0)), pa.array([cuts] * len(keep), pa.list_(pa.int32())), *w]
-        return pa.RecordBatch.from_arrays(cols, ["k", "length", "first", "h1", "h2", "line", "settled", "cuts", "w1", "w2"]), cuts
+        return pa.RecordBatch.from_arrays(cols, ["k", "length", "first", "h1", "h2", "line", "settled", "cuts", "w1", "w2"])
+
+    def joined(parts: list):
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return t, Group(t.column("line").to_pylist()), t.column("settled").to_numpy(zero_copy_only=False)
+
+    def solve_small(parts: list):
+        """Many groups at once, each line against all of its group."""
+        t, g, settled = joined(parts)
+        return rows_out(t, g.look_back(t.column("k").to_numpy(), np.arange(len(g.n)), settled, edits, per_edit), settled, None)
+
+    def solve(parts: list, cuts: list[int] | None, hot: bool):
+        """One group, or a block of one, by the segments of its own partition."""
+        t, g, settled = joined(parts)
+        length = t.column("length")[0].as_py()
+        k = min(edits, length // per_edit)
+        if cuts is None:
+            cuts = even_cuts(g.codes, g.start[g.n == length], length, k)
+        key, row = segment_rows(g.p, g.start, g.n, np.full(len(g.n), length), np.tile(np.array(cuts, np.int64), (len(g.n), 1)), k)
+        return rows_out(t, g.look_back(key, row, settled, k, per_edit), settled, cuts if hot else None), cuts
 
     def make(batches):
+        waiting, n_waiting = [], 0  # small groups
         parts, size, key, cuts, hot = [], 0, None, None, False
+
+        def close():
+            nonlocal waiting, n_waiting
+            if hot or size > small:
+                yield solve(parts, cuts, hot)[0]
+            elif size > 1:
+                waiting, n_waiting = waiting + parts, n_waiting + size
+                if n_waiting > block:
+                    yield solve_small(waiting)
+                    waiting, n_waiting = [], 0
+
         for batch in batches:
             k = batch.column("k").to_numpy()
             edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
             for s, e in zip(edge, edge[1:], strict=False):
                 if k[s] != key:
-                    if parts and (size > 1 or hot):
-                        yield solve(parts, key, cuts, hot)[0]
+                    yield from close()
                     parts, size, key, cuts, hot = [], 0, k[s], None, False
                 while s < e:
                     if size == block:
                         hot = True
-                        out, cuts = solve(parts, key, cuts, hot)
+                        out, cuts = solve(parts, cuts, hot)
                         yield out
                         parts, size = [], 0
                     n = min(e - s, block - size)
                     parts.append(batch.slice(s, n))
                     s, size = s + n, size + n
-        if parts and (size > 1 or hot):
-            yield solve(parts, key, cuts, hot)[0]
+        yield from close()
+        if waiting:
+            yield solve_small(waiting)
 
     return make
 

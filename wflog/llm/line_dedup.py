@@ -461,19 +461,23 @@ class Group:
         new = np.concatenate(([True], key[1:] != key[:-1]))
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         found = np.full(len(self.lines), -1, np.int64)
-        at, step = np.arange(len(key)), 1
+        at, step, width = np.arange(len(key)), 1, 1
         while True:
             at = at[(at - step >= first[at]) & (found[row[at]] < 0) & ~settled[row[at]]]
             if not len(at):
                 return found
-            a, b = row[at], row[at - step]
+            back = at[:, None] - np.arange(step, step + width)
+            i, j = np.nonzero(back >= first[at][:, None])
+            a, b = row[at[i]], row[back[i, j]]
             hope = signature_gap(self.ids[a], self.ids[b]) <= 2 * edits
             a, b = a[hope], b[hope]
-            near = seem_near(self.p, self.start[a], self.n[a], self.start[b], self.n[b], edits)
-            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if found[x] < 0 and within(self.lines[x], self.lines[y], edits, per_edit):
-                    found[x] = y
-            step += 1
+            if len(a):
+                near = seem_near(self.p, self.start[a], self.n[a], self.start[b], self.n[b], edits)
+                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    if found[x] < 0 and within(self.lines[x], self.lines[y], edits, per_edit):
+                        found[x] = y
+            step += width
+            width = max(1, min(2 * width, (1 << 18) // len(at)))  # few lines are left after the first steps in most groups
 
 
 def _look_back_maker(edits: int, per_edit: int, block: int, small: int = 48):

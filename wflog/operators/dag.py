@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import child_id
+from .graphs import over_graphs
 
 LIVE = ("Pending", "Ready", "StartAuthorized", "CancellationRequested")
 
 
 def topological_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Wave of each node by peeling nodes whose dependencies are peeled; -1 for nodes on or behind a cycle.
+    """Wave of each node by peeling nodes whose dependencies are peeled; -1 for nodes on or behind a cycle."""
 
-    Runs are independent and a run's graph fits a task: nodes and edges meet once by run.
-    """
+    def waves(g, columns):
+        wave = np.full(len(g.key), -1, np.int32)
+        for level, now, _ in g.peel():
+            wave[now] = level
+        return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(wave[g.of_row])], ["run_id", "ordinal", "wave"])
 
-    def waves(key, n, e):
-        after, open_ = defaultdict(list), dict.fromkeys(n["ordinal"].tolist(), 0)
-        for o, d in zip(e["ordinal"].tolist(), e["dep_ordinal"].tolist(), strict=True):
-            if o in open_ and d in open_:
-                open_[o] += 1
-                after[d].append(o)
-        wave = dict.fromkeys(open_, -1)
-        now, level = [o for o, k in open_.items() if not k], 0
-        while now:
-            later = []
-            for o in now:
-                wave[o] = level
-                for x in after[o]:
-                    open_[x] -= 1
-                    if not open_[x]:
-                        later.append(x)
-            now, level = later, level + 1
-        return pd.DataFrame({"run_id": key[0], "ordinal": list(wave), "wave": list(wave.values())})
-
-    return nodes.select("run_id", "ordinal").groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(waves, "run_id long, ordinal int, wave int")
+    return over_graphs(nodes, edges, "", waves, "run_id long, ordinal int, wave int")
 
 
 def validate_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,23 +51,13 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def blocked_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending and ready nodes behind a failed node, at any distance, become DependencyBlocked; others stay."""
 
-    def close(key, n, e):
-        after = defaultdict(list)
-        for o, d in zip(e["ordinal"].tolist(), e["dep_ordinal"].tolist(), strict=True):
-            after[d].append(o)
-        state = dict(zip(n["ordinal"].tolist(), n["state"].tolist(), strict=True))
-        queue = [o for o, s in state.items() if s == "Failed"]
-        seen = set(queue)
-        while queue:
-            for x in after[queue.pop()]:
-                if x not in seen:
-                    seen.add(x)
-                    queue.append(x)
-                    if state.get(x) in ("Pending", "Ready"):
-                        state[x] = "DependencyBlocked"
-        return pd.DataFrame({"run_id": key[0], "ordinal": list(state), "state": list(state.values())})
-
-    return nodes.select("run_id", "ordinal", "state").groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(close, "run_id long, ordinal int, state string")
+    def close(g, columns):
+        state = np.array(columns["state"].to_pylist(), object)
+        behind = g.reached(np.unique(g.of_row[state == "Failed"]))[g.of_row]
+        state[behind & ((state == "Pending") | (state == "Ready"))] = "DependencyBlocked"
+        return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(state, pa.string())], ["run_id", "ordinal", "state"])
+
+    return over_graphs(nodes, edges, "state string", close, "run_id long, ordinal int, state string")
 
 
 def cancel_barrier(runs: DataFrame, nodes: DataFrame, requested: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -241,27 +216,24 @@ def prune_observers(subscriptions: DataFrame, at: Column, most_runs: int) -> tup
 def run_durations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per run: queue and work time of its finished nodes and its critical path, in seconds."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    timed = nodes.where("state in ('Succeeded', 'Failed')").select("run_id", "ordinal", ((us("started_at") - us("ready_at")) / 1000000).cast("long").alias("queue_s"), ((us("completed_at") - us("started_at")) / 1000000).cast("long").alias("work_s"))
-
-    def longest(key, n, e):
-        work = dict(zip(n["ordinal"].tolist(), n["work_s"].tolist(), strict=True))
-        before = defaultdict(list)
-        for o, d in zip(e["ordinal"].tolist(), e["dep_ordinal"].tolist(), strict=True):
-            if o in work and d in work:
-                before[o].append(d)
-        total: dict[int, int] = {}
-        for start in work:  # depth first, without recursion; a node on a cycle counts its own work
-            stack = [start]
-            while stack:
-                o = stack[-1]
-                todo = [d for d in before[o] if d not in total and d not in stack]
-                if todo:
-                    stack.append(todo[0])
-                else:
-                    total[stack.pop()] = work[o] + max((total[d] for d in before[o] if d in total), default=0)
-        return pd.DataFrame([[key[0], int(n["queue_s"].sum()), int(n["work_s"].sum()), int(max(total.values(), default=0))]], columns=["run_id", "queue_s", "work_s", "critical_s"])
-
-    return timed.groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(lambda k, n, e: longest(k, n, e) if len(n) else pd.DataFrame(columns=["run_id", "queue_s", "work_s", "critical_s"]), "run_id long, queue_s long, work_s long, critical_s long")
+    timed = nodes.where("state in ('Succeeded', 'Failed')").select("run_id", "ordinal", *[F.coalesce(((us(b) - us(a)) / 1000000).cast("long"), F.lit(0)).alias(c) for a, b, c in (("ready_at", "started_at", "queue_s"), ("started_at", "completed_at", "work_s"))])
+
+    def longest(g, columns):
+        work, queue = (columns[c].to_numpy(zero_copy_only=False) for c in ("work_s", "queue_s"))
+        own = np.zeros(len(g.key), np.int64)
+        np.maximum.at(own, g.of_row, work)
+        total = own.copy()  # a node on or behind a cycle counts its own work and what was peeled before it
+        for _, now, out in g.peel():
+            t = g.to[out]
+            np.maximum.at(total, t, total[g.source[out]] + own[t])
+        first = np.flatnonzero(np.concatenate(([True], g.run[1:] != g.run[:-1]))) if len(g.run) else np.empty(0, np.int64)
+        if not len(first):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names)
+        sums = [np.add.reduceat(queue, first), np.add.reduceat(work, first), np.maximum.reduceat(total[g.of_row], first)]
+        return pa.RecordBatch.from_arrays([pa.array(g.run[first]), *map(pa.array, sums)], names)
+
+    names = ["run_id", "queue_s", "work_s", "critical_s"]
+    return over_graphs(timed, edges, "queue_s long,work_s long", longest, "run_id long, queue_s long, work_s long, critical_s long")
 
 
 def join_children(nodes: DataFrame, runs: DataFrame, children: DataFrame) -> DataFrame:

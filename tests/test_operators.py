@@ -222,3 +222,61 @@ def test_histogram_matches_quantile(spark):
     v = spark.createDataFrame(pd.DataFrame({"s": ["x"] * 100, "v": range(1, 101)}))
     q = telemetry.histogram_quantile(telemetry.latency_histogram(v, "s", "v"), "s", 0.5).first()
     assert q["quantile"] == 50.0
+
+
+def plain_graph(nodes, edges):
+    """({node: wave}, nodes behind a failed one, longest path of finished work) of one run, by repeated search."""
+    known = {o for o, _, _ in nodes}
+    deps = {o: [d for x, d in edges if x == o and d in known] for o in known}
+    wave = dict.fromkeys(known, -1)
+    level, left = 0, set(known)
+    while left:
+        now = {o for o in left if not any(d in left for d in deps[o])}
+        if not now:
+            break
+        for o in now:
+            wave[o] = level
+        left, level = left - now, level + 1
+    blocked = {o for o, s, _ in nodes if s == "Failed"}
+    while True:
+        more = {o for o in known if any(d in blocked for d in deps[o])} | blocked
+        if more == blocked:
+            break
+        blocked = more
+    done = {o: w for o, s, w in nodes if s in ("Failed", "Succeeded")}
+
+    def longest(o):
+        return done[o] + max((longest(d) for d in deps[o] if d in done), default=0)
+
+    return wave, blocked, max((longest(o) for o in done), default=None)
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 18])
+def test_graphs_equal_plain_search(spark, monkeypatch, chunk):
+    from wflog.operators import graphs
+
+    monkeypatch.setattr(graphs, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    runs, n_rows, e_rows = {}, [], []
+    for run in range(60):
+        size = rnd.randint(1, 9)
+        ordinals = rnd.sample(range(-3, 20), size)
+        nodes = [(o, rnd.choice(("Pending", "Ready", "Failed", "Succeeded")), rnd.randint(0, 50)) for o in ordinals]
+        edges = [(ordinals[i], ordinals[j]) for i in range(size) for j in range(i) if rnd.random() < 0.3] + [(ordinals[0], 99)] * (run % 2)
+        runs[run] = (nodes, edges)
+        n_rows += [(run, o, s, at(0), at(1), at(1 + w)) for o, s, w in nodes]
+        e_rows += [(run, o, d) for o, d in edges]
+    n = spark.createDataFrame(n_rows, "run_id long, ordinal int, state string, ready_at timestamp_ntz, started_at timestamp_ntz, completed_at timestamp_ntz")
+    e = spark.createDataFrame(e_rows, "run_id long, ordinal int, dep_ordinal int")
+    want = {r: plain_graph(*x) for r, x in runs.items()}
+    assert {(r.run_id, r.ordinal): r.wave for r in dag.topological_waves(n, e).collect()} == {(r, o): w for r, x in want.items() for o, w in x[0].items()}
+    state = {(r, o): "DependencyBlocked" if o in want[r][1] and s in ("Pending", "Ready") else s for r, x in runs.items() for o, s, _ in x[0]}
+    assert {(r.run_id, r.ordinal): r.state for r in dag.blocked_closure(n, e).collect()} == state
+    assert {r.run_id: r.critical_s for r in dag.run_durations(n, e).collect()} == {r: x[2] for r, x in want.items() if x[2] is not None}
+
+
+def test_one_graph_of_a_million_nodes(spark):
+    n = spark.range(1_000_000).select(F.lit(1).cast("long").alias("run_id"), F.col("id").cast("int").alias("ordinal"), F.when(F.col("id") == 1, "Failed").otherwise("Pending").alias("state"))
+    e = n.where("ordinal > 0").select("run_id", "ordinal", F.floor((F.col("ordinal") - 1) / 2).cast("int").alias("dep_ordinal"))
+    assert dag.topological_waves(n, e).agg(F.max("wave"), F.count("*")).first()[:] == (19, 1_000_000)
+    assert dag.blocked_closure(n, e).where("state = 'DependencyBlocked'").count() == sum(min(2**k, max(0, 1_000_000 - (2 ** (k + 1) - 1))) for k in range(1, 20))

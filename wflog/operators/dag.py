@@ -32,8 +32,7 @@ def validate_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     again = edges.groupBy("run_id", "ordinal", "dep_ordinal").count().where("count > 1").select("run_id", F.lit("DEPENDENCY-001").alias("code"), "ordinal").distinct()
     own = edges.where("ordinal = dep_ordinal").select("run_id", F.lit("DEPENDENCY-002").alias("code"), "ordinal").distinct()
     unknown = edges.join(nodes.select("run_id", F.col("ordinal").alias("dep_ordinal")).distinct(), ["run_id", "dep_ordinal"], "left_anti").select("run_id", F.lit("DEPENDENCY-004").alias("code"), "ordinal").distinct()
-    plain = edges.where("ordinal <> dep_ordinal").distinct()
-    cycle = topological_waves(nodes.select("run_id", "ordinal").distinct(), plain).where("wave < 0").groupBy("run_id").agg(F.lit("DEPENDENCY-003").alias("code"), F.min("ordinal").alias("ordinal"))
+    cycle = topological_waves(nodes, edges.where("ordinal <> dep_ordinal")).where("wave < 0").groupBy("run_id").agg(F.lit("DEPENDENCY-003").alias("code"), F.min("ordinal").alias("ordinal"))
     out = twice.unionByName(again).unionByName(own).unionByName(unknown).unionByName(cycle)
     if "mapping_count" in nodes.columns:
         maps = nodes.where("mapping_count <> 1").select("run_id", F.when(F.col("mapping_count") == 0, "MAP-001").otherwise("MAP-002").alias("code"), "ordinal")

@@ -1,16 +1,16 @@
 """Quality classifier: naive Bayes features into a linear support vector machine.
 
-Indicators of byte 3-grams and of words said three times in a row, hashed into 2**18 places, are scaled by
+Indicators of byte 3-grams and of word 1-, 2- and 3-grams, hashed into 2**19 places, are scaled by
 the log ratio of their rates among good and bad documents; a hinge-loss linear model over the scaled,
 length-normalised indicators is fitted by dual coordinate descent and calibrated on held-back rows.
 
-Scale: the class counts cover every labelled learning row and are summed in Spark (at most 2**19
-rows); the machine is fitted on at most ``per_class`` rows of either class, chosen by a hash of the
-id. The model is two arrays of fixed size. Scoring is a scan of whole texts without a shuffle.
+Scale: the class counts cover every labelled learning row and are summed in Spark (at most 2**20
+rows); the machine is fitted on at most about ``per_class`` rows of either class, chosen by a hash of the
+id, whose indicators take 64 KB each at most (as bits where they are many). The model is two arrays of fixed size. Scoring is a scan of whole texts without a shuffle.
 
 Edge cases: null and empty texts are scored from the bias alone; null ids count as held out;
 labels given twice count once (the lowest); without labels of both classes every score is the share of
-good labels, or 0.5; empty tables give empty results; other columns are never read.
+good labels, or 0.5; labels without a document don't count; very long texts are scored whole, the indicators of one text at a time; empty tables give empty results; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, replaced, small_batches
+from .rolling import mix, prefixes, substring
 
-PLACES = 1 << 18
-_THRICE = np.array([PLACES - 1, PLACES - 2])
+PLACES = 1 << 19
 
 
 class Indicators:
@@ -37,21 +37,43 @@ class Indicators:
         self.flags = np.zeros(PLACES, bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        codes = np.frombuffer(data, np.uint8).astype(np.uint32)
-        if len(codes) >= 3:
-            grams = codes[:-2] << np.uint32(16) | codes[1:-1] << np.uint32(8) | codes[2:]
-            self.flags[grams * np.uint32(0x9E3779B1) >> np.uint32(14)] = True
-        words = data.split()
-        if len(words) > 2:
-            h = np.fromiter(map(hash, words), np.int64, len(words))
-            same = h[1:] == h[:-1]
-            runs = np.count_nonzero(same[1:] & same[:-1])
-            self.flags[_THRICE[: int(runs > 0) + int(runs > len(words) // 4)]] = True
+        codes = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        for at in range(0, len(codes), 1 << 20):  # bounded memory for very long texts
+            self._mark(codes[at : at + (1 << 20) + 64])
         out = np.flatnonzero(self.flags)
         self.flags[out] = False
         return out
 
+    def _mark(self, codes: np.ndarray) -> None:
+        if len(codes) >= 3:
+            wide = codes.astype(np.uint32)
+            grams = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+            self.flags[grams * np.uint32(0x9E3779B1) >> np.uint32(13)] = True
+        solid = np.concatenate(([False], (codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32)), [False]))
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        if len(edge):
+            word = substring(prefixes(codes), edge[::2], edge[1::2])
+            gram = word
+            for n in range(3):
+                if n:
+                    gram = mix(gram[:-1] * np.uint64(3) + word[n:])
+                self.flags[gram >> np.uint64(45)] = True
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Places as 4-byte numbers after a 0, or as bits after a 1, whichever is shorter."""
+    if 4 * len(x) <= PLACES // 8:
+        return b"\0" + x.astype(np.int32).tobytes()
+    bits = np.zeros(PLACES, bool)
+    bits[x] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[0]:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+    return np.frombuffer(data, np.int32, offset=1)
+
 
 def _learn_rows(batches):
     """(y, chosen, text) -> counts per task (place, n_bad, n_good) and the chosen rows' indicators."""
@@ -63,7 +85,7 @@ def _learn_rows(batches):
             x = find(text)
             counts[y, x] += 1
             if chosen:
-                kept.append(x.astype(np.int32).tobytes())
+                kept.append(packed(x))
                 ys.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.nulls(len(ys), pa.int32()), pa.nulls(len(ys), pa.int64()), pa.array(kept, pa.binary())], names)
     for y in (0, 1):
@@ -131,7 +153,7 @@ def fit(labelled: DataFrame, counts: dict[int, int], per_class: int = 3000, cost
     ratio[c.sum(axis=0) < 2] = 0.0
     sample = rows.where("x is not null").select("y", "x").toPandas()
     order = np.lexsort((sample["y"], [zlib.crc32(v) for v in sample["x"]]))  # a fixed mixing of the classes
-    xs = [np.frombuffer(sample["x"].iloc[i], np.int32) for i in order]
+    xs = [unpacked(sample["x"].iloc[i]) for i in order]
     y = sample["y"].to_numpy()[order]
     values = [unit(x, ratio) for x in xs]
     test = np.arange(len(xs)) % 5 == 0
@@ -174,8 +196,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fo
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (bucket(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     labelled = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("text")).join(known.withColumnRenamed("doc_id", "key").hint("shuffle_hash"), "key")
+    there = docs.select("doc_id").join(known.hint("shuffle_hash"), "doc_id")
+    counts = {r["y"]: r["count"] for r in there.groupBy("y").count().collect()}
     model = fit(labelled, counts, per_class)
     score = scorer(docs.sparkSession, model)(F.col("text"))
     row = docs.select(F.struct("*").alias("row"), (bucket(F.col("doc_id"), folds) == 0).alias("held_out"), score.alias("score"))

@@ -2,16 +2,19 @@
 
 A sparse multinomial logistic regression over word 1- and 2-grams tells licence families from each other
 and from other text (class ``unknown``). It learns from the families' notices, cut and mixed by fixed rules,
-and from a bounded sample of the corpus' own paragraphs as unknown ones. A probability below the threshold that
-keeps nearly all held-back unknown paragraphs out counts as unknown, and a predicted family must share
-enough word pairs with one of its notices.
+and from a bounded sample of the corpus' own lines as unknown ones, among them lines with words of licences that are no notice. A probability below the threshold that
+keeps nearly all held-back unknown lines out counts as unknown, and a predicted family must share
+enough word pairs with one of its notices, one of them a pair that no other family's notices hold.
+A paragraph is a line; and, as notices are often wrapped, a run of words over several lines of a block (lines without a blank one
+between) that holds word pairs of notices close together.
 
-Scale: the sample is at most about ``negatives`` documents, chosen by a hash of the text; the
+Scale: the sample is at most about ``negatives`` documents of either kind, chosen by a hash of the text; the
 model is a few thousand n-grams. Scoring is a scan of whole texts without a shuffle: every paragraph
 is scored, long ones in overlapping windows of words.
 
 Edge cases: null and empty texts have no licence; repeated rows each get their result; null ids pass
-through; with an empty corpus the model learns from the notices alone; other columns pass through.
+through; with an empty corpus the model learns from the notices alone; a family found twice in a paragraph is
+listed once, with the higher probability; very long texts and lines are scored whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -46,35 +49,47 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Licensed under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "cc0": (
         "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0.",
         "Dedicated to the public domain under CC0.",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -113,6 +128,21 @@ def examples(seed: int = 11, copies: int = 40) -> list[tuple[str, list[str]]]:
     return out
 
 
+def word_pairs(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def templates() -> dict[str, list[set[str]]]:
+    """The word pairs of each family's notices."""
+    return {f: [set(word_pairs(w)) for w in map(words_of, notices)] for f, notices in NOTICES.items()}
+
+
+def resemblance(words: list[str], known: dict[str, list[set[str]]]) -> float:
+    """The greatest share of a notice's word pairs that ``words`` hold."""
+    pairs = set(word_pairs(words))
+    return max((len(t & pairs) / len(t) for sets in known.values() for t in sets), default=0.0)
+
+
 class Model:
     def __init__(self, negatives: list[str], seed: int = 11, epochs: int = 30, miss: float = 0.995):
         rnd = random.Random(seed)
@@ -134,7 +164,10 @@ class Model:
         held = [1 - self.probabilities(xs[i])[0] for i in range(0, len(rows), 5) if ys[i] == 0]
         #: least probability of being licensed: above what unknown paragraphs held back reach
         self.threshold = max(0.6, float(np.quantile(held, miss)) if held else 0.6)
-        self.templates = {f: [set(n_grams(w)[len(w) :]) for w in map(words_of, notices)] for f, notices in NOTICES.items()}
+        self.templates = templates()
+        self.hints = {p for sets in self.templates.values() for t in sets for p in t}
+        others = {f: {p for g, sets in self.templates.items() if g != f for t in sets for p in t} for f in NOTICES}
+        self.own = {f: {p for t in sets for p in t} - others[f] for f, sets in self.templates.items()}
 
     def places(self, words: list[str]) -> np.ndarray:
         """Sorted places of the known n-grams; the last place is the bias."""
@@ -158,23 +191,46 @@ class Model:
         if 1 - p[0] < self.threshold:
             return UNKNOWN, 0.0
         best = 1 + int(p[1:].argmax())
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        share = max(len(t & pairs) / len(t) for t in self.templates[self.families[best]])
-        return (self.families[best], float(p[best])) if share >= least else (UNKNOWN, 0.0)
+        family, pairs = self.families[best], set(word_pairs(words))
+        share = max(len(t & pairs) / len(t) for t in self.templates[family])
+        return (family, float(p[best])) if share >= least and pairs & self.own[family] else (UNKNOWN, 0.0)
+
+    def wrapped(self, lines: list[list[str]]):
+        """(line, family, probability) of runs of notices' word pairs that cross a line break; lines of a block, as words."""
+        words = [w for line in lines for w in line]
+        of = [i for i, line in enumerate(lines) for _ in line]
+        at = [i for i, p in enumerate(word_pairs(words)) if p in self.hints]
+        start = 0
+        for k, i in enumerate(at):
+            last = k + 1 == len(at)
+            if not last and at[k + 1] - i <= 4 and at[k + 1] + 2 - at[start] <= WINDOW:
+                continue
+            if of[at[start]] < of[i + 1]:
+                family, p = self.family(words[at[start] : i + 2])
+                if family != UNKNOWN:
+                    yield of[at[start]], family, p
+            start = k + 1
 
     def scan(self, text: str | None) -> list[dict]:
-        out = []
-        for no, line in enumerate((text or "").split("\n")):
-            words = words_of(line)
-            best: dict[str, float] = {}
+        best: dict[tuple[int, str], float] = {}
+        block: list[list[str]] = []
+        lines = [words_of(x) for x in (text or "").split("\n")]
+        for no, words in enumerate([*lines, []]):
             for at in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
                 part = words[at : at + WINDOW]
                 if part:
                     family, p = self.family(part)
                     if family != UNKNOWN:
-                        best[family] = max(p, best.get(family, 0.0))
-            out += [{"paragraph": no, "family": f, "probability": p} for f, p in sorted(best.items())]
-        return out
+                        best[no, family] = max(p, best.get((no, family), 0.0))
+            if words:
+                block.append(words)
+            elif block:
+                first = no - len(block)
+                for line, family, p in self.wrapped(block) if len(block) > 1 else ():
+                    if (first + line, family) not in best and (first + line + 1, family) not in best:
+                        best[first + line, family] = p
+                block = []
+        return [{"paragraph": no, "family": f, "probability": p} for (no, f), p in sorted(best.items())]
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType())]))
@@ -188,9 +244,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", negatives: int = 300)
     n = docs.where(text.isNotNull()).count()
     part = int(min(1.0, negatives / n) * (1 << 20)) if n else 0
     lines = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) < part)).select(F.explode(F.split(text, "\n")).alias("line"))
-    taught = "licen[cs]e|rights reserved|copyright|public domain|permission"
-    rows = lines.where(~F.lower("line").rlike(taught) & (F.length("line") > 0)).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()
-    sent = spark.sparkContext.broadcast(Model([r[0] for r in rows]))
+    taught = F.lower("line").rlike("licen[cs]e|rights reserved|copyright|public domain|permission")
+    # both kinds are a bounded sample; lines that look like a notice are no examples of the unknown class
+    rows = [r[0] for test in (~taught, taught) for r in lines.where(test & (F.length("line") > 0)).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()]
+    known = templates()
+    sent = spark.sparkContext.broadcast(Model([x for x in rows if resemblance(words_of(x), known) < 0.3]))
 
     @F.pandas_udf(FOUND)
     def find(texts: pd.Series) -> pd.Series:

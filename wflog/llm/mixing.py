@@ -11,8 +11,11 @@ rows at most, combined map-side) finds the bucket in which the cut falls; only t
 documents, 1 in ``buckets`` of a source, are ranked exactly. What decides about a document is then
 one row per source, so a source with a third of all rows only costs a splittable join.
 
+Inclusion probabilities differ between sources and are equal within one: its documents weigh alike.
+
 Edge cases: null text has 0 words; null source is a source of its own, the last; repeated rows (same
-id, same size) are taken or left together; empty tables give empty results; other columns, whatever
+id, same size) are taken or left together; rows without an id draw by their text and source, so only equal texts among them go together;
+a very long text is one document, and the source that it crosses the target of ends up to half of it away; empty tables give empty results; other columns, whatever
 their names, pass through untouched.
 """
 
@@ -29,9 +32,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("long")
 
 
+def draw_key(doc_id: Column, text: Column, source: Column) -> Column:
+    """What a document draws by: its id, or its text and source where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit(""))), F.lit(" "), F.coalesce(source.cast("string"), F.lit(""))))
+
+
 def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) fixed by the key: 48 bits of an MD5."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    """A number in (0, 1) fixed by the key, a text: 48 bits of an MD5."""
+    digest = F.md5(F.concat(key, F.lit(f":{seed}")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -98,14 +106,15 @@ def pareto_rank(key: Column, odds: Column, seed: int) -> Column:
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 65536) -> DataFrame:
     """Documents with ``mix`` = struct(size, source_size, target, copies, taken); no row is dropped or repeated here."""
-    key = lambda: F.col(id_col).alias("id")
-    sized = materialize(docs.select(key(), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sized")
+    key = draw_key(F.col(id_col), F.col(text_col), F.col(source_col)).alias("id")
+    sized = materialize(docs.select(key, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sized")
     plan = mixing_plan(sized, weights, share, cap, seed, buckets)
     return apply_plan(docs, plan, seed, id_col, text_col, source_col, buckets)
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 65536, size: Column | None = None) -> DataFrame:
-    row = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("mix_source"), F.col(id_col).alias("mix_id"), (word_count(F.col(text_col)) if size is None else size).alias("mix_size"))
+def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 65536, size: Column | None = None, key: Column | None = None) -> DataFrame:
+    key = draw_key(F.col(id_col), F.col(text_col), F.col(source_col)) if key is None else key
+    row = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("mix_source"), key.alias("mix_id"), (word_count(F.col(text_col)) if size is None else size).alias("mix_size"))
     both = row.join(plan.alias("p"), row["mix_source"].eqNullSafe(F.col("p.source")), "left")
     q = pareto_rank(F.col("mix_id"), F.col("p.odds"), seed)
     b = F.floor(q / (1 + q) * buckets)
@@ -129,15 +138,16 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sized")
-    plan = mixing_plan(sized.withColumnRenamed("doc_id", "id"))
-    out = apply_plan(sized, plan, size=F.col("size"))
+    key = draw_key(F.col("doc_id"), F.col("text"), F.col("source"))
+    sized = materialize(docs.select("doc_id", key.alias("id"), "source", word_count(F.col("text")).alias("size")), "mix-sized")
+    plan = mixing_plan(sized.drop("doc_id"))
+    out = apply_plan(sized, plan, size=F.col("size"), key=F.col("id"))
     return out.select("doc_id", "size", F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
 OP3_SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, coalesce(doc_id::varchar, 'null ' || md5(coalesce(text, '')) || ' ' || coalesce(source, '')) as id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 sizes as (select source, sum(size)::bigint as source_size from sized group by source),
 t0 as (select *, list_extract(list_value(5.0::double, 2.0::double, 1.0::double), (row_number() over (order by source asc nulls last) - 1) % 3 + 1) as w, source_size * 2.0::double as cap from sizes),
 t1 as (select *, sum(cap) over (order by cap / w, source asc nulls last rows unbounded preceding) - cap as before,
@@ -150,10 +160,10 @@ t5 as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as
 t6 as (select *, target - whole * source_size as rest from t5),
 t7 as (select *, case when source_size > 0 and rest > 0 then (rest / source_size) / (1 - rest / source_size) end as odds from t6),
 u as (select s.*, p.source_size, p.target, p.whole, p.rest, p.odds,
-  (('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':42'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+  (('0x' || substr(md5(id || ':42'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
   from sized s join t7 p on s.source is not distinct from p.source),
 r as (select *, u / (1 - u) / odds as q from u),
-c as (select *, sum(size) over (partition by source order by q, doc_id, size) as upto, sum(size) over (partition by source, q, doc_id, size) as tie from r)
+c as (select *, sum(size) over (partition by source order by q, id, size) as upto, sum(size) over (partition by source, q, id, size) as tie from r)
 select doc_id, size, source_size, target,
   ((whole + case when odds is not null and 2 * upto - tie <= 2 * rest then 1 else 0 end) * size)::bigint as taken from c
 """

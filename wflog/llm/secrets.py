@@ -12,7 +12,7 @@ Scale: the ledger work runs on (blob, path) rows without text; the text moves on
 its own place, so a text that a third of all paths share is scanned once. The join back is splittable.
 
 Edge cases: null text is the empty text and has a blob of its own; repeated rows each get their
-findings; empty tables give empty results; only the named columns are read, so others may clash freely.
+findings; very long texts are scanned whole, in time linear in their matches; null paths are a path like any other; empty tables give empty results; only the named columns are read, so others may clash freely.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ RULES = (
     ("pem", "1", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("-----BEGIN",)),
 )
 BASE = ("assign", "access", "hex")
+#: Matches whose spans are put together at once.
+BLOCK = 256
 SPAN = "struct<start: int, rank: int, end: int, kind: string>"
 
 
@@ -48,13 +50,14 @@ def spans_of(text: Column, rank: int, rule) -> Column:
     """Array of struct(start, rank, end, kind) of one rule's matches."""
     kind, _, pattern, group, least, guard = rule
     size = lambda a: F.transform(a, lambda x: F.length(x))
+    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  (a value that is used often is made once)
     pattern_col = F.lit(pattern)
     parts = F.arrays_zip(
         size(F.split(text, pattern, -1)).alias("gap"),
         size(F.regexp_extract_all(text, pattern_col, F.lit(0))).alias("hit"),
         size(F.regexp_extract_all(text, pattern_col, F.lit(group))).alias("part"),
     )
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(acc, x):
         at = acc["pos"] + x["gap"]
@@ -62,7 +65,15 @@ def spans_of(text: Column, rank: int, rule) -> Column:
         out = F.when(x["hit"].isNotNull() & (x["part"] >= least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct((at + F.coalesce(x["hit"], F.lit(0))).alias("pos"), out.alias("out"))
 
-    found = F.aggregate(parts, start, step)["out"]
+    def block_spans(blocks):
+        """Appending costs the length of what is there: positions are added up by blocks, and within each."""
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(x["hit"], F.lit(0))))
+        begin = F.aggregate(ends, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        scan = lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, F.struct(F.get(at, i).alias("pos"), none.alias("out")), step)["out"]))
+        return bind(begin, scan)
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, F.lit(BLOCK)))
+    found = bind(parts, lambda p: bind(cut(p), block_spans))
     test = text.rlike(pattern)
     if guard:
         some = F.contains(text, F.lit(guard[0]))
@@ -76,8 +87,11 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, known: Da
     """(findings by path, blob findings, ledger).
 
     ``ledger`` (blob, rule) and ``known`` (blob, start, rank, end, kind per rule version ``rule``) are the
-    results of earlier runs, or None. Findings by path: path, blob, spans (array sorted by start, then rule order).
+    results of earlier runs, or None; one without the other is refused, as known blobs would seem to be clean.
+    Findings by path: path, blob, spans (array sorted by start, then rule order).
     """
+    if (ledger is None) != (known is None):
+        raise ValueError("a ledger and its findings belong together")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     paths = materialize(keyed.select("path", "blob"), "secret-paths")
@@ -97,12 +111,32 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, known: Da
         by_blob = fresh.groupBy("blob").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("spans"))
     else:
         by_blob = found
-    by_blob = by_blob.select("blob", F.sort_array("spans").alias("spans"))
+    # written, so that a blob of very many paths can be split in the join
+    by_blob = materialize(by_blob.select("blob", F.sort_array("spans").alias("spans")), "secret-spans")
     out = paths.alias("p").join(by_blob.alias("b"), F.col("p.blob") == F.col("b.blob"), "left").select("p.path", "p.blob", F.coalesce("b.spans", empty).alias("spans"))
     done = todo.select("blob", F.explode("rules").alias("rule"))
     return out, fresh, (done if ledger is None else ledger.select("blob", "rule").unionByName(done))
 
 
+def scan_store(versions: DataFrame, store: str, path_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """Findings by path; the ledger and the findings of all runs are kept as tables in the folder ``store``.
+
+    A run appends what it scanned. Findings are written before the ledger: a run that is lost in between is scanned again, and
+    its findings are read once.
+    """
+    spark = versions.sparkSession
+    tables = {"ledger": "blob string, rule string", "findings": "blob string, rule string, start int, rank int, end int, kind string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{store}/{name}")
+    old = {name: spark.read.schema(schema).parquet(f"{store}/{name}").distinct() for name, schema in tables.items()}
+    out, found, done = scan_secrets(versions, old["ledger"], old["findings"], path_col, text_col, rules)
+    out = materialize(out, "secret-paths-found")
+    fresh = materialize(done.join(old["ledger"], ["blob", "rule"], "left_anti"), "secret-scanned")
+    found.join(fresh, ["blob", "rule"], "left_semi").select("blob", "rule", "start", "rank", "end", "kind").write.mode("append").parquet(f"{store}/findings")
+    fresh.write.mode("append").parquet(f"{store}/ledger")
+    return out
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
 
     Alternates large-star and small-star steps, which halve the depth of chains and keep the number of
     edges bounded; each round is written to the shared folder. Minima are combined map-side and the
-    joins back to a hub's edges are splittable, so a hub costs no single task.
+    joins back to a hub's edges are splittable, so a hub costs no single task. The number of rounds grows with the
+    logarithm of the longest chain; after ``max_rounds`` the run fails rather than give half a result.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, name)
@@ -71,6 +72,8 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         if before == tuple(now):
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

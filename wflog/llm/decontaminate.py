@@ -7,14 +7,17 @@ around each. Item and document are compared in lower case with white space colla
 
 Scale: documents are only scanned, nothing is shuffled. Items are broadcast in blocks of about
 ``block_chars`` characters, counted before; larger test sets are worked through block after block, each
-over the documents as the block before left them.
+a scan of the texts alone, and what they found (a few rows, by the texts' hashes) is joined to the documents once.
 
 Edge cases: null and empty items or texts never match; an item below 16 characters must match
-exactly; repeated items each report; null ids pass through; empty tables give empty results.
+exactly; repeated items each report; ids of items and documents may be of any type, null ids pass through; very long
+texts are searched whole; empty tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,9 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-HIT = "array<struct<item_id: long, distance: int>>"
-SQL_HIT = "array<struct<item_id: bigint, distance: int>>"
-
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -67,7 +67,7 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], per_edit: int = 16):
+    def __init__(self, items: list[tuple], per_edit: int = 16):
         self.items = [(i, t, len(t) // per_edit) for i, t in ((i, normal(t)) for i, t in items) if t]
         words: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
@@ -80,7 +80,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not words
 
-    def hits(self, text: str | None) -> list[tuple[int, int]]:
+    def hits(self, text: str | None) -> list[tuple]:
         text = normal(text)
         if self.empty or not text:
             return []
@@ -99,29 +99,36 @@ class Matcher:
                 d = myers(item, text[max(0, at - budget) : max(0, at + len(item) + budget)], budget)
                 if d <= budget:
                     best[k] = min(d, best.get(k, d))
-        return sorted((self.items[k][0], d) for k, d in best.items())
+        return sorted(((self.items[k][0], d) for k, d in best.items()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 2_000_000) -> DataFrame:
     """Documents with ``leaks``, an array of struct(item_id, distance), one entry per item found."""
     small_batches(docs.sparkSession)
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    hit = f"array<struct<item_id: {items.schema['item_id'].dataType.simpleString()}, distance: int>>"
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as {SQL_HIT})"))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part])
-        out = out.withColumn("leaks", F.concat("leaks", _finder(sent)(F.col(text_col))))
-        if blocks > 1:  # a worker holds the pieces of one block at a time
-            out = materialize(out, "leaks")
-    return out
-
-
-def _finder(sent):
+    text = F.col(text_col)
+    if blocks == 1:
+        return docs.withColumn("leaks", _finder(items.collect(), docs.sparkSession, hit)(text))
+    found = []
+    for b in range(blocks):  # a worker holds the pieces of one block at a time
+        find = _finder(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), docs.sparkSession, hit)
+        hits = docs.select(F.xxhash64(text).alias("leak_h1"), F.xxhash64(F.lit(1), text).alias("leak_h2"), find(text).alias("found")).where(F.size("found") > 0)
+        found.append(materialize(hits.dropDuplicates(["leak_h1", "leak_h2"]), "leaks"))
+    found = reduce(DataFrame.unionByName, found).groupBy("leak_h1", "leak_h2").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    rows = docs.select(F.struct("*").alias("leak_row"), F.xxhash64(text).alias("leak_h1"), F.xxhash64(F.lit(1), text).alias("leak_h2"))
+    out = rows.join(materialize(found, "leaks"), ["leak_h1", "leak_h2"], "left")
+    own = [F.col("leak_row").getField(c).alias(c) for c in docs.columns if c != "leaks"]
+    return out.select(*own, F.coalesce("found", F.expr(f"cast(array() as {hit})")).alias("leaks"))
+
+
+def _finder(items, spark, hit: str):
+    sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in items])
     made: list[Matcher] = []
 
-    @F.pandas_udf(HIT)
+    @F.pandas_udf(hit)
     def find(texts: pd.Series) -> pd.Series:
         if not made:
             made.append(Matcher(sent.value))

@@ -27,6 +27,8 @@ def rows():
         (None, None, None, None, None),
         (10, "Released under the MIT License.\n" + PROSE, "en", "c", 9),
         (11, "1234 5678 !!", "en", "c", 12),
+        (13, "\n".join(f"line {i} of a very long text says {i * i} with token=abcdefghijkl{i} and more words" for i in range(20_000)), "en", "c", None),
+        (14, " ".join(f"w{i % 5000}" for i in range(400_000)), "en", "b", None),
         (12, "żółć ÄÖÜ 漢字 \U0001f600 " * 20, "de", "c", 300),
     ]
 

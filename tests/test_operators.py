@@ -83,39 +83,11 @@ def test_retention_by_count_and_age(spark):
     assert got == {0: "age", 1: "age", 2: "count", 3: "count"}
 
 
-REQ = "partition_id long, seq long, op string, holder string, pools array<string>, units array<int>, capacities map<string, int>"
-
-
-def replay(spark, rows, grant="skip"):
-    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], REQ)
-    return [(r.seq, r.holder, r.result) for r in pools.replay_pool_requests(df, grant=grant).collect()]
-
-
-def test_pool_requests(spark):
-    cap = {"a": 1, "b": 1}
-    rows = [("acquire", "x", ["b"], [1], cap), ("acquire", "y", ["a", "b"], [1, 1], cap), ("acquire", "z", ["a"], [1], cap), ("acquire", "q", ["no"], [1], cap), ("acquire", "w", ["a"], [1], cap), ("release", "z", None, None, cap), ("release", "x", None, None, cap)]
-    assert replay(spark, rows) == [(0, "x", "Granted"), (1, "y", "Queued"), (2, "z", "Granted"), (3, "q", "Rejected"), (4, "w", "Queued"), (5, "z", "Released"), (5, "w", "GrantedLater"), (6, "x", "Released")]
-    assert replay(spark, rows, "fifo")[5:] == [(5, "z", "Released"), (6, "x", "Released"), (6, "y", "GrantedLater")]
-
-
-@pytest.mark.parametrize("seed", [17, 31, 53, 97])
-def test_pools_never_exceed_capacity(spark, seed):
-    rnd = random.Random(seed)
-    cap = {"a": 3, "b": 2}
-    rows = [("acquire", f"h{rnd.randint(0, 5)}", rnd.choice([["a"], ["b"], ["a", "b"]]), [rnd.randint(1, 2), 1], cap) if rnd.random() < 0.6 else ("release", f"h{rnd.randint(0, 5)}", None, None, cap) for _ in range(80)]
-    for grant in ("skip", "fifo"):
-        held, wants = {}, {}
-        for seq, holder, result in replay(spark, rows, grant):
-            op, _, p, u, _ = rows[seq]
-            if op == "acquire" and holder not in held and holder not in wants:
-                wants[holder] = dict(zip(p, u, strict=False))
-            if result in ("Granted", "GrantedLater"):
-                held.setdefault(holder, wants.pop(holder, None) or held.get(holder))
-            elif result == "Released":
-                held.pop(holder, None)
-                wants.pop(holder, None)
-            for pool, c in cap.items():
-                assert sum(n.get(pool, 0) for n in held.values()) <= c
+def test_pool_log_is_audited(spark):
+    log_ = [("acquire", "x", 2), ("acquire", "x", 9), ("acquire", "y", 2), ("release", "x", 0), ("release", "x", 0), ("acquire", "z", 1)]
+    rows = [("a", i, h, op, u) for i, (op, h, u) in enumerate(log_)] + [("no", 0, "x", "acquire", 1)]
+    got = pools.audit_pool_log(spark.createDataFrame(rows, "pool string, seq long, holder string, op string, units int"), spark.createDataFrame([("a", 3)], "pool string, capacity long")).orderBy("pool", "seq").collect()
+    assert [(r.used, r.result) for r in got] == [(2, "Granted"), (2, "Repeated"), (4, "Overcommitted"), (2, "Released"), (2, "NotHeld"), (3, "Granted"), (0, "Rejected")]
 
 
 def graph(spark, nodes, edges):
@@ -138,10 +110,22 @@ def test_failure_blocks_only_what_is_behind(spark):
     assert [r.state for r in dag.blocked_closure(n, e).orderBy("ordinal").collect()] == ["Succeeded", "Failed", "Ready", "DependencyBlocked", "DependencyBlocked"]
 
 
-def test_run_leases_are_a_turn_queue(spark):
-    calls = [(1, 1, 0.0, "acquire", "a"), (1, 2, 1.0, "acquire", "b"), (1, 3, 2.0, "renew", "b"), (1, 4, 3.0, "release", "a"), (1, 5, 3.5, "acquire", "c"), (1, 6, 4.0, "acquire", "b"), (1, 7, 10.0, "acquire", "c")]
-    got = dag.replay_run_leases(spark.createDataFrame(calls, "run_id long, seq long, at_s double, op string, owner string")).orderBy("seq").collect()
-    assert [r.result for r in got] == ["granted", "busy", "stale", "released", "busy", "granted", "granted"] and got[-1].fence == 3
+def test_run_leases_are_audited(spark):
+    rows = [(0.0, "acquired", "a", 1), (1.0, "acquired", "b", 2), (1.5, "renewed", "a", 0), (2.0, "renewed", "b", 0), (6.5, "renewed", "b", 0), (11.0, "released", "b", 0), (11.5, "released", "b", 0), (12.0, "acquired", "c", 5), (30.0, "acquired", "a", 6), (34.0, "renewed", "a", 0), (38.0, "renewed", "a", 0), (42.0, "renewed", "a", 0), (46.0, "renewed", "a", 0)]
+    got = dag.audit_run_leases(spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "run_id long, seq long, at_s double, op string, owner string, fence long")).orderBy("seq").collect()
+    assert [r.result for r in got] == ["Ok", "Overlap", "Stale", "Ok", "Ok", "Ok", "Stale", "FenceInvalid", "Ok", "Ok", "Ok", "Ok", "Stale"]
+
+
+def test_steps_report_every_attempt(spark):
+    def step(row):
+        if row["attempt"] <= row["n"]:
+            raise KeyError("x")
+        return {"n": 10}
+
+    got = fanout.run_steps_with_retry(spark.createDataFrame([(0,), (1,), (5,)], "n long"), step, 2).collect()
+    assert [(r.n, r.status, r.attempts) for r in got] == [(10, "Succeeded", 1), (10, "Succeeded", 2), (5, "Failed", 2)]
+    assert [[(o.attempt, o.outcome) for o in r.outcomes] for r in got] == [[(1, "Succeeded")], [(1, "Failed"), (2, "Succeeded")], [(1, "Failed"), (2, "Failed")]]
+    assert got[0].failure is None and got[2].failure[:] == ("STEP_FAILED", "'x'", "KeyError") and got[1].outcomes[0].failure.exception_type == "KeyError"
 
 
 def events(rnd: random.Random, n: int):

@@ -54,13 +54,13 @@ def blocked_closure(spark, d):
     return D.blocked_closure(*ne(spark, d))
 
 
-_REQ = "q as (select run_id, state from dag_runs where run_id % 3 = 0 union all select -run_id, null from dag_runs where run_id % 300 = 3)"
+_REQ = "q as (select x.run_id, state from (select run_id from dag_runs union select -user_id from events) x left join dag_runs r using (run_id))"
 _RES = "case when q.state is null then 'NotFound' when q.state = 'Running' then 'Requested' when q.state = 'CancellationRequested' then 'AlreadyRequested' when q.state = 'IntegrityFault' then 'Faulted' else 'AlreadyTerminal' end"
 
 
 def barrier(spark, d):
     r, n = adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes")
-    q = r.where("run_id % 3 = 0").select("run_id").union(r.where("run_id % 300 = 3").select(-F.col("run_id")))
+    q = r.select("run_id").union(spark.read.parquet(f"{d}/events.parquet").select(-F.col("user_id")))
     return D.cancel_barrier(r, n, q, F.expr(AT))
 
 
@@ -71,12 +71,12 @@ def cancel_barrier(spark, d):
 
 
 @job("cancel_barrier_nodes", cte("dag_runs", "dag_nodes") + f""" select n.run_id, ordinal, case when n.state in ('Pending', 'Ready') then 'Cancelled' when n.state = 'StartAuthorized' then 'CancellationRequested' else n.state end as state,
-    case when n.state in ('Pending', 'Ready') then {AT_SQL} else completed_at end as completed_at from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running' and n.run_id % 3 = 0""")
+    case when n.state in ('Pending', 'Ready') then {AT_SQL} else completed_at end as completed_at from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running'""")
 def cancel_barrier_nodes(spark, d):
     return barrier(spark, d)[1].select("run_id", "ordinal", "state", "completed_at")
 
 
-@job("cancel_barrier_sends", cte("dag_runs", "dag_nodes") + " select n.run_id, ordinal, child_id, 'dag-child-cancel-v1' as kind from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running' and n.run_id % 3 = 0 and n.state = 'StartAuthorized'")
+@job("cancel_barrier_sends", cte("dag_runs", "dag_nodes") + " select n.run_id, ordinal, child_id, 'dag-child-cancel-v1' as kind from dag_nodes n join dag_runs r using (run_id) where r.state = 'Running' and n.state = 'StartAuthorized'")
 def cancel_barrier_sends(spark, d):
     return barrier(spark, d)[2]
 
@@ -128,12 +128,18 @@ def operation_receipts(spark, d):
     return D.operation_receipts(spark.sql(OPERATIONS, events=spark.read.parquet(f"{d}/events.parquet")))
 
 
-CALLS = "select user_id as run_id, event_id as seq, cast(row_number() over (partition by user_id order by event_id) * 2.5 as double) as at_s, case event_type when 'click' then 'release' when 'error' then 'renew' else 'acquire' end as op, 'host-' || cast(event_id % 3 as string) as owner from {events}"
+LEASES = """select run_id, seq, at_s, op, owner, cast(sum(case when op = 'acquired' then 1 else 0 end) over (partition by run_id order by seq) + case when seq % 53 = 0 then 1 else 0 end as bigint) as fence
+from (select user_id as run_id, event_id as seq, cast(row_number() over (partition by user_id order by event_id) * 2.5 as double) as at_s, case event_type when 'click' then 'released' when 'error' then 'renewed' else 'acquired' end as op,
+  'host-' || cast(event_id % 3 as string) as owner from {events}) x"""
 
 
-@job("replay_run_leases")
-def replay_run_leases(spark, d):
-    return D.replay_run_leases(spark.sql(CALLS, events=spark.read.parquet(f"{d}/events.parquet")))
+@job("audit_run_leases", f"with r as ({LEASES.format(events='events')})" + """, b as (select *, last_value(case when op = 'acquired' then owner end ignore nulls) over w as holder, last_value(case when op = 'acquired' then fence end ignore nulls) over w as high,
+      last_value(case when op = 'acquired' then at_s end ignore nulls) over w as began, last_value(case when op in ('acquired', 'renewed') then at_s end ignore nulls) over w as touched,
+      last_value(case when op in ('acquired', 'released') then op end ignore nulls) over w as ended from r window w as (partition by run_id order by seq rows between unbounded preceding and 1 preceding)),
+    c as (select *, coalesce(ended = 'acquired' and at_s < least(touched + 5, began + 15), false) as runs, holder is not distinct from owner as own from b)
+    select run_id, seq, owner, case when op = 'acquired' then case when fence <> coalesce(high, 0) + 1 then 'FenceInvalid' when runs and not own then 'Overlap' else 'Ok' end when runs and own then 'Ok' else 'Stale' end as result from c""")
+def audit_run_leases(spark, d):
+    return D.audit_run_leases(spark.sql(LEASES, events=spark.read.parquet(f"{d}/events.parquet")))
 
 
 READY_E = "select r.run_id, cast(0 as int) as ordinal, r.ordinal as dep_ordinal from {dag_nodes} r join {dag_nodes} z on z.run_id = r.run_id and z.ordinal = 0 where z.state = 'Ready' and r.ordinal > 0"
@@ -154,7 +160,7 @@ def dag_fingerprint(spark, d):
     return D.dag_fingerprint(*ne(spark, d))
 
 
-SUBSCRIPTIONS = "select run_id, 's' || cast(run_id as string) || '-' || cast(k as string) as subscription_id, created_at + (run_id % 100) * interval '1' day as expires_at, run_id % 5 + k as seen_version from {dag_runs} cross join (select 0 as k union all select 2 as k) x where run_id % 4 = 0"
+SUBSCRIPTIONS = "select run_id, 's' || cast(run_id as string) || '-' || cast(k as string) as subscription_id, created_at + (run_id % 100) * interval '1' day as expires_at, run_id % 5 + k as seen_version from {dag_runs} cross join (select 0 as k union all select 2 as k) x"
 
 
 @job("notify_observers", cte("dag_runs", "dag_nodes") + f""", s as ({SUBSCRIPTIONS.format(dag_runs='dag_runs')}),
@@ -182,7 +188,7 @@ def run_durations(spark, d):
     return D.run_durations(*ne(spark, d))
 
 
-CHILDREN = "select child_id, case when run_id % 6 = 0 then 'Completed' when run_id % 6 = 1 then 'Cancelled' when run_id % 6 = 2 then 'TimedOut' when run_id % 6 = 3 then 'Terminated' when run_id % 6 = 4 then 'Failed' else 'Running' end as status, ready_at as created_at, completed_at as updated_at, case when run_id % 6 = 4 then 'load failed' end as error_summary from {dag_nodes} where child_id is not null and run_id % 5 <> 0"
+CHILDREN = "select child_id, case when run_id % 6 = 0 then 'Completed' when run_id % 6 = 1 then 'Cancelled' when run_id % 6 = 2 then 'TimedOut' when run_id % 6 = 3 then 'Terminated' when run_id % 6 = 4 then 'Failed' else 'Running' end as status, ready_at as created_at, completed_at as updated_at, case when run_id % 6 = 4 then 'load failed' end as error_summary from {dag_nodes} where child_id is not null and ready_at < timestamp '1997-06-01 00:00:00'"
 
 
 def children(spark, d):

@@ -127,9 +127,14 @@ def _flaky(row: dict) -> dict:
     return {"n": row["n"] + 1}
 
 
-@job("run_steps_with_retry", O_SQL + " select instance_id, case when n % 5 < 3 then n + 1 else n end as n, case when n % 5 < 3 then 'Succeeded' else 'Failed' end as status, case when n % 5 < 3 then n % 5 + 1 else 3 end::int as attempts, case when n % 5 >= 3 then 'ValueError: n=' || n end as error from o")
+@job("run_steps_with_retry", O_SQL + """, k as (select *, case when n % 5 < 3 then n % 5 + 1 else 3 end::int as attempts, n % 5 < 3 as ok from o)
+    select instance_id, case when ok then n + 1 else n end as n, case when ok then 'Succeeded' else 'Failed' end as status, attempts,
+      array_to_string(list_transform(range(1, attempts + 1), lambda i: i || case when ok and i = attempts then ':Succeeded' else ':Failed' end), ',') as outcomes,
+      case when not ok then 'STEP_FAILED' end as code, case when not ok then 'n=' || n end as message, case when not ok then 'ValueError' end as exception_type from k""")
 def run_steps_with_retry(spark, d):
-    return X.run_steps_with_retry(orders(spark, d).select("instance_id", "n"), _flaky, 3)
+    out = X.run_steps_with_retry(orders(spark, d).select("instance_id", "n"), _flaky, 3)
+    outcomes = F.array_join(F.transform("outcomes", lambda o: F.concat_ws(":", o["attempt"].cast("string"), o["outcome"])), ",")
+    return out.select("instance_id", "n", "status", "attempts", outcomes.alias("outcomes"), "failure.*")
 
 
 @job("attempt_summary", cte("attempts") + " select step_path, count(*) as attempts, count(*) filter (result = 'success') as success, count(*) filter (result = 'failed') as failed, count(*) filter (result = 'timed_out') as timed_out, count(*) filter (result = 'success' and attempt = 0) as first_try, round(quantile_cont(duration_ms, 0.95), 3)::double as p95_ms from attempts group by 1")

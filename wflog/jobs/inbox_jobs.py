@@ -60,11 +60,11 @@ def check_direct_targets(spark, d):
     return I.check_direct_targets(adapt(spark, d, "inbox").where("route_kind = 'direct'"), adapt(spark, d, "projections")).select("acceptance_sequence", "instance_id", "check")
 
 
-_FAN = "e as (select event_id, acceptance_sequence, definition_id from inbox where acceptance_sequence % 997 = 2), live as (select definition_id, instance_id from projections where status not in " + TERMINAL + "), n as (select definition_id, count(*) as n from live group by 1)"
+_FAN = "e as (select event_id, acceptance_sequence, definition_id from inbox where route_kind = 'definition' and state = 'Received'), live as (select definition_id, instance_id from projections where status not in " + TERMINAL + "), n as (select definition_id, count(*) as n from live group by 1)"
 
 
 def fan_events(spark, d):
-    return adapt(spark, d, "inbox").where("acceptance_sequence % 997 = 2").select("event_id", "acceptance_sequence", "definition_id")
+    return adapt(spark, d, "inbox").where("route_kind = 'definition' and state = 'Received'").select("event_id", "acceptance_sequence", "definition_id")
 
 
 @job("definition_fanout", cte("inbox", "projections") + f", {_FAN} select acceptance_sequence, instance_id from e join n using (definition_id) join live using (definition_id) where n.n <= 1024")
@@ -119,23 +119,23 @@ def list_handoff_retries(spark, d):
     return I.list_handoff_retries(adapt(spark, d, "inbox"), F.expr(AT), 300).select("acceptance_sequence", "event_id", "instance_id")
 
 
-@job("record_handoff_failure", cte("inbox") + f""", f as (select acceptance_sequence, cast(acceptance_sequence % 5 as int) as expected_count from inbox where acceptance_sequence % 2 = 0),
+@job("record_handoff_failure", cte("inbox") + f""", f as (select acceptance_sequence, cast(acceptance_sequence % 5 as int) as expected_count from inbox),
     h as (select i.*, coalesce(state = 'Received' and handoff_failure_count = expected_count, false) as hit from inbox i left join f using (acceptance_sequence))
     select acceptance_sequence, case when hit and handoff_failure_count + 1 >= 4 then 'Poisoned' else state end as state, case when hit then handoff_failure_count + 1 else handoff_failure_count end as handoff_failure_count,
       case when hit and handoff_failure_count + 1 >= 4 then null when hit then {AT_SQL} + cast(least(60, pow(2, handoff_failure_count)) as int) * interval '1' second else handoff_retry_not_before end as handoff_retry_not_before,
       case when hit and handoff_failure_count + 1 >= 4 then 'E1' end as poison_code, hit as applied from h""")
 def record_handoff_failure(spark, d):
     i = adapt(spark, d, "inbox")
-    f = i.where("acceptance_sequence % 2 = 0").select("acceptance_sequence", (F.col("acceptance_sequence") % 5).cast("int").alias("expected_count"), F.lit("E1").alias("code"))
+    f = i.select("acceptance_sequence", (F.col("acceptance_sequence") % 5).cast("int").alias("expected_count"), F.lit("E1").alias("code"))
     return I.record_handoff_failure(i, f, F.expr(AT), 4).select("acceptance_sequence", "state", "handoff_failure_count", "handoff_retry_not_before", "poison_code", "applied")
 
 
-@job("transition_inbox", cte("inbox") + """, c as (select acceptance_sequence, case when acceptance_sequence % 4 = 0 then null else 'Received' end as expected from inbox where acceptance_sequence % 2 = 0),
+@job("transition_inbox", cte("inbox") + """, c as (select acceptance_sequence, case when acceptance_sequence % 4 = 0 then null else 'Received' end as expected from inbox),
     h as (select i.*, c.acceptance_sequence is not null and (expected is null or expected = state) as hit from inbox i left join c using (acceptance_sequence))
     select acceptance_sequence, case when hit then 'DuplicateIgnored' else state end as state, hit as applied from h""")
 def transition_inbox(spark, d):
     i = adapt(spark, d, "inbox")
-    c = i.where("acceptance_sequence % 2 = 0").select("acceptance_sequence", F.when(F.col("acceptance_sequence") % 4 != 0, "Received").alias("expected"), F.lit("DuplicateIgnored").alias("new_state"))
+    c = i.select("acceptance_sequence", F.when(F.col("acceptance_sequence") % 4 != 0, "Received").alias("expected"), F.lit("DuplicateIgnored").alias("new_state"))
     return I.transition_inbox(i, c).select("acceptance_sequence", "state", "applied")
 
 

@@ -207,7 +207,7 @@ def verify_checksums(spark, d):
     return log.verify_checksums(e.select(F.col("stream_id").alias("owner"), version.alias("version"), payload.alias("payload"), checksum.alias("checksum")))
 
 
-REGISTRATIONS = "select o_custkey % 20 as definition_id, cast(1 + o_orderkey % 3 as int) as definition_version, o_orderkey as seq, md5(cast(o_orderkey % 5 as string)) as fingerprint from {orders} where o_orderkey % 11 = 0 and not (o_custkey % 20 = 3 and o_orderkey % 3 = 1)"
+REGISTRATIONS = "select o_custkey % 20 as definition_id, cast(1 + o_orderkey % 3 as int) as definition_version, o_orderkey as seq, md5(cast(o_orderkey % 5 as string)) as fingerprint from {orders} where not (o_custkey % 20 = 3 and o_orderkey % 3 = 1)"
 
 
 @job("definition_bindings", f"with r as ({REGISTRATIONS.format(orders='orders')})" + """, b as (select *, first_value(fingerprint) over w as existing, row_number() over w as rn from r window w as (partition by definition_id, definition_version order by seq))

@@ -27,22 +27,18 @@ def pool_management(spark, d):
     return P.pool_management(*three(spark, d))
 
 
-REQUESTS = """select user_id as partition_id, event_id as seq, case when event_type in ('click', 'error') then 'release' else 'acquire' end as op, 'h' || cast(event_id % 6 as string) as holder,
-  array('p' || cast(event_id % 3 as string), 'p' || cast(event_id % 3 + 1 as string)) as pools, array(cast(1 + event_id % 2 as int), 1) as units, map('p0', 3, 'p1', 2, 'p2', 4) as capacities from {events}"""
+POOL_LOG = """select user_id * 4 + event_id % 4 as pool, event_id as seq, 'h' || cast(event_id % 6 as string) as holder, case when event_type in ('click', 'error') then 'release' else 'acquire' end as op, 1 + event_id % 2 as units from {events}"""
+CAPACITIES = "select distinct user_id * 4 + event_id % 4 as pool, cast(2 + user_id % 3 as bigint) as capacity from {events} where event_type <> 'signup'"
 
 
-def _requests(spark, d):
-    return spark.sql(REQUESTS, events=spark.read.parquet(f"{d}/events.parquet"))
-
-
-@job("replay_pool_requests")
-def replay_pool_requests(spark, d):
-    return P.replay_pool_requests(_requests(spark, d))
-
-
-@job("replay_pool_requests_fifo")
-def replay_pool_requests_fifo(spark, d):
-    return P.replay_pool_requests(_requests(spark, d), grant="fifo")
+@job("audit_pool_log", f"with r as ({POOL_LOG.format(events='events')}), c as ({CAPACITIES.format(events='events')})" + """, a as (select r.*, capacity, coalesce(lag(op) over (partition by r.pool, holder order by seq) = 'acquire', false) as has from r left join c using (pool)),
+    b as (select *, last_value(case when op = 'acquire' and not has then units end ignore nulls) over (partition by pool, holder order by seq rows between unbounded preceding and 1 preceding) as held from a),
+    u as (select *, sum(case when capacity is null then 0 when op = 'acquire' and not has then units when op = 'release' and has then -held else 0 end) over (partition by pool order by seq rows unbounded preceding)::bigint as used from b)
+    select pool, seq, holder, used, case when op = 'acquire' then case when capacity is null then 'Rejected' when has then 'Repeated' when used > capacity then 'Overcommitted' else 'Granted' end
+      when has and capacity is not null then 'Released' else 'NotHeld' end as result from u""")
+def audit_pool_log(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return P.audit_pool_log(spark.sql(POOL_LOG, events=e), spark.sql(CAPACITIES, events=e))
 
 
 @job("mark_ticket_review", cte("tickets") + f" select ticket_id, review_deadline <= {AT_SQL} and not review_marked as newly, review_marked or review_deadline <= {AT_SQL} as review_marked from tickets")
@@ -65,7 +61,14 @@ def apply_resizes(spark, d):
 CONFIRM = "select 'c' || cast(event_id % 900 as string) as confirmation_id, event_id as seq, 't' || cast(event_id % 700 as string) as token, event_id from {events}"
 
 
-@job("classify_stop_confirmations")
+@job("classify_stop_confirmations", f"with c as ({CONFIRM.format(events='events')})" + """, h as (select distinct token from c where cast(substring(token, 2) as int) % 3 = 0),
+    r as (select distinct token, case when cast(substring(token, 2) as int) % 2 = 0 then 'old' || token end as was from c where cast(substring(token, 2) as int) % 3 = 1),
+    x as (select confirmation_id, seq, token, true as new from c union all select was, -1, token, false from r where was is not null),
+    y as (select x.*, h.token is not null as held, r.was from x left join h on h.token = x.token left join r on r.token = x.token),
+    z as (select *, first_value(case when not new or held then token end ignore nulls) over (partition by confirmation_id order by seq rows between unbounded preceding and 1 preceding) as bound from y),
+    f as (select *, coalesce(bool_or(new and held and bound is null) over (partition by token order by seq, confirmation_id rows between unbounded preceding and 1 preceding), false) as freed from z)
+    select confirmation_id, seq, token, case when bound is not null then case when bound = token then 'AlreadyConfirmed' else 'ConfirmationConflict' end when freed or was is not null then 'AlreadyConfirmed'
+      when held then 'Released' else 'TokenNotFound' end as result from f where new""")
 def classify_stop_confirmations(spark, d):
     c = spark.sql(CONFIRM, events=spark.read.parquet(f"{d}/events.parquet"))
     token = F.regexp_extract("token", "([0-9]+)", 1).cast("int")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import render_tags
-from ..operators import log, projections as P
+from ..operators import log, pools, projections as P
 from ..sources.adapters import adapt, cte
+from .dag_jobs import SUBSCRIPTIONS
 from .log_jobs import CHECKPOINTS, checkpoints_of
+from .pool_jobs import three
 from .registry import job
 
 AT = "timestamp_ntz '1998-06-01 00:00:00'"
@@ -20,10 +22,10 @@ def at():
 
 
 @job("get_instances", cte(*PW) + """, w as (select instance_id, string_agg(wait_id, ',' order by registered_at, wait_id) as waits, count(*) as n from active_waits group by instance_id)
-    select p.instance_id, p.status, coalesce(w.waits, '') as waits, coalesce(w.n, 0) as n_waits from projections p left join w using (instance_id) where p.instance_id % 3 = 0""")
+    select p.instance_id, p.status, coalesce(w.waits, '') as waits, coalesce(w.n, 0) as n_waits from projections p left join w using (instance_id) where p.instance_id in (select user_id from events)""")
 def get_instances(spark, d):
     p, w = adapt(spark, d, "projections"), adapt(spark, d, "active_waits")
-    out = P.get_instances(p, w, p.where("instance_id % 3 = 0").select("instance_id"))
+    out = P.get_instances(p, w, spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("instance_id")))
     return out.select("instance_id", "status", F.array_join("active_waits.wait_id", ",").alias("waits"), F.size("active_waits").cast("long").alias("n_waits"))
 
 
@@ -69,7 +71,7 @@ def mark_stuck(spark, d):
     return P.mark_stuck(adapt(spark, d, "projections"), at(), F.expr("interval '5' day")).select("instance_id", "is_stuck", "stuck_detected_at")
 
 
-_STATES = ", ".join(f"count(*) filter ({t} and state = '{s}') as {n}_{s.lower()}" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-run-ready-v1', 'dag-child-cancel-v1', 'dag-child-start-v1', 'dag-observer-v1')")) for s in P.OUTBOX_STATES)
+_STATES = ", ".join(f"count(*) filter ({t} and state = '{s}') as {n}_{s.lower()}" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-child-start-v1', 'dag-child-join-v1', 'dag-child-cancel-v1', 'dag-run-ready-v1')")) for s in P.OUTBOX_STATES)
 
 
 @job("operational_pressure", cte(*PW, "event_log", "outbox") + ", " + CHECKPOINTS + f""" select (select count(*) from projections where status in ('Pending', 'Running', 'Waiting', 'CancellationRequested')) as active,
@@ -88,20 +90,42 @@ def mark_stuck_dag_runs(spark, d):
     return P.mark_stuck_dag_runs(adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes"), at()).select("run_id", "state", "is_stuck")
 
 
-@job("dag_pressure", cte("dag_runs", "dag_nodes", "outbox") + f""" select 'active' as gauge, count(*) as n from dag_runs where state not in ('Succeeded', 'Failed', 'Cancelled')
+_DAG = f"""select 'active' as gauge, count(*) as n from dag_runs where state not in ('Succeeded', 'Failed', 'Cancelled')
     union all select 'stuck', count(*) from dag_runs r where {_STUCK_RUNS}
-    union all select 'outbox:internal:' || state, count(*) from outbox where kind = 'dag-run-ready-v1' group by state""")
+    union all select 'events', sum(version)::bigint from dag_runs union all select 'checkpoints', count(*) from dag_runs
+    union all select 'observers:live', count(*) filter (expires_at > {AT_SQL}) from subs union all select 'observers:expired', count(*) filter (expires_at <= {AT_SQL}) from subs
+    union all select 'outbox:' || case when recipient_host_id is null then 'internal' else 'observer' end || ':' || state, count(*) from outbox where kind = 'dag-run-ready-v1' group by 1"""
+_SUBS = f"subs as ({SUBSCRIPTIONS.format(dag_runs='dag_runs')})"
+
+
+@job("dag_pressure", cte("dag_runs", "dag_nodes", "outbox") + f", {_SUBS} {_DAG}")
 def dag_pressure(spark, d):
-    return P.dag_pressure(adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes"), adapt(spark, d, "outbox"), at())
+    r = adapt(spark, d, "dag_runs")
+    return P.dag_pressure(r, adapt(spark, d, "dag_nodes"), adapt(spark, d, "outbox"), spark.sql(SUBSCRIPTIONS, dag_runs=r), at(), at())
+
+
+_LANES = " union all ".join(f"select 'outbox.lanes' as instrument, 'lane={n}, state={s}' as tags, count(*) filter ({t} and state = '{s}') as value from outbox" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-run-ready-v1')")) for s in P.OUTBOX_STATES)
 
 
-@job("fleet_gauges", cte(*PW, "outbox") + """ select 'instances.active' as instrument, 'definition_id=' || definition_id || ', definition_version=' || definition_version || ', status=' || status as tags, count(*) as value from projections
+@job("fleet_gauges", cte(*PW, "outbox", "event_log", "dag_runs", "dag_nodes", "pools", "tickets", "waiters") + f""", {CHECKPOINTS}, {_SUBS}, dag as ({_DAG}), lanes as ({_LANES}),
+    q as (select pool, count(distinct waiter_id) as queued from waiters group by 1), k as (select pool, sum(units) as reserved, count(*) filter (review_marked) as expired from tickets group by 1),
+    pl as (select pool, coalesce(queued, 0) as queued, greatest(0, coalesce(reserved, 0) - capacity)::bigint as debt, coalesce(expired, 0) as expired from pools left join q using (pool) left join k using (pool)),
+    ls as (select pool, case when review_marked then 'quarantined' else 'held' end as state, count(*) as n, sum(units)::bigint as units from tickets group by all)
+    select 'instances.active' as instrument, 'definition_id=' || definition_id || ', definition_version=' || definition_version || ', status=' || status as tags, count(*) as value from projections
       where status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') group by all
     union all select 'instances.stuck', 'definition_id=' || definition_id, count(*) from projections where is_stuck group by all
     union all select 'waits.active', 'definition_id=' || p.definition_id || ', event_name=' || event_name, count(*) from active_waits join projections p using (instance_id) group by all
-    union all select 'outbox.records', 'state=' || state, count(*) from outbox group by all""")
+    union all select 'outbox.records', 'state=' || state, count(*) from outbox group by all
+    union all select * from lanes union all select 'dag', 'gauge=' || gauge, n from dag
+    union all select 'stream.events', '', sum(stream_version)::bigint from heads union all select 'checkpoints.count', '', count(*) from checkpoints
+    union all select 'checkpoints.lag', '', max(h.stream_version - coalesce(c.stream_version, 0)) from heads h left join checkpoints c using (stream_id)
+    union all select 'pool.waiters', 'pool=' || pool, queued from pl union all select 'pool.over_capacity_debt', 'pool=' || pool, debt from pl union all select 'pool.reconciliation_due', 'pool=' || pool, expired from pl
+    union all select 'pool.tickets', 'pool=' || pool || ', state=' || state, n from ls union all select 'pool.reserved_units', 'pool=' || pool || ', state=' || state, units from ls""")
 def fleet_gauges(spark, d):
-    return P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), adapt(spark, d, "outbox")).select("instrument", render_tags(F.col("tags")).alias("tags"), "value")
+    p, t, w = three(spark, d)
+    pool = pools.pool_management(p, t, w).join(pools.pool_snapshots(p, t, w).select("pool", "expired"), "pool").select("pool", "queued", "debt", "expired")
+    out = P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), adapt(spark, d, "outbox"), operational_pressure(spark, d), dag_pressure(spark, d), pool, pools.lease_gauges(t))
+    return out.select("instrument", render_tags(F.col("tags")).alias("tags"), "value")
 
 
 def _age(c: str) -> str:

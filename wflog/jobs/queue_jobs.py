@@ -122,7 +122,7 @@ def retention_plan(spark, d):
     return R.retention_plan(s, F.expr("timestamp_ntz '2001-09-01 00:00:00'"), F.expr("interval '900' day"), 1500).select("instance_id", "reason")
 
 
-BLOCK = """w as (select distinct user_id * 5 as instance_id from events union select instance_id from projections where instance_id % 6 = 0),
+BLOCK = """w as (select distinct user_id * 5 as instance_id from events union select instance_id from projections),
     i as (select distinct instance_id from inbox where state = 'Received'),
     o as (select instance_id, bool_or(state = 'Claimed') as c, bool_or(state in ('Pending', 'Retryable')) as p, bool_or(state = 'Poisoned') as x from outbox group by 1),
     b as (select w.instance_id, p.status, p.status is not null or h.stream_id is not null as "exists",
@@ -132,7 +132,7 @@ BLOCK = """w as (select distinct user_id * 5 as instance_id from events union se
 
 def blockers(spark, d):
     p, e = adapt(spark, d, "projections"), adapt(spark, d, "event_log")
-    want = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") * 5).alias("instance_id")).union(p.where("instance_id % 6 = 0").select("instance_id"))
+    want = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") * 5).alias("instance_id")).union(p.select("instance_id"))
     return p, R.maintenance_blockers(want, p, log.stream_heads(e), adapt(spark, d, "inbox"), adapt(spark, d, "outbox"))
 
 
@@ -144,12 +144,12 @@ def maintenance_blockers(spark, d):
     return blockers(spark, d)[1]
 
 
-@job("archive_instances", cte("projections") + f""", r as (select instance_id, case when status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') then 'Rejected' else 'Archived' end as result from projections where instance_id % 4 = 1
-    union all select -instance_id, 'NotFound' from projections where instance_id % 4 = 1 and instance_id > 0) select instance_id, result, case when result = 'Archived' then {AT_SQL} end as archived_at from r""")
+@job("archive_instances", cte("projections") + f""", r as (select instance_id, case when status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') then 'Rejected' else 'Archived' end as result from projections
+    union all select -1 - instance_id, 'NotFound' from projections) select instance_id, result, case when result = 'Archived' then {AT_SQL} end as archived_at from r""")
 def archive_instances(spark, d):
     p = adapt(spark, d, "projections")
-    ids = p.where("instance_id % 4 = 1").select("instance_id")
-    return R.archive_instances(ids.union(ids.select(-F.col("instance_id"))), p, at())
+    ids = p.select("instance_id")
+    return R.archive_instances(ids.union(ids.select(-1 - F.col("instance_id"))), p, at())
 
 
 @job("purge_instances", _TABLES + ", " + BLOCK + """, g as (select instance_id from b where "exists" and blocker = 'None')

@@ -56,10 +56,16 @@ def wait_durations(spark, d):
     return T.wait_durations(adapt(spark, d, E))
 
 
-@job("event_counters", cte(E) + """ select 'events' as counter, event_type as label, count(*) as n from event_log group by all union all select 'steps.completed', step_path, count(*) from event_log where event_type = 'StepCompleted' group by all
-    union all select 'steps.failed', step_path || '|' || error, count(*) from event_log where event_type = 'StepFailed' group by all""")
+_SEEN = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in T.OBSERVATIONS.items()) + " end"
+
+
+@job("event_counters", cte(E, "inbox") + f""", u as (select event_name, row_number() over w as rn, envelope_fingerprint = first_value(envelope_fingerprint) over w as same from inbox window w as (partition by event_id order by acceptance_sequence))
+    select 'events' as counter, event_type as label, count(*) as n from event_log group by all union all select 'steps.completed', step_path, count(*) from event_log where event_type = 'StepCompleted' group by all
+    union all select 'steps.failed', step_path || '|' || error, count(*) from event_log where event_type = 'StepFailed' group by all
+    union all select 'lifecycle', {_SEEN}, count(*) from event_log where {_SEEN} is not null group by all
+    union all select 'inbox.duplicates', event_name, count(*) from u where rn > 1 and same group by all""")
 def event_counters(spark, d):
-    return T.event_counters(adapt(spark, d, E))
+    return T.event_counters(adapt(spark, d, E), adapt(spark, d, "inbox"))
 
 
 _BOUNDS = ", ".join(f"({b})" for b in T.BOUNDS_MS)

@@ -137,42 +137,23 @@ def operation_receipts(operations: DataFrame) -> DataFrame:
     return operations.withColumn("result", F.when(F.row_number().over(w) == 1, "committed").when(same, "repeated").otherwise("DAG_INTEGRITY_CONFLICT"))
 
 
-def replay_run_leases(calls: DataFrame, wait_s: float = 30.0, lease_s: float = 5.0, turn_s: float = 15.0) -> DataFrame:
-    """Lease calls (run_id, seq, at_s, op acquire/renew/release, owner) in order, per run: a first-in first-out turn queue.
+def audit_run_leases(records: DataFrame, lease_s: float = 5.0, turn_s: float = 15.0) -> DataFrame:
+    """Recorded leases (run_id, seq, at_s, op acquired/renewed/released, owner, fence) held against the rules of a turn.
 
-    A free run goes to the longest waiting owner that has not waited too long; each grant raises the
-    fence; a lease ends after ``lease_s`` without renewal and ``turn_s`` at the latest.
+    A lease ends ``lease_s`` after its last renewal and ``turn_s`` after it began at the latest. acquired: FenceInvalid unless the fence is one
+    above the last, Overlap while another owner's lease runs; renewed and released: Stale unless the owner's lease runs; else Ok.
     """
-
-    def replay(key, pdf):
-        queue: list[tuple[str, float]] = []
-        holder, fence, ends, stop, out = None, 0, 0.0, 0.0, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            if holder is not None and r.at_s >= min(ends, stop):
-                holder = None
-            queue = [(o, t) for o, t in queue if r.at_s - t < wait_s or o == r.owner]
-            if r.op == "acquire":
-                if holder == r.owner:
-                    result = "granted"
-                else:
-                    if r.owner not in [o for o, _ in queue]:
-                        queue.append((r.owner, r.at_s))
-                    if holder is None and queue[0][0] == r.owner:
-                        queue.pop(0)
-                        holder, fence, ends, stop = r.owner, fence + 1, r.at_s + lease_s, r.at_s + turn_s
-                        result = "granted"
-                    else:
-                        result = "busy"
-            elif holder != r.owner:
-                result = "stale"
-            elif r.op == "renew":
-                ends, result = min(r.at_s + lease_s, stop), "renewed"
-            else:
-                holder, result = None, "released"
-            out.append((key[0], r.seq, r.owner, result, fence))
-        return pd.DataFrame(out, columns=["run_id", "seq", "owner", "result", "fence"])
-
-    return calls.groupBy("run_id").applyInPandas(replay, "run_id long, seq long, owner string, result string, fence long")
+    before = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    op, at = F.col("op"), F.col("at_s")
+    last = lambda test, value: F.last(F.when(test, value), ignorenulls=True).over(before)
+    acquired = op == "acquired"
+    rows = records.select("run_id", "seq", "at_s", "op", "owner", "fence", last(acquired, F.col("owner")).alias("holder"), last(acquired, F.col("fence")).alias("high"), last(acquired, at).alias("began"),
+        last(op.isin("acquired", "renewed"), at).alias("touched"), last(op.isin("acquired", "released"), op).alias("ended"))
+    runs = (F.col("ended") == "acquired") & (at < F.least(F.col("touched") + lease_s, F.col("began") + turn_s))
+    runs = F.coalesce(runs, F.lit(False))
+    own = F.col("holder").eqNullSafe(F.col("owner"))
+    result = F.when(acquired, F.when(F.col("fence") != F.coalesce("high", F.lit(0)) + 1, "FenceInvalid").when(runs & ~own, "Overlap").otherwise("Ok")).when(runs & own, "Ok").otherwise("Stale")
+    return rows.select("run_id", "seq", "owner", result.alias("result"))
 
 
 def node_inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -127,24 +127,35 @@ def partition_custom(items: DataFrame, scope: str, function: Callable[[pd.DataFr
     return items.groupBy(scope).applyInPandas(lambda pdf: pdf.assign(batch=function(pdf)), schema)
 
 
+FAILURE = "struct<code: string, message: string, exception_type: string>"
+
+
 def run_steps_with_retry(df: DataFrame, step: Callable[[dict], dict], max_attempts: int) -> DataFrame:
-    """The step called per row up to ``max_attempts`` times; a failed row keeps its state. No waiting between attempts."""
+    """The step called per row up to ``max_attempts`` times; a failed row keeps its state. No waiting between attempts.
+
+    Adds status, attempts (how many), outcomes (array of attempt, outcome, failure) and failure, that of the last attempt where all
+    failed. A failure's code is the exception's ``code`` where it has one. For steps with effects outside Spark, row by row; a pure step
+    is a column expression or ``then``.
+    """
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"status string, attempts int, outcomes array<struct<attempt: int, outcome: string, failure: {FAILURE}>>, failure {FAILURE}"])
+
+    def call(row: dict) -> list:
+        state, outcomes = row, []
+        for n in range(1, max_attempts + 1):
+            try:
+                state, failure = {**row, **step({**row, "attempt": n})}, None
+            except Exception as ex:  # noqa: BLE001  what a step raises is its outcome
+                failure = {"code": str(getattr(ex, "code", "STEP_FAILED")), "message": str(ex), "exception_type": type(ex).__name__}
+            outcomes.append({"attempt": n, "outcome": "Failed" if failure else "Succeeded", "failure": failure})
+            if not failure:
+                break
+        last = outcomes[-1] if outcomes else {"outcome": "Failed", "failure": {"code": "NO_ATTEMPT", "message": None, "exception_type": None}}
+        return [*(state[c] for c in names), last["outcome"], len(outcomes), outcomes, last["failure"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                state, error, n = row, None, 0
-                for n in range(1, max_attempts + 1):
-                    try:
-                        state, error = {**row, **step({**row, "attempt": n})}, None
-                        break
-                    except Exception as ex:  # noqa: BLE001  what a step raises is its outcome
-                        error = f"{type(ex).__name__}: {ex}"
-                out.append([*(state[c] for c in names), "Failed" if error else "Succeeded", n, error])
-            yield pd.DataFrame(out, columns=[*names, "status", "attempts", "error"])
+            yield pd.DataFrame([call(row) for row in b.to_dict("records")], columns=[*names, "status", "attempts", "outcomes", "failure"])
 
     return df.mapInPandas(run, schema)
 

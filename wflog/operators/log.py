@@ -287,9 +287,10 @@ def verify_checksums(records: DataFrame) -> DataFrame:
 
 def definition_bindings(registrations: DataFrame) -> DataFrame:
     """(definition_id, definition_version, seq, fingerprint) -> registered, repeated or conflict (with both fingerprints)."""
-    rows = _first_binding(registrations, ["definition_id", "definition_version"], ["seq"], ["fingerprint"])
-    result = F.when(F.col("_rn") == 1, "registered").when(F.col("fingerprint") == F.col("bound_fingerprint"), "repeated").otherwise("conflict")
-    return rows.select("definition_id", "definition_version", "seq", result.alias("result"), F.col("bound_fingerprint").alias("existing"), F.col("fingerprint").alias("attempted"))
+    first = registrations.groupBy("definition_id", "definition_version").agg(F.min(F.struct("seq", "fingerprint")).alias("first"))  # combined map-side: a definition may have very many registrations
+    rows = registrations.join(first, ["definition_id", "definition_version"])
+    result = F.when(F.col("seq") == F.col("first.seq"), "registered").when(F.col("fingerprint") == F.col("first.fingerprint"), "repeated").otherwise("conflict")
+    return rows.select("definition_id", "definition_version", "seq", result.alias("result"), F.col("first.fingerprint").alias("existing"), F.col("fingerprint").alias("attempted"))
 
 
 def unregistered(instances: DataFrame, registrations: DataFrame) -> DataFrame:

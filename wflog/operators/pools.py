@@ -1,8 +1,7 @@
-"""Resource pools: snapshots, accounting, replay of requests."""
+"""Resource pools: snapshots, accounting, audit of the recorded grants."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,60 +24,24 @@ def pool_management(pools: DataFrame, tickets: DataFrame, waiters: DataFrame) ->
     return out.select("pool", reserved.alias("reserved"), F.greatest(F.lit(0), reserved - F.col("capacity")).cast("long").alias("debt"), F.coalesce("queued", F.lit(0)).alias("queued"), "oldest_review")
 
 
-def replay_pool_requests(requests: DataFrame, capacities: dict | None = None, grant: str = "skip") -> DataFrame:
-    """Acquire and release requests in order, per governance partition.
+def audit_pool_log(records: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Recorded acquires and releases (pool, seq, holder, op, units) held against the pools' capacities: used units after each, and a result.
 
-    requests: (partition_id, seq, op, holder, pools array<string>, units array<int>, capacities map<string, int>).
-    acquire: an unknown pool is Rejected, a holder that already has its units is Granted, all pools fit is Granted, else Queued.
-    release: the holder's tickets and waiter go, then waiters are granted in order of their request; ``skip``
-    passes over one that does not fit, ``fifo`` stops there. Partitions are independent, a partition is sequential by its nature.
+    acquire: Rejected (unknown pool), Repeated (the holder has units already; nothing changes), Overcommitted or Granted.
+    release: Released, or NotHeld. A holder has what it acquired first since its last release. Windows in the order of the log, by holder and by pool.
     """
-
-    def replay(key, pdf):
-        cap: dict[str, int] = {}
-        held: dict[str, dict[str, int]] = {}
-        waiting: dict[str, tuple[int, dict[str, int]]] = {}
-        used: dict[str, int] = {}
-        out = []
-
-        def fits(need: dict[str, int]) -> bool:
-            return all(used.get(p, 0) + u <= cap[p] for p, u in need.items())
-
-        def take(holder: str, need: dict[str, int]) -> None:
-            held[holder] = need
-            for p, u in need.items():
-                used[p] = used.get(p, 0) + u
-
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            cap.update(dict(r.capacities or {}))
-            need = dict(zip(r.pools if r.pools is not None else (), (int(u) for u in (r.units if r.units is not None else ())), strict=False))
-            if r.op == "acquire":
-                if any(p not in cap for p in need):
-                    result = "Rejected"
-                elif held.get(r.holder) == need:
-                    result = "Granted"
-                elif r.holder not in held and r.holder not in waiting and fits(need):
-                    take(r.holder, need)
-                    result = "Granted"
-                else:
-                    waiting.setdefault(r.holder, (r.seq, need))
-                    result = "Queued"
-                out.append((key[0], r.seq, r.holder, result))
-                continue
-            waiting.pop(r.holder, None)
-            for p, u in held.pop(r.holder, {}).items():
-                used[p] -= u
-            out.append((key[0], r.seq, r.holder, "Released"))
-            for holder, (_, want) in sorted(waiting.items(), key=lambda x: (x[1][0], x[0])):
-                if fits(want):
-                    take(holder, want)
-                    del waiting[holder]
-                    out.append((key[0], r.seq, holder, "GrantedLater"))
-                elif grant == "fifo":
-                    break
-        return pd.DataFrame(out, columns=["partition_id", "seq", "holder", "result"])
-
-    return requests.groupBy("partition_id").applyInPandas(replay, "partition_id long, seq long, holder string, result string")
+    mine = Window.partitionBy("pool", "holder").orderBy("seq")
+    acquire = F.col("op") == "acquire"
+    rows = records.join(capacities.select("pool", "capacity"), "pool", "left").withColumn("has", F.lag("op").over(mine).eqNullSafe(F.lit("acquire")))
+    rows = rows.withColumn("held", F.last(F.when(acquire & ~F.col("has"), F.col("units")), ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1)))
+    unknown = F.col("capacity").isNull()
+    delta = F.when(unknown, 0).when(acquire & ~F.col("has"), F.col("units")).when(~acquire & F.col("has"), -F.col("held")).otherwise(0)
+    rows = rows.withColumn("used", F.sum(delta).over(Window.partitionBy("pool").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    result = (
+        F.when(acquire, F.when(unknown, "Rejected").when(F.col("has"), "Repeated").when(F.col("used") > F.col("capacity"), "Overcommitted").otherwise("Granted"))
+        .when(F.col("has") & ~unknown, "Released").otherwise("NotHeld")
+    )
+    return rows.select("pool", "seq", "holder", "used", result.alias("result"))
 
 
 def mark_ticket_review(tickets: DataFrame, at: Column) -> DataFrame:

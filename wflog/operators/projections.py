@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 ACTIVE = ("Pending", "Running", "Waiting", "CancellationRequested")
 STUCK_CANDIDATES = ("Pending", "Running", "CancellationRequested")
-DAG_KINDS = ("dag-run-ready-v1", "dag-child-cancel-v1", "dag-child-start-v1", "dag-observer-v1")
+DAG_KINDS = ("dag-child-start-v1", "dag-child-join-v1", "dag-child-cancel-v1", "dag-run-ready-v1")
 OUTBOX_STATES = ("Pending", "Retryable", "Claimed", "Poisoned")
 
 
@@ -76,14 +76,19 @@ def operational_pressure(projections: DataFrame, waits: DataFrame, heads: DataFr
     return p.crossJoin(w).crossJoin(e).crossJoin(o)  # four rows of one
 
 
-def dag_pressure(runs: DataFrame, nodes: DataFrame, outbox: DataFrame, cutoff: Column) -> DataFrame:
-    """(gauge, n): active and stuck runs and the DAG outbox by lane and state."""
-    live = runs.where(~F.col("state").isin("Succeeded", "Failed", "Cancelled"))
-    active = live.agg(F.lit("active").alias("gauge"), F.count("*").alias("n"))
+def dag_pressure(runs: DataFrame, nodes: DataFrame, outbox: DataFrame, subscriptions: DataFrame, cutoff: Column, at: Column) -> DataFrame:
+    """(gauge, n): active and stuck runs, event and checkpoint totals, live and expired observers, the DAG outbox by lane and state.
+
+    A notice that a run is ready is the observer lane's when it has a recipient; a run has one checkpoint and as many events as its version.
+    """
+    live = ~F.col("state").isin("Succeeded", "Failed", "Cancelled")
+    r = runs.agg(F.count_if(live).alias("active"), F.coalesce(F.sum("version"), F.lit(0)).alias("events"), F.count("*").alias("checkpoints"))
+    s = subscriptions.agg(F.count_if(F.col("expires_at") > at).alias("observers:live"), F.count_if(F.col("expires_at") <= at).alias("observers:expired"))
+    tall = lambda f: f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("gauge"), F.col(f"`{c}`").cast("long").alias("n")) for c in f.columns])).alias("x")).select("x.*")
     stuck = mark_stuck_dag_runs(runs, nodes, cutoff).where("is_stuck").agg(F.lit("stuck").alias("gauge"), F.count("*").alias("n"))
-    lane = F.when(F.col("kind") == "dag-observer-v1", "observer").otherwise("internal")
+    lane = F.when((F.col("kind") == "dag-run-ready-v1") & F.col("recipient_host_id").isNotNull(), "observer").otherwise("internal")
     lanes = outbox.where(F.col("kind").isin(*DAG_KINDS)).groupBy(F.concat_ws(":", F.lit("outbox"), lane, F.col("state")).alias("gauge")).agg(F.count("*").alias("n"))
-    return active.unionByName(stuck).unionByName(lanes)
+    return reduce(DataFrame.unionByName, [tall(r), stuck, tall(s), lanes])
 
 
 def mark_stuck_dag_runs(runs: DataFrame, nodes: DataFrame, cutoff: Column) -> DataFrame:
@@ -93,14 +98,27 @@ def mark_stuck_dag_runs(runs: DataFrame, nodes: DataFrame, cutoff: Column) -> Da
     return runs.join(ready, "run_id", "left").withColumn("is_stuck", live & F.col("_ready").isNotNull()).drop("_ready")
 
 
-def fleet_gauges(projections: DataFrame, waits: DataFrame, outbox: DataFrame) -> DataFrame:
-    """Long table (instrument, tags, value)."""
+def fleet_gauges(projections: DataFrame, waits: DataFrame, outbox: DataFrame, pressure: DataFrame, dag: DataFrame, pools: DataFrame, leases: DataFrame) -> DataFrame:
+    """Long table (instrument, tags, value).
+
+    ``pressure``: the row of ``operational_pressure``; ``dag``: ``dag_pressure``; ``pools``: (pool, queued, debt, expired); ``leases``: (pool, state, n, units).
+    """
     tag = lambda *c: F.create_map(*[x for k in c for x in (F.lit(k), F.col(k).cast("string"))])
+    no_tags = F.expr("cast(map() as map<string, string>)")
+    row = lambda name, tags, value: F.struct(F.lit(name).alias("instrument"), tags.alias("tags"), value.cast("long").alias("value"))
+    unfold = lambda f, rows: f.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    lane = lambda n, s: F.create_map(F.lit("lane"), F.lit(n), F.lit("state"), F.lit(s))
+    queues = [row("outbox.lanes", lane(n, s), F.col(f"{n}_{s.lower()}")) for n in ("continuation", "external") for s in OUTBOX_STATES]
+    totals = [row(name, no_tags, F.col(c)) for name, c in (("stream.events", "stream_events"), ("checkpoints.count", "checkpoints"), ("checkpoints.lag", "max_lag"))]
     parts = [
         status_groups(projections.where(F.col("status").isin(*ACTIVE))).select(F.lit("instances.active").alias("instrument"), tag("definition_id", "definition_version", "status").alias("tags"), F.col("n").alias("value")),
         stuck_groups(projections).select(F.lit("instances.stuck").alias("instrument"), tag("definition_id").alias("tags"), F.col("n").alias("value")),
         active_wait_groups(projections, waits).select(F.lit("waits.active").alias("instrument"), tag("definition_id", "event_name").alias("tags"), F.col("n").alias("value")),
         outbox.groupBy("state").agg(F.count("*").alias("value")).select(F.lit("outbox.records").alias("instrument"), tag("state").alias("tags"), "value"),
+        unfold(pressure, queues + totals),
+        dag.select(F.lit("dag").alias("instrument"), tag("gauge").alias("tags"), F.col("n").alias("value")),
+        unfold(pools, [row(f"pool.{n}", tag("pool"), F.col(c)) for n, c in (("waiters", "queued"), ("over_capacity_debt", "debt"), ("reconciliation_due", "expired"))]),
+        unfold(leases, [row(f"pool.{n}", tag("pool", "state"), F.col(c)) for n, c in (("tickets", "n"), ("reserved_units", "units"))]),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import render_tags
+from .inbox import classify_acceptance
 
 #: Upper bounds of latency buckets in milliseconds: fixed values.
 BOUNDS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000)
@@ -46,12 +47,14 @@ OBSERVATIONS = {
 }
 
 
+def lifecycle_name(event_type: Column) -> Column:
+    """What an operator sees of an event, null for kinds that are none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in OBSERVATIONS.items() for x in pair]), event_type)
+
+
 def lifecycle_observations(events: DataFrame) -> DataFrame:
     """Events with ``observation`` (null for kinds that are none), the step of step events, the error of failures."""
-    name = None
-    for kind, seen in OBSERVATIONS.items():
-        test = F.col("event_type") == kind
-        name = F.when(test, seen) if name is None else name.when(test, seen)
+    name = lifecycle_name(F.col("event_type"))
     step = F.col("event_type").isin("StepCompleted", "StepFailed")
     return events.select("stream_id", "version", "occurred_at", "event_type", name.alias("observation"), F.when(step, F.col("step_path")).alias("step_path"), F.when(F.col("event_type") == "StepFailed", F.col("error")).alias("error_kind"))
 
@@ -66,14 +69,23 @@ def wait_durations(events: DataFrame) -> DataFrame:
     return rows.where(~is_reg & F.col("at").isNotNull()).select("stream_id", "version", "wait_id", F.col("name").alias("event_name"), F.greatest(F.lit(0), us("occurred_at") - us("at")).alias("micros"))
 
 
-def event_counters(events: DataFrame) -> DataFrame:
-    """(counter, label, n): events by type, completed steps by path, failed steps by path and error; one pass over the log."""
+def event_counters(events: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
+    """(counter, label, n): events by type, completed steps by path, failed steps by path and error, lifecycle events by name; one pass over the log.
+
+    ``inbox``: accepted envelopes; what repeats an earlier one is counted as a duplicate by its event's name.
+    """
+    seen = lifecycle_name(F.col("event_type"))
     labels = F.array(
         F.struct(F.lit("events").alias("counter"), F.col("event_type").alias("label")),
         F.when(F.col("event_type") == "StepCompleted", F.struct(F.lit("steps.completed").alias("counter"), F.col("step_path").alias("label"))),
         F.when(F.col("event_type") == "StepFailed", F.struct(F.lit("steps.failed").alias("counter"), F.concat_ws("|", "step_path", "error").alias("label"))),
+        F.when(seen.isNotNull(), F.struct(F.lit("lifecycle").alias("counter"), seen.alias("label"))),
     )
-    return events.select(F.explode(labels).alias("x")).where("x is not null").groupBy("x.counter", "x.label").agg(F.count("*").alias("n"))
+    out = events.select(F.explode(labels).alias("x")).where("x is not null").groupBy("x.counter", "x.label").agg(F.count("*").alias("n"))
+    if inbox is None:
+        return out
+    twice = classify_acceptance(inbox).where("result = 'Duplicate'").join(inbox.select("acceptance_sequence", "event_name"), "acceptance_sequence")
+    return out.unionByName(twice.groupBy(F.lit("inbox.duplicates").alias("counter"), F.col("event_name").alias("label")).agg(F.count("*").alias("n")))
 
 
 def latency_histogram(points: DataFrame, series: str, value: str) -> DataFrame:

@@ -264,3 +264,40 @@ def test_one_graph_of_a_million_nodes(spark):
     e = n.where("ordinal > 0").select("run_id", "ordinal", F.floor((F.col("ordinal") - 1) / 2).cast("int").alias("dep_ordinal"))
     assert dag.topological_waves(n, e).agg(F.max("wave"), F.count("*")).first()[:] == (19, 1_000_000)
     assert dag.blocked_closure(n, e).where("state = 'DependencyBlocked'").count() == sum(min(2**k, max(0, 1_000_000 - (2 ** (k + 1) - 1))) for k in range(1, 20))
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_stream_matching_equals_its_batch_twin(spark, tmp_path, files):
+    from wflog.streaming import streams
+
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randint(0, 5)}", rnd.choice(("wait", "event")), f"{i:04d}", at(60 * i + rnd.randint(0, 240)), rnd.choice((60_000, 600_000))) for i in range(400)]
+    schema = "key string, kind string, id string, at timestamp, timeout_ms long"
+    for k in range(files):  # one file after the other, each in any order
+        part = rows[k * 400 // files : (k + 1) * 400 // files]
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    got = streams.run_available(streams.stream_match_waits(live, "10 minutes", 1_800_000)).collect()
+    every = spark.createDataFrame(rows, schema)
+    upto = every.agg(F.max(F.unix_millis("at"))).first()[0] - 600_000
+    want = streams.match_waits(every, upto, 1_800_000).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r.outcome for r in got} == {"matched", "timed_out", "unmatched"}
+
+
+def test_projection_sink_rewrites_touched_buckets(spark, tmp_path):
+    from wflog.streaming import streams
+
+    schema, path, inp = "instance_id long, stream_version long, status string", str(tmp_path / "out"), str(tmp_path / "in")
+    live = spark.readStream.schema(schema).parquet(inp)
+    want: dict[int, tuple] = {}
+    for step, rows in enumerate(([(i, 1, "a") for i in range(50)], [(3, 2, "b"), (4, 1, "a")], [(3, 1, "old"), (60, 1, "new"), (3, 3, "c")], [(3, 4, "d")])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inp)
+        streams.stream_projection_sink(live, path, str(tmp_path / "state")).awaitTermination()
+        for i, v, s in rows:
+            want[i] = max(want.get(i, (0, "")), (v, s))
+        now = streams.latest_projection(spark, path, live.schema).collect()
+        assert {r.instance_id: (r.stream_version, r.status) for r in now} == want
+        assert step == 0 or len({r.bucket for r in now if r.v == step}) == len({i for i, _, _ in rows})
+    kept = spark.read.schema(streams._with_places(live.schema)).parquet(path).where("instance_id = 3").select("v").distinct().count()
+    assert kept <= 2

@@ -91,4 +91,4 @@ def stream_projection_sink(spark, d):
     rows = live(spark, d, E).select(F.col("stream_id").alias("instance_id"), F.col("version").alias("stream_version"), F.col("event_type").alias("status"))
     path = new_path(spark, "projection")
     S.stream_projection_sink(rows, path, new_path(spark, "projection-state")).awaitTermination()
-    return S.latest_projection(spark, path, rows.schema)
+    return S.latest_projection(spark, path, rows.schema).drop("v", "bucket")

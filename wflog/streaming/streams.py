@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.log import FOLD, apply_event, new_state
@@ -119,45 +120,71 @@ def first_within_watermark(events: DataFrame, delay: str = "1 hour") -> DataFram
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def match_step(q: dict, rows: list[dict], watermark_ms: int) -> list[tuple]:
-    """Waits and events of one key in time order: first in, first out; a wait past its deadline times out. q: open waits and pending events."""
+def match_step(q: dict, rows: list[dict], now_ms: int, keep_ms: int) -> list[tuple]:
+    """Waits and events of one key in time order: first in, first out.
+
+    A wait past its deadline is timed out, an event that nobody waited for within ``keep_ms`` is unmatched. q: open waits
+    (id, deadline) and pending events (id, deadline).
+    """
     out = []
 
     def expire(now: int) -> None:
-        while q["waits"] and q["waits"][0][1] <= now:
-            out.append((q["waits"].pop(0)[0], None, "timed_out"))
+        for kind, outcome in (("waits", "timed_out"), ("events", "unmatched")):
+            late = [x for x, end in q[kind] if end <= now]
+            if late:
+                out.extend((x, None, outcome) if kind == "waits" else (None, x, outcome) for x in late)
+                q[kind] = [x for x in q[kind] if x[1] > now]
 
     for r in sorted(rows, key=lambda r: (r["ms"], r["kind"], r["id"])):
         expire(r["ms"])
-        if r["kind"] == "event":
-            if q["waits"]:
-                out.append((q["waits"].pop(0)[0], r["id"], "matched"))
-            else:
-                q["events"].append(r["id"])
-        elif q["events"]:
-            out.append((r["id"], q["events"].pop(0), "matched"))
+        mine, others, end = ("events", "waits", r["ms"] + keep_ms) if r["kind"] == "event" else ("waits", "events", r["ms"] + r["timeout_ms"])
+        if q[others]:
+            other = q[others].pop(0)[0]
+            out.append((other, r["id"], "matched") if mine == "events" else (r["id"], other, "matched"))
         else:
-            q["waits"].append((r["id"], r["ms"] + r["timeout_ms"]))
-    expire(watermark_ms)
+            q[mine].append([r["id"], end])
+    expire(now_ms)
     return out
 
 
 _MATCHED = "wait_id string, event_id string, outcome string"
 
 
-def _match_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    q = _load(state, lambda: {"waits": [], "events": []})
-    rows = [r for pdf in batches for r in pdf.assign(ms=[millis(t) for t in pdf["at"]])[["kind", "id", "ms", "timeout_ms"]].to_dict("records")]
-    out = match_step(q, rows, state.getCurrentWatermarkMs())
-    state.update((json.dumps(q),))
-    if q["waits"]:
-        state.setTimeoutTimestamp(max(q["waits"][0][1], state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["wait_id", "event_id", "outcome"])
+def _match_group(keep_ms: int):
+    def group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        q = _load(state, lambda: {"waits": [], "events": [], "held": []})
+        held = q.pop("held") + [r for pdf in batches for r in pdf.assign(ms=[millis(t) for t in pdf["at"]])[["kind", "id", "ms", "timeout_ms"]].to_dict("records")]
+        now = state.getCurrentWatermarkMs()
+        out = match_step(q, [r for r in held if r["ms"] <= now], now, keep_ms)
+        held = [r for r in held if r["ms"] > now]
+        times = [r["ms"] for r in held] + [end for kind in ("waits", "events") for _, end in q[kind]]
+        if times:
+            state.update((json.dumps({**q, "held": held}),))
+            state.setTimeoutTimestamp(max(min(times), now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["wait_id", "event_id", "outcome"])
+
+    return group
+
+
+def stream_match_waits(rows: DataFrame, delay: str = "10 minutes", keep_ms: int = 86_400_000) -> DataFrame:
+    """(key, kind wait or event, id, at, timeout_ms) -> matched and timed out waits and unmatched events, first in first out per key.
+
+    Rows are held until the watermark passes them, so the result doesn't depend on how the input is cut into batches, as long as no row
+    comes later than ``delay``. What is held, open or pending leaves the state by its deadline.
+    """
+    return rows.withWatermark("at", delay).groupBy("key").applyInPandasWithState(_match_group(keep_ms), _MATCHED, "q string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def match_waits(rows: DataFrame, upto_ms: int, keep_ms: int = 86_400_000) -> DataFrame:
+    """The batch twin: what ``stream_match_waits`` has given once the watermark stands at ``upto_ms``."""
 
+    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf.assign(ms=[millis(t) for t in pdf["at"]])[["kind", "id", "ms", "timeout_ms"]].to_dict("records")
+        return pd.DataFrame(match_step({"waits": [], "events": []}, [r for r in mine if r["ms"] <= upto_ms], upto_ms, keep_ms), columns=["wait_id", "event_id", "outcome"])
 
-def stream_match_waits(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(key, kind wait or event, id, at, timeout_ms) -> matched and timed out waits, first in first out per key."""
-    return rows.withWatermark("at", delay).groupBy("key").applyInPandasWithState(_match_group, _MATCHED, "q string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").applyInPandas(group, _MATCHED)
 
 
 def _timer_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -225,23 +252,42 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10
     return s.select("instance_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
 
 
-def stream_projection_sink(changes: DataFrame, path: str, checkpoint: str):
-    """Summaries (instance_id, stream_version, ..) upserted batch after batch into new folders; a version never goes back, a repeated batch changes nothing."""
-    schema = changes.schema
+def _with_places(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+
+def latest_projection(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The newest version of each bucket that the sink wrote (versions below ``before`` only, where given)."""
+    rows = spark.read.schema(_with_places(schema)).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("v") < before)
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row per bucket, their number is fixed
+    return rows.join(F.broadcast(newest), ["bucket", "v"]).select(*schema.names, "v", "bucket")
+
+
+def stream_projection_sink(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Summaries (instance_id, stream_version, ..) upserted batch after batch; a version never goes back, a repeated batch changes nothing.
+
+    Rows live in ``buckets`` by a hash of the instance; a batch rewrites the buckets that it touches, as a new version, and removes
+    those of their versions that a repeat of the batch can't need any more.
+    """
+    schema = T.StructType(changes.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/v={number - 1}"))
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        rows, old = batch, {}
+        if number and touched:
+            known = latest_projection(spark, path, schema, number).where(F.col("bucket").isin(touched))
+            old = {r["bucket"]: r["v"] for r in known.groupBy("bucket").agg(F.max("v").alias("v")).collect()}
+            rows = rows.unionByName(known.drop("v"))
         w = Window.partitionBy("instance_id").orderBy(F.desc("stream_version"), *[c for c in schema.names if c not in ("instance_id", "stream_version")])
-        rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        batch.unpersist()
+        for bucket, v in old.items():
+            for earlier in range(v):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={earlier}/bucket={bucket}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-
-
-def latest_projection(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest version that the sink wrote."""
-    rows = spark.read.schema(schema.add("v", "long")).parquet(path)
-    newest = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == F.lit(newest)).drop("v")

@@ -87,15 +87,49 @@ def run_outcome(spark, d):
     return D.run_outcome(adapt(spark, d, "dag_runs"), adapt(spark, d, "dag_nodes"))
 
 
-RECORDS = """select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) + case when user_id % 7 = 0 and event_id % 50 = 0 then 1 else 0 end as stream_version,
-  case when row_number() over (partition by user_id order by ts, event_id) = 1 then 'Created' when event_id % 199 = 0 then 'CancellationRequested' when event_id % 397 = 0 then 'Terminal' when event_id % 311 = 0 then 'IntegrityFaulted' else 'ChildJoined' end as kind,
-  case when event_id % 199 = 0 then 'CancellationRequested' when event_id % 397 = 0 then 'Succeeded' end as state, cast(event_id % 6 as int) as ordinal, case event_type when 'error' then 'Failed' else 'Succeeded' end as node_state from {events}"""
-
-
-@job("fold_dag_runs")
+#: A user's events in runs of 14: creation, six admissions and joins in turn, the end; some are put out of place.
+RECORDS = """select run_id, cast(p + case when event_id % 211 = 0 then 1 else 0 end as bigint) as stream_version,
+  case when p = 1 then 'Created' when event_id % 97 = 0 then 'CancellationRequested' when event_id % 199 = 0 then 'IntegrityFaulted' when p = 14 then 'Terminal' when p % 2 = 0 then 'InputAdmitted' else 'ChildJoined' end as kind,
+  case when p > 1 and event_id % 97 = 0 then 'CancellationRequested' when p = 14 then case when lost then 'Failed' else 'Succeeded' end end as state,
+  cast(floor((p - 2) / 2.0) as int) as ordinal, case when p % 2 = 0 then 'StartAuthorized' when event_type = 'error' then 'Failed' else 'Succeeded' end as node_state
+from (select *, max(case when p > 1 and p % 2 = 1 and event_type = 'error' then 1 else 0 end) over (partition by run_id) = 1 as lost
+  from (select cast(user_id * 1000 + floor((rn - 1) / 14.0) as bigint) as run_id, (rn - 1) % 14 + 1 as p, event_id, event_type
+    from (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from {events}) x) y) z"""
+
+_OPEN, _LIVE, _ENDED = "('Pending', 'Ready', 'StartAuthorized')", "('Pending', 'Ready', 'StartAuthorized', 'CancellationRequested')", "('Succeeded', 'Failed', 'Cancelled')"
+
+
+def _had(*groups: str) -> str:
+    return ", ".join(f"coalesce(sum({g}) over w, 0) as had_{g}" for g in groups)
+
+
+@job("fold_dag_runs", f"with rec as ({RECORDS.format(events='events')})" + f""", r as (select *, row_number() over (partition by run_id order by stream_version, kind) as pos,
+      case kind when 'Created' then 'Running' when 'CancellationRequested' then state when 'Terminal' then state when 'IntegrityFaulted' then 'IntegrityFault' end as after from rec),
+    rb as (select *, last_value(after ignore nulls) over (partition by run_id order by pos rows between unbounded preceding and 1 preceding) as before from r),
+    c0 as (select run_id, pos, kind, before, o::int as ordinal, 'Ready' as new, null as child from rb, range(6) x(o) where kind = 'Created'
+      union all select run_id, pos, kind, before, ordinal, node_state, 'child-' || ordinal from rb where kind in ('InputAdmitted', 'ChildJoined')),
+    c as (select *, lag(new) over n as old, lead(pos) over n as until, last_value(child ignore nulls) over (partition by run_id, ordinal order by pos rows between unbounded preceding and 1 preceding) as old_child from c0 window n as (partition by run_id, ordinal order by pos)),
+    cf as (select run_id, pos, case when kind <> 'Created' and old is null then 'node ordinal' when child <> old_child then 'child rewritten'
+      when not coalesce(case kind when 'Created' then true when 'InputAdmitted' then before = 'Running' and old = 'Ready' and new = 'StartAuthorized' else old in ('StartAuthorized', 'CancellationRequested') end, false) then 'node transition' end as rule from c),
+    low as (select distinct a.run_id, a.pos, 'not the lowest ready node' as rule from c a join c i on i.run_id = a.run_id and i.ordinal < a.ordinal and i.pos < a.pos and (i.until is null or i.until >= a.pos) where a.kind = 'InputAdmitted' and i.new = 'Ready'),
+    per as (select run_id, pos, count(*) as n, count(*) filter (new in {_ENDED}) as ended, count(*) filter (old is null) as fresh, sum((new in {_OPEN})::int - coalesce(old in {_OPEN}, false)::int) as open,
+      sum((new in {_LIVE})::int - coalesce(old in {_LIVE}, false)::int) as live, sum((new = 'Succeeded')::int - coalesce(old = 'Succeeded', false)::int) as ok from c group by 1, 2),
+    s as (select rb.*, coalesce(n, 0) as n, coalesce(ended, 0) as ended, {_had('fresh', 'open', 'live', 'ok')} from rb left join per using (run_id, pos) window w as (partition by run_id order by pos rows between unbounded preceding and 1 preceding)),
+    rf as (select run_id, pos, case when stream_version <> pos or (kind = 'Created') <> (pos = 1) then 'version or kind' when before in {_ENDED} then 'terminal barrier'
+      when kind = 'ChildJoined' and (ended <> 1 or (before = 'CancellationRequested' and n <> 1)) then 'one child per join' when kind = 'CancellationRequested' and (state <> 'CancellationRequested' or n <> had_open) then 'incomplete cancel barrier'
+      when kind = 'Terminal' and (had_live > 0 or state <> case when before = 'CancellationRequested' then 'Cancelled' when had_ok = had_fresh then 'Succeeded' else 'Failed' end) then 'terminal outcome'
+      when kind in ('InputAdmitted', 'ChildJoined') and state <> before then 'implicit state change' end as rule from s),
+    f as (select run_id, min(struct_pack(pos := pos, rule := rule)) as f from (select * from cf union all select * from low union all select * from rf) where rule is not null group by 1),
+    g as (select rb.run_id, max(pos) filter (f is null or pos < f.pos) as version, arg_max(after, pos) filter ((f is null or pos < f.pos) and after is not null) as state, any_value(f.rule) as rule from rb left join f using (run_id) group by 1),
+    nd as (select run_id, string_agg(ordinal || ':' || node, ',' order by ordinal) as nodes from (select c.run_id, ordinal, arg_max(new, pos) as node from c left join f using (run_id) where f is null or pos < f.pos group by 1, 2) group by 1)
+    select run_id, state, coalesce(version, 0) as version, case when rule is not null then 'DAG_PROTOCOL_INVALID' end as fault, rule, coalesce(nodes, '') as nodes from g left join nd using (run_id)""")
 def fold_dag_runs(spark, d):
     r = spark.sql(RECORDS, events=spark.read.parquet(f"{d}/events.parquet"))
-    return D.fold_dag_runs(r.select("run_id", "stream_version", "kind", "state", F.array(F.struct("ordinal", F.col("node_state").alias("state"))).alias("changes")))
+    change = lambda ordinal, state, child: F.struct(ordinal.alias("ordinal"), state.alias("state"), child.cast("string").alias("child_id"))
+    every = F.array(*[change(F.lit(i), F.lit("Ready"), F.lit(None)) for i in range(6)])
+    one = F.array(change(F.col("ordinal"), F.col("node_state"), F.concat(F.lit("child-"), F.col("ordinal").cast("string"))))
+    changes = F.when(F.col("kind") == "Created", every).when(F.col("kind").isin("InputAdmitted", "ChildJoined"), one)
+    return D.fold_dag_runs(r.select("run_id", "stream_version", "kind", "state", changes.alias("changes")))
 
 
 @job("discover_runs", cte("dag_runs") + " select run_id, creation_sequence, state from dag_runs where state in ('Running', 'CancellationRequested', 'IntegrityFault') and creation_sequence > 5000 order by creation_sequence, run_id limit 1000")

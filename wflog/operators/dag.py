@@ -87,31 +87,114 @@ def run_outcome(runs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 RECORDS = ("Created", "InputAdmitted", "MappingFailed", "ChildJoined", "CancellationRequested", "Terminal", "IntegrityFaulted", "PoisonReconciled")
-
-
-def fold_dag_runs(records: DataFrame) -> DataFrame:
-    """Run records (run_id, stream_version, kind, state, changes array<struct(ordinal, state)>) in order -> state, versions, node states or the first violation."""
-
-    def fold(key, pdf):
-        state, version, fault, nodes = None, 0, None, {}
-        for r in pdf.sort_values("stream_version").itertuples(index=False):
-            bad = r.stream_version != version + 1 or r.kind not in RECORDS or (r.kind == "Created") != (version == 0) or state in ("Succeeded", "Failed", "Cancelled")
-            if bad:
-                fault = "DAG_PROTOCOL_INVALID"
-                break
-            version = r.stream_version
-            for c in r.changes if r.changes is not None else ():
-                nodes[c["ordinal"]] = c["state"]
-            if r.kind == "Created":
-                state = "Running"
-            elif r.kind in ("CancellationRequested", "Terminal", "PoisonReconciled"):
-                state = r.state
-            elif r.kind == "IntegrityFaulted":
-                state = "IntegrityFault"
-        text = ",".join(f"{o}:{s}" for o, s in sorted(nodes.items()))
-        return pd.DataFrame([[key[0], state, int(version), fault, text]], columns=["run_id", "state", "version", "fault", "nodes"])
-
-    return records.groupBy("run_id").applyInPandas(fold, "run_id long, state string, version long, fault string, nodes string")
+ENDED = ("Succeeded", "Failed", "Cancelled")
+
+
+def _record_changes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records with their place and the run's state before them, node changes with the node's state before them)."""
+    order = Window.partitionBy("run_id").orderBy("stream_version", "kind")
+    kind = F.col("kind")
+    after = F.when(kind == "Created", "Running").when(kind.isin("CancellationRequested", "Terminal", "PoisonReconciled"), F.col("state")).when(kind == "IntegrityFaulted", "IntegrityFault")
+    r = records.withColumn("pos", F.row_number().over(order)).withColumn("after", after)
+    r = r.withColumn("before", F.last("after", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    c = r.select("run_id", "pos", "kind", "before", F.explode("changes").alias("c")).select("run_id", "pos", "kind", "before", "c.ordinal", F.col("c.state").alias("new"), "c.child_id")
+    node = Window.partitionBy("run_id", "ordinal").orderBy("pos")
+    c = c.withColumn("old", F.lag("new").over(node)).withColumn("until", F.lead("pos").over(node))
+    return r, c.withColumn("old_child", F.last("child_id", ignorenulls=True).over(node.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _change_faults(c: DataFrame) -> DataFrame:
+    """(run_id, pos, rule) of node changes that their kind of record doesn't allow."""
+    kind, old, new, before = (F.col(x) for x in ("kind", "old", "new", "before"))
+    open_ = old.isin("Pending", "Ready")
+    joined = F.when(new.isin(*ENDED), old.isin("StartAuthorized", "CancellationRequested") & ~((new == "Cancelled") & (before != "CancellationRequested"))).otherwise(open_ & new.isin("Ready", "DependencyBlocked"))
+    allowed = (
+        F.when(kind == "Created", new.isin("Pending", "Ready"))
+        .when(kind == "InputAdmitted", (before == "Running") & (old == "Ready") & (new == "StartAuthorized") & F.col("child_id").isNotNull())
+        .when(kind == "MappingFailed", (before == "Running") & F.when(new == "Failed", old == "Ready").otherwise(open_ & (new == "DependencyBlocked")))
+        .when(kind == "ChildJoined", joined)
+        .when(kind == "CancellationRequested", (before == "Running") & F.when(open_, new == "Cancelled").otherwise((old == "StartAuthorized") & (new == "CancellationRequested")))
+        .otherwise(F.lit(False))
+    )
+    rule = F.when((kind != "Created") & old.isNull(), "node ordinal").when(F.col("child_id") != F.col("old_child"), "child rewritten").when(~F.coalesce(allowed, F.lit(False)), "node transition")
+    out = c.select("run_id", "pos", rule.alias("rule")).where("rule is not null")
+    ready = c.where("new = 'Ready'").select("run_id", F.col("ordinal").alias("lower"), F.col("pos").alias("since"), "until")
+    late = c.where("kind = 'InputAdmitted'").select("run_id", "pos", "ordinal").join(ready, "run_id").where("lower < ordinal and since < pos and (until is null or until >= pos)")
+    return out.unionByName(late.select("run_id", "pos", F.lit("not the lowest ready node").alias("rule")))
+
+
+def _record_faults(r: DataFrame, c: DataFrame) -> DataFrame:
+    """(run_id, pos, rule) of records out of place, or with the wrong outcome for the nodes as they stand."""
+    have = lambda *states: F.sum(F.col("new").isin(*states).cast("int") - F.coalesce(F.col("old").isin(*states), F.lit(False)).cast("int"))
+    per = c.groupBy("run_id", "pos").agg(
+        F.count("*").alias("n"), F.count_if(F.col("new").isin(*ENDED)).alias("ended"), F.count_if(F.col("new") == "Failed").alias("failed"), F.count_if(F.col("old").isNull()).alias("fresh"),
+        have("Pending", "Ready", "StartAuthorized").alias("open"), have(*LIVE).alias("live"), have("Succeeded").alias("ok"), have("Cancelled", "CancellationRequested").alias("cancelled"),
+    )
+    before = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = r.join(per, ["run_id", "pos"], "left").fillna(0, ["n", "ended", "failed", "fresh", "open", "live", "ok", "cancelled"])
+    rows = rows.select("*", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"had_{x}") for x in ("fresh", "open", "live", "ok", "cancelled")])
+    kind, state, was = F.col("kind"), F.col("state"), F.col("before")
+    outcome = F.when(was == "CancellationRequested", "Cancelled").when(F.col("had_ok") == F.col("had_fresh"), "Succeeded").otherwise("Failed")
+    back = F.when(F.col("had_cancelled") > 0, "CancellationRequested").otherwise("Running")
+    rule = (
+        F.when((F.col("stream_version") != F.col("pos")) | ((kind == "Created") != (F.col("pos") == 1)) | ~kind.isin(*RECORDS), "version or kind")
+        .when(was.isin(*ENDED), "terminal barrier")
+        .when((kind == "MappingFailed") & (F.col("failed") != 1), "one failed mapping")
+        .when((kind == "ChildJoined") & ((F.col("ended") != 1) | ((was == "CancellationRequested") & (F.col("n") != 1))), "one child per join")
+        .when((kind == "CancellationRequested") & ((state != "CancellationRequested") | (F.col("n") != F.col("had_open"))), "incomplete cancel barrier")
+        .when((kind == "Terminal") & ((F.col("had_live") > 0) | (state != outcome)), "terminal outcome")
+        .when((kind == "PoisonReconciled") & ((was != "IntegrityFault") | (state != back)), "reconciliation")
+        .when(kind.isin("InputAdmitted", "MappingFailed", "ChildJoined") & (state != was), "implicit state change")
+    )
+    return rows.select("run_id", "pos", rule.alias("rule")).where("rule is not null")
+
+
+def _closure_faults(r: DataFrame, c: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, pos, rule): nodes made ready or blocked at another record than that which makes them so, or not at all."""
+    done = c.groupBy("run_id", "ordinal").agg(F.min(F.when(F.col("new") == "Succeeded", F.col("pos"))).alias("won"), F.min(F.when(F.col("new") == "Failed", F.col("pos"))).alias("lost"))
+    deps = edges.join(done.select("run_id", F.col("ordinal").alias("dep_ordinal"), "won"), ["run_id", "dep_ordinal"], "left")
+    ready = deps.groupBy("run_id", "ordinal").agg(F.when(F.count("*") == F.count("won"), F.max("won")).alias("due")).withColumn("to", F.lit("Ready"))
+
+    def first_loss(g, columns):
+        lost = np.full(len(g.key), np.iinfo(np.int64).max)
+        np.minimum.at(lost, g.of_row, columns["lost"].to_numpy(zero_copy_only=False))
+        behind = np.full(len(g.key), np.iinfo(np.int64).max)
+        for _, _, out in g.peel():
+            np.minimum.at(behind, g.to[out], np.minimum(lost, behind)[g.source[out]])
+        due = behind[g.of_row]
+        return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(due, mask=due == np.iinfo(np.int64).max)], ["run_id", "ordinal", "due"])
+
+    never = F.lit(int(np.iinfo(np.int64).max))
+    blocked = over_graphs(done.select("run_id", "ordinal", F.coalesce(F.col("lost").cast("long"), never).alias("lost")), edges, "lost long", first_loss, "run_id long, ordinal int, due long").withColumn("to", F.lit("DependencyBlocked"))
+    due = ready.unionByName(blocked.withColumn("due", F.col("due").cast("int")))
+    made = c.where("kind <> 'Created' and new in ('Ready', 'DependencyBlocked')").select("run_id", "ordinal", F.col("new").alias("to"), F.col("pos").alias("at"))
+    early = made.join(due, ["run_id", "ordinal", "to"], "left").where("due is null or at <> due").select("run_id", F.col("at").alias("pos"))
+    # a node that could still change when its time came, in a running run, and did not
+    held = c.select("run_id", "ordinal", "new", "pos", "until")
+    could = F.when(F.col("to") == "Ready", F.col("new") == "Pending").otherwise(F.col("new").isin("Pending", "Ready"))
+    missed = due.where("due is not null").join(held, ["run_id", "ordinal"]).where(could & (F.col("pos") < F.col("due")) & (F.col("until").isNull() | (F.col("until") > F.col("due"))))
+    missed = missed.select("run_id", F.col("due").alias("pos")).join(r.where("before = 'Running'").select("run_id", "pos"), ["run_id", "pos"])
+    return early.unionByName(missed).select("run_id", "pos", F.lit("readiness or blocked closure").alias("rule"))
+
+
+def fold_dag_runs(records: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Run records in order -> state, version and node states of each run before its first violation, and that violation.
+
+    records: (run_id, stream_version, kind, state, changes array<struct<ordinal, state, child_id>>); Created lists all nodes. A record is
+    judged against what all records before it say, by windows over the run and over each node, so the first violation found is the first
+    there is. With ``edges`` (run_id, ordinal, dep_ordinal) it is also checked which nodes a join makes ready or blocked.
+    """
+    r, c = _record_changes(records)
+    faults = _change_faults(c).unionByName(_record_faults(r, c))
+    if edges is not None:
+        faults = faults.unionByName(_closure_faults(r, c, edges))
+    first = faults.groupBy("run_id").agg(F.min(F.struct("pos", "rule")).alias("f"))
+    good = r.join(first, "run_id", "left").withColumn("valid", F.col("f").isNull() | (F.col("pos") < F.col("f.pos")))
+    runs = good.groupBy("run_id").agg(F.max_by("after", F.when(F.col("valid") & F.col("after").isNotNull(), F.col("pos"))).alias("state"), F.count_if("valid").alias("version"), F.first("f.rule").alias("rule"))
+    nodes = c.join(first, "run_id", "left").where("f is null or pos < f.pos").groupBy("run_id", "ordinal").agg(F.max_by("new", "pos").alias("node"))
+    nodes = nodes.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "node"))), lambda x: F.concat_ws(":", x["ordinal"].cast("string"), x["node"])), ",").alias("nodes"))
+    fault = F.when(F.col("rule").isNotNull(), "DAG_PROTOCOL_INVALID")
+    return runs.join(nodes, "run_id", "left").select("run_id", "state", "version", fault.alias("fault"), "rule", F.coalesce("nodes", F.lit("")).alias("nodes"))
 
 
 def discover_runs(runs: DataFrame, after: int, limit: int) -> DataFrame:

@@ -138,7 +138,10 @@ def _finder(items, spark, hit: str):
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go.
+
+    Null and empty texts, and all documents where there are no items, stay; repeated rows stay or go together; an empty table gives none.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     slim = with_leaks(docs.select(F.struct("*").alias("row"), F.col("text").alias("leak_text")), items, "leak_text")
     return slim.where(F.size("leaks") == 0).select("row.*")

@@ -676,7 +676,10 @@ def line_dedup(docs: DataFrame, edits: int = 2, per_edit: int = 16, id_col: str
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without removed lines; a document that loses all its lines goes."""
+    """Pipeline stage: texts without removed lines; a document that loses all its lines goes.
+
+    Null texts and texts without a word stay as they are; repeated rows keep the same lines; n_chars follows the text; an empty table gives none.
+    """
     new = ("line_dedup", "kept_text")
     out = line_dedup(hide(docs, *new))
     lost = F.col("line_dedup.n_exact") + F.col("line_dedup.n_near")

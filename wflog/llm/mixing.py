@@ -128,7 +128,10 @@ def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 42, id_col: str = "
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as many times as the mix takes it."""
+    """Pipeline stage: each document as many times as the mix takes it, numbered by ``mix_copy``.
+
+    Null and empty texts have no words and are taken as often as their source's draw says; repeated rows are taken alike; an empty table gives none.
+    """
     new = ("mix", "mix_copy")
     out = mix_sources(hide(docs, *new)).where("mix.copies > 0")
     number = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias("mix_copy")

@@ -11,7 +11,7 @@ are combined map-side, so a line that stands in every document costs one row per
 meets only frequent lines and can be split when skewed.
 
 Edge cases: null and empty text have no words and fail the base rules; null source is a host of its
-own; lines without a word are ignored and stay; null text stays null; empty tables give empty results; other columns pass through.
+own; null ids pass through (ids are never read); a very long text is one row, its words and lines an array each; repeated rows are exact copies; lines without a word are ignored and stay; null text stays null; empty tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
@@ -86,7 +86,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", source_col: str = "so
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go; the others lose their boilerplate lines."""
+    """Pipeline stage: documents that the rules reject go; the others lose their boilerplate lines.
+
+    Null and empty texts are rejected; a text of boilerplate lines alone too; repeated rows stay or go together; an empty table gives none.
+    """
     new = ("quality", "kept_text")
     out = quality_rules(hide(docs, *new)).where("quality.kept")
     cut = F.col("quality.boilerplate_words") > 0

@@ -234,7 +234,10 @@ def hex16(fp: Column) -> Column:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of the documents linked by near copies (word 5-shingles, similarity 0.8) that of the smallest id stays (null last, then by text hash)."""
+    """Pipeline stage: of the documents linked by near copies (word 5-shingles, similarity 0.8) that of the smallest id stays (null last, then by text hash).
+
+    Null and empty texts are copies of each other, as all wordless texts; of repeated rows one stays; an empty table gives none.
+    """
     small_batches(spark)
     printed = materialize(docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit("")))), "simhash-docs")
     texts = printed.select(F.col("text_hash__").alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])

@@ -554,7 +554,7 @@ def test_links_of_dense_groups(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize(("block", "crowded"), [(2000, 8), (3, 8), (2000, 0)])
+@pytest.mark.parametrize(("block", "crowded"), [(500, 4000), (3, 4000), (500, 0)])
 def test_near_copies_equal_all_pairs(spark, block, crowded):
     from wflog.llm import near_copies
 

@@ -1,12 +1,13 @@
 """Quality classifier: naive Bayes features into a linear support vector machine.
 
-Indicators of byte 3-grams and of word 1-, 2- and 3-grams, hashed into 2**19 places, are scaled by
+Indicators of byte 3-grams, of word 1-, 2- and 3-grams and of word 2- to 4-grams without the words themselves (only which of them are
+equal: what any text has in common with others that repeat themselves in the same way), hashed into 2**18 places, are scaled by
 the log ratio of their rates among good and bad documents; a hinge-loss linear model over the scaled,
 length-normalised indicators is fitted by dual coordinate descent and calibrated on held-back rows.
 
-Scale: the class counts cover every labelled learning row and are summed in Spark (at most 2**20
+Scale: the class counts cover every labelled learning row and are summed in Spark (at most 2**18
 rows); the machine is fitted on at most about ``per_class`` rows of either class, chosen by a hash of the
-id, whose indicators take 64 KB each at most (as bits where they are many). The model is two arrays of fixed size. Scoring is a scan of whole texts without a shuffle.
+id, whose indicators take 32 KB each at most (as bits where they are many). The model is two arrays of fixed size. Scoring is a scan of whole texts without a shuffle.
 
 Edge cases: null and empty texts are scored from the bias alone; null ids count as held out;
 labels given twice count once (the lowest); without labels of both classes every score is the share of
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import materialize, replaced, small_batches
 from .rolling import mix, prefixes, substring
 
-PLACES = 1 << 19
+PLACES = 1 << 18
 
 
 class Indicators:
@@ -48,7 +49,7 @@ class Indicators:
         if len(codes) >= 3:
             wide = codes.astype(np.uint32)
             grams = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
-            self.flags[grams * np.uint32(0x9E3779B1) >> np.uint32(13)] = True
+            self.flags[grams * np.uint32(0x9E3779B1) >> np.uint32(14)] = True
         solid = np.concatenate(([False], (codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32)), [False]))
         edge = np.flatnonzero(solid[1:] != solid[:-1])
         if len(edge):
@@ -57,7 +58,15 @@ class Indicators:
             for n in range(3):
                 if n:
                     gram = mix(gram[:-1] * np.uint64(3) + word[n:])
-                self.flags[gram >> np.uint64(45)] = True
+                self.flags[gram >> np.uint64(46)] = True
+            for n in (2, 3, 4):
+                size = len(word) - n + 1
+                if size > 0:
+                    shape = np.full(size, n, np.uint64)
+                    for i in range(n):
+                        for j in range(i + 1, n):
+                            shape = shape << np.uint64(1) | (word[i : i + size] == word[j : j + size])
+                    self.flags[mix(np.unique(shape) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)] = True
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -131,7 +140,7 @@ def calibrate(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def unit(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    v = ratio[x]
+    v = ratio[x].astype(np.float32)
     n = float(np.sqrt(v @ v))
     return v / n if n else v
 
@@ -145,9 +154,10 @@ def fit(labelled: DataFrame, counts: dict[int, int], per_class: int = 3000, cost
     part = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / n1))).otherwise(F.lit(min(1.0, per_class / n0)))
     chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part * (1 << 20)
     rows = materialize(labelled.select("y", chosen.alias("chosen"), "text").mapInArrow(_learn_rows, "y int, place int, n long, x binary"), "quality-rows")
-    sums = rows.where("place is not null").groupBy("y", "place").agg(F.sum("n").alias("n")).toPandas()
+    side = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}")
+    sums = rows.where("place is not null").groupBy("place").agg(side(0), side(1)).where("n0 + n1 > 1").toPandas()  # places seen once tell nothing
     c = np.zeros((2, PLACES))
-    c[sums["y"], sums["place"]] = sums["n"]
+    c[:, sums["place"]] = sums["n0"], sums["n1"]
     rate = (c + 1) / (np.array([[n0], [n1]]) + 2)
     ratio = np.log(rate[1] / rate[0])
     ratio[c.sum(axis=0) < 2] = 0.0

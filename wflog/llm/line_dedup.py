@@ -14,7 +14,7 @@ task a dozen rows. What leaves a key's group is linear in its rows: a few pairs
 is large or nearly all of it agrees (lines of one template), the rows themselves. Such rows are
 read again with their lines in the order of their places, and each looks for one earlier line within its
 budget: among lines that share a segment of a new partition, whose cuts give each segment an equal part of what varies
-in the group. A group above ``block`` rows is solved in blocks and then dealt out by those segments, again and again
+in the group. A group above ``block`` rows, or a few million characters, is solved in blocks and then dealt out by those segments, again and again
 (what even that leaves in one group is dealt out as pairs of blocks), so no group is held whole. The result has all removed lines, each with one earlier line; the
 links among the lines of a template, which may be millions, are not listed.
 
@@ -39,6 +39,8 @@ from .common import bring_back, hide, materialize, pack, replaced, small_batches
 from .rolling import mix, prefixes, substring
 
 CHUNK = 1 << 19
+#: Characters of lines of one group that are compared at once.
+LINES = 1 << 22
 #: Keys are even and not negative; odd ones are probes.
 _KEY = np.uint64((1 << 63) - 2)
 
@@ -480,8 +482,11 @@ class Group:
             width = max(1, min(2 * width, (1 << 18) // len(at)))  # few lines are left after the first steps in most groups
 
 
-def _look_back_maker(edits: int, per_edit: int, block: int, small: int = 48):
-    """Rows (k, length, first, h1, h2, line, settled) sorted by (k, first) -> found links and the rows of groups above ``block``."""
+def _look_back_maker(edits: int, per_edit: int, block: int | None, small: int = 48):
+    """Rows (k, length, first, h1, h2, line, settled) sorted by (k, first) -> found links and the rows of groups above ``block``.
+
+    Without a block every group is solved whole: the last level, whose groups were dealt out small enough.
+    """
 
     def rows_out(t, found: np.ndarray, settled: np.ndarray, cuts: list[int] | None):
         """Cuts are given for a group above ``block``: all its rows go on."""
@@ -514,33 +519,35 @@ def _look_back_maker(edits: int, per_edit: int, block: int, small: int = 48):
         return rows_out(t, g.look_back(key, row, settled, k, per_edit), settled, cuts if hot else None), cuts
 
     def make(batches):
-        waiting, n_waiting = [], 0  # small groups
-        parts, size, key, cuts, hot = [], 0, None, None, False
+        waiting, n_waiting, chars = [], 0, 0  # small groups
+        parts, size, key, cuts, hot, length, most = [], 0, None, None, False, 0, 2
 
         def close():
-            nonlocal waiting, n_waiting
+            nonlocal waiting, n_waiting, chars
             if hot or size > small:
                 yield solve(parts, cuts, hot)[0]
             elif size > 1:
                 waiting, n_waiting = waiting + parts, n_waiting + size
-                if n_waiting > block:
+                chars += size * length
+                if n_waiting > 4096 or chars > LINES:
                     yield solve_small(waiting)
-                    waiting, n_waiting = [], 0
+                    waiting, n_waiting, chars = [], 0, 0
 
         for batch in batches:
-            k = batch.column("k").to_numpy()
+            k, lengths = (batch.column(c).to_numpy() for c in ("k", "length"))
             edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
             for s, e in zip(edge, edge[1:], strict=False):
                 if k[s] != key:
                     yield from close()
-                    parts, size, key, cuts, hot = [], 0, k[s], None, False
+                    parts, size, key, cuts, hot, length = [], 0, k[s], None, False, int(lengths[s])
+                    most = max(2, min(block, LINES // length)) if block else 1 << 62
                 while s < e:
-                    if size == block:
+                    if size == most:
                         hot = True
                         out, cuts = solve(parts, cuts, hot)
                         yield out
                         parts, size = [], 0
-                    n = min(e - s, block - size)
+                    n = min(e - s, most - size)
                     parts.append(batch.slice(s, n))
                     s, size = s + n, size + n
         yield from close()
@@ -588,7 +595,7 @@ def template_links(rows: DataFrame, edits: int, per_edit: int, block: int, depth
     dealt = f"k long, length int, first {order}, h1 long, h2 long, line string, settled boolean"
     rows, found = rows.withColumn("settled", F.lit(False)), []
     for level in range(depth + 1):
-        run = rows.repartition("k").sortWithinPartitions("k", "first").mapInArrow(_look_back_maker(edits, per_edit, block if level < depth else 2 * block), dealt + ", cuts array<int>, w1 long, w2 long")
+        run = rows.repartition("k").sortWithinPartitions("k", "first").mapInArrow(_look_back_maker(edits, per_edit, block if level < depth else None), dealt + ", cuts array<int>, w1 long, w2 long")
         run = materialize(run, "line-templates")
         found.append(run.where("w1 is not null").select("h1", "h2", "w1", "w2"))
         rest = run.where("line is not null").drop("w1", "w2")
@@ -600,8 +607,8 @@ def template_links(rows: DataFrame, edits: int, per_edit: int, block: int, depth
             rows = rows.join(open_.where("open > 0").select("k"), "k", "left_semi")
         else:
             # what still shares a segment in such numbers: every block of open lines meets every block
-            parts = F.ceil(F.col("rows") / F.lit(block)).cast("int")
-            rows = rows.join(open_.where("open > 0").select("k", parts.alias("parts")), "k").withColumn("own", F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int"))
+            own = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(LINES // 2) / F.col("length"))))
+            rows = rows.join(open_.where("open > 0").select("k", "rows"), "k").withColumn("parts", F.ceil(F.col("rows") / own).cast("int")).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             rows = rows.withColumn("k", F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))).select("k", "length", "first", "h1", "h2", "line", "settled")
     return reduce(DataFrame.unionByName, found)

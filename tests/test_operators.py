@@ -270,6 +270,7 @@ def test_one_graph_of_a_million_nodes(spark):
 def test_stream_matching_equals_its_batch_twin(spark, tmp_path, files):
     from wflog.streaming import streams
 
+    (tmp_path / "in").mkdir()
     rnd = random.Random(5)
     rows = [(f"k{rnd.randint(0, 5)}", rnd.choice(("wait", "event")), f"{i:04d}", at(60 * i + rnd.randint(0, 240)), rnd.choice((60_000, 600_000))) for i in range(400)]
     schema = "key string, kind string, id string, at timestamp, timeout_ms long"
@@ -289,6 +290,7 @@ def test_projection_sink_rewrites_touched_buckets(spark, tmp_path):
     from wflog.streaming import streams
 
     schema, path, inp = "instance_id long, stream_version long, status string", str(tmp_path / "out"), str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
     live = spark.readStream.schema(schema).parquet(inp)
     want: dict[int, tuple] = {}
     for step, rows in enumerate(([(i, 1, "a") for i in range(50)], [(3, 2, "b"), (4, 1, "a")], [(3, 1, "old"), (60, 1, "new"), (3, 3, "c")], [(3, 4, "d")])):

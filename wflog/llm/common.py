@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,21 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``rank`` (from 0) and ``members`` of each group's rows in order; group columns are never null.
+
+    Rows are dealt out by ranges of (group, order) and numbered where they lie; one row per group and range then says how many rows
+    stand before it. A group with most of the rows is spread over many ranges and no window ever holds it.
+    """
+    rows = materialize(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("at__", F.monotonically_increasing_id()), name)
+    lies = F.shiftright("at__", 33)
+    spans = rows.groupBy(*group, lies.alias("in__")).agg(F.min("at__").alias("first__"), F.count("*").alias("n__"))
+    upto = Window.partitionBy(*group).orderBy("in__")
+    spans = spans.withColumn("before__", F.sum("n__").over(upto) - F.col("n__")).withColumn("members", F.sum("n__").over(Window.partitionBy(*group)))
+    out = rows.withColumn("in__", lies).join(spans, [*group, "in__"])
+    return out.select(*[rows[c] for c in df.columns], (F.col("at__") - F.col("first__") + F.col("before__")).alias("rank"), "members")
+
+
 @F.pandas_udf(T.BinaryType())
 def pack(texts: pd.Series) -> pd.Series:
     """UTF-8 bytes of a text, compressed: what crosses the network is a third of the text."""

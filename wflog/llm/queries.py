@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, language_id, licenses, line_dedup, merkle, mixing, packing, periodic_runs, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8,
         "op9_simhash": simhash.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op11_packing": packing.op11,
+        "op12_periodic_runs": periodic_runs.op12,
+        "op13_merkle_manifest": merkle.op13,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict:
         "op3_mix_sources": mixing.OP3_SQL,
         "op7_secret_scans": secrets.OP7_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
     }

@@ -21,10 +21,13 @@ def _b64(c: Column) -> Column:
     return F.base64(F.encode(c, "utf-8"))
 
 
-def route_key(kind: str, owner: Column, version: Column, name: Column, correlation: Column | None = None) -> Column:
-    """Storage key of a route: kind, owner (instance or definition), version, name and correlation in base64."""
-    parts = [F.lit(kind), owner.cast("string"), version.cast("string"), _b64(name)]
-    return F.concat_ws("|", *parts, *([] if correlation is None else [_b64(correlation)]))
+#: What a route's storage key begins with: fixed values.
+ROUTES = {"direct": "direct", "correlation": "correlation", "target": "definition-fanout-target"}
+
+
+def route_key(kind: str, owners: list[Column], version: Column, name: Column, correlation: Column) -> Column:
+    """Storage key of a route: its kind, its owners (instance, definition or both), version, name and correlation in base64."""
+    return F.concat_ws("|", F.lit(ROUTES[kind]), *[o.cast("string") for o in owners], version.cast("string"), _b64(name), _b64(correlation))
 
 
 def fiber_id(kind: str, *parts: Column) -> Column:
@@ -49,21 +52,23 @@ def render_tags(tags: Column) -> Column:
 
 
 def canonical_location(path: Column) -> Column:
-    """Compiler path -> canonical location: `then`/`else` become `if:true`/`if:false`, `branches/k` `parallel:k`, numbers `n:k`, k in 8 digits."""
-    number = lambda x: F.lpad(x, 8, "0")
+    """Compiler path -> canonical location.
+
+    It begins with ``workflow:$``, which stands for the first token whatever it is, and is all of it for null, empty and ``root``. Then ``then`` and
+    ``else`` become ``if:true`` and ``if:false``, ``body``, ``lease`` and ``item`` the bodies of a loop, a lease and a for-each, ``branches/k`` ``parallel:k`` and numbers
+    ``n:k``, k in 8 digits. Other tokens are dropped, as is ``branches`` before anything but a number.
+    """
+    words = {"then": "if:true", "else": "if:false", "body": "while:body", "lease": "lease:body", "item": "foreach:body"}
+    tokens = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
+    behind = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
 
     def step(acc, x):
-        after_branches = acc["held"] == "branches"
         digits = x.rlike("^[0-9]+$")
-        word = (
-            F.when(after_branches & digits, F.concat(F.lit("parallel:"), number(x)))
-            .when(x == "then", F.lit("if:true"))
-            .when(x == "else", F.lit("if:false"))
-            .when(digits, F.concat(F.lit("n:"), number(x)))
-            .otherwise(x)
-        )
-        out = F.when(x == "branches", acc["out"]).otherwise(F.concat(acc["out"], F.array(word)))
-        return F.struct(out.alias("out"), F.when(x == "branches", x).otherwise(F.lit("")).alias("held"))
-
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("held"))
-    return F.array_join(F.aggregate(F.split(path, "/"), start, step, lambda acc: acc["out"]), "/")
+        number = F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 8, "0")
+        word = F.when(digits, F.concat(F.when(acc["held"], "parallel:").otherwise("n:"), number))
+        for k, v in words.items():
+            word = word.when(x == k, v)
+        return F.struct(F.when(word.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(word))).alias("out"), (x == "branches").alias("held"))
+
+    start = F.struct(F.array(F.lit("workflow:$")).alias("out"), F.lit(False).alias("held"))
+    return F.array_join(F.aggregate(behind, start, step, lambda acc: acc["out"]), "/")

@@ -222,37 +222,47 @@ def run_durations(spark, d):
     return D.run_durations(*ne(spark, d))
 
 
-CHILDREN = "select child_id, case when run_id % 6 = 0 then 'Completed' when run_id % 6 = 1 then 'Cancelled' when run_id % 6 = 2 then 'TimedOut' when run_id % 6 = 3 then 'Terminated' when run_id % 6 = 4 then 'Failed' else 'Running' end as status, ready_at as created_at, completed_at as updated_at, case when run_id % 6 = 4 then 'load failed' end as error_summary from {dag_nodes} where child_id is not null and ready_at < timestamp '1997-06-01 00:00:00'"
+CHILDREN = """select child_id, case when run_id % 6 = 0 then 'Completed' when run_id % 6 = 1 then 'Cancelled' when run_id % 6 = 2 then 'TimedOut' when run_id % 6 = 3 then 'Terminated' when run_id % 6 = 4 then 'Failed' else 'Running' end as status,
+  case when run_id % 6 = 0 then case when run_id % 5 = 0 then 'out-other' else 'out-' || cast(ordinal as string) end end as output,
+  ready_at as created_at, completed_at as updated_at, case when run_id % 6 = 4 then 'load failed' end as error_summary from {dag_nodes} where child_id is not null and ready_at < timestamp '1997-06-01 00:00:00'"""
+#: Nodes with the failure codes, blocked and cancelled nodes that a join meets.
+JOINED = """select run_id, cast(ordinal as int) as ordinal, node_id, coalesce(child_id, case when run_id % 4 = 0 then 'child-' || cast(run_id * 10 + ordinal as string) end) as child_id,
+  case when run_id % 4 = 0 and state = 'Pending' then 'DependencyBlocked' when run_id % 8 = 1 and state = 'Failed' then 'Cancelled' when run_id % 8 = 3 and state = 'StartAuthorized' then 'CancellationRequested' else state end as state,
+  case when state = 'Failed' and run_id % 8 <> 1 then case run_id % 6 when 1 then 'CHILD_CANCELLED' when 2 then 'CHILD_TIMED_OUT' when 3 then 'CHILD_FAILED' else 'CHILD_FAILED' end end as failure_code, output, ready_at, completed_at from {dag_nodes}"""
+_JOINED = f"x as ({JOINED.format(dag_nodes='dag_nodes')}), c as ({CHILDREN.format(dag_nodes='x')})"
 
 
 def children(spark, d):
-    n = adapt(spark, d, "dag_nodes")
+    n = spark.sql(JOINED, dag_nodes=adapt(spark, d, "dag_nodes"))
     return n, spark.sql(CHILDREN, dag_nodes=n)
 
 
-@job("join_children", cte("dag_runs", "dag_nodes") + f""", c as ({CHILDREN.format(dag_nodes='dag_nodes')}), j as (select n.run_id, n.ordinal, n.state, c.status, r.state as run_state,
-      case when c.status = 'Completed' then 'Succeeded' when c.status = 'Cancelled' and r.state = 'CancellationRequested' then 'Cancelled' else 'Failed' end as new from dag_nodes n join c using (child_id) join dag_runs r using (run_id) where c.status <> 'Running'),
-    k as (select *, state in ('Succeeded', 'Failed', 'Cancelled') as ended from j)
-    select run_id, ordinal, case when ended then state else new end as state, case when not ended and new = 'Failed' then case status when 'Cancelled' then 'CHILD_CANCELLED' when 'TimedOut' then 'CHILD_TIMED_OUT' when 'Terminated' then 'CHILD_TERMINATED' else 'CHILD_FAILED' end end as failure_code, ended and state <> new as conflict from k""")
+@job("join_children", cte("dag_runs", "dag_nodes") + f""", {_JOINED}, j as (select n.run_id, n.ordinal, n.state, n.failure_code, n.output, c.output as child_output,
+      case c.status when 'Completed' then 'Succeeded' when 'Cancelled' then case when r.state in ('CancellationRequested', 'Cancelled') then 'Cancelled' else 'Failed' end else 'Failed' end as new,
+      case c.status when 'Cancelled' then case when r.state not in ('CancellationRequested', 'Cancelled') then 'CHILD_CANCELLED' end when 'TimedOut' then 'CHILD_TIMED_OUT' when 'Terminated' then 'CHILD_TERMINATED' when 'Failed' then 'CHILD_FAILED' end as code
+      from x n join c using (child_id) join dag_runs r using (run_id) where c.status <> 'Running'),
+    k as (select *, state in ('Succeeded', 'Failed', 'Cancelled', 'DependencyBlocked') as ended from j)
+    select run_id, ordinal, case when ended then state else new end as state, case when ended then failure_code else code end as failure_code, case when ended then output else child_output end as output,
+      ended and (state <> new or failure_code is distinct from code or output is distinct from child_output) as conflict from k""")
 def join_children(spark, d):
     n, c = children(spark, d)
     return D.join_children(n, adapt(spark, d, "dag_runs"), c)
 
 
-_BAD = "bad as (select run_id, run_id % 2 = 0 as cancelling from dag_runs where state = 'IntegrityFault')"
-
-
-@job("reconcile_runs", cte("dag_runs", "dag_nodes") + f""", c as ({CHILDREN.format(dag_nodes='dag_nodes')}), {_BAD},
-    j as (select n.run_id, ordinal, n.state, n.child_id, cancelling, case when c.child_id is null then null else c.status <> 'Running' end as done from dag_nodes n join bad using (run_id) left join c using (child_id)),
-    k as (select *, case when state in ('StartAuthorized', 'CancellationRequested') then case when coalesce(done, false) then 'join' when cancelling then 'cancel' when done is null then 'start' end
-      when state in ('Succeeded', 'Failed', 'Cancelled') and child_id is not null and not coalesce(done, false) then 'conflict' end as action from j)
-    select 'work' as part, run_id, ordinal, action from k where action is not null union all select 'run', run_id, null, case when cancelling then 'CancellationRequested' else 'Running' end from bad""")
+@job("reconcile_runs", cte("dag_runs", "dag_nodes") + f""", {_JOINED}, bad as (select run_id from dag_runs where state = 'IntegrityFault'),
+    n as (select x.* from x join bad using (run_id)), g as (select run_id, bool_or(state in ('Cancelled', 'CancellationRequested')) as cancelling from n group by 1),
+    j as (select n.run_id, n.ordinal, n.state, case when c.child_id is not null then c.status <> 'Running' end as done from n left join c using (child_id) where n.child_id is not null),
+    f as (select distinct run_id from j where case when state in ('Succeeded', 'Failed', 'Cancelled') then not coalesce(done, false) else state not in ('StartAuthorized', 'CancellationRequested') end),
+    k as (select j.run_id, ordinal, case when coalesce(done, false) then 'join' when cancelling then 'cancel' when done is null then 'start' end as action from j join g using (run_id)
+      where state in ('StartAuthorized', 'CancellationRequested') and run_id not in (select run_id from f))
+    select 'work' as part, run_id, ordinal, action from k where action is not null
+    union all select 'run', run_id, null, case when run_id in (select run_id from f) then 'IntegrityFault' when cancelling then 'CancellationRequested' else 'Running' end from bad left join g using (run_id)""")
 def reconcile_runs(spark, d):
     n, c = children(spark, d)
-    work, runs = D.reconcile_runs(adapt(spark, d, "dag_runs").withColumn("cancel_requested", F.col("run_id") % 2 == 0), n, c)
+    work, runs = D.reconcile_runs(adapt(spark, d, "dag_runs"), n, c)
     return work.select(F.lit("work").alias("part"), "run_id", "ordinal", "action").unionByName(runs.select(F.lit("run").alias("part"), "run_id", F.lit(None).cast("int").alias("ordinal"), F.col("state").alias("action")))
 
 
-@job("reconstruct_run", cte("dag_nodes") + f", c as ({CHILDREN.format(dag_nodes='dag_nodes')}) select n.run_id, n.ordinal, n.node_id, n.state, n.child_id, c.status as child_status, c.created_at, c.updated_at, c.error_summary from dag_nodes n left join c using (child_id)")
+@job("reconstruct_run", cte("dag_nodes") + f", {_JOINED} select n.run_id, n.ordinal, n.node_id, n.state, n.child_id, c.status as child_status, c.created_at, c.updated_at, c.error_summary from x n left join c using (child_id)")
 def reconstruct_run(spark, d):
     return D.reconstruct_run(*children(spark, d))

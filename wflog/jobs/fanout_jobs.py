@@ -162,9 +162,12 @@ def flatten_failures(spark, d):
     return X.flatten_failures(orders(spark, d).withColumn("tree", tree), "instance_id", "tree", 3).select("instance_id", "depth", "path", "code", "message")
 
 
-@job("canonical_location", O_SQL + " select instance_id, 'root/if:true/parallel:' || lpad(cast(n % 12 as varchar), 8, '0') || '/step/n:' || lpad(cast(n as varchar), 8, '0') || '/if:false' as location from o")
+@job("canonical_location", O_SQL + """ select instance_id, case when instance_id % 3 = 0 then 'workflow:$' else 'workflow:$/if:true/parallel:' || lpad(cast(n % 12 as varchar), 8, '0') || '/n:' || lpad(cast(n as varchar), 8, '0')
+      || case when s = 'F' then '/while:body/n:00000002' when s = 'O' then '/lease:body' else '/foreach:body' end || '/if:false' end as location from o""")
 def canonical(spark, d):
-    path = F.concat_ws("/", F.lit("root/then/branches"), (F.col("n") % 12).cast("string"), F.lit("step"), F.col("n").cast("string"), F.lit("else"))
+    inner = F.when(F.col("s") == "F", "body/2").when(F.col("s") == "O", "lease").otherwise("branches/item")
+    path = F.concat_ws("/", F.lit("root/then/branches"), (F.col("n") % 12).cast("string"), F.lit("step"), F.col("n").cast("string"), inner, F.lit("else"))
+    path = F.when(F.col("instance_id") % 3 != 0, path).when(F.col("instance_id") % 2 == 0, "root")
     return orders(spark, d).select("instance_id", canonical_location(path).alias("location"))
 
 

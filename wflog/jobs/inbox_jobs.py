@@ -29,12 +29,11 @@ def envelope(spark, d):
     return adapt(spark, d, "inbox").select("acceptance_sequence", envelope_fingerprint(*[F.col(c) for c in _ENVELOPE]).alias("envelope"), payload_fingerprint(F.col("payload")).alias("body"))
 
 
-def _route(kind: str, owner: str, with_correlation: bool = False) -> str:
-    out = f"'{kind}|' || {owner} || '|' || event_contract_version || '|' || {_B64.format('event_name')}"
-    return out + (f" || '|' || {_B64.format('correlation_id')}" if with_correlation else "")
-
-
-_EVENT_ROUTE = f"case route_kind when 'direct' then {_route('direct', 'instance_id')} when 'correlation' then {_route('correlation', 'definition_id', True)} else {_route('target', 'instance_id')} end"
+_TAIL = f"event_contract_version || '|' || {_B64.format('event_name')} || '|' || {_B64.format('correlation_id')}"
+_DIRECT = f"'direct|' || instance_id || '|' || {_TAIL}"
+_CORRELATION = f"'correlation|' || definition_id || '|' || {_TAIL}"
+_TARGET = f"'definition-fanout-target|' || instance_id || '|' || definition_id || '|' || {_TAIL}"
+_EVENT_ROUTE = f"case route_kind when 'direct' then {_DIRECT} when 'correlation' then {_CORRELATION} else {_TARGET} end"
 
 
 def event_routes(spark, d):
@@ -78,7 +77,7 @@ def definition_fanout_limits(spark, d):
 
 
 @job("match_pending_events", cte("inbox", "active_waits") + f""", p as (select *, {_EVENT_ROUTE} as route_key from inbox where state = 'Received'),
-    w as (select wait_id, unnest([{_route('direct', 'instance_id')}, {_route('correlation', 'definition_id', True)}, {_route('target', 'instance_id')}]) as route_key from active_waits),
+    w as (select wait_id, unnest([{_DIRECT}, {_CORRELATION}, {_TARGET}]) as route_key from active_waits),
     m as (select w.wait_id, p.acceptance_sequence, p.event_id, row_number() over (partition by w.wait_id order by p.acceptance_sequence, p.event_id, p.instance_id) as rn from w join p using (route_key))
     select wait_id, acceptance_sequence, event_id from m where rn = 1""")
 def match_pending_events(spark, d):
@@ -140,7 +139,7 @@ def transition_inbox(spark, d):
 
 
 _INTENTS = """q as ({starts}), i as (select "key", definition_id, definition_version, fingerprint, case when cast("key" as bigint) % 5 = 0 then 'Poisoned' else 'Pending' end as state from q where seq % 40 = 0 qualify row_number() over (partition by "key" order by seq) = 1),
-    s as (select distinct "key", cast("key" as bigint) as instance_id from q where cast("key" as bigint) % 7 = 0)"""
+    s as (select "key", cast("key" as bigint) as instance_id, definition_id, definition_version, fingerprint from q where cast("key" as bigint) % 7 = 0 qualify row_number() over (partition by "key" order by seq) = 1)"""
 
 
 def intents(spark, d):
@@ -148,30 +147,33 @@ def intents(spark, d):
     rn = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
     number = F.col("key").cast("long")
     i = q.where("seq % 40 = 0").withColumn("rn", rn).where("rn = 1").drop("rn", "seq").withColumn("state", F.when(number % 5 == 0, "Poisoned").otherwise("Pending"))
-    s = q.where(number % 7 == 0).select("key", number.alias("instance_id")).distinct()
+    s = q.where(number % 7 == 0).withColumn("rn", rn).where("rn = 1").drop("rn", "seq").withColumn("instance_id", number)
     return q, i, s
 
 
 @job("start_or_deliver", "with " + _INTENTS.format(starts=STARTS.format(orders="orders")) + """,
-    e as (select "key", -1 as seq, definition_id, definition_version, fingerprint, state from i union all select "key", seq, definition_id, definition_version, fingerprint, null from q where seq % 40 <> 0),
-    b as (select *, first_value(definition_id) over w = definition_id and first_value(definition_version) over w = definition_version and first_value(fingerprint) over w = fingerprint as same, row_number() over w as rn, coalesce(first_value(state) over w = 'Poisoned', false) as poisoned
-      from e window w as (partition by "key" order by seq))
-    select "key", seq, case when s.instance_id is not null then 'DeliverDirect' when poisoned then 'StartConflict' when rn = 1 then 'IntentCreated' when same then 'IntentJoined' else 'StartConflict' end as result, s.instance_id as started_id
-    from b left join s using ("key") where seq >= 0""")
+    r as (select q.*, s.instance_id, s.definition_id as sd, s.definition_version as sv, s.fingerprint as sf, i.state, i.definition_id as d, i.definition_version as v, i.fingerprint as f,
+      first_value(q.definition_id) over w as fd, first_value(q.definition_version) over w as fv, first_value(q.fingerprint) over w as ff, row_number() over w as rn
+      from q left join s using ("key") left join i using ("key") where seq % 40 <> 0 window w as (partition by "key" order by seq)),
+    c as (select *, case when instance_id is not null and not (definition_id = sd and definition_version = sv and fingerprint = sf) then true when state = 'Poisoned' then true
+      when state is not null and not (definition_id = d and definition_version = v and fingerprint = f) then true
+      when instance_id is null and state is null then not (definition_id = fd and definition_version = fv and fingerprint = ff) else false end as conflict from r)
+    select "key", seq, case when conflict then 'StartConflict' when instance_id is not null then 'DeliverDirect' when state is null and rn = 1 then 'IntentCreated' else 'IntentJoined' end as result,
+      case when not conflict then instance_id end as started_id from c""")
 def start_or_deliver(spark, d):
     q, i, s = intents(spark, d)
     return I.start_or_deliver(q.where("seq % 40 <> 0"), s, i)
 
 
 @job("materialize_starts", "with " + _INTENTS.format(starts=STARTS.format(orders="orders")) + """, x as (""" + cte("inbox")[5:].split(" as (", 1)[1][:-1] + """),
-    e as (select cast(definition_id * 7 % 150 as varchar) as "key", acceptance_sequence, event_name, event_contract_version, state, case when acceptance_sequence % 3 = 0 then null else instance_id end as instance_id, 'old' as route_key from x),
-    h as (select e.*, s.instance_id as new_id, s.instance_id is not null and e.instance_id is null and state = 'Received' as mine from e left join s using ("key"))
-    select 'event' as part, cast(acceptance_sequence as varchar) as id, state, case when mine then new_id else instance_id end as instance_id, case when mine then 'direct|' || new_id || '|' || event_contract_version || '|' || base64(encode(event_name)) else route_key end as route_key from h
+    e as (select cast(definition_id * 7 % 150 as varchar) as "key", acceptance_sequence, event_name, event_contract_version, correlation_id, state, case when acceptance_sequence % 3 = 0 then null else instance_id end as instance_id, 'old' as route_key, case when acceptance_sequence % 4 = 0 then 'correlation' else 'start-or-deliver' end as route_kind from x),
+    h as (select e.*, s.instance_id as new_id, s.instance_id is not null and e.instance_id is null and state = 'Received' and route_kind = 'start-or-deliver' as mine from e left join s using ("key"))
+    select 'event' as part, cast(acceptance_sequence as varchar) as id, state, case when mine then new_id else instance_id end as instance_id, case when mine then 'direct|' || new_id || '|' || event_contract_version || '|' || base64(encode(event_name)) || '|' || base64(encode(correlation_id)) else route_key end as route_key from h
     union all select 'intent', i."key", case when s.instance_id is not null and i.state = 'Pending' then 'Materialized' else i.state end, case when i.state = 'Pending' then s.instance_id end, null from i left join s using ("key")""")
 def materialize_starts(spark, d):
     _, i, s = intents(spark, d)
     x = adapt(spark, d, "inbox")
-    e = x.select((F.col("definition_id") * 7 % 150).cast("string").alias("key"), "acceptance_sequence", "event_name", "event_contract_version", "state", F.when(F.col("acceptance_sequence") % 3 != 0, F.col("instance_id")).alias("instance_id"), F.lit("old").alias("route_key"))
+    e = x.select((F.col("definition_id") * 7 % 150).cast("string").alias("key"), "acceptance_sequence", "event_name", "event_contract_version", "correlation_id", "state", F.when(F.col("acceptance_sequence") % 4 == 0, "correlation").otherwise("start-or-deliver").alias("route_kind"), F.when(F.col("acceptance_sequence") % 3 != 0, F.col("instance_id")).alias("instance_id"), F.lit("old").alias("route_key"))
     i2, e2 = I.materialize_starts(i.withColumn("instance_id", F.lit(None).cast("long")), e, s)
     events = e2.select(F.lit("event").alias("part"), F.col("acceptance_sequence").cast("string").alias("id"), "state", "instance_id", "route_key")
     return events.unionByName(i2.select(F.lit("intent").alias("part"), F.col("key").alias("id"), "state", "instance_id", F.lit(None).cast("string").alias("route_key")))
@@ -184,6 +186,20 @@ def poison_targets(spark, d):
     return I.poison_targets(adapt(spark, d, "inbox"), p, "TARGET_GONE").select("acceptance_sequence", "state", "poison_code")
 
 
+@job("poison_start_keys", "with " + _INTENTS.format(starts=STARTS.format(orders="orders")) + """, x as (""" + cte("inbox")[5:].split(" as (", 1)[1][:-1] + """),
+    e as (select cast(definition_id * 7 % 150 as varchar) as "key", acceptance_sequence, state, case when state = 'Poisoned' then 'EARLIER' end as poison_code from x),
+    b as (select "key" from i where state = 'Pending' and cast("key" as bigint) % 2 = 0)
+    select 'event' as part, cast(acceptance_sequence as varchar) as id, case when b."key" is not null and state = 'Received' then 'Poisoned' else state end as state, case when b."key" is not null and state = 'Received' then 'START_GONE' else poison_code end as poison_code from e left join b using ("key")
+    union all select 'intent', i."key", case when b."key" is not null then 'Poisoned' else state end, case when b."key" is not null then 'START_GONE' end from i left join b using ("key")""")
+def poison_start_keys(spark, d):
+    q, i, _ = intents(spark, d)
+    x = adapt(spark, d, "inbox")
+    e = x.select((F.col("definition_id") * 7 % 150).cast("string").alias("key"), "acceptance_sequence", "state", F.when(F.col("state") == "Poisoned", "EARLIER").alias("poison_code"))
+    i2, e2 = I.poison_start_keys(i, e, q.where(F.col("key").cast("long") % 2 == 0).select("key"), "START_GONE")
+    events = e2.select(F.lit("event").alias("part"), F.col("acceptance_sequence").cast("string").alias("id"), "state", "poison_code")
+    return events.unionByName(i2.select(F.lit("intent").alias("part"), F.col("key").alias("id"), "state", "poison_code"))
+
+
 @job("classify_direct_delivery", cte("inbox", "projections", "active_waits") + f""", e as (select acceptance_sequence, event_id, envelope_fingerprint, instance_id, event_name, event_contract_version, 'c' || (instance_id % 1500) as correlation_id from inbox),
     a as (select distinct instance_id, event_name, event_contract_version from active_waits),
     r as (select e.*, p.status, a.instance_id is not null as waiting from e left join projections p using (instance_id) left join a on a.instance_id = e.instance_id and a.event_name = e.event_name and a.event_contract_version = e.event_contract_version),

@@ -62,38 +62,45 @@ def check_log_integrity(spark, d):
 
 
 def flat(folded: DataFrame) -> DataFrame:
-    join = lambda c: F.array_join(c, ",").alias(c)
-    return folded.select("stream_id", "status", "stream_version", "created_at", "updated_at", "last_step_path", "error_summary", "generation", "failure_count", join("open_waits"), join("open_timers"), join("pending_resumes"), join("tickets"))
+    return folded.select(*[F.array_join(c, ",").alias(c) if c in log.SETS else c for c in folded.columns])
 
 
-FOLD_SQL = "with recursive " + cte(E)[5:] + """,
+_ENDS = "(event_type in ('ContinuedAsNew', 'StepFailed', 'Completed') or (event_type = 'Terminal' and e.status in ('Completed', 'Failed', 'TimedOut', 'Cancelled', 'Terminated')))"
+_RESETS = "event_type in ('Unparked', 'ContinuedAsNew', 'ContinuationAttemptReset')"
+_LAST = "definition_id, definition_version, parent_instance_id, root_instance_id, last_step_path, error_summary, outcome, park_reason, generation, failure_count, failure_position, retry_not_before"
+FOLD_SQL = "with recursive " + cte(E)[5:] + f""",
   fold as (
-    select stream_id, cast(0 as bigint) as version, 'Pending' as status, cast(null as timestamp) as created_at, cast(null as timestamp) as updated_at, cast(null as varchar) as last_step_path,
-      cast(null as varchar) as error_summary, 0 as generation, 0 as failure_count, cast([] as varchar[]) as w, cast([] as varchar[]) as t, cast([] as varchar[]) as r, cast([] as varchar[]) as k from event_log where version = 1
+    select stream_id, cast(0 as bigint) as version, 'Pending' as status, cast(null as timestamp) as created_at, cast(null as timestamp) as updated_at, cast(null as bigint) as definition_id, cast(null as int) as definition_version, cast(null as bigint) as parent_instance_id, cast(null as bigint) as root_instance_id, cast(null as varchar) as last_step_path,
+      cast(null as varchar) as error_summary, cast(null as varchar) as outcome, cast(null as varchar) as park_reason, 0 as generation, 0 as failure_count, cast(null as bigint) as failure_position, cast(null as timestamp) as retry_not_before, cast([] as varchar[]) as w, cast([] as varchar[]) as t, cast([] as varchar[]) as r, cast([] as varchar[]) as k from event_log where version = 1
     union all
     select stream_id, version,
-      case when status = 'CancellationRequested' and s in ('Running', 'Waiting') then status else s end, created_at, updated_at, last_step_path, error_summary, generation, failure_count, w, t, r, k
-    from (select stream_id, version, status, created_at, updated_at, last_step_path, error_summary, generation, failure_count, w, t, r, k,
-        case when event_type in ('Started', 'ContinuedAsNew', 'ResourcePoolAcquired') then 'Running' when event_type = 'StepFailed' then 'Failed' when event_type = 'Completed' then 'Completed'
-          when event_type = 'CancellationRequested' then 'CancellationRequested' when event_type in ('WaitRegistered', 'ResourcePoolQueued', 'TimerScheduled') then 'Waiting'
+      case when status = 'CancellationRequested' and s in ('Running', 'Waiting') then status else s end, created_at, updated_at, {_LAST}, w, t, r, k
+    from (select stream_id, version, status, created_at, updated_at, {_LAST}, w, t, r, k,
+        case when event_type in ('Started', 'ContinuedAsNew', 'ResourcePoolAcquired') then 'Running' when event_type = 'StepFailed' then 'Failed' when event_type = 'Completed' then 'Completed' when event_type = 'Terminal' then ended
+          when event_type = 'CancellationRequested' then 'CancellationRequested' when event_type in ('WaitRegistered', 'ResourcePoolQueued', 'TimerScheduled', 'Parked') then 'Waiting'
           when event_type = 'StepCompleted' then case when status = 'Waiting' then 'Waiting' else 'Running' end
           when event_type = 'WaitMatched' then case when len(w) > 0 then 'Waiting' else 'Running' end
-          when event_type in ('WaitCancelled', 'TimerCancelled', 'TimerFired') then case when len(w) + len(t) > 0 then 'Waiting' else 'Running' end else status end as s
-      from (select f.stream_id, e.version, e.event_type, f.status, coalesce(f.created_at, e.occurred_at) as created_at, e.occurred_at as updated_at,
+          when event_type in ('WaitCancelled', 'TimerCancelled', 'TimerFired', 'Unparked') then case when len(w) + len(t) > 0 then 'Waiting' else 'Running' end else status end as s
+      from (select f.stream_id, e.version, e.event_type, e.status as ended, f.status, coalesce(f.created_at, e.occurred_at) as created_at, e.occurred_at as updated_at,
+          case when event_type = 'Started' then e.definition_id else f.definition_id end as definition_id, case when event_type = 'Started' then e.definition_version else f.definition_version end as definition_version,
+          case when event_type = 'Started' then e.parent_instance_id else f.parent_instance_id end as parent_instance_id, case when event_type = 'Started' then coalesce(e.root_instance_id, e.stream_id) else f.root_instance_id end as root_instance_id,
           case when event_type in ('StepCompleted', 'StepFailed') then e.step_path else f.last_step_path end as last_step_path,
-          case when event_type = 'StepFailed' then e.error when event_type = 'ContinuedAsNew' then null else f.error_summary end as error_summary,
-          f.generation + case when event_type = 'ContinuedAsNew' then 1 else 0 end as generation,
-          case event_type when 'ContinuationAttemptFailed' then f.failure_count + 1 when 'ContinuedAsNew' then 0 else f.failure_count end as failure_count,
-          case when event_type in ('ContinuedAsNew', 'StepFailed', 'Completed') then [] when event_type = 'WaitRegistered' then list_distinct(list_append(f.w, e.wait_id)) when event_type = 'ResourcePoolQueued' then list_distinct(list_append(f.w, e.holder_key))
+          case when event_type in ('StepFailed', 'Parked') then e.error when event_type = 'Terminal' then coalesce(e.error, f.error_summary) when event_type in ('ContinuedAsNew', 'Unparked') then null else f.error_summary end as error_summary,
+          case when event_type = 'Completed' then e.outcome when event_type = 'ContinuedAsNew' then null else f.outcome end as outcome, case when event_type = 'Parked' then e.reason when event_type = 'Unparked' then null else f.park_reason end as park_reason,
+          case when event_type = 'ContinuedAsNew' then e.generation else f.generation end as generation,
+          case when event_type = 'ContinuationAttemptFailed' then e.attempt_count when {_RESETS} then 0 else f.failure_count end as failure_count,
+          case when event_type = 'ContinuationAttemptFailed' then e.position_stream_version when {_RESETS} then null else f.failure_position end as failure_position,
+          case when event_type = 'ContinuationAttemptFailed' then e.next_eligible_at when {_RESETS} then null else f.retry_not_before end as retry_not_before,
+          case when {_ENDS} then [] when event_type in ('WaitRegistered', 'ResourcePoolQueued') then list_distinct(list_append(f.w, e.wait_id))
             when event_type in ('WaitMatched', 'WaitCancelled') then list_filter(f.w, lambda x: x <> e.wait_id) else f.w end as w,
-          case when event_type in ('ContinuedAsNew', 'StepFailed', 'Completed') then [] when event_type = 'TimerScheduled' then list_distinct(list_append(f.t, e.timer_id))
+          case when {_ENDS} then [] when event_type = 'TimerScheduled' then list_distinct(list_append(f.t, e.timer_id))
             when event_type in ('TimerFired', 'TimerCancelled') then list_filter(f.t, lambda x: x <> e.timer_id) else f.t end as t,
-          case when event_type in ('ContinuedAsNew', 'StepFailed', 'Completed') then [] when event_type = 'WaitMatched' then list_distinct(list_append(f.r, e.wait_id))
+          case when {_ENDS} then [] when event_type = 'WaitMatched' then list_distinct(list_append(f.r, e.wait_id))
             when event_type in ('WaitCancelled', 'ResumeConsumed') then list_filter(f.r, lambda x: x <> e.wait_id) else f.r end as r,
-          case when event_type in ('ContinuedAsNew', 'Completed') then [] when event_type = 'ResourcePoolAcquired' then list_distinct(list_append(f.k, e.holder_key))
+          case when {_ENDS} and event_type <> 'StepFailed' then [] when event_type = 'ResourcePoolAcquired' then list_distinct(list_append(f.k, e.holder_key))
             when event_type = 'ResourcePoolReleased' then list_filter(f.k, lambda x: x <> e.holder_key) else f.k end as k
         from fold f join event_log e on e.stream_id = f.stream_id and e.version = f.version + 1) a) b)
-  select f.stream_id, f.status, f.version as stream_version, f.created_at, f.updated_at, f.last_step_path, f.error_summary, f.generation, f.failure_count,
+  select f.stream_id, f.status, f.version as stream_version, f.created_at, f.updated_at, {_LAST},
     array_to_string(list_sort(w), ',') as open_waits, array_to_string(list_sort(t), ',') as open_timers, array_to_string(list_sort(r), ',') as pending_resumes, array_to_string(list_sort(k), ',') as tickets
   from fold f join (select stream_id, max(version) as version from event_log group by stream_id) m on m.stream_id = f.stream_id and m.version = f.version"""
 
@@ -119,7 +126,7 @@ def _open_sql(key: str, col: str, opens: str, closes: str, cleared: str = CLEARE
     select o.stream_id, o.key as {col}, o.version from o left join cleared c on c.stream_id = o.stream_id where o.version > closed and o.version > coalesce(c.c, 0)"""
 
 
-@job("open_waits", _open_sql("case when event_type = 'ResourcePoolQueued' then holder_key when event_type in ('WaitRegistered', 'WaitMatched', 'WaitCancelled') then wait_id end", "wait_id", "'WaitRegistered', 'ResourcePoolQueued'", "'WaitMatched', 'WaitCancelled'"))
+@job("open_waits", _open_sql("case when event_type in ('WaitRegistered', 'ResourcePoolQueued', 'WaitMatched', 'WaitCancelled') then wait_id end", "wait_id", "'WaitRegistered', 'ResourcePoolQueued'", "'WaitMatched', 'WaitCancelled'"))
 def open_waits(spark, d):
     return log.open_waits(adapt(spark, d, E))
 
@@ -137,11 +144,14 @@ def held_tickets(spark, d):
 @job("pending_resumes", cte(E) + f""", {CLEARED},
     m as (select stream_id, wait_id, max(version) as version from event_log where event_type = 'WaitMatched' group by all),
     x as (select stream_id, wait_id, max(version) as closed from event_log where event_type in ('WaitCancelled', 'ResumeConsumed') group by all),
-    g as (select stream_id, wait_id, max(version) as version from event_log where event_type = 'WaitRegistered' group by all)
-    select m.stream_id, m.wait_id, m.version, coalesce(e.event_name, ge.event_name) as event_name, coalesce(e.correlation_id, ge.correlation_id) as correlation_id
-    from m join event_log e on e.stream_id = m.stream_id and e.version = m.version left join x on x.stream_id = m.stream_id and x.wait_id = m.wait_id left join cleared c on c.stream_id = m.stream_id
-    left join g on g.stream_id = m.stream_id and g.wait_id = m.wait_id left join event_log ge on ge.stream_id = g.stream_id and ge.version = g.version
-    where m.version > coalesce(closed, 0) and m.version > coalesce(c.c, 0)""")
+    p as (select m.*, coalesce(c.c, 0) as cleared from m left join x using (stream_id, wait_id) left join cleared c using (stream_id) where m.version > coalesce(closed, 0) and m.version > coalesce(c.c, 0)),
+    g as (select p.stream_id, p.wait_id, max(e.version) filter (event_type in ('WaitRegistered', 'ResourcePoolQueued')) as reg, coalesce(max(e.version) filter (event_type in ('WaitMatched', 'WaitCancelled')), 0) as gone
+      from p join event_log e on e.stream_id = p.stream_id and e.wait_id = p.wait_id and e.version < p.version group by all)
+    select p.stream_id, p.wait_id, p.version, coalesce(e.event_name, case when r.event_type = 'ResourcePoolQueued' then 'ResourcePoolGranted' else r.event_name end) as event_name,
+      coalesce(e.event_contract_version, case when r.event_type = 'ResourcePoolQueued' then 1 when r.event_type is not null then coalesce(r.event_contract_version, 1) end) as event_contract_version,
+      coalesce(e.correlation_id, case when r.event_type = 'ResourcePoolQueued' then r.holder_key else r.correlation_id end) as correlation_id, coalesce(e.fiber_id, r.fiber_id) as fiber_id, coalesce(e.scope_id, r.scope_id) as scope_id
+    from p join event_log e on e.stream_id = p.stream_id and e.version = p.version left join g on g.stream_id = p.stream_id and g.wait_id = p.wait_id and g.reg > g.gone and g.reg > p.cleared
+    left join event_log r on r.stream_id = g.stream_id and r.version = g.reg""")
 def pending_resumes(spark, d):
     return log.pending_resumes(adapt(spark, d, E))
 
@@ -152,8 +162,16 @@ def generations(spark, d):
     return log.generations(adapt(spark, d, E))
 
 
-MOVES = "moves as (select instance_id, seq, case seq when 0 then 'Pending' when 1 then 'Running' when 2 then case when instance_id % 4 = 0 then 'Waiting' when instance_id % 4 = 1 then 'Completed' else 'CancellationRequested' end else case when instance_id % 3 = 0 then 'Cancelled' when instance_id % 3 = 1 then 'Running' else 'Terminated' end end as status, case seq when 0 then '' when 1 then 'Start' when 2 then case when instance_id % 4 = 0 then 'Suspend' when instance_id % 4 = 1 then 'Complete' else 'RequestCancel' end else case when instance_id % 3 = 0 then 'Cancel' when instance_id % 3 = 1 then 'Resume' else 'Terminate' end end as \"trigger\" from (select instance_id from projections) p cross join (select 0 as seq union all select 1 as seq union all select 2 as seq union all select 3 as seq) s)"
-_ALLOWED = ", ".join(f"('{a}', '{t}', '{b}')" for a, t, b in log.TRANSITIONS)
+MOVES = """moves as (select instance_id, seq,
+  case seq when 0 then 'Pending' when 1 then case when instance_id % 10 = 0 then 'CancellationRequested' else 'Running' end
+    when 2 then case instance_id % 4 when 0 then 'Waiting' when 1 then 'Completed' when 2 then 'Failed' else 'Cancelled' end
+    else case instance_id % 5 when 0 then 'Cancelled' when 1 then 'Running' when 2 then 'Terminated' when 3 then 'TimedOut' else 'Failed' end end as status,
+  case seq when 0 then '' when 1 then 'Start' when 2 then case instance_id % 4 when 0 then case when instance_id % 8 = 0 then 'Park' else 'EnterWait' end when 1 then 'Complete' when 2 then 'Fail' else 'Cancel' end
+    else case instance_id % 5 when 0 then 'Cancel' when 1 then case when instance_id % 8 = 0 then 'Unpark' else 'MatchWait' end when 2 then 'Terminate' when 3 then 'Timeout' else 'Fail' end end as "trigger"
+  from (select instance_id from projections) p cross join (select 0 as seq union all select 1 as seq union all select 2 as seq union all select 3 as seq) s)"""
+_ALLOWED = """('Pending', 'Start', 'Running'), ('Running', 'EnterWait', 'Waiting'), ('Waiting', 'MatchWait', 'Running'), ('Running', 'Complete', 'Completed'), ('Running', 'Fail', 'Failed'),
+      ('Running', 'Cancel', 'Cancelled'), ('Waiting', 'Cancel', 'Cancelled'), ('Running', 'Terminate', 'Terminated'), ('Waiting', 'Terminate', 'Terminated'), ('Running', 'Park', 'Waiting'), ('Waiting', 'Unpark', 'Running'),
+      ('CancellationRequested', 'Cancel', 'Cancelled'), ('CancellationRequested', 'Terminate', 'Terminated'), ('Running', 'Timeout', 'TimedOut'), ('Waiting', 'Timeout', 'TimedOut')"""
 
 
 @job("lifecycle_transitions", cte("projections") + ", " + MOVES + f""", s as (select *, lag(status) over (partition by instance_id order by seq) as from_status from moves),

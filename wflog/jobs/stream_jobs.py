@@ -9,6 +9,7 @@ from ..sources.scratch import new_path
 from ..streaming import streams as S
 from .log_jobs import FOLD_SQL, flat
 from .registry import job
+from .store_jobs import _BAD, raw
 
 E = "event_log"
 
@@ -27,7 +28,7 @@ def timed(stream, column: str = "occurred_at"):
 
 @job("stream_fold", FOLD_SQL)
 def stream_fold(spark, d):
-    return flat(S.run_available(S.stream_fold(live(spark, d, E)), "update", ["stream_id"], "fold"))
+    return flat(S.run_available(S.stream_fold(live(spark, d, E)), "update", ["stream_id"], "fold").drop("fault"))
 
 
 @job("stream_dedupe", cte("inbox") + """, b as (select *, first_value(envelope_fingerprint) over w as f, row_number() over w as rn from inbox window w as (partition by event_id order by acceptance_sequence))
@@ -44,18 +45,32 @@ def stream_match_waits(spark, d):
     return S.run_available(S.stream_match_waits(rows), "append", None, "match")
 
 
-_OPEN = "o as (select timer_id, max(version) filter (event_type = 'TimerScheduled') as v, max(version) as l from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled') group by 1)"
+@job("stream_join_waits", cte(E) + """, w as (select wait_id as key, event_id as wait_id, occurred_at as t from event_log where event_type = 'WaitRegistered'), e as (select wait_id as key, event_id, occurred_at as t from event_log where event_type = 'WaitMatched'),
+    m as (select least((select max(t) from w), (select max(t) from e)) - interval '10' minute as wm),
+    x as (select w.wait_id, w.t, e.event_id from w left join e on e.key = w.key and e.t >= w.t and e.t <= w.t + interval '4' hour)
+    select wait_id, event_id from x, m where event_id is not null or t + interval '4' hour < wm""")
+def stream_join_waits(spark, d):
+    rows = timed(live(spark, d, E))
+    waits = rows.where("event_type = 'WaitRegistered'").select(F.col("wait_id").alias("key"), F.col("event_id").alias("wait_id"), "at")
+    events = timed(live(spark, d, E)).where("event_type = 'WaitMatched'").select(F.col("wait_id").alias("key"), "event_id", "at")
+    return S.run_available(S.stream_join_waits(waits, events, "4 hours"), "append", None, "join")
 
 
-@job("stream_timers", cte(E) + f", {_OPEN}, m as (select max(occurred_at) - interval '10' minute as wm from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled')) select e.timer_id, epoch_us(fire_at) // 1000 as due_ms from o join event_log e on e.timer_id = o.timer_id and e.version = o.v, m where o.v = o.l and epoch_us(fire_at) // 1000 <= epoch_us(wm) // 1000")
+@job("stream_timers", cte(E) + """, t as (select timer_id, version, event_type, epoch_us(occurred_at) // 1000 as ms, epoch_us(fire_at) // 1000 as due_ms from event_log where event_type in ('TimerScheduled', 'TimerFired', 'TimerCancelled')),
+    m as (select max(ms) - 600000 as wm from t)
+    select timer_id, due_ms from t, m where event_type = 'TimerScheduled' and due_ms <= wm and not exists (select 1 from t x where x.timer_id = t.timer_id and x.version > t.version and x.ms <= t.due_ms)""")
 def stream_timers(spark, d):
     return S.run_available(S.stream_timers(timed(live(spark, d, E))), "append", None, "timers")
 
 
-@job("stream_stuck", cte(E) + """, t as (select stream_id, (epoch_us(occurred_at) // 1000) as ms, lead((epoch_us(occurred_at) // 1000)) over (partition by stream_id order by occurred_at) as nxt from event_log), m as (select (epoch_us(max(occurred_at)) // 1000) - 60000 as wm from event_log)
-    select stream_id as instance_id, ms + 7200000 as at_ms, 'stuck' as change from t, m where nxt - ms > 7200000 or (nxt is null and ms + 7200000 < wm) union all select stream_id, nxt, 'cleared' from t where nxt - ms > 7200000""")
+_DOING = "case when event_type in ('WaitRegistered', 'TimerScheduled', 'Parked', 'ResourcePoolQueued') then 'Waiting' when event_type = 'Completed' then 'Completed' when event_type = 'StepFailed' then 'Failed' when event_type = 'Terminal' then status when event_type = 'CancellationRequested' then 'CancellationRequested' else 'Running' end"
+
+
+@job("stream_stuck", cte(E) + f""", t as (select stream_id, {_DOING} as doing, epoch_us(occurred_at) // 1000 as ms, lead(epoch_us(occurred_at) // 1000) over (partition by stream_id order by epoch_us(occurred_at) // 1000, version) as nxt from event_log), m as (select max(ms) - 60000 as wm from t)
+    select stream_id as instance_id, ms + 7200000 as at_ms, 'stuck' as change from t, m where doing in ('Pending', 'Running', 'CancellationRequested') and ms + 7200000 <= wm and (nxt is null or nxt > wm or nxt > ms + 7200000)
+    union all select stream_id, nxt, 'cleared' from t, m where doing in ('Pending', 'Running', 'CancellationRequested') and nxt > ms + 7200000 and nxt <= wm""")
 def stream_stuck(spark, d):
-    rows = timed(live(spark, d, E)).withColumnRenamed("stream_id", "instance_id")
+    rows = timed(live(spark, d, E)).select(F.col("stream_id").alias("instance_id"), "version", "at", F.expr(_DOING).alias("status"))
     return S.run_available(S.stream_stuck(rows, 7_200_000), "append", None, "stuck")
 
 
@@ -74,10 +89,8 @@ def stream_sessions(spark, d):
     return out.select("instance_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")], "n")
 
 
-@job("stream_decode", cte(E) + " select event_id, event_type, 'good' as part from event_log where not (event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0) union all select event_id, case when event_id % 227 = 0 then 'Unknown' else event_type end, 'bad' from event_log where event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0")
+@job("stream_decode", cte(E) + f" select event_id, case when event_id % 227 = 0 then 'Unknown' else event_type end as event_type, case when {_BAD} then 'bad' else 'good' end as part from event_log")
 def stream_decode(spark, d):
-    from .store_jobs import raw
-
     rows, path = raw(spark, d), new_path(spark, "live-raw")
     rows.repartition(4, "event_id").write.parquet(path)
     good, bad = new_path(spark, "good"), new_path(spark, "bad")
@@ -91,4 +104,4 @@ def stream_projection_sink(spark, d):
     rows = live(spark, d, E).select(F.col("stream_id").alias("instance_id"), F.col("version").alias("stream_version"), F.col("event_type").alias("status"))
     path = new_path(spark, "projection")
     S.stream_projection_sink(rows, path, new_path(spark, "projection-state")).awaitTermination()
-    return S.latest_projection(spark, path, rows.schema).drop("v", "bucket")
+    return S.latest_projection(spark, path, rows.schema)

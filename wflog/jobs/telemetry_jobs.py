@@ -41,10 +41,13 @@ def merge_scopes(spark, d):
     return adapt(spark, d, A).select("event_id", render_tags(T.merge_scopes(outer, inner, state)).alias("properties"))
 
 
-_OBS = " ".join(f"when '{k}' then '{v}'" for k, v in T.OBSERVATIONS.items())
+_SEEN = """case event_type when 'Started' then 'InstanceStarted' when 'ContinuedAsNew' then 'InstanceContinuedAsNew' when 'StepCompleted' then 'StepCompleted' when 'StepFailed' then 'StepFailed'
+      when 'WaitRegistered' then 'InstanceSuspended' when 'WaitMatched' then 'InstanceResumed' when 'TimerScheduled' then 'InstanceSuspended' when 'TimerFired' then 'InstanceResumed'
+      when 'Parked' then 'InstanceParked' when 'Unparked' then 'InstanceUnparked' when 'Completed' then 'InstanceCompleted' when 'CancellationRequested' then 'InstanceCancellationRequested'
+      when 'Terminal' then case status when 'Failed' then 'InstanceFailed' when 'Cancelled' then 'InstanceCancelled' when 'Terminated' then 'InstanceTerminated' end end"""
 
 
-@job("lifecycle_observations", cte(E) + f" select stream_id, version, occurred_at, event_type, case event_type {_OBS} end as observation, case when event_type in ('StepCompleted', 'StepFailed') then step_path end as step_path, case when event_type = 'StepFailed' then error end as error_kind from event_log")
+@job("lifecycle_observations", cte(E) + f" select stream_id, version, occurred_at, event_type, {_SEEN} as observation, case when event_type in ('StepCompleted', 'StepFailed') then step_path end as step_path, case when event_type = 'StepFailed' then error end as error_kind from event_log")
 def lifecycle_observations(spark, d):
     return T.lifecycle_observations(adapt(spark, d, E))
 
@@ -56,9 +59,6 @@ def wait_durations(spark, d):
     return T.wait_durations(adapt(spark, d, E))
 
 
-_SEEN = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in T.OBSERVATIONS.items()) + " end"
-
-
 @job("event_counters", cte(E, "inbox") + f""", u as (select event_name, row_number() over w as rn, envelope_fingerprint = first_value(envelope_fingerprint) over w as same from inbox window w as (partition by event_id order by acceptance_sequence))
     select 'events' as counter, event_type as label, count(*) as n from event_log group by all union all select 'steps.completed', step_path, count(*) from event_log where event_type = 'StepCompleted' group by all
     union all select 'steps.failed', step_path || '|' || error, count(*) from event_log where event_type = 'StepFailed' group by all

@@ -299,28 +299,53 @@ def run_durations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return over_graphs(timed, edges, "queue_s long,work_s long", longest, "run_id long, queue_s long, work_s long, critical_s long")
 
 
+CHILD_ENDED = ("Completed", "Cancelled", "TimedOut", "Terminated", "Failed")
+NODE_ENDED = (*ENDED, "DependencyBlocked")
+
+
+def _child_outcome(status: Column, run_state: Column) -> tuple[Column, Column]:
+    """(state, failure code) that a child's end gives its node."""
+    cancelled = (status == "Cancelled") & run_state.isin("CancellationRequested", "Cancelled")
+    state = F.when(status == "Completed", "Succeeded").when(cancelled, "Cancelled").otherwise("Failed")
+    code = F.when(status == "Cancelled", "CHILD_CANCELLED").when(status == "TimedOut", "CHILD_TIMED_OUT").when(status == "Terminated", "CHILD_TERMINATED").otherwise("CHILD_FAILED")
+    return state, F.when(state == "Failed", code)
+
+
 def join_children(nodes: DataFrame, runs: DataFrame, children: DataFrame) -> DataFrame:
-    """Terminal children brought back to their nodes: new state, failure code, and a conflict where a finished node disagrees."""
-    c = children.where(F.col("status").isin("Completed", "Cancelled", "TimedOut", "Terminated", "Failed")).select("child_id", "status")
+    """Terminal children brought back to their nodes: state, failure code and output of the node afterwards.
+
+    conflict: a node that has ended (a blocked one too) and doesn't agree with its child in state, failure code and output; it stays as it is.
+    """
+    c = children.where(F.col("status").isin(*CHILD_ENDED)).select("child_id", F.col("status").alias("child_status"), F.col("output").alias("child_output"))
     out = nodes.join(c, "child_id").join(runs.select("run_id", F.col("state").alias("run_state")), "run_id")
-    cancelling = F.col("run_state") == "CancellationRequested"
-    new = F.when(F.col("status") == "Completed", "Succeeded").when((F.col("status") == "Cancelled") & cancelling, "Cancelled").otherwise("Failed")
-    code = F.when(new == "Failed", F.when(F.col("status") == "Cancelled", "CHILD_CANCELLED").when(F.col("status") == "TimedOut", "CHILD_TIMED_OUT").when(F.col("status") == "Terminated", "CHILD_TERMINATED").otherwise("CHILD_FAILED"))
-    ended = F.col("state").isin("Succeeded", "Failed", "Cancelled")
-    return out.select("run_id", "ordinal", F.when(ended, F.col("state")).otherwise(new).alias("state"), F.when(~ended, code).alias("failure_code"), (ended & (F.col("state") != new)).alias("conflict"))
+    new, code = _child_outcome(F.col("child_status"), F.col("run_state"))
+    ended = F.col("state").isin(*NODE_ENDED)
+    agrees = (F.col("state") == new) & F.col("failure_code").eqNullSafe(code) & F.col("output").eqNullSafe(F.col("child_output"))
+    after = lambda old, value: F.when(ended, F.col(old)).otherwise(value).alias(old)
+    return out.select("run_id", "ordinal", after("state", new), after("failure_code", code), after("output", F.col("child_output")), (ended & ~agrees).alias("conflict"))
 
 
 def reconcile_runs(runs: DataFrame, nodes: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(work list (run_id, ordinal, action), runs with their new state) for runs in IntegrityFault; a run goes back to what its nodes show."""
-    bad = runs.where("state = 'IntegrityFault'").select("run_id", F.coalesce("cancel_requested", F.lit(False)).alias("cancelling"))
-    c = children.select("child_id", F.col("status").isin("Completed", "Cancelled", "TimedOut", "Terminated", "Failed").alias("child_done"))
-    n = nodes.join(bad, "run_id").join(c, "child_id", "left")
+    """(work list (run_id, ordinal, action), runs with their new state) for runs in IntegrityFault.
+
+    A run is cancelling when one of its nodes is Cancelled or CancellationRequested, and goes back to what its nodes show. It stays in IntegrityFault, without work,
+    when a node disagrees with its child: the node has ended and the child hasn't (or is not there), or the node has a child and was never started.
+    """
+    bad = runs.where("state = 'IntegrityFault'").select("run_id")
+    c = children.select("child_id", F.col("status").isin(*CHILD_ENDED).alias("child_done"))
+    n = nodes.join(bad, "run_id", "left_semi")
+    own = n.where("child_id is not null").select("run_id", "ordinal", "child_id", "state").join(c, "child_id", "left")
     started = F.col("state").isin("StartAuthorized", "CancellationRequested")
-    ended = F.col("state").isin("Succeeded", "Failed", "Cancelled") & F.col("child_id").isNotNull()
     done = F.coalesce("child_done", F.lit(False))
-    action = F.when(started & done, "join").when(started & F.col("cancelling"), "cancel").when(started & F.col("child_done").isNull(), "start").when(ended & ~done, "conflict")
-    work = n.withColumn("action", action).where("action is not null").select("run_id", "ordinal", "action")
-    return work, bad.select("run_id", F.when(F.col("cancelling"), "CancellationRequested").otherwise("Running").alias("state"))
+    conflict = F.when(F.col("state").isin(*ENDED), ~done).otherwise(~started)
+    faults = own.where(conflict).select("run_id").distinct().withColumn("fault", F.lit(True))
+    shown = n.groupBy("run_id").agg(F.bool_or(F.col("state").isin("Cancelled", "CancellationRequested")).alias("cancelling"))
+    after = bad.join(shown, "run_id", "left").join(faults, "run_id", "left")
+    state = F.when(F.coalesce("fault", F.lit(False)), "IntegrityFault").when(F.coalesce("cancelling", F.lit(False)), "CancellationRequested").otherwise("Running")
+    after = after.select("run_id", state.alias("state"))
+    action = F.when(done, "join").when(F.col("run_after") == "CancellationRequested", "cancel").when(F.col("child_done").isNull(), "start")
+    work = own.where(started).join(after.where("state <> 'IntegrityFault'").withColumnRenamed("state", "run_after"), "run_id")
+    return work.withColumn("action", action).where("action is not null").select("run_id", "ordinal", "action"), after
 
 
 def reconstruct_run(nodes: DataFrame, children: DataFrame) -> DataFrame:

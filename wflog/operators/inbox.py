@@ -40,15 +40,21 @@ def definition_fanout(events: DataFrame, projections: DataFrame, max_targets: in
     return targets, judged
 
 
+def _route(kind: str, instance: Column, definition: Column, version: Column, name: Column, correlation: Column) -> Column:
+    owners = {"direct": [instance], "correlation": [definition], "target": [instance, definition]}[kind]
+    return route_key(kind, owners, version, name, correlation)
+
+
 def wait_routes(waits: DataFrame) -> DataFrame:
-    """Each wait with its route keys: direct, correlation and fan-out target."""
-    v, n, c = F.col("event_contract_version"), F.col("event_name"), F.col("correlation_id")
-    keys = F.array(route_key("direct", F.col("instance_id"), v, n), route_key("correlation", F.col("definition_id"), v, n, c), route_key("target", F.col("instance_id"), v, n))
-    return waits.withColumn("route_key", F.explode(keys))
+    """Each wait with its route keys: direct, correlation and fan-out target; all of them hold the correlation."""
+    c = [F.col(x) for x in ("instance_id", "definition_id", "event_contract_version", "event_name", "correlation_id")]
+    return waits.withColumn("route_key", F.explode(F.array(*[_route(k, *c) for k in ("direct", "correlation", "target")])))
 
 
 def event_route(kind: Column, instance: Column, definition: Column, version: Column, name: Column, correlation: Column) -> Column:
-    return F.when(kind == "direct", route_key("direct", instance, version, name)).when(kind == "correlation", route_key("correlation", definition, version, name, correlation)).otherwise(route_key("target", instance, version, name))
+    """The key under which an event waits; an event to a definition has one per target."""
+    c = (instance, definition, version, name, correlation)
+    return F.when(kind == "direct", _route("direct", *c)).when(kind == "correlation", _route("correlation", *c)).otherwise(_route("target", *c))
 
 
 def match_pending_events(waits: DataFrame, pending: DataFrame) -> DataFrame:
@@ -107,11 +113,11 @@ def record_handoff_failure(inbox: DataFrame, failures: DataFrame, at: Column, mo
     dead = hit & (n >= most)
     wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff_seconds(n).cast("decimal(18,6)"))
     return out.select(
-        *[c for c in inbox.columns if c not in ("state", "handoff_failure_count", "handoff_retry_not_before")],
+        *[c for c in inbox.columns if c not in ("state", "handoff_failure_count", "handoff_retry_not_before", "poison_code")],
         F.when(dead, "Poisoned").otherwise(F.col("state")).alias("state"),
         F.when(hit, n).otherwise(F.col("handoff_failure_count")).alias("handoff_failure_count"),
         F.when(dead, None).when(hit, at + wait).otherwise(F.col("handoff_retry_not_before")).alias("handoff_retry_not_before"),
-        F.when(dead, F.col("code")).alias("poison_code"),
+        F.when(dead, F.col("code")).otherwise(F.col("poison_code") if "poison_code" in inbox.columns else F.lit(None)).alias("poison_code"),
         hit.alias("applied"),
     )
 
@@ -124,39 +130,62 @@ def transition_inbox(inbox: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def start_or_deliver(requests: DataFrame, starts: DataFrame, intents: DataFrame) -> DataFrame:
-    """requests (key, seq, definition_id, definition_version, fingerprint) -> DeliverDirect, IntentCreated, IntentJoined or StartConflict."""
+    """requests (key, seq, definition_id, definition_version, fingerprint) -> DeliverDirect, IntentCreated, IntentJoined or StartConflict.
+
+    A request is a conflict when it differs from what its key was started with, or when the key's stored intent is poisoned or of another kind. Without
+    either, the key's first request creates the intent that the others are compared with. Requests that hold against a started key go direct to its instance.
+    """
     what = ["definition_id", "definition_version", "fingerprint"]
-    known = intents.select("key", F.lit(-1).cast("long").alias("seq"), *what, "state")
-    rows = known.unionByName(requests.select("key", "seq", *what, F.lit(None).cast("string").alias("state")))
-    w = Window.partitionBy("key").orderBy("seq")
-    same = F.lit(True)
-    for c in what:
-        same = same & F.col(c).eqNullSafe(F.first(c).over(w))
-    rows = rows.withColumn("same", same).withColumn("rn", F.row_number().over(w)).withColumn("poisoned", F.first("state").over(w).eqNullSafe(F.lit("Poisoned")))
-    rows = rows.where("seq >= 0").join(starts.select("key", F.col("instance_id").alias("started_id")), "key", "left")
-    result = F.when(F.col("started_id").isNotNull(), "DeliverDirect").when(F.col("poisoned"), "StartConflict").when(F.col("rn") == 1, "IntentCreated").when(F.col("same"), "IntentJoined").otherwise("StartConflict")
-    return rows.select("key", "seq", result.alias("result"), "started_id")
+    row = F.struct(*what)
+    known = intents.select("key", row.alias("intended"), F.col("state").alias("intent_state"))
+    begun = starts.select("key", row.alias("begun"), F.col("instance_id").alias("started_id"))
+    first = requests.groupBy("key").agg(F.min(F.struct("seq", *what)).alias("f")).select("key", F.col("f.seq").alias("first_seq"), F.struct(*[F.col(f"f.{c}").alias(c) for c in what]).alias("first"))
+    rows = requests.join(begun, "key", "left").join(known, "key", "left").join(first, "key")
+    differs = lambda c: ~row.eqNullSafe(F.col(c))
+    conflict = (
+        (F.col("begun").isNotNull() & differs("begun"))
+        | (F.col("intended").isNotNull() & (differs("intended") | (F.col("intent_state") == "Poisoned")))
+        | (F.col("begun").isNull() & F.col("intended").isNull() & differs("first"))
+    )
+    created = F.col("intended").isNull() & (F.col("seq") == F.col("first_seq"))
+    result = F.when(conflict, "StartConflict").when(F.col("begun").isNotNull(), "DeliverDirect").when(created, "IntentCreated").otherwise("IntentJoined")
+    return rows.select("key", "seq", result.alias("result"), F.when(~conflict, F.col("started_id")).alias("started_id"))
 
 
 def materialize_starts(intents: DataFrame, events: DataFrame, started: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pending intents of started keys become Materialized; their unassigned Received events get the instance and a direct route."""
+    """Pending intents of started keys become Materialized; their unassigned Received start-or-deliver events get the instance and a direct route."""
     s = started.select("key", F.col("instance_id").alias("new_id"))
     i = intents.join(s, "key", "left")
     done = F.col("new_id").isNotNull() & (F.col("state") == "Pending")
     i = i.withColumn("instance_id", F.when(done, F.col("new_id")).otherwise(F.col("instance_id"))).withColumn("state", F.when(done, "Materialized").otherwise(F.col("state"))).drop("new_id")
     e = events.join(s, "key", "left")
-    mine = F.col("new_id").isNotNull() & F.col("instance_id").isNull() & (F.col("state") == "Received")
-    key = route_key("direct", F.col("new_id"), F.col("event_contract_version"), F.col("event_name"))
+    mine = F.col("new_id").isNotNull() & F.col("instance_id").isNull() & (F.col("state") == "Received") & (F.col("route_kind") == "start-or-deliver")
+    key = route_key("direct", [F.col("new_id")], F.col("event_contract_version"), F.col("event_name"), F.col("correlation_id"))
     e = e.withColumn("route_key", F.when(mine, key).otherwise(F.col("route_key"))).withColumn("instance_id", F.when(mine, F.col("new_id")).otherwise(F.col("instance_id"))).drop("new_id")
     return i, e
 
 
+def _poisoned(rows: DataFrame, hit: Column, code: str) -> DataFrame:
+    """Rows with a new state and code where hit; a code stored earlier stays."""
+    stored = F.col("poison_code") if "poison_code" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("poison_code", F.when(hit, F.lit(code)).otherwise(stored)).withColumn("state", F.when(hit, "Poisoned").otherwise(F.col("state")))
+
+
+def poison_start_keys(intents: DataFrame, inbox: DataFrame, keys: DataFrame, code: str, expected: str = "Received") -> tuple[DataFrame, DataFrame]:
+    """Pending intents of the given start keys become Poisoned, and so do all events of these intents in the expected state."""
+    bad = keys.select("key").distinct().join(intents.where("state = 'Pending'").select("key").distinct(), "key", "left_semi").withColumn("_bad", F.lit(True))
+    i = intents.join(bad, "key", "left")
+    e = inbox.join(bad, "key", "left")
+    hit = F.col("_bad").isNotNull()
+    return _poisoned(i, hit & (F.col("state") == "Pending"), code).drop("_bad"), _poisoned(e, hit & (F.col("state") == expected), code).drop("_bad")
+
+
 def poison_targets(inbox: DataFrame, instances: DataFrame, code: str) -> DataFrame:
     """All Received direct events of the given instances become Poisoned."""
     bad = instances.select("instance_id").distinct().withColumn("_bad", F.lit(True))
     out = inbox.join(bad, "instance_id", "left")
     hit = F.col("_bad").isNotNull() & (F.col("state") == "Received") & (F.col("route_kind") == "direct")
-    return out.withColumn("poison_code", F.when(hit, code)).withColumn("state", F.when(hit, "Poisoned").otherwise(F.col("state"))).drop("_bad")
+    return _poisoned(out, hit, code).drop("_bad")
 
 
 def classify_direct_delivery(events: DataFrame, projections: DataFrame, waits: DataFrame) -> DataFrame:

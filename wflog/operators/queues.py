@@ -40,10 +40,10 @@ def apply_dispatch_results(outbox: DataFrame, results: DataFrame) -> DataFrame:
     )
     out = out.withColumn("_new", new)
     return out.select(
-        *[c for c in outbox.columns if c not in ("state", "claimed_until")],
+        *[c for c in outbox.columns if c not in ("state", "claimed_until", "poison_code")],
         F.coalesce("_new", "state").alias("state"),
         F.when(F.col("_new").isNull(), F.col("claimed_until")).alias("claimed_until"),
-        F.when(F.col("_new") == "Poisoned", F.col("code")).alias("poison_code"),
+        F.when(F.col("_new") == "Poisoned", F.col("code")).otherwise(F.col("poison_code") if "poison_code" in outbox.columns else F.lit(None)).alias("poison_code"),
     )
 
 

@@ -41,20 +41,35 @@ def _without(outer: Column, inner: Column) -> Column:
 
 #: Kind of event -> what an operator sees: fixed values.
 OBSERVATIONS = {
-    "Started": "InstanceStarted", "Completed": "InstanceCompleted", "StepCompleted": "StepCompleted", "StepFailed": "StepFailed",
-    "WaitRegistered": "InstanceSuspended", "WaitMatched": "InstanceResumed", "TimerScheduled": "TimerScheduled", "TimerFired": "TimerFired",
-    "CancellationRequested": "CancellationRequested", "ContinuedAsNew": "ContinuedAsNew",
-}
+    "Started": "InstanceStarted",
+    "ContinuedAsNew": "InstanceContinuedAsNew",
+    "StepCompleted": "StepCompleted",
+    "StepFailed": "StepFailed",
+    "WaitRegistered": "InstanceSuspended",
+    "WaitMatched": "InstanceResumed",
+    "TimerScheduled": "InstanceSuspended",
+    "TimerFired": "InstanceResumed",
+    "Parked": "InstanceParked",
+    "Unparked": "InstanceUnparked",
+    "Completed": "InstanceCompleted",
+    "CancellationRequested": "InstanceCancellationRequested",
+}
+#: The same for a Terminal event by its status: fixed values.
+TERMINAL_OBSERVATIONS = {"Failed": "InstanceFailed", "Cancelled": "InstanceCancelled", "Terminated": "InstanceTerminated"}
 
 
-def lifecycle_name(event_type: Column) -> Column:
-    """What an operator sees of an event, null for kinds that are none."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in OBSERVATIONS.items() for x in pair]), event_type)
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def lifecycle_name(event_type: Column, status: Column) -> Column:
+    """What an operator sees of an event, null for kinds that are none; of a Terminal event its status tells."""
+    return F.when(event_type == "Terminal", _looked_up(TERMINAL_OBSERVATIONS, status)).otherwise(_looked_up(OBSERVATIONS, event_type))
 
 
 def lifecycle_observations(events: DataFrame) -> DataFrame:
     """Events with ``observation`` (null for kinds that are none), the step of step events, the error of failures."""
-    name = lifecycle_name(F.col("event_type"))
+    name = lifecycle_name(F.col("event_type"), F.col("status"))
     step = F.col("event_type").isin("StepCompleted", "StepFailed")
     return events.select("stream_id", "version", "occurred_at", "event_type", name.alias("observation"), F.when(step, F.col("step_path")).alias("step_path"), F.when(F.col("event_type") == "StepFailed", F.col("error")).alias("error_kind"))
 
@@ -74,7 +89,7 @@ def event_counters(events: DataFrame, inbox: DataFrame | None = None) -> DataFra
 
     ``inbox``: accepted envelopes; what repeats an earlier one is counted as a duplicate by its event's name.
     """
-    seen = lifecycle_name(F.col("event_type"))
+    seen = lifecycle_name(F.col("event_type"), F.col("status"))
     labels = F.array(
         F.struct(F.lit("events").alias("counter"), F.col("event_type").alias("label")),
         F.when(F.col("event_type") == "StepCompleted", F.struct(F.lit("steps.completed").alias("counter"), F.col("step_path").alias("label"))),

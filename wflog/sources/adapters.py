@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
     "event_log": """
-select stream_id, version, event_id, occurred_at, step_path, wait_id, timer_id, holder_key, event_name, correlation_id, fire_at, error, duration_ms,
+select stream_id, version, event_id, occurred_at, step_path, wait_id, timer_id, holder_key, event_name, correlation_id, fire_at, error, duration_ms, event_contract_version, fiber_id, scope_id,
+  definition_id, definition_version, parent_instance_id, root_instance_id, outcome, reason, generation, attempt_count, position_stream_version, next_eligible_at,
+  case event_id % 4 when 0 then 'Failed' when 1 then 'Cancelled' when 2 then 'Terminated' else 'TimedOut' end as status,
   case when version = 1 then 'Started' when event_id % 97 = 0 then 'ContinuedAsNew' when event_id % 89 = 0 then 'StepFailed'
     when event_id % 83 = 0 then 'WaitCancelled' when event_id % 79 = 0 then 'CancellationRequested' when event_id % 73 = 0 then 'TimerFired'
     when event_id % 71 = 0 then 'ResumeConsumed' when event_id % 67 = 0 then 'ResourcePoolAcquired' when event_id % 61 = 0 then 'ResourcePoolQueued'
     when event_id % 59 = 0 then 'ResourcePoolReleased' when event_id % 53 = 0 then 'Completed' when event_id % 47 = 0 then 'TimerCancelled'
-    when kind = 'signup' then 'WaitRegistered' when kind = 'view' then 'StepCompleted' when kind = 'click' then 'WaitMatched'
+    when event_id % 43 = 0 then 'Parked' when event_id % 41 = 0 then 'Unparked' when event_id % 37 = 0 then 'Terminal' when event_id % 31 = 0 then 'ContinuationAttemptReset'
+    when event_id % 29 = 0 then 'ExecutionPositionChanged' when kind = 'signup' then 'WaitRegistered' when kind = 'view' then 'StepCompleted' when kind = 'click' then 'WaitMatched'
     when kind = 'purchase' then 'TimerScheduled' else 'ContinuationAttemptFailed' end as event_type
 from (select user_id as stream_id, event_id, ts as occurred_at, event_type as kind, cast(floor(value) as bigint) as duration_ms,
     cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as version,
@@ -23,8 +26,16 @@ from (select user_id as stream_id, event_id, ts as occurred_at, event_type as ki
     cast(user_id as string) || ':w' || cast(event_id % 4 as string) as wait_id,
     cast(user_id as string) || ':t' || cast(event_id % 3 as string) as timer_id,
     cast(user_id as string) || ':h' || cast(event_id % 2 as string) as holder_key,
-    'evt-' || cast(event_id % 5 as string) as event_name, 'c' || cast(user_id % 40 as string) as correlation_id,
-    ts + (event_id % 50) * interval '1' minute as fire_at, 'failed ' || cast(event_id % 7 as string) as error
+    case when event_type = 'click' and event_id % 3 = 0 then null else 'evt-' || cast(event_id % 5 as string) end as event_name,
+    case when event_type = 'click' and event_id % 3 = 1 then null else 'c' || cast(user_id % 40 as string) end as correlation_id,
+    case when event_type = 'click' and event_id % 2 = 0 then null else cast(1 + event_id % 3 as int) end as event_contract_version,
+    case when event_id % 5 < 2 then null else 'f' || cast(event_id % 5 as string) end as fiber_id, case when event_id % 7 < 3 then null else 's' || cast(event_id % 7 as string) end as scope_id,
+    user_id % 20 as definition_id, cast(1 + user_id % 3 as int) as definition_version, case when user_id % 4 = 0 then user_id + 1 end as parent_instance_id,
+    case when user_id % 4 = 0 then user_id + 2 end as root_instance_id, case when event_id % 3 = 0 then null else 'Done' || cast(event_id % 3 as string) end as outcome,
+    case event_id % 3 when 0 then 'RuntimeStateVersion' when 1 then 'VersionBinding' else 'Poison' end as reason,
+    cast(event_id % 1000 as int) as generation, cast(1 + event_id % 5 as int) as attempt_count, case when event_id % 4 = 0 then null else event_id % 100 end as position_stream_version,
+    ts + (event_id % 60) * interval '1' second as next_eligible_at,
+    ts + (event_id % 50) * interval '1' minute as fire_at, case when event_id % 111 = 0 and event_id % 89 <> 0 then null else 'failed ' || cast(event_id % 7 as string) end as error
   from {events}) e""",
     "projections": """
 select o_orderkey as instance_id, o_orderkey - o_orderkey % 10 as root_instance_id, o_custkey % 20 as definition_id,

@@ -22,16 +22,49 @@ SCHEMAS = {
     "dag_runs": "run_id string, creation_sequence bigint, version bigint, definition_id string, definition_version bigint, state string, is_stuck boolean, last_progress_at timestamp, created_at timestamp, completed_at timestamp",
     "dag_nodes": "run_id string, ordinal int, node_id string, state string, child_id string, output string, failure_code string, ready_at timestamp, started_at timestamp, completed_at timestamp",
     "dag_edges": "run_id string, ordinal int, dep_ordinal int",
+    "governance_records": "partition_id string, version bigint, kind string, payload string, checksum string, recorded_at timestamp",
+    "dag_operations": "run_id string, operation_id string, stream_version bigint, fingerprint string",
+    "dag_subscriptions": "subscription_id string, run_id string, seen_version bigint, created_at timestamp, expires_at timestamp",
+    "dag_leases": "run_id string, owner string, purpose string, fence bigint, acquired_at timestamp, expires_at timestamp, turn_expires_at timestamp",
+    "lease_requests": "request_id string, partition_id string, holder_instance_id string, holder_key string, requirements array<struct<pool_name: string, units: int>>, requested_at timestamp, expires_at timestamp, state string",
     "dag_records": "run_id string, stream_version bigint, operation_id string, kind string, state string, changes array<struct<ordinal: int, state: string, failure_code: string>>, updated_at timestamp",
 }
 
-#: Kinds of events that change an instance; others are quarantined.
-EVENT_KINDS = (
-    "Started", "ExecutionPositionChanged", "Parked", "Unparked", "ContinuationAttemptFailed", "ContinuationAttemptReset",
-    "ContinuedAsNew", "StepCompleted", "StepFailed", "Completed", "CancellationRequested", "Terminal", "WaitRegistered",
-    "WaitMatched", "WaitCancelled", "TimerScheduled", "TimerFired", "TimerCancelled", "ResumeConsumed",
-    "ResourcePoolAcquired", "ResourcePoolQueued", "ResourcePoolReleased",
-)
+_AT_FIBER = ("fiber_id", "scope_id")
+#: Kinds of events that change an instance, others are quarantined; with the payload fields that each must have and those that it may have: fixed values.
+EVENT_FIELDS = {
+    "Started": (("definition_id", "definition_version"), ("idempotency_key", "definition_fingerprint", "input_fingerprint", "input_content_type", "input_payload")),
+    "ExecutionPositionChanged": ((), ()),
+    "Parked": (("reason", "error", "failed_attempt_count"), ("position_stream_version",)),
+    "Unparked": ((), ()),
+    "ContinuationAttemptFailed": (("attempt_count", "next_eligible_at", "error"), ("position_stream_version",)),
+    "ContinuationAttemptReset": ((), ()),
+    "ContinuedAsNew": (("previous_stream_version", "generation"), ()),
+    "StepCompleted": (("step_path",), ()),
+    "StepFailed": (("step_path", "error"), ()),
+    "Completed": ((), ("outcome",)),
+    "CancellationRequested": ((), ()),
+    "Terminal": (("status",), ("error",)),
+    "WaitRegistered": (("wait_id", "event_name", "correlation_id"), (*_AT_FIBER, "wait_sequence", "event_contract_version", "mode", "branch_id", "timeout_timer_id")),
+    "WaitMatched": (("wait_id", "matched_event_id"), (*_AT_FIBER, "wait_sequence", "event_name", "event_contract_version", "correlation_id", "branch_id", "payload_content_type", "event_payload")),
+    "WaitCancelled": (("wait_id",), _AT_FIBER),
+    "TimerScheduled": (("timer_id", "fire_at", "wakeup_name"), _AT_FIBER),
+    "TimerFired": (("timer_id",), _AT_FIBER),
+    "TimerCancelled": (("timer_id",), _AT_FIBER),
+    "ResumeConsumed": (("wait_id",), _AT_FIBER),
+    "ResourcePoolAcquired": (("holder_key", "tickets"), _AT_FIBER),
+    "ResourcePoolQueued": (("wait_id", "holder_key", "requirements"), (*_AT_FIBER, "wait_sequence", "expires_at")),
+    "ResourcePoolReleased": (("holder_key", "tickets"), _AT_FIBER),
+}
+EVENT_KINDS = tuple(EVENT_FIELDS)
+#: Payload fields that every kind may have.
+COMMON_FIELDS = ("command_id", "causation_id", "parent_instance_id", "root_instance_id")
 
-#: One wide payload for all kinds; a kind leaves the others' columns null.
-PAYLOAD = "wait_id string, timer_id string, event_name string, correlation_id string, fire_at timestamp, step_path string, status string, error string, outcome string, holder_key string, generation int"
+_TICKET = "struct<ticket_id: string, pool_name: string, count: int, holder_instance_id: string, holder_key: string, acquired_at: timestamp, expires_at: timestamp, fiber_id: string, scope_id: string, provider_generation: bigint, review_deadline: timestamp, review_marked: boolean>"
+_TYPES = {
+    "definition_version": "int", "failed_attempt_count": "int", "position_stream_version": "bigint", "attempt_count": "int", "next_eligible_at": "timestamp", "previous_stream_version": "bigint", "generation": "int",
+    "wait_sequence": "bigint", "event_contract_version": "int", "fire_at": "timestamp", "expires_at": "timestamp", "input_payload": "binary", "event_payload": "binary",
+    "tickets": f"array<{_TICKET}>", "requirements": "array<struct<pool_name: string, count: int>>",
+}
+#: One wide payload for all kinds: field -> type; a kind leaves the others' fields null.
+PAYLOAD = {f: _TYPES.get(f, "string") for f in dict.fromkeys([*COMMON_FIELDS, *[f for need, may in EVENT_FIELDS.values() for f in (*need, *may)]])}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schemas import EVENT_KINDS, PAYLOAD, SCHEMAS
+from .schemas import COMMON_FIELDS, EVENT_FIELDS, EVENT_KINDS, PAYLOAD, SCHEMAS
 
 #: Times in payloads, to the microsecond.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -16,25 +16,35 @@ def read_store(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}.parquet")
 
 
+def _kinds_with(field: str, needed: bool = False) -> list[str]:
+    return [k for k, (need, may) in EVENT_FIELDS.items() if field in need or (not needed and field in (*may, *COMMON_FIELDS))]
+
+
 def decode_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(event_type, payload json) rows -> (good rows with typed payload columns, quarantined rows).
 
-    A row is quarantined when its kind is unknown or its payload isn't an object.
+    A row is quarantined when its kind is unknown, its payload isn't an object, a value isn't of its field's type or a field is missing that its kind
+    must have. Fields that a kind doesn't have are left out.
     """
-    parsed = raw.withColumn("p", F.from_json("payload", PAYLOAD + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "timestampFormat": MICROS}))
-    known = F.col("event_type").isin(*EVENT_KINDS)
-    ok = F.coalesce(known & F.col("p").isNotNull() & F.col("p._bad").isNull() & F.trim("payload").startswith("{"), F.lit(False))
-    names = [x.split()[0] for x in PAYLOAD.split(", ")]
-    keep = [c for c in raw.columns if c not in (*names, "payload")]
-    good = parsed.where(ok).select(*keep, *[F.col(f"p.{n}") for n in names])
+    ddl = ", ".join(f"{c} {t}" for c, t in PAYLOAD.items())
+    parsed = raw.withColumn("p", F.from_json("payload", ddl + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "timestampFormat": MICROS}))
+    kind = F.col("event_type")
+    complete = F.lit(True)
+    for c in PAYLOAD:
+        if needs := _kinds_with(c, needed=True):
+            complete = complete & (~kind.isin(*needs) | F.col(f"p.{c}").isNotNull())
+    ok = F.coalesce(kind.isin(*EVENT_KINDS) & F.col("p").isNotNull() & F.col("p._bad").isNull() & F.trim("payload").startswith("{") & complete, F.lit(False))
+    keep = [c for c in raw.columns if c not in (*PAYLOAD, "payload")]
+    good = parsed.where(ok).select(*keep, *[F.when(kind.isin(*_kinds_with(c)), F.col(f"p.{c}")).alias(c) for c in PAYLOAD])
     return good, parsed.where(~ok).drop("p")
 
 
 def encode_events(events: DataFrame) -> DataFrame:
-    """Inverse of ``decode_events``: the kind columns become one JSON object without null fields."""
-    names = [x.split()[0] for x in PAYLOAD.split(", ") if x.split()[0] in events.columns]
+    """Inverse of ``decode_events``: the columns that a row's kind has become one JSON object without null fields."""
+    names = [c for c in PAYLOAD if c in events.columns]
     rest = [c for c in events.columns if c not in names]
-    return events.select(*rest, F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("payload"))
+    own = [F.when(F.col("event_type").isin(*_kinds_with(c)), F.col(c).cast(PAYLOAD[c])).alias(c) for c in names]
+    return events.select(*rest, F.to_json(F.struct(*own), {"timestampFormat": MICROS}).alias("payload"))
 
 
 def write_event_log(events: DataFrame, path: str) -> None:

@@ -7,15 +7,17 @@ works through what a source has and gives the written rows back.
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.log import FOLD, apply_event, new_state
+from ..operators.log import FOLD, NEEDED, SETS, TERMINAL, apply_event, needed, new_state
 from ..sources.scratch import new_path
 from ..sources.store import decode_events
 
@@ -66,31 +68,124 @@ def _load(state: GroupState, empty: Callable[[], dict]) -> dict:
     return json.loads(state.get[0]) if state.exists else empty()
 
 
-_SETS = ("open_waits", "open_timers", "pending_resumes", "tickets")
-
-
-def _fold_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kept = _load(state, lambda: {"s": {**new_state(), **{c: [] for c in _SETS}}, "held": []})
-    s = {k: set(v) if k in _SETS else v for k, v in kept["s"].items()}
-    held = {e["version"]: e for e in kept["held"]}
-    for pdf in batches:
-        for e in pdf.to_dict("records"):
-            if e["version"] > s["stream_version"]:  # repeated versions are dropped
-                held.setdefault(e["version"], {**e, "occurred_at": e["occurred_at"].isoformat()})
-    changed = False
-    while s["stream_version"] + 1 in held:  # a gap holds what is behind it
-        apply_event(s, pd.Series(held.pop(s["stream_version"] + 1)))
-        changed = True
-    state.update((json.dumps({"s": {k: sorted(v) if k in _SETS else v for k, v in s.items()}, "held": list(held.values())}),))
-    if changed:
-        row = {k: sorted(v) if k in _SETS else v for k, v in s.items()}
-        yield pd.DataFrame([{"stream_id": key[0], **row, "created_at": pd.Timestamp(s["created_at"]), "updated_at": pd.Timestamp(s["updated_at"])}])
-
-
-def stream_fold(events: DataFrame) -> DataFrame:
-    """Live state per stream in update mode; events out of order wait until the gap closes."""
-    rows = events.select("stream_id", "version", "event_type", "occurred_at", "step_path", "wait_id", "timer_id", "holder_key", "error", *[c for c in ("status",) if c in events.columns])
-    return rows.groupBy("stream_id").applyInPandasWithState(_fold_group, FOLD, "state string", "update", GroupStateTimeout.NoTimeout)
+_TIMES = ("created_at", "updated_at", "retry_not_before")
+_FIELDS = [x for x in FOLD.split(", ")[1:] if x.split()[0] not in SETS]
+
+
+class _LiveFold(StatefulProcessor):
+    """State of one stream: its fields as one typed row, each open set as a map, versions behind a gap as a map that is never read whole."""
+
+    def __init__(self, gap_ms: int, keep_ms: int) -> None:
+        self.gap_ms, self.keep_ms = gap_ms, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fields = handle.getValueState("fields", ", ".join(x.replace("timestamp_ntz", "long") for x in _FIELDS))
+        self.sets = {c: handle.getMapState(c, "key string", "there boolean") for c in SETS}
+        self.held = handle.getMapState("held", "version long", "event string")
+        self.count = handle.getValueState("waiting", "n long, due long")
+
+    def _get(self) -> dict:
+        s = new_state()
+        if self.fields.exists():
+            s.update({x.split()[0]: v for x, v in zip(_FIELDS, self.fields.get(), strict=True)})
+            s.update({c: None if s[c] is None else pd.Timestamp(s[c], unit="us") for c in _TIMES})
+            s.update({c: {k[0] for k in self.sets[c].keys()} for c in SETS})
+        return s
+
+    def _put(self, s: dict, old: dict) -> None:
+        value = lambda c: None if _none(s[c]) else s[c].value // 1000 if c in _TIMES else s[c]
+        self.fields.update(tuple(value(x.split()[0]) for x in _FIELDS))
+        for c in SETS:
+            for k in s[c] - old[c]:
+                self.sets[c].updateValue((k,), (True,))
+            for k in old[c] - s[c]:
+                self.sets[c].removeKey((k,))
+
+    def _row(self, key, s: dict, fault: str | None = None) -> pd.DataFrame:
+        row = {c: sorted(v) if c in SETS else None if _none(v) else v for c, v in s.items()}
+        out = pd.DataFrame([{"stream_id": key[0], **row, "fault": fault}])
+        for x in FOLD.split(", "):
+            c, kind = x.split()
+            if kind in ("long", "int"):
+                out[c] = out[c].astype("Int64" if kind == "long" else "Int32")
+            elif kind == "timestamp_ntz":
+                out[c] = pd.to_datetime(out[c])
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = self._get()
+        old = {c: set(s[c]) for c in SETS}
+        n, due = self.count.get() if self.count.exists() else (0, None)
+        before, latest = s["stream_version"], 0
+        for pdf in rows:
+            for e in pdf.sort_values("version").itertuples(index=False):
+                latest = max(latest, millis(e.at))
+                if e.version == s["stream_version"] + 1:
+                    apply_event(s, _plain(e))
+                    while n and self.held.containsKey((s["stream_version"] + 1,)):
+                        v = s["stream_version"] + 1
+                        apply_event(s, _event(json.loads(self.held.getValue((v,))[0])))
+                        self.held.removeKey((v,))
+                        n -= 1
+                elif e.version > s["stream_version"] and not self.held.containsKey((e.version,)):  # repeated versions are dropped
+                    self.held.updateValue((e.version,), (json.dumps({c: v.isoformat() if isinstance(v, pd.Timestamp) else v for c, v in _plain(e)._asdict().items()}),))
+                    n += 1
+        now = max(timerValues.getCurrentWatermarkInMs(), latest)
+        want = now + self.gap_ms if n else now + self.keep_ms if s["status"] in TERMINAL else None
+        if due is not None and (want is None or not n or s["stream_version"] > before):
+            self.handle.deleteTimer(due)
+            due = None
+        if want is not None and due is None:
+            self.handle.registerTimer(want)
+            due = want
+        self.count.update((n, due))
+        if s["stream_version"] > before:
+            self._put(s, old)
+            yield self._row(key, s)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _ = self.count.get() if self.count.exists() else (0, None)
+        s = self._get()
+        if n:  # the gap has not closed in time: what is behind it stays
+            self.count.update((n, None))
+            yield self._row(key, s, f"version {s['stream_version'] + 1} is missing")
+        elif s["status"] in TERMINAL:
+            for state in (self.fields, self.count, self.held, *self.sets.values()):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+_Event = namedtuple("_Event", NEEDED)
+
+
+def _none(v) -> bool:
+    return v is None or v is pd.NaT or (isinstance(v, float) and v != v)
+
+
+def _plain(e) -> _Event:
+    """A row's event with Python's own numbers and None where nothing is."""
+    number = {c for c, t in NEEDED.items() if t in ("long", "int")}
+    return _Event(*[None if _none(v := getattr(e, c)) else int(v) if c in number else v for c in NEEDED])
+
+
+def _event(d: dict) -> _Event:
+    return _Event(**{c: pd.Timestamp(v) if v is not None and NEEDED[c] == "timestamp_ntz" else v for c, v in d.items()})
+
+
+def stream_fold(events: DataFrame, delay: str = "10 minutes", gap_ms: int = 3_600_000, keep_ms: int = 86_400_000) -> DataFrame:
+    """Live state per stream in update mode, with ``fault``: events out of order wait until the gap before them closes.
+
+    A gap that is open for ``gap_ms`` of event time gives the stream's row once more, with a fault that names the missing version. State of an ended stream goes after ``keep_ms``.
+    Needs state in RocksDB (``spark.sql.streaming.stateStore.providerClass``), which this sets for the session where nothing else is chosen.
+    """
+    spark, provider = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(provider, None) or ""):
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = needed(events).withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", delay)
+    return rows.groupBy("stream_id").transformWithStateInPandas(_LiveFold(gap_ms, keep_ms), FOLD + ", fault string", "Update", "EventTime")
 
 
 def _dedupe_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -187,57 +282,144 @@ def match_waits(rows: DataFrame, upto_ms: int, keep_ms: int = 86_400_000) -> Dat
     return rows.groupBy("key").applyInPandas(group, _MATCHED)
 
 
+def join_waits(waits: DataFrame, events: DataFrame, within: str) -> DataFrame:
+    """waits (key, wait_id, at) with the events (key, event_id, at) that came no later than ``within`` after them; without any the wait has timed out.
+
+    The same for tables and for streams; of streams ``stream_join_waits`` bounds the state.
+    """
+    w, e = waits.alias("w"), events.alias("e")
+    both = (F.col("w.key") == F.col("e.key")) & (F.col("e.at") >= F.col("w.at")) & (F.col("e.at") <= F.col("w.at") + F.expr(f"interval {within}"))
+    return w.join(e, both, "left_outer").select("w.wait_id", "e.event_id")
+
+
+def stream_join_waits(waits: DataFrame, events: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """``join_waits`` as a stream-stream join: Spark drops what no row can meet any more, and gives timed out waits once the watermark has passed them.
+
+    Unlike ``stream_match_waits`` nothing is consumed: an event meets every wait of its key that it is in time for.
+    """
+    return join_waits(waits.withWatermark("at", delay), events.withWatermark("at", delay), within)
+
+
+def due_timers(q: dict, rows: list[dict], now_ms: int) -> list[int]:
+    """Times at which a timer is due, up to ``now_ms``: a scheduling counts unless a later version of the timer came no later than its time.
+
+    q: rows that may still matter, at most those since the last time that was due.
+    """
+    known = {r["version"]: r for r in [*q["rows"], *rows]}  # a repeated row changes nothing
+    open_ = [r for r in known.values() if r["due"] is not None and not r["done"]]
+    out = []
+    for r in open_:
+        if r["due"] <= now_ms:
+            r["done"] = True
+            if not any(x["version"] > r["version"] and x["ms"] <= r["due"] for x in known.values()):
+                out.append(r["due"])
+    first = min((r["version"] for r in known.values() if r["due"] is not None and not r["done"]), default=None)
+    q["rows"] = [r for r in known.values() if r["ms"] > now_ms or (first is not None and r["version"] >= first)]
+    return sorted(out)
+
+
+def _timer_rows(pdf: pd.DataFrame) -> list[dict]:
+    due = [millis(f) if k == "TimerScheduled" else None for f, k in zip(pdf["fire_at"], pdf["event_type"], strict=True)]
+    return [{"version": int(v), "ms": millis(t), "due": d, "done": False} for v, t, d in zip(pdf["version"], pdf["at"], due, strict=True)]
+
+
 def _timer_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    due = state.get[0] if state.exists else None
-    for e in sorted((r for pdf in batches for r in pdf.to_dict("records")), key=lambda r: r["version"]):
-        due = millis(e["fire_at"]) if e["event_type"] == "TimerScheduled" else None
+    q = _load(state, lambda: {"rows": []})
     now = state.getCurrentWatermarkMs()
-    if due is None:
-        if state.exists:
-            state.remove()
-    elif due <= now:
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], due)], columns=["timer_id", "due_ms"])
-    else:
-        state.update((due,))
-        state.setTimeoutTimestamp(due)
+    out = due_timers(q, [r for pdf in batches for r in _timer_rows(pdf)], now)
+    times = [max(r["ms"], r["due"] or 0) for r in q["rows"] if not r["done"]] or [r["ms"] for r in q["rows"]]
+    if times:
+        state.update((json.dumps(q),))
+        state.setTimeoutTimestamp(max(min(times), now + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame([(key[0], d) for d in out], columns=["timer_id", "due_ms"])
+
+
+_TIMER_KINDS = ("TimerScheduled", "TimerFired", "TimerCancelled")
 
 
 def stream_timers(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Timers scheduled and neither fired nor cancelled, once the watermark passes their time."""
-    rows = events.where(F.col("event_type").isin("TimerScheduled", "TimerFired", "TimerCancelled")).withWatermark("at", delay)
-    return rows.groupBy("timer_id").applyInPandasWithState(_timer_group, "timer_id string, due_ms long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+    """Timers due: scheduled, and neither fired, cancelled nor scheduled anew up to their time; given once the watermark has passed it.
+
+    By then all rows of the timer up to its time are there, so the result doesn't depend on how the input is cut into batches. Times of a timer don't fall as its versions rise.
+    """
+    rows = events.where(F.col("event_type").isin(*_TIMER_KINDS)).withWatermark("at", delay).select("timer_id", "version", "event_type", "fire_at", "at")
+    return rows.groupBy("timer_id").applyInPandasWithState(_timer_group, "timer_id string, due_ms long", "q string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def timers_due(events: DataFrame, upto_ms: int) -> DataFrame:
+    """The batch twin: what ``stream_timers`` has given once the watermark stands at ``upto_ms``; the next version of a timer decides."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    rows = events.where(F.col("event_type").isin(*_TIMER_KINDS)).select("timer_id", "version", "event_type", ms("fire_at").alias("due_ms"), ms("at").alias("ms"))
+    later = F.min("ms").over(Window.partitionBy("timer_id").orderBy("version").rowsBetween(1, Window.unboundedFollowing))
+    due = rows.withColumn("later", later).where((F.col("event_type") == "TimerScheduled") & (F.col("due_ms") <= upto_ms) & (F.col("later").isNull() | (F.col("later") > F.col("due_ms"))))
+    return due.select("timer_id", "due_ms")
+
+
+#: What an instance must be doing to become stuck.
+STUCK_STATUS = ("Pending", "Running", "CancellationRequested")
+
+
+def stuck_step(q: dict, now_ms: int, threshold_ms: int) -> list[tuple]:
+    """Changes of one instance up to ``now_ms``; q: held rows (ms, version, status), the last one applied and whether it is stuck."""
+    out = []
+    for ms, version, status in sorted(r for r in q["held"] if r[0] <= now_ms):
+        if q["last"] is not None:
+            out += _stuck(q, ms - 1, threshold_ms)
+        if q["stuck"]:
+            out.append((ms, "cleared"))
+        q.update(last=[ms, status], stuck=False)
+    q["held"] = [r for r in q["held"] if r[0] > now_ms]
+    return out + _stuck(q, now_ms, threshold_ms)
+
+
+def _stuck(q: dict, now_ms: int, threshold_ms: int) -> list[tuple]:
+    if q["last"] is None or q["stuck"] or q["last"][1] not in STUCK_STATUS or q["last"][0] + threshold_ms > now_ms:
+        return []
+    q["stuck"] = True
+    return [(q["last"][0] + threshold_ms, "stuck")]
 
 
-def _stuck_group(threshold_ms: int):
+def _stuck_group(threshold_ms: int, forget_ms: int):
     def group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, stuck = state.get if state.exists else (None, False)
-        out = []
-        for ms in sorted(millis(t) for pdf in batches for t in pdf["at"]):
-            if last is not None and ms - last > threshold_ms:
-                if not stuck:
-                    out.append((key[0], last + threshold_ms, "stuck"))
-                stuck = True
-            if stuck:
-                out.append((key[0], ms, "cleared"))
-            last, stuck = ms if last is None else max(last, ms), False
+        q = _load(state, lambda: {"held": [], "last": None, "stuck": False})
+        q["held"] += [[millis(t), int(v), s] for pdf in batches for t, v, s in zip(pdf["at"], pdf["version"], pdf["status"], strict=True)]
         now = state.getCurrentWatermarkMs()
-        if last is not None and not stuck and last + threshold_ms < now:
-            out.append((key[0], last + threshold_ms, "stuck"))
-            stuck = True
-        state.update((last, stuck))
-        if not stuck:
-            state.setTimeoutTimestamp(max(last + threshold_ms + 1, now + 1))
-        yield pd.DataFrame(out, columns=["instance_id", "at_ms", "change"])
+        out = stuck_step(q, now, threshold_ms)
+        times = [r[0] for r in q["held"]]
+        if q["last"] is not None and q["last"][1] not in TERMINAL:
+            end = q["last"][0] + (threshold_ms if q["last"][1] in STUCK_STATUS and not q["stuck"] else forget_ms)
+            times += [end] if end > now else []
+        if times:
+            state.update((json.dumps(q),))
+            state.setTimeoutTimestamp(max(min(times), now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], ms, change) for ms, change in out], columns=["instance_id", "at_ms", "change"])
 
     return group
 
 
-def stream_stuck(events: DataFrame, threshold_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
-    """A stuck row when an instance has no event for the threshold, a cleared row at its next one."""
-    rows = events.withWatermark("at", delay).select("instance_id", "at")
-    return rows.groupBy("instance_id").applyInPandasWithState(_stuck_group(threshold_ms), "instance_id long, at_ms long, change string", "last long, stuck boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def stream_stuck(events: DataFrame, threshold_ms: int = 300_000, delay: str = "1 minute", forget_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(instance_id, version, at, status) -> a stuck row when an instance that is to go on has no event for the threshold, a cleared row at its next one.
+
+    Waiting and ended instances are never stuck. Rows are held until the watermark passes them and applied by (at, version), so the result doesn't depend on how the input is
+    cut into batches. State of an ended instance goes at once, that of one stuck or waiting for ``forget_ms`` then.
+    """
+    rows = events.withWatermark("at", delay).select("instance_id", "version", "at", "status")
+    return rows.groupBy("instance_id").applyInPandasWithState(_stuck_group(threshold_ms, forget_ms), "instance_id long, at_ms long, change string", "q string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stuck_changes(events: DataFrame, upto_ms: int, threshold_ms: int = 300_000) -> DataFrame:
+    """The batch twin: what ``stream_stuck`` has given once the watermark stands at ``upto_ms``."""
+    rows = events.select("instance_id", "version", "status", F.unix_millis(F.col("at").cast("timestamp")).alias("ms")).where(F.col("ms") <= upto_ms)
+    end = F.col("ms") + threshold_ms
+    rows = rows.withColumn("next", F.lead("ms").over(Window.partitionBy("instance_id").orderBy("ms", "version")))
+    stuck = rows.where(F.col("status").isin(*STUCK_STATUS) & (end <= upto_ms) & (F.col("next").isNull() | (F.col("next") > end)))
+    change = lambda at, name: F.struct(at.alias("at_ms"), F.lit(name).alias("change"))
+    both = F.array(change(end, "stuck"), F.when(F.col("next").isNotNull(), change(F.col("next"), "cleared")))
+    return stuck.select("instance_id", F.explode(both).alias("c")).where("c is not null").select("instance_id", "c.at_ms", "c.change")
 
 
 def stream_rates(events: DataFrame, labels: list[str], window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -252,42 +434,59 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10
     return s.select("instance_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
 
 
-def _with_places(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+_MANIFEST = "bucket int, v long, replaced long"
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> tuple[int | None, list]:
+    """Number and rows (bucket, its folder's version, the one that this replaced) of the newest finished manifest; two or three are there at a time."""
+    fs, p = _files(spark, f"{path}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    done = [n for n in (int(x[2:]) for x in names if x.startswith("n=")) if (before is None or n < before) and fs.exists(_files(spark, f"{path}/manifest/n={n}/_SUCCESS")[1])]
+    if not done:
+        return None, []
+    return max(done), spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/n={max(done)}").collect()  # a row per bucket, their number is fixed
 
 
-def latest_projection(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The newest version of each bucket that the sink wrote (versions below ``before`` only, where given)."""
-    rows = spark.read.schema(_with_places(schema)).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("v") < before)
-    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row per bucket, their number is fixed
-    return rows.join(F.broadcast(newest), ["bucket", "v"]).select(*schema.names, "v", "bucket")
+def latest_projection(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """What the sink holds (after the batches below ``before``, in the buckets ``only``, where given): the folders that the manifest names, no others are listed or read."""
+    rows = [r for r in _manifest(spark, path, before)[1] if only is None or r["bucket"] in only]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/v={r['v']}/bucket={r['bucket']}" for r in rows])
 
 
 def stream_projection_sink(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
     """Summaries (instance_id, stream_version, ..) upserted batch after batch; a version never goes back, a repeated batch changes nothing.
 
-    Rows live in ``buckets`` by a hash of the instance; a batch rewrites the buckets that it touches, as a new version, and removes
-    those of their versions that a repeat of the batch can't need any more.
+    Rows live in ``buckets`` by a hash of the instance. A batch rewrites the buckets that it touches into folders of its own and then writes a manifest of all buckets' folders, in
+    whole or not at all. It then removes what the batch before it replaced, one folder a bucket: a repeat of this batch starts from the manifest before it.
     """
     schema = T.StructType(changes.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.withColumn("bucket", F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")).persist()
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        rows, old = batch, {}
-        if number and touched:
-            known = latest_projection(spark, path, schema, number).where(F.col("bucket").isin(touched))
-            old = {r["bucket"]: r["v"] for r in known.groupBy("bucket").agg(F.max("v").alias("v")).collect()}
-            rows = rows.unionByName(known.drop("v"))
+        touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        last, known = _manifest(spark, path, number)
+        old = {r["bucket"]: r["v"] for r in known}
+        stored = latest_projection(spark, path, schema, number, [b for b in touched if b in old])
+        rows = batch.unionByName(stored.withColumn("bucket", F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")))
         w = Window.partitionBy("instance_id").orderBy(F.desc("stream_version"), *[c for c in schema.names if c not in ("instance_id", "stream_version")])
         rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
         batch.unpersist()
-        for bucket, v in old.items():
-            for earlier in range(v):
-                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={earlier}/bucket={bucket}")
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        entries = [(b, number, old.get(b)) for b in touched] + [(b, v, None) for b, v in old.items() if b not in touched]
+        spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/n={number}")
+        for folder in [f"v={r['replaced']}/bucket={r['bucket']}" for r in known if r["replaced"] is not None]:
+            fs, p = _files(spark, f"{path}/{folder}")
+            fs.delete(p, True)
+        fs, p = _files(spark, f"{path}/manifest")
+        for n in [int(s.getPath().getName()[2:]) for s in fs.listStatus(p)]:
+            if last is not None and n < last:
+                fs.delete(_files(spark, f"{path}/manifest/n={n}")[1], True)
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -109,7 +109,7 @@ def op13(spark, sf_dir: str) -> DataFrame:
 
 def _tree_sql(name: str, start: str, depth: int) -> str:
     """Levels 0 .. depth of a tree as tables name0 ..: number i from 0, n nodes of the level, h, and the nodes before and after in the run."""
-    of = lambda k: f"{name}{k} as materialized (select *, coalesce(string_agg(h, '') over (l), '') as lft, coalesce(string_agg(h, '') over (r), '') as rgt from {name}{k}_ window l as (partition by tree, i // 16 order by i rows between unbounded preceding and 1 preceding), r as (partition by tree, i // 16 order by i rows between 1 following and unbounded following))"
+    of = lambda k: f"{name}{k} as materialized (select *, coalesce(string_agg(h, '') over l, '') as lft, coalesce(string_agg(h, '') over r, '') as rgt from {name}{k}_ window l as (partition by tree, i // 16 order by i rows between unbounded preceding and 1 preceding), r as (partition by tree, i // 16 order by i rows between 1 following and unbounded following))"
     parts = [f"{name}0_ as ({start})", of(0)]
     for k in range(depth):
         parts.append(f"{name}{k + 1}_ as (select tree, i // 16 as i, (any_value(n) + 15) // 16 as n, case when any_value(n) > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from {name}{k} group by tree, i // 16)")

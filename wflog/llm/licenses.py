@@ -4,7 +4,8 @@ A sparse multinomial logistic regression over word 1- and 2-grams tells licence
 and from other text (class ``unknown``). It learns from the families' notices, cut and mixed by fixed rules,
 and from a bounded sample of the corpus' own lines as unknown ones, among them lines with words of licences that are no notice. A probability below the threshold that
 keeps nearly all held-back unknown lines out counts as unknown, and a predicted family must share
-enough word pairs with one of its notices, one of them a pair that no other family's notices hold.
+enough word pairs with one of its notices, one of them a pair that no other family's notices hold, and have just the qualifiers (lesser, affero, noncommercial, sharealike ..) that
+the family's name has. Lines with a licence identifier are read as expressions.
 A paragraph is a line; and, as notices are often wrapped, a run of words over several lines of a block (lines without a blank one
 between) that holds word pairs of notices close together.
 
@@ -36,66 +37,112 @@ NOTICES = {
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
-        "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Licensed under the GNU GPL version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "SPDX-License-Identifier: GPL-2.0-only",
-        "SPDX-License-Identifier: GPL-2.0-or-later",
-        "SPDX-License-Identifier: GPL-3.0-only",
+        "Licensed under the GNU GPL v3.",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-only",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "SPDX-License-Identifier: LGPL-3.0-only",
-        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "Licensed under the GNU LGPL version 3 or later.",
+        "Licensed under the GNU LGPL v3.",
+    ),
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "Licensed under the GNU AGPL version 3 or later.",
+        "Licensed under the GNU AGPL v3.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
-        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nd": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+    ),
+    "cc-by-nc-sa": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ),
+    "cc-by-nc-nd": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
     ),
     "cc0": (
         "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0.",
         "Dedicated to the public domain under CC0.",
-        "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
         "All rights reserved.",
         "Copyright, all rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
 }
+#: Notices of licences that are none of the families: examples of the unknown class. Fixed values.
+UNLISTED = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2 only.",
+    "This software is provided under the terms of the zlib License.",
+    "This file is licensed under the Common Development and Distribution License, version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This work may be distributed under the conditions of the LaTeX Project Public License, version 1.3.",
+    "Released under the Artistic License 2.0.",
+    "This program is free software. It comes without any warranty, under the terms of the Do What The Fuck You Want To Public License, Version 2.",
+    "Licensed under the Business Source License 1.1.",
+    "Licensed under the Server Side Public License, version 1.",
+    "Licensed under the Microsoft Public License.",
+    "Released under the PostgreSQL License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Licensed under the Open Software License version 3.0.",
+)
+#: Words of a name that make it another licence than the same name without them: fixed values.
+QUALIFIERS = {"lesser", "lgpl", "affero", "agpl", "nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "noderivs"}
+#: How the identifiers of a family begin, in lower case, the longest first: fixed values.
+IDENTIFIERS = {"cc-by-nc-sa-": "cc-by-nc-sa", "cc-by-nc-nd-": "cc-by-nc-nd", "cc-by-sa-": "cc-by-sa", "cc-by-nd-": "cc-by-nd", "cc-by-nc-": "cc-by-nc", "cc-by-": "cc-by", "cc0-": "cc0", "lgpl-": "lgpl", "agpl-": "agpl", "gpl-": "gpl", "apache-": "apache", "bsd-": "bsd", "mpl-": "mpl"}
+IDENTIFIER = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I)
+
+
+def identified(line: str) -> list[str] | None:
+    """Families that a line's licence expression names, operators and exceptions aside; None where the line holds none."""
+    m = IDENTIFIER.search(line)
+    if not m:
+        return None
+    out, skip = [], False
+    for word in re.findall(r"[\w.+-]+", m[1].lower()):
+        if skip or word in ("or", "and", "with"):
+            skip = word == "with"  # what follows is an exception's name
+            continue
+        family = "mit" if word == "mit" else next((f for start, f in IDENTIFIERS.items() if word.startswith(start) and word[len(start) : len(start) + 1].isdigit()), None)
+        if family and family not in out:
+            out.append(family)
+    return out
+
+
 WORDS = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 48, 32
 
@@ -123,6 +170,10 @@ def examples(seed: int = 11, copies: int = 40) -> list[tuple[str, list[str]]]:
                 out.append((family, head + kept))
     for _ in range(6 * copies):  # the same words without their order tell nothing
         out.append((UNKNOWN, [rnd.choice(filler) for _ in range(rnd.randint(3, 20))]))
+    for t in UNLISTED:
+        w = words_of(t)
+        for _ in range(copies if copies else 0):
+            out.append((UNKNOWN, [x for x in w if rnd.random() > 0.05] or w))
     for t in ("he has the right to reserve a seat", "the public was free to use the general store", "a work of the people under the law", "version two of the story was released", "this is the file", "the terms of the contract were met"):
         out += [(UNKNOWN, words_of(t))] * (copies // 4)
     return out
@@ -167,6 +218,8 @@ class Model:
         self.templates = templates()
         self.hints = {p for sets in self.templates.values() for t in sets for p in t}
         others = {f: {p for g, sets in self.templates.items() if g != f for t in sets for p in t} for f in NOTICES}
+        names = {f: [QUALIFIERS.intersection(words_of(t)) for t in notices] for f, notices in NOTICES.items()}
+        self.qualified = [(set.union(*q), q) for q in names.values()]
         self.own = {f: {p for t in sets for p in t} - others[f] for f, sets in self.templates.items()}
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -190,10 +243,17 @@ class Model:
         p = self.probabilities(x)
         if 1 - p[0] < self.threshold:
             return UNKNOWN, 0.0
-        best = 1 + int(p[1:].argmax())
-        family, pairs = self.families[best], set(word_pairs(words))
+        pairs, there = set(word_pairs(words)), QUALIFIERS.intersection(words)
+        # a family whose name has other qualifiers than the text is another licence
+        rest = np.array([there <= every and any(q <= there for q in each) for every, each in self.qualified]) * p[1:]
+        if not rest.any():
+            return UNKNOWN, 0.0
+        best = int(rest.argmax())
+        family, sure = self.families[1 + best], float(rest[best] / rest.sum())
+        if p[1 + best] < 0.05 or sure < 0.5:
+            return UNKNOWN, 0.0
         share = max(len(t & pairs) / len(t) for t in self.templates[family])
-        return (family, float(p[best])) if share >= least and pairs & self.own[family] else (UNKNOWN, 0.0)
+        return (family, sure * float(1 - p[0])) if share >= least and pairs & self.own[family] else (UNKNOWN, 0.0)
 
     def wrapped(self, lines: list[list[str]]):
         """(line, family, probability) of runs of notices' word pairs that cross a line break; lines of a block, as words."""
@@ -214,8 +274,12 @@ class Model:
     def scan(self, text: str | None) -> list[dict]:
         best: dict[tuple[int, str], float] = {}
         block: list[list[str]] = []
-        lines = [words_of(x) for x in (text or "").split("\n")]
+        plain = (text or "").split("\n")
+        named = {no: f for no, x in enumerate(plain) if "dentifier:" in x or "DENTIFIER:" in x for f in [identified(x)] if f is not None}
+        lines = [[] if no in named else words_of(x) for no, x in enumerate(plain)]
         for no, words in enumerate([*lines, []]):
+            for family in named.get(no, ()):
+                best[no, family] = 1.0
             for at in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
                 part = words[at : at + WINDOW]
                 if part:
@@ -230,6 +294,10 @@ class Model:
                     if (first + line, family) not in best and (first + line + 1, family) not in best:
                         best[first + line, family] = p
                 block = []
+        for no, family in list(best):
+            if family == "bsd":  # its notice begins with these words, a few lines above
+                for k in range(no - 4, no + 1):
+                    best.pop((k, "proprietary"), None)
         return [{"paragraph": no, "family": f, "probability": p} for (no, f), p in sorted(best.items())]
 
 
@@ -241,12 +309,15 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", negatives: int = 300)
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col(text_col)
-    n = docs.where(text.isNotNull()).count()
-    part = int(min(1.0, negatives / n) * (1 << 20)) if n else 0
-    lines = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) < part)).select(F.explode(F.split(text, "\n")).alias("line"))
+    filled = docs.where(F.length(F.trim(F.translate(text, "\n", ""))) > 0)
+    n = filled.count()
+    chosen = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 62)) < F.lit((1 << 62) * negatives // max(n, negatives))
+    lines = filled.where(chosen).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
     taught = F.lower("line").rlike("licen[cs]e|rights reserved|copyright|public domain|permission")
     # both kinds are a bounded sample; lines that look like a notice are no examples of the unknown class
-    rows = [r[0] for test in (~taught, taught) for r in lines.where(test & (F.length("line") > 0)).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()]
+    rows = [r[0] for test in (~taught, taught) for r in lines.where(test).distinct().orderBy(F.xxhash64("line"), "line").limit(4 * negatives).collect()]
+    if n and not rows:
+        raise RuntimeError(f"none of {n} documents was chosen as an example")
     known = templates()
     sent = spark.sparkContext.broadcast(Model([x for x in rows if resemblance(words_of(x), known) < 0.3]))
 

@@ -1,19 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words. All its documents are taken ``floor(target / size)`` times for
-certain; the rest of the target is filled by one Pareto order sample without replacement: documents
-are ranked by q = odds(u) / odds(p), u a uniform number fixed by the document's id and the seed, p
-the inclusion probability of the source's extra copy, and the smallest q are taken until their words
+certain; the rest of the target is filled by one Pareto order sample without replacement. A document's inclusion probability is in
+proportion to its size, p = min(1, c * size), with c such that the expected words, the sum of p * size, are the rest; those at 1 are taken for certain. Documents
+are ranked by q = odds(u) / odds(p), u a uniform number fixed by the document's id and the seed, and the smallest q are taken until their words
 meet the rest of the target (the document that crosses it is taken when that comes nearer).
 
-Scale: documents are never sorted or gathered by source. One histogram of q per source (``buckets``
-rows at most, combined map-side) finds the bucket in which the cut falls; only that bucket's
+Scale: documents are never sorted or gathered by source. c comes from a histogram of sizes (a row per source and size, combined map-side), the cut from one histogram of q per source (``buckets``
+rows at most): it tells the bucket in which the cut falls, and only that bucket's
 documents, 1 in ``buckets`` of a source, are ranked exactly. What decides about a document is then
 one row per source, so a source with a third of all rows only costs a splittable join.
 
-Inclusion probabilities differ between sources and are equal within one: its documents weigh alike.
-
-Edge cases: null text has 0 words; null source is a source of its own, the last; repeated rows (same
+Edge cases: null text has 0 words, and documents without words are never in the sample; null source is a source of its own, the last; repeated rows (same
 id, same size) are taken or left together; rows without an id draw by their text and source, so only equal texts among them go together;
 a very long text is one document, and the source that it crosses the target of ends up to half of it away; empty tables give empty results; other columns, whatever
 their names, pass through untouched.
@@ -69,18 +67,17 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, buckets: int = 65536) -> DataFrame:
     """One row per source: what decides how often each of its documents is taken.
 
-    ``sized``: (id, source, size). Result: source, source_size, target, whole (certain copies), odds
-    (of the extra copy), cut (struct q, id, size of the last document of the sample; null: none).
+    ``sized``: (id, source, size). Result: source, source_size, target, whole (certain copies), slope
+    (probability of the extra copy per word), cut (struct q, id, size of the last document of the sample; null: none).
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, share, cap)
     whole = F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
     plan = plan.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    p = F.col("rest") / F.col("source_size")
-    plan = materialize(plan.withColumn("odds", F.when((F.col("source_size") > 0) & (F.col("rest") > 0), p / (1 - p))), "mix-targets")
+    plan = materialize(plan.where("rest > 0 and source_size > 0").transform(lambda x: slopes(sized, x)).alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "right").select("p.*", "s.slope"), "mix-targets")
     ranked = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    ranked = ranked.where("p.odds is not null").select("d.id", "d.source", "d.size", "p.rest", pareto_rank(F.col("d.id"), F.col("p.odds"), seed).alias("q"))
+    ranked = ranked.where("p.slope is not null and d.size > 0").select("d.id", "d.source", "d.size", "p.rest", pareto_rank(F.col("d.id"), F.col("d.size"), F.col("p.slope"), seed).alias("q"))
     bucket = F.floor(F.col("q") / (1 + F.col("q")) * buckets)
     ranked = ranked.withColumn("bucket", bucket)
     hist = ranked.groupBy("source", "rest", "bucket").agg(F.sum("size").alias("words"))
@@ -96,12 +93,29 @@ def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: fl
     cuts = taken.groupBy("source").agg(F.max(F.struct("q", "id", "size")).alias("cut"))
     cuts = edge.alias("e").join(cuts.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left").select("e.source", F.col("e.e.bucket").alias("bucket"), "c.cut")
     out = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
-    return materialize(out.select("p.source", "p.source_size", "p.target", "p.whole", "p.odds", "c.bucket", "c.cut"), "mix-plan")
+    return materialize(out.select("p.source", "p.source_size", "p.target", "p.whole", "p.slope", "c.bucket", "c.cut"), "mix-plan")
+
+
+def slopes(sized: DataFrame, rest: DataFrame) -> DataFrame:
+    """(source, slope): the c for which the sum of min(1, c * size) * size over a source's documents is its ``rest``.
+
+    Where those above a size are certain, c is what they leave of the rest over the sum of squares below; it holds from the size on at which the largest below stays within 1.
+    """
+    counts = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("words", F.col("n").cast("decimal(38,0)") * F.col("size")).withColumn("squares", F.col("n").cast("decimal(19,0)") * F.col("size") * F.col("size").cast("decimal(19,0)"))
+    upto = Window.partitionBy("source").orderBy("size")
+    total = Window.partitionBy("source")
+    counts = counts.withColumn("below", F.sum("squares").over(upto)).withColumn("above", F.sum("words").over(total) - F.sum("words").over(upto))
+    both = counts.alias("c").join(rest.alias("r"), F.col("c.source").eqNullSafe(F.col("r.source")))
+    slope = (F.col("r.rest") - F.col("c.above").cast("double")) / F.col("c.below").cast("double")
+    fits = both.select("c.source", "c.size", slope.alias("slope")).where("slope * size <= 1")
+    return fits.groupBy("source").agg(F.max_by("slope", "size").alias("slope"))
 
 
-def pareto_rank(key: Column, odds: Column, seed: int) -> Column:
-    u = uniform(key, seed)
-    return u / (1 - u) / odds
+def pareto_rank(key: Column, size: Column, slope: Column, seed: int) -> Column:
+    """Rank of a document in its source's sample; 0 where it is certain."""
+    u, p = uniform(key, seed), slope * size
+    return F.when(p >= 1, F.lit(0.0)).otherwise(u / (1 - u) / (p / (1 - p)))
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 65536) -> DataFrame:
@@ -116,11 +130,11 @@ def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 42, id_col: str = "
     key = draw_key(F.col(id_col), F.col(text_col), F.col(source_col)) if key is None else key
     row = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("mix_source"), key.alias("mix_id"), (word_count(F.col(text_col)) if size is None else size).alias("mix_size"))
     both = row.join(plan.alias("p"), row["mix_source"].eqNullSafe(F.col("p.source")), "left")
-    q = pareto_rank(F.col("mix_id"), F.col("p.odds"), seed)
+    q = pareto_rank(F.col("mix_id"), F.col("mix_size"), F.col("p.slope"), seed)
     b = F.floor(q / (1 + q) * buckets)
     here = F.struct(q.alias("q"), F.col("mix_id").alias("id"), F.col("mix_size").alias("size"))
     # no bucket: the rest takes every document; below the edge bucket all are taken, in it those up to the cut
-    extra = F.when(F.col("p.odds").isNull(), 0).when(F.col("p.bucket").isNull() | (b < F.col("p.bucket")), 1).when(b > F.col("p.bucket"), 0)
+    extra = F.when(F.col("p.slope").isNull() | (F.col("mix_size") <= 0), 0).when(F.col("p.bucket").isNull() | (b < F.col("p.bucket")), 1).when(b > F.col("p.bucket"), 0)
     extra = extra.when(F.col("p.cut").isNotNull() & (here <= F.col("p.cut")), 1).otherwise(0)
     copies = (F.coalesce(F.col("p.whole"), F.lit(0)) + extra).cast("long")
     mix = F.struct(F.col("mix_size").alias("size"), F.col("p.source_size"), F.col("p.target"), copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
@@ -161,12 +175,15 @@ t3 as (select *, sum(case when capped then cap else 0.0::double end) over () as
 t4 as (select source, source_size, case when capped then cap else coalesce((total - cap_sum) / nullif(w_sum, 0) * w, 0.0::double) end as target from t3),
 t5 as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole from t4),
 t6 as (select *, target - whole * source_size as rest from t5),
-t7 as (select *, case when source_size > 0 and rest > 0 then (rest / source_size) / (1 - rest / source_size) end as odds from t6),
-u as (select s.*, p.source_size, p.target, p.whole, p.rest, p.odds,
+h as (select source, size, count(*) as n from sized where size > 0 group by source, size),
+h1 as (select *, sum(n::hugeint * size * size) over w as below, sum(n::hugeint * size) over (partition by source) - sum(n::hugeint * size) over w as above from h window w as (partition by source order by size)),
+h2 as (select h1.source, h1.size, (rest - above::double) / below::double as slope from h1 join t6 on h1.source is not distinct from t6.source where rest > 0),
+t7 as (select t6.*, slope from t6 left join (select source, arg_max(slope, size) as slope from h2 where slope * size <= 1 group by source) x on x.source is not distinct from t6.source),
+u as (select s.*, p.source_size, p.target, p.whole, p.rest, p.slope,
   (('0x' || substr(md5(id || ':42'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
   from sized s join t7 p on s.source is not distinct from p.source),
-r as (select *, u / (1 - u) / odds as q from u),
-c as (select *, sum(size) over (partition by source order by q, id, size) as upto, sum(size) over (partition by source, q, id, size) as tie from r)
+r as (select *, case when slope is null or size = 0 then null when slope * size >= 1 then 0.0::double else u / (1 - u) / (slope * size / (1 - slope * size)) end as q from u),
+c as (select *, case when q is not null then sum(size) over (partition by source order by q nulls last, id, size) end as upto, sum(size) over (partition by source, q, id, size) as tie from r)
 select doc_id, size, source_size, target,
-  ((whole + case when odds is not null and 2 * upto - tie <= 2 * rest then 1 else 0 end) * size)::bigint as taken from c
+  ((whole + case when q is not null and 2 * upto - tie <= 2 * rest then 1 else 0 end) * size)::bigint as taken from c
 """

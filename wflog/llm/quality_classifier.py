@@ -1,7 +1,6 @@
 """Quality classifier: naive Bayes features into a linear support vector machine.
 
-Indicators of byte 3-grams, of word 1-, 2- and 3-grams and of word 2- to 4-grams without the words themselves (only which of them are
-equal: what any text has in common with others that repeat themselves in the same way), hashed into 2**18 places, are scaled by
+Indicators of byte 3-grams and of word 1-, 2- and 3-grams, hashed into 2**18 places, are scaled by
 the log ratio of their rates among good and bad documents; a hinge-loss linear model over the scaled,
 length-normalised indicators is fitted by dual coordinate descent and calibrated on held-back rows.
 
@@ -59,14 +58,6 @@ class Indicators:
                 if n:
                     gram = mix(gram[:-1] * np.uint64(3) + word[n:])
                 self.flags[gram >> np.uint64(46)] = True
-            for n in (2, 3, 4):
-                size = len(word) - n + 1
-                if size > 0:
-                    shape = np.full(size, n, np.uint64)
-                    for i in range(n):
-                        for j in range(i + 1, n):
-                            shape = shape << np.uint64(1) | (word[i : i + size] == word[j : j + size])
-                    self.flags[mix(np.unique(shape) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)] = True
 
 
 def packed(x: np.ndarray) -> bytes:

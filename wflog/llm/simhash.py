@@ -233,13 +233,26 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows whose texts share ``text_hash__`` but differ by ``text_hash_2__`` get hashes of their own: all but those with the least second hash."""
+    shared = rows.groupBy("text_hash__").agg(F.min("text_hash_2__").alias("low"), F.max("text_hash_2__").alias("high")).where("low <> high")
+    shared = materialize(shared.select("text_hash__", "low"), "simhash-shared")
+    if shared.isEmpty():
+        return rows
+    both = rows.join(shared, "text_hash__", "left")
+    own = F.when(F.col("low").isNull() | (F.col("low") == F.col("text_hash_2__")), F.col("text_hash__")).otherwise(F.xxhash64("text_hash__", "text_hash_2__"))
+    return materialize(both.select(*[own.alias(c) if c == "text_hash__" else c for c in rows.columns]), "simhash-docs")
+
+
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of the documents linked by near copies (word 5-shingles, similarity 0.8) that of the smallest id stays (null last, then by text hash).
 
     Null and empty texts are copies of each other, as all wordless texts; of repeated rows one stays; an empty table gives none.
     """
     small_batches(spark)
-    printed = materialize(docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit("")))), "simhash-docs")
+    text = F.coalesce("text", F.lit(""))
+    printed = materialize(docs.withColumn("text_hash__", F.xxhash64(text)).withColumn("text_hash_2__", F.xxhash64(F.lit(1), text)), "simhash-docs")
+    printed = _told_apart(printed).drop("text_hash_2__")
     texts = printed.select(F.col("text_hash__").alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])
     roots = near_copies(texts)
     found = printed.select("doc_id", F.col("text_hash__").alias("th")).join(roots, F.col("th") == F.col("node"), "left")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import deque
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,77 +30,94 @@ from .common import materialize, ranked, small_batches
 #: Ranks of one length that meet the layout together.
 BLOCK = 256
 
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?]*)")
+#: Words joined by spaces, each as letters, final punctuation and, where it is no plain word, the rest.
+_PARTS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?]*)([^ ]*)(?: |$)")
+#: Letters, a digit, or ASCII signs but the apostrophe, which may begin a word's end: each is a token of its own before the model merges.
+_RUNS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@[-`{-~]+")
 
 
-class Words(dict):
-    """Word -> number of its entry in ``flat``; where white space ends every token, the ids of a text are those of its words.
+class Words:
+    """Ids of texts by way of their words, as white space ends every token: a word is tokenised once while it is kept.
 
-    A plain word is cut before its final punctuation and tokenised in lower case by the tokenizer's model alone: what the whole tokenizer does with letters.
-    Tokenizers to which white space matters get whole texts.
+    Plain words are cut before their final punctuation and tokenised in lower case by the tokenizer's model alone: what the whole tokenizer does with letters.
+    Tokenizers to which white space or case matters get whole words or whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.keep = keep
+        self.whole, self.keep = Tokenizer.from_file(path), keep
         self.by_word = self.ids("one two\n\ttwo") == self.ids("one") + 2 * self.ids("two")
-        self.plain = "".join(self.of("abc")) == "abc</w>" and self.ids("A\xe9.") == self.ids("a\xe9") + self.ids(".")
+        self.plain = self.ids("A\xe9.") == self.ids("a\xe9") + self.ids(".") and self.whole.encode("abc", add_special_tokens=False).tokens == ["abc</w>"]
         if hasattr(self.whole.model, "_resize_cache"):
             self.whole.model._resize_cache(0)  # this is the cache
-        # letters stand as their bytes, bytes that can't be shown as the letters from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.bytes = dict(zip((b for b in range(256) if b not in set(shown)), range(256, 512), strict=False))
+        # the model sees bytes: those that can't be shown as letters from 256 on, the others as themselves
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
+        self.model = self.whole.model
         self.parts: dict[str, bytes] = {}
         self.reset()
 
-    def of(self, word: str) -> list[str]:
-        return self.whole.encode(word, add_special_tokens=False).tokens
+    def reset(self) -> None:
+        """Forget all words; ``number``: word -> its place in ``start`` and ``size``, which say where in ``flat`` its ids are."""
+        self.number: dict[bytes, int] = {}
+        self.flat, self.start, self.size = array("i"), array("q"), array("i")
+        if len(self.parts) > self.keep:
+            self.parts.clear()
 
     def ids(self, word: str) -> list[int]:
         return self.whole.encode(word, add_special_tokens=False).ids
 
-    def reset(self) -> None:
-        self.clear()
-        self.parts.clear()
-        self.flat, self.start, self.size = array("i"), array("q"), array("i")
-
-    def part(self, word: str, letters: bool) -> bytes:
-        ids = self.parts.get(word)
-        if ids is None:
-            got = [t.id for t in self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))] if letters else self.ids(word)
-            ids = self.parts[word] = array("i", got).tobytes()
-        return ids
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        m = _PLAIN.fullmatch(text) if self.plain and len(text) < 200 else None
-        at = len(self.flat)
-        if m is None:
-            self.flat.extend(self.ids(text))
-        else:
-            for k, p in enumerate(m.groups()):
-                if p:
-                    self.flat.frombytes(self.part(p.lower(), k == 0))
-        n = self[word] = len(self.start)
-        self.start.append(at)
-        self.size.append(len(self.flat) - at)
-        return n
-
-    def tokenize(self, text: bytes) -> np.ndarray:
-        """Ids of a text in UTF-8."""
-        if len(self) > self.keep:
-            self.reset()
+    def part(self, part: str) -> bytes:
+        """Ids of letters in lower case, or of punctuation."""
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+            found = self.parts[part] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        """Tokenise words that are not kept."""
+        flat, parts, at = self.flat, self.parts, len(self.flat)
+        text = b" ".join(words).decode("utf-8", "replace")
+        pieces = _PARTS.findall(text) if self.plain else [("", "", w) for w in text.split(" ")]
+        for word, (letters, end, rest) in zip(words, pieces, strict=False):
+            if rest:
+                whole = letters + end + rest
+                runs = _RUNS.findall(whole) if self.plain and "<|" not in whole else ()
+                if sum(map(len, runs)) == len(whole):
+                    for low in map(str.lower, runs):
+                        flat.frombytes(parts.get(low) or self.part(low))
+                else:
+                    flat.extend(self.ids(whole))
+            else:
+                low = letters.lower()
+                if low:
+                    flat.frombytes(parts.get(low) or self.part(low))
+                if end:
+                    flat.frombytes(parts.get(end) or self.part(end))
+            self.number[word] = len(self.start)
+            self.start.append(at)
+            self.size.append(len(flat) - at)
+            at = len(flat)
+
+    def tokenize(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts in UTF-8."""
         if not self.by_word:
-            return np.array(self.ids(text.decode("utf-8", "replace")), np.int32)
-        words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if not len(at):
-            return np.zeros(0, np.int32)
-        size = np.frombuffer(self.size, np.int32)[at].astype(np.int64)
-        ends = np.cumsum(size)
-        return np.frombuffer(self.flat, np.int32)[np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + size, size) + np.arange(ends[-1])]
+            return [np.array(self.ids(t.decode("utf-8", "replace")), np.int32) for t in texts]
+        if len(self.number) > self.keep:
+            self.reset()
+        split = [t.split() for t in texts]
+        at = [np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words)) for words in split]
+        new = [[words[i] for i in np.flatnonzero(x < 0).tolist()] for words, x in zip(split, at, strict=True)]
+        self.learn(list(set().union(*new)))
+        flat, start, sizes, out = np.frombuffer(self.flat, np.int32), np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int32), []
+        for x, words in zip(at, new, strict=True):
+            x[x < 0] = [self.number[w] for w in words]
+            size = sizes[x].astype(np.int64)
+            ends = np.cumsum(size)
+            out.append(flat[np.repeat(start[x] - ends + size, size) + np.arange(ends[-1])] if len(x) else np.zeros(0, np.int32))
+        return out
 
 
 _WORDS: dict[str, Words] = {}
@@ -116,10 +134,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
             words = _WORDS[tokenizer] = Words(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, n = [], []
-            for text in batch.column(1).cast(pa.binary()):
-                ids.append(words.tokenize(text.as_py() or b"").astype("<u4").tobytes() + end)
-                n.append(len(ids[-1]) // 4)
+            ids = [x.astype("<u4").tobytes() + end for x in words.tokenize([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
+            n = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
     kind = fields[0].dataType.simpleString()

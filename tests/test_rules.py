@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wflog.functions import canonical_location
-from wflog.operators import dag, inbox, log, queues, telemetry
+from wflog.operators import dag, fanout, inbox, log, projections, queues, ranks, retention, telemetry
+from wflog.sources import store
 from wflog.sources.schemas import SCHEMAS
 from wflog.streaming import streams
 
@@ -350,3 +351,156 @@ def test_gap_is_reported_and_held(spark, tmp_path):
     live = as_stream(spark, tmp_path, rows + other, LOG, 2, random.Random(0))
     out = streams.run_available(streams.stream_fold(live, "1 minute", 60_000), "append").collect()
     assert {(r.stream_id, r.stream_version, r.fault) for r in out} == {(1, 1, None), (1, 1, "version 2 is missing"), (2, 1, None)}
+
+
+# ranks, selections, large graphs
+
+
+def test_ranks_and_selections(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("aab"), rnd.randint(-50, 50), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, o long, id long")
+    for r in ranks.ranked(df, ["g"], ["o", "id"]).collect():
+        mine = sorted((o, i) for g, o, i in rows if g == r.g)
+        assert mine[r["rank"]] == (r.o, r.id) and r.members == len(mine)
+    for n in (0, 1, 2, 350, 699, 700, 701):
+        kept = ranks.top(df, "o", n, "id")
+        got = {r.id for r in (df if kept is None else df.where(kept)).collect()}
+        assert got == {i for _, _, i in sorted(rows, key=lambda x: (-x[1], x[2]))[:n]}, n
+    wide = spark.createDataFrame([(2**62,), (-(2**62),), (5,)], "o long")
+    assert ranks.nth_largest(wide, "o", 2, buckets=7) == (5, 1)
+
+
+def test_retention_keeps_the_newest(spark):
+    s = spark.range(5000).select(F.col("id").alias("instance_id"), F.lit(at(50)).cast("timestamp_ntz").alias("settled_at"), (F.col("id") * 7919 % 5003).alias("ordinal"))
+    out = retention.retention_plan(s, F.lit(at(60)).cast("timestamp_ntz"), F.expr("interval '20' second"), 3000)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2000 and out.agg(F.max("ordinal")).first()[0] < s.join(out, "instance_id", "left_anti").agg(F.min("ordinal")).first()[0]
+
+
+def test_hot_key_is_delivered_alike(spark):
+    rnd = random.Random(6)
+    e = spark.createDataFrame([("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 9)}", i, str(i)) for i in range(500)] + [(None, 999, "n")], "key string, acceptance_sequence long, event_id string")
+    w = spark.createDataFrame([("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 9)}", at(i), f"w{i}") for i in range(400)] + [(None, at(9), "n")], "key string, registered_at timestamp_ntz, wait_id string")
+    got = [sorted((r.event_id, r.wait_id, r.k) for r in inbox.deliver_exactly_once(e, w, ["key"], most).select("event_id", "wait_id", "k").collect()) for most in (5_000_000, 10)]
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and len(got[0]) > 300
+
+
+def test_large_graphs_by_joins(spark):
+    rnd = random.Random(4)
+    nodes, edges = [], []
+    for run in range(12):
+        n = rnd.randint(1, 40)
+        nodes += [(run, o, f"n{o}", rnd.choice(("Pending", "Pending", "Ready", "Failed", "Succeeded"))) for o in range(n)]
+        edges += [(run, rnd.randrange(n), rnd.randrange(n)) if rnd.random() < 0.04 else (run, o, rnd.randrange(o)) for o in range(1, n) for _ in range(rnd.randint(0, 2))]
+        edges += [(run, 0, 99), (run, 98, 0)]
+    n = spark.createDataFrame(nodes, "run_id long, ordinal int, node_id string, state string")
+    e = spark.createDataFrame(edges, "run_id long, ordinal int, dep_ordinal int")
+    for f in (dag.topological_waves, dag.blocked_closure):
+        want = sorted(map(tuple, f(n, e).collect()))
+        assert sorted(map(tuple, f(n, e, 0).collect())) == want and sorted(map(tuple, f(n, e, 50).collect())) == want
+
+
+def test_lowest_ready_node_of_a_long_run(spark):
+    """A run of 20,000 nodes: the sweep finds just the admissions that pass over a ready node, in blocks and not by pairs."""
+    n = 20_000
+    ready = spark.range(n).select(F.lit(1).cast("long").alias("run_id"), F.lit(1).alias("pos"), F.col("id").cast("int").alias("ordinal"), F.lit("Ready").alias("new"), F.lit("Created").alias("kind"), (F.col("id") + 2).cast("int").alias("until"))
+    admitted = spark.range(n).select(F.lit(1).cast("long").alias("run_id"), (F.col("id") + 2).cast("int").alias("pos"), F.when(F.col("id") == 7000, 7001).when(F.col("id") == 7001, 7000).otherwise(F.col("id")).cast("int").alias("ordinal"), F.lit("StartAuthorized").alias("new"), F.lit("InputAdmitted").alias("kind"), F.lit(None).cast("int").alias("until"))
+    ready = ready.withColumn("until", F.when(F.col("ordinal") == 7000, 7003).when(F.col("ordinal") == 7001, 7002).otherwise(F.col("until")))
+    assert [r.pos for r in dag._passed_over(ready.unionByName(admitted)).collect()] == [7002]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_cover_their_range(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(a, a + rnd.randint(-3, 200)) for a in (rnd.randint(0, 300) for _ in range(200))]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("x", dag._blocks("a", "b"))
+    for r in df.collect():
+        assert sorted(p for x in r.x for p in range(x.number << x.level, (x.number + 1) << x.level)) == list(range(r.a, r.b + 1)) and len(r.x) <= 18
+
+
+# details of records
+
+
+def test_record_details(spark):
+    change = lambda o, s, child=None, code=None, ready=None, start=None, end=None: (o, s, child, code, ready, start, end)
+    from wflog.functions import child_id
+
+    child = spark.range(1).select(child_id(F.lit(1), F.lit(0)).alias("c")).first().c
+    t = at
+    cases = {  # records (kind, time, change) -> rules by record
+        1: ([("Created", t(0), change(0, "Ready", ready=t(0))), ("InputAdmitted", t(1), change(0, "StartAuthorized", "RECIPE", ready=t(0), start=t(1))), ("ChildJoined", t(2), change(0, "Succeeded", "RECIPE", ready=t(0), start=t(1), end=t(2)))], {}),
+        2: ([("Created", t(5), change(0, "Ready", ready=t(5))), ("InputAdmitted", t(1), change(0, "StartAuthorized", "RECIPE", ready=t(5), start=t(1)))], {2: "time falls"}),
+        3: ([("Created", t(0), change(0, "Ready", ready=t(0))), ("InputAdmitted", t(1), change(0, "StartAuthorized", "other", ready=t(0), start=t(1)))], {2: "details of the change"}),
+        4: ([("Created", t(0), change(0, "Ready", ready=t(0))), ("InputAdmitted", t(1), change(0, "StartAuthorized", "RECIPE", ready=t(1), start=t(1)))], {2: "written twice"}),
+        5: ([("Created", t(0), change(0, "Ready", ready=t(0))), ("InputAdmitted", t(1), change(0, "StartAuthorized", "RECIPE", ready=t(0), start=t(0)))], {2: "details of the change"}),
+        6: ([("Created", t(0), change(0, "Ready")), ("MappingFailed", t(1), change(0, "Failed", end=t(1)))], {}),
+        7: ([("Created", t(0), change(0, "Ready")), ("MappingFailed", t(1), change(0, "Failed", end=t(0)))], {2: "details of the change"}),
+        8: ([("Created", t(0), change(0, "StartAuthorized")), ("ChildJoined", t(1), change(0, "Failed", code="CHILD_TIMED_OUT", end=t(1)))], {}),
+        9: ([("Created", t(0), change(0, "StartAuthorized")), ("ChildJoined", t(1), change(0, "Failed", code="ELSE", end=t(1)))], {2: "details of the change"}),
+        10: ([("Created", t(0), change(0, "StartAuthorized")), ("ChildJoined", t(1), change(0, "Succeeded", code="CHILD_FAILED", end=t(1)))], {2: "details of the change"}),
+        11: ([("Created", t(0), change(0, "Ready")), ("CancellationRequested", t(1), change(0, "Cancelled", end=t(1)))], {}),
+        12: ([("Created", t(0), change(0, "StartAuthorized")), ("CancellationRequested", t(1), change(0, "CancellationRequested", end=t(1)))], {2: "details of the change"}),
+        13: ([("Created", t(0), change(0, "Pending")), ("ChildJoined", t(1), change(0, "Ready", ready=t(0)))], {2: "details of the change"}),
+    }
+    ids = {r: spark.range(1).select(child_id(F.lit(r), F.lit(0)).alias("c")).first().c for r in cases}
+    assert child == ids[1]
+    rows = [(r, v, kind, when, [tuple(ids[r] if x == "RECIPE" else x for x in c)]) for r, (recs, _) in cases.items() for v, (kind, when, c) in enumerate(recs, 1)]
+    schema = "run_id int, stream_version long, kind string, updated_at timestamp_ntz, changes array<struct<ordinal: int, state: string, child_id: string, failure_code: string, ready_at: timestamp_ntz, started_at: timestamp_ntz, completed_at: timestamp_ntz>>"
+    got = {(r.run_id, r.stream_version): r.rule for r in dag.record_detail_faults(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(r, v): rule for r, (_, want) in cases.items() for v, rule in want.items()}
+
+
+# sketches, trees, tables
+
+
+def test_sketches_stay_within_their_rank(spark):
+    d = spark.range(200_000).select(F.lit("x").alias("s"), F.pmod(F.xxhash64("id"), F.lit(10_000_000)).alias("v"))
+    values = sorted(r.v for r in d.collect())
+    got = telemetry.approx_quantiles(d, "s", "v", 1000).first()
+    for q, c in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+        low = sum(v < got[c] for v in values)
+        assert abs(low - q * len(values)) <= len(values) / 1000 + 1
+    a = d.select(F.lit("step").alias("step_path"), F.lit("success").alias("result"), F.lit(0).alias("attempt"), F.col("v").alias("duration_ms"))
+    assert abs(fanout.attempt_summary(a, 1000).first().p95_ms - fanout.attempt_summary(a).first().p95_ms) < 50_000
+
+
+def test_failures_at_any_depth(spark):
+    tree = '{"code": "0"}'
+    for i in range(1, 15):
+        tree = f'{{"code": "{i}", "item_index": {i}, "location": "workflow:$/n:{i:08d}", "causes": [{tree}]}}'
+    rows = fanout.flatten_failures(spark.createDataFrame([(1, tree), (2, None), (3, '{"code": "x", "message": "\\"causes\\""}')], "k long, tree string"), "k", "tree").collect()
+    assert sorted((r.depth, r.code, r.occurrence, r.occurrence_id) for r in rows if r.k == 1) == [(14 - i, str(i), "item" if i else "root", str(i) if i else None) for i in range(14, -1, -1)]
+    assert [r.code for r in rows if r.k == 3] == ["x"] and all(r.rest is None for r in rows)
+    cut = fanout.flatten_failures(spark.createDataFrame([(1, tree)], "k long, tree string"), "k", "tree", 2).where("depth = 2").first()
+    assert '"11' in cut.rest.replace(chr(92), '')
+
+
+def test_summaries_reset_waits_to_their_own(spark):
+    own = [("a", "own a"), ("b", "own b")]
+    rows = [(1, 1, "UpsertActiveWait", "old", "x", None), (1, 2, "UpsertSummary", None, "s2", own), (1, 3, "RemoveActiveWait", "a", None, None), (1, 4, "UpsertActiveWait", "c", "late", None), (2, 1, "UpsertSummary", None, "t1", own), (2, 2, "UpsertSummary", None, "t2", None)]
+    ops = spark.createDataFrame(rows, "instance_id long, seq long, op string, wait_id string, value string, waits array<struct<wait_id: string, value: string>>")
+    s, w, _ = projections.apply_projection_ops(ops)
+    assert sorted(map(tuple, s.collect())) == [(1, "s2"), (2, "t2")] and sorted(map(tuple, w.collect())) == [(1, "b", "own b"), (1, "c", "late")]
+
+
+def test_bucketed_log_is_folded_without_a_shuffle(spark, tmp_path):
+    rows = [event(i, v, "Started" if v == 1 else "WaitRegistered") for i in range(20) for v in range(1, 4)]
+    t = store.write_bucketed_log(spark.createDataFrame(rows, LOG), "bucketed_for_test", str(tmp_path / "log"), 4)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (log.fold_instances(t), log.stream_heads(t), log.held_tickets(t)):
+            assert "Exchange hash" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert {r.status for r in log.fold_instances(t).collect()} == {"Waiting"} and log.fold_instances(t).count() == 20
+    spark.sql("drop table bucketed_for_test")
+
+
+def test_inputs_of_nodes_without_results(spark):
+    nodes = spark.createDataFrame([(1, 0, "a", "Succeeded", "x", True), (1, 1, "b", "Succeeded", None, False), (1, 2, "c", "Ready", None, True), (2, 0, "a", "Succeeded", None, True), (2, 1, "c", "Ready", None, True), (3, 0, "c", "Ready", None, True)], "run_id long, ordinal int, node_id string, state string, output string, resultful boolean")
+    edges = spark.createDataFrame([(1, 2, 0), (1, 2, 1), (2, 1, 0)], "run_id long, ordinal int, dep_ordinal int")
+    runs = spark.createDataFrame([(1, "in"), (2, None)], "run_id long, input string")
+    got = {r.run_id: (r.input, r.inputs, r.fault) for r in dag.node_inputs(nodes, edges, runs).collect()}
+    assert got == {1: ("in", {"a": "x"}, None), 2: (None, {}, "DAG_INPUT_MAPPING_INVALID"), 3: (None, {}, None)}

@@ -179,12 +179,45 @@ def audit_run_leases(spark, d):
 READY_E = "select r.run_id, cast(0 as int) as ordinal, r.ordinal as dep_ordinal from {dag_nodes} r join {dag_nodes} z on z.run_id = r.run_id and z.ordinal = 0 where z.state = 'Ready' and r.ordinal > 0"
 
 
-@job("node_inputs", cte("dag_nodes") + f""", e as ({READY_E.format(dag_nodes='dag_nodes')}), r as (select run_id, ordinal from dag_nodes where state = 'Ready'),
-    p as (select e.run_id, e.ordinal, string_agg(node_id || '=' || output, ', ' order by node_id) filter (output is not null) as inputs, bool_or(output is null) as missing from e join dag_nodes n on n.run_id = e.run_id and n.ordinal = e.dep_ordinal group by all)
-    select r.run_id, r.ordinal, coalesce(inputs, '') as inputs, case when missing then 'DAG_INPUT_MAPPING_INVALID' end as fault from r left join p using (run_id, ordinal)""")
+GIVING = "select *, ordinal % 3 <> 1 as resultful from {dag_nodes}"
+
+
+@job("node_inputs", cte("dag_nodes", "dag_runs") + f""", e as ({READY_E.format(dag_nodes='dag_nodes')}), r as (select run_id, ordinal from dag_nodes where state = 'Ready'),
+    p as (select e.run_id, e.ordinal, string_agg(node_id || '=' || output, ', ' order by node_id) filter (output is not null and n.ordinal % 3 <> 1) as inputs, bool_or(output is null and n.ordinal % 3 <> 1) as missing from e join dag_nodes n on n.run_id = e.run_id and n.ordinal = e.dep_ordinal group by all)
+    select r.run_id, r.ordinal, 'in-' || creation_sequence as input, coalesce(inputs, '') as inputs, case when missing then 'DAG_INPUT_MAPPING_INVALID' end as fault from r left join p using (run_id, ordinal) join dag_runs using (run_id)""")
 def node_inputs(spark, d):
     n = adapt(spark, d, "dag_nodes")
-    return D.node_inputs(n, spark.sql(READY_E, dag_nodes=n)).withColumn("inputs", render_tags(F.col("inputs")))
+    runs = adapt(spark, d, "dag_runs").withColumn("input", F.concat(F.lit("in-"), F.col("creation_sequence").cast("string")))
+    return D.node_inputs(spark.sql(GIVING, dag_nodes=n), spark.sql(READY_E, dag_nodes=n), runs).withColumn("inputs", render_tags(F.col("inputs")))
+
+
+@job("node_durations", cte("dag_nodes") + " select run_id, ordinal, state, greatest(0, epoch_us(started_at) - epoch_us(ready_at)) / 1000000.0::double as queue_s, greatest(0, epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0::double as work_s from dag_nodes")
+def node_durations(spark, d):
+    return D.node_durations(adapt(spark, d, "dag_nodes"))
+
+
+DETAILS = """select run_id, stream_version, kind, ordinal, state, moment as updated_at, case when v in (2, 3, 4) then child end as child_id, case when v = 3 and state = 'Failed' then case when event_id % 5 = 0 then 'OTHER' else 'CHILD_FAILED' end when v = 4 then case when event_id % 9 = 0 then 'CHILD_FAILED' end end as failure_code,
+  ready as ready_at, case when v = 2 and event_id % 13 <> 0 then moment when v = 3 then case when event_id % 17 = 0 then moment else began end end as started_at, case when v = 3 and event_id % 11 <> 0 then moment end as completed_at
+from (select *, min(moment) over (partition by run_id, ordinal) as ready, max(case when v = 2 and event_id % 13 <> 0 then moment end) over (partition by run_id, ordinal) as began
+  from (select run_id, v as stream_version, v, event_id, cast(0 as int) as ordinal, case v when 1 then 'Created' when 2 then 'InputAdmitted' when 3 then 'ChildJoined' else 'CancellationRequested' end as kind,
+    case v when 1 then 'Ready' when 2 then 'StartAuthorized' when 3 then case when event_type = 'error' then 'Failed' else 'Succeeded' end else 'CancellationRequested' end as state,
+    case when event_id % 19 = 0 then ts - interval '1' day else ts end as moment, {child} as child
+    from (select user_id * 1000 + cast(floor((rn - 1) / 4.0) as bigint) as run_id, (rn - 1) % 4 + 1 as v, event_id, event_type, ts from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from {events}) x) y) z) w"""
+
+
+@job("record_detail_faults", f"with c as ({DETAILS.format(events='events', child=_child('run_id', '0'))})" + f""", b as (select *, lag(updated_at) over (partition by run_id order by stream_version) as last_at,
+      last_value(child_id ignore nulls) over w as oc, last_value(ready_at ignore nulls) over w as ore, last_value(started_at ignore nulls) over w as os, last_value(completed_at ignore nulls) over w as oe from c
+      window w as (partition by run_id, ordinal order by stream_version rows between unbounded preceding and 1 preceding))
+    select run_id, stream_version, null::int as ordinal, 'time falls' as rule from b where updated_at < last_at
+    union all select run_id, stream_version, ordinal, rule from (select *, case when kind <> 'Created' and ((oc is not null and oc is distinct from child_id) or (ore is not null and ore is distinct from ready_at) or (os is not null and os is distinct from started_at) or (oe is not null and oe is distinct from completed_at)) then 'written twice'
+      when kind = 'InputAdmitted' and (child_id is distinct from {_child('run_id', 'ordinal')} or started_at is distinct from updated_at or failure_code is not null or completed_at is not null) then 'details of the change'
+      when kind = 'ChildJoined' and (completed_at is distinct from updated_at or (state = 'Failed' and coalesce(failure_code not in ('CHILD_FAILED', 'CHILD_TIMED_OUT', 'CHILD_TERMINATED', 'CHILD_CANCELLED'), true)) or (state <> 'Failed' and failure_code is not null)) then 'details of the change'
+      when kind = 'CancellationRequested' and (failure_code is not null or completed_at is not null) then 'details of the change' end as rule from b) where rule is not null""")
+def record_detail_faults(spark, d):
+    rows = spark.sql(DETAILS.replace("{child}", "cast(null as string)"), events=spark.read.parquet(f"{d}/events.parquet"))
+    named = F.when(F.col("stream_version").isin(2, 3, 4), child_id(F.col("run_id"), F.lit(0)))
+    change = F.struct("ordinal", "state", named.alias("child_id"), "failure_code", "ready_at", "started_at", "completed_at")
+    return D.record_detail_faults(rows.select("run_id", "stream_version", "kind", "updated_at", F.array(change).alias("changes")))
 
 
 @job("dag_fingerprint", cte(*NE) + """, x as (select run_id, ordinal, string_agg(dep_ordinal, ',' order by dep_ordinal) as deps from dag_edges group by all),

@@ -152,14 +152,15 @@ def derive_status(spark, d):
     return X.derive_status(spark.sql(FIBERS, lineitem=spark.read.parquet(f"{d}/lineitem.parquet")), spark.sql(SCOPES, orders=spark.read.parquet(f"{d}/orders.parquet")))
 
 
-@job("flatten_failures", O_SQL + """ select instance_id, 0 as depth, '0' as path, 'E' || n % 4 as code, 'top' as message from o union all select instance_id, 1, '0.0000', 'E1', 'cause ' || n from o where n % 2 = 0
-    union all select instance_id, 1, '0.0001', 'E2', null from o where n % 2 = 0 union all select instance_id, 2, '0.0001.0000', 'E3', 'deep' from o where n % 2 = 0""")
+@job("flatten_failures", O_SQL + """ select instance_id, 0 as depth, '0' as path, 'E' || n % 4 as code, 'top' as message, 'workflow:$' as location, null as exception_type, 'root' as occurrence, null as occurrence_id from o
+    union all select instance_id, 1, '0.0000', 'E1', 'cause ' || n, null, 'System.IO', 'item', n::varchar from o where n % 2 = 0
+    union all select instance_id, 1, '0.0001', 'E2', null, 'workflow:$/n:00000001', null, 'branch', 'left' from o where n % 2 = 0 union all select instance_id, 2, '0.0001.0000', 'E3', 'deep', null, null, 'root', null from o where n % 2 = 0""")
 def flatten_failures(spark, d):
-    deep = '{"code": "E2", "causes": [{"code": "E3", "message": "deep"}]}'
-    first = F.concat(F.lit('{"code": "E1", "message": "cause '), F.col("n").cast("string"), F.lit('"}'))
+    deep = '{"code": "E2", "location": "workflow:$/n:00000001", "occurrence_kind": "Branch", "branch_id": "left", "causes": [{"code": "E3", "message": "deep"}]}'
+    first = F.concat(F.lit('{"code": "E1", "exception_type": "System.IO", "item_index": '), F.col("n").cast("string"), F.lit(', "message": "cause '), F.col("n").cast("string"), F.lit('"}'))
     causes = F.when(F.col("n") % 2 == 0, F.concat(F.lit(', "causes": ['), first, F.lit(", " + deep + "]"))).otherwise("")
-    tree = F.concat(F.lit('{"code": "E'), (F.col("n") % 4).cast("string"), F.lit('", "message": "top"'), causes, F.lit("}"))
-    return X.flatten_failures(orders(spark, d).withColumn("tree", tree), "instance_id", "tree", 3).select("instance_id", "depth", "path", "code", "message")
+    tree = F.concat(F.lit('{"code": "E'), (F.col("n") % 4).cast("string"), F.lit('", "message": "top", "location": "workflow:$", "occurrence_kind": "Root"'), causes, F.lit("}"))
+    return X.flatten_failures(orders(spark, d).withColumn("tree", tree), "instance_id", "tree").drop("rest")
 
 
 @job("canonical_location", O_SQL + """ select instance_id, case when instance_id % 3 = 0 then 'workflow:$' else 'workflow:$/if:true/parallel:' || lpad(cast(n % 12 as varchar), 8, '0') || '/n:' || lpad(cast(n as varchar), 8, '0')

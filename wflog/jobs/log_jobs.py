@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import log
 from ..sources.adapters import adapt, cte
+from ..sources.scratch import new_path
+from ..sources.store import write_bucketed_log
 from .registry import job
 
 E = "event_log"
@@ -110,6 +112,12 @@ def fold_instances(spark, d):
     return flat(log.fold_instances(adapt(spark, d, E)))
 
 
+@job("fold_bucketed_log", FOLD_SQL)
+def fold_bucketed_log(spark, d):
+    path = new_path(spark, "bucketed-log")
+    return flat(log.fold_instances(write_bucketed_log(adapt(spark, d, E), f"log_{path.rsplit('-', 1)[1]}", path, 8)))
+
+
 @job("fold_from_checkpoint", FOLD_SQL)
 def fold_from_checkpoint(spark, d):
     e = adapt(spark, d, E)

@@ -38,12 +38,17 @@ OPS = "select user_id as instance_id, event_id as seq, case event_type when 'sig
 
 
 @job("apply_projection_ops", f"with o as ({OPS.format(events='events')})" + """, s as (select instance_id, max(seq) as upto from o where op = 'UpsertSummary' group by 1),
-    l as (select o.*, row_number() over (partition by o.instance_id, wait_id order by seq desc) as rn from o left join s using (instance_id) where op in ('UpsertActiveWait', 'RemoveActiveWait') and seq > coalesce(upto, -1))
+    l as (select instance_id, wait_id, value, seq, op from o left join s using (instance_id) where op in ('UpsertActiveWait', 'RemoveActiveWait') and seq > coalesce(upto, -1)
+      union all select o.instance_id, k.wait_id, 'own ' || seq, seq, 'UpsertActiveWait' from o join s on s.instance_id = o.instance_id and s.upto = o.seq cross join (select 'own' as wait_id union all select 'w' || x from range(3) t(x)) k where k.wait_id = 'own' or seq % 2 = 0),
+    r as (select *, row_number() over (partition by instance_id, wait_id order by seq desc) as rn from l)
     select o.instance_id, 'summary' as part, '' as id, value from o join s on s.instance_id = o.instance_id and s.upto = o.seq
-    union all select instance_id, 'wait', wait_id, value from l where rn = 1 and op = 'UpsertActiveWait'
+    union all select instance_id, 'wait', wait_id, value from r where rn = 1 and op = 'UpsertActiveWait'
     union all select instance_id, 'history', cast(seq as varchar), value from o where op = 'AppendHistory'""")
 def apply_projection_ops(spark, d):
-    s, w, h = P.apply_projection_ops(spark.sql(OPS, events=spark.read.parquet(f"{d}/events.parquet")))
+    o = spark.sql(OPS, events=spark.read.parquet(f"{d}/events.parquet"))
+    wait = lambda name: F.struct(F.lit(name).alias("wait_id"), F.concat(F.lit("own "), F.col("seq").cast("string")).alias("value"))
+    own = F.when(F.col("seq") % 2 == 0, F.array(*map(wait, ("own", "w0", "w1", "w2")))).otherwise(F.array(wait("own")))
+    s, w, h = P.apply_projection_ops(o.withColumn("waits", own))
     part = lambda f, name, key: f.select("instance_id", F.lit(name).alias("part"), key.alias("id"), "value")
     return part(s, "summary", F.lit("")).unionByName(part(w, "wait", F.col("wait_id"))).unionByName(part(h, "history", F.col("seq").cast("string")))
 

@@ -95,6 +95,11 @@ def exact_quantiles(spark, d):
     return T.exact_quantiles(adapt(spark, d, A), "event_type", "duration_ms")
 
 
+@job("approx_quantiles")
+def approx_quantiles(spark, d):
+    return T.approx_quantiles(adapt(spark, d, A), "event_type", "duration_ms")
+
+
 @job("throughput_per_minute", cte(E) + " select stream_id, date_trunc('minute', occurred_at) as minute, count(*) as n, count(*) filter (event_type = 'StepCompleted') as completed, count(*) filter (event_type = 'StepFailed') as failed from event_log group by all")
 def throughput_per_minute(spark, d):
     return T.throughput_per_minute(adapt(spark, d, E), "stream_id")

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import child_id
-from .graphs import over_graphs
+from .graphs import LARGEST, over_graphs, peel_by_joins, reach_by_joins, split_by_size
 
 LIVE = ("Pending", "Ready", "StartAuthorized", "CancellationRequested")
 
 
-def topological_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Wave of each node by peeling nodes whose dependencies are peeled; -1 for nodes on or behind a cycle."""
+def _but(df: DataFrame, large: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    return df if large is None else df.join(large[0].select("run_id").distinct(), "run_id", "left_anti")
+
+
+def topological_waves(nodes: DataFrame, edges: DataFrame, most: int = LARGEST) -> DataFrame:
+    """Wave of each node by peeling nodes whose dependencies are peeled; -1 for nodes on or behind a cycle. Runs of more than ``most`` rows are peeled by joins."""
 
     def waves(g, columns):
         wave = np.full(len(g.key), -1, np.int32)
@@ -23,7 +27,9 @@ def topological_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             wave[now] = level
         return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(wave[g.of_row])], ["run_id", "ordinal", "wave"])
 
-    return over_graphs(nodes, edges, "", waves, "run_id long, ordinal int, wave int")
+    large = split_by_size(nodes, edges, most)
+    out = over_graphs(_but(nodes, large), _but(edges, large), "", waves, "run_id long, ordinal int, wave int")
+    return out if large is None else out.unionByName(large[0].select("run_id", "ordinal").join(peel_by_joins(*large), ["run_id", "ordinal"]))
 
 
 def validate_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,8 +53,8 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("state = 'Pending'").join(deps, ["run_id", "ordinal"], "left").where(F.coalesce("all_done", F.lit(True))).drop("all_done")
 
 
-def blocked_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pending and ready nodes behind a failed node, at any distance, become DependencyBlocked; others stay."""
+def blocked_closure(nodes: DataFrame, edges: DataFrame, most: int = LARGEST) -> DataFrame:
+    """Pending and ready nodes behind a failed node, at any distance, become DependencyBlocked; others stay. Runs of more than ``most`` rows are searched by joins."""
 
     def close(g, columns):
         state = np.array(columns["state"].to_pylist(), object)
@@ -56,7 +62,13 @@ def blocked_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state[behind & ((state == "Pending") | (state == "Ready"))] = "DependencyBlocked"
         return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(state, pa.string())], ["run_id", "ordinal", "state"])
 
-    return over_graphs(nodes, edges, "state string", close, "run_id long, ordinal int, state string")
+    large = split_by_size(nodes, edges, most)
+    out = over_graphs(_but(nodes, large), _but(edges, large), "state string", close, "run_id long, ordinal int, state string")
+    if large is None:
+        return out
+    behind = reach_by_joins(*large, large[0].where("state = 'Failed'")).withColumn("behind", F.lit(True))
+    state = F.when(F.col("behind") & F.col("state").isin("Pending", "Ready"), "DependencyBlocked").otherwise(F.col("state"))
+    return out.unionByName(large[0].join(behind, ["run_id", "ordinal"], "left").select("run_id", "ordinal", state.alias("state")))
 
 
 def cancel_barrier(runs: DataFrame, nodes: DataFrame, requested: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,9 +130,68 @@ def _change_faults(c: DataFrame) -> DataFrame:
     )
     rule = F.when((kind != "Created") & old.isNull(), "node ordinal").when(F.col("child_id") != F.col("old_child"), "child rewritten").when(~F.coalesce(allowed, F.lit(False)), "node transition")
     out = c.select("run_id", "pos", rule.alias("rule")).where("rule is not null")
-    ready = c.where("new = 'Ready'").select("run_id", F.col("ordinal").alias("lower"), F.col("pos").alias("since"), "until")
-    late = c.where("kind = 'InputAdmitted'").select("run_id", "pos", "ordinal").join(ready, "run_id").where("lower < ordinal and since < pos and (until is null or until >= pos)")
-    return out.unionByName(late.select("run_id", "pos", F.lit("not the lowest ready node").alias("rule")))
+    return out.unionByName(_passed_over(c))
+
+
+def _blocks(first: str, last: str) -> Column:
+    """first .. last as few aligned blocks (level, number): a block of level k covers the 2**k places from number * 2**k on; none where first > last."""
+    levels = "sequence(0, 62)"
+    start = f"named_struct('a', cast({first} as bigint), 'b', cast({last} as bigint), 'out', cast(array() as array<struct<level: int, number: bigint>>))"
+    left = "if(s.a <= s.b and s.a % 2 = 1, array(named_struct('level', k, 'number', s.a)), array())"
+    right = "if(s.a <= s.b and s.b % 2 = 0 and not (s.a = s.b and s.a % 2 = 1), array(named_struct('level', k, 'number', s.b)), array())"
+    step = f"if(s.a > s.b, s, named_struct('a', cast((s.a + s.a % 2) div 2 as bigint), 'b', shiftright(cast(if(s.b % 2 = 0, s.b - 1, s.b) as bigint), 1), 'out', concat(s.out, cast({left} as array<struct<level: int, number: bigint>>), cast({right} as array<struct<level: int, number: bigint>>))))"
+    return F.expr(f"aggregate({levels}, {start}, (s, k) -> {step}, s -> s.out)")
+
+
+def _passed_over(c: DataFrame) -> DataFrame:
+    """(run_id, pos, rule) of admissions while a node of a lower ordinal was ready.
+
+    The records between a node's becoming ready and its next change are cut into aligned blocks, each of which keeps its lowest ordinal; an admission looks up the blocks that
+    hold its place, one per level. That is some dozen rows a change, and no run is one task's.
+    """
+    span = c.groupBy("run_id").agg(F.max("pos").alias("end"))
+    ready = c.where("new = 'Ready'").join(span, "run_id").select("run_id", "ordinal", F.explode(_blocks("pos + 1", "coalesce(until, end)")).alias("b"))
+    lowest = ready.groupBy("run_id", "b.level", "b.number").agg(F.min("ordinal").alias("lowest"))
+    levels = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("end") + 1)).cast("int"))).alias("level")
+    asked = c.where("kind = 'InputAdmitted'").join(span, "run_id").select("run_id", "pos", "ordinal", levels).withColumn("number", F.expr("shiftright(cast(pos as bigint), level)"))
+    late = asked.join(lowest, ["run_id", "level", "number"]).where("lowest < ordinal").select("run_id", "pos").distinct()
+    return late.withColumn("rule", F.lit("not the lowest ready node"))
+
+
+CHILD_FAILURES = ("CHILD_FAILED", "CHILD_TIMED_OUT", "CHILD_TERMINATED", "CHILD_CANCELLED")
+
+
+def record_detail_faults(records: DataFrame) -> DataFrame:
+    """(run_id, stream_version, ordinal, rule): what records say of times, child ids and failure codes, held against their run and node.
+
+    records: (run_id, stream_version, kind, updated_at, changes array<struct<ordinal, state, child_id, failure_code, ready_at, started_at, completed_at>>). A run's time never falls;
+    a node's child and times are written once; an admission names the child by its recipe and starts at the record's time; an end is at the record's time, with a code just where a child failed.
+    """
+    order = Window.partitionBy("run_id").orderBy("stream_version")
+    r = records.withColumn("last_at", F.lag("updated_at").over(order))
+    fell = r.where("updated_at < last_at").select("run_id", "stream_version", F.lit(None).cast("int").alias("ordinal"), F.lit("time falls").alias("rule"))
+    c = r.select("run_id", "stream_version", "kind", "updated_at", F.explode("changes").alias("c")).select("run_id", "stream_version", "kind", "updated_at", "c.*")
+    before = Window.partitionBy("run_id", "ordinal").orderBy("stream_version").rowsBetween(Window.unboundedPreceding, -1)
+    fixed = ("child_id", "ready_at", "started_at", "completed_at")
+    for x in fixed:
+        c = c.withColumn(f"old_{x}", F.last(x, ignorenulls=True).over(before))
+    kind, state, now = F.col("kind"), F.col("state"), F.col("updated_at")
+    here = lambda x: F.col(x).eqNullSafe(now)
+    none = lambda x: F.col(x).isNull()
+    rewritten = F.lit(False)
+    for x in fixed:
+        rewritten = rewritten | (F.col(f"old_{x}").isNotNull() & ~F.col(f"old_{x}").eqNullSafe(F.col(x)))
+    ended = state.isin(*ENDED)
+    good = (
+        F.when(kind == "InputAdmitted", F.col("child_id").eqNullSafe(child_id(F.col("run_id"), F.col("ordinal"))) & here("started_at") & none("failure_code") & none("completed_at"))
+        .when(kind == "MappingFailed", none("child_id") & none("started_at") & here("completed_at"))
+        .when((kind == "ChildJoined") & ended, here("completed_at") & F.when(state == "Failed", F.coalesce(F.col("failure_code").isin(*CHILD_FAILURES), F.lit(False))).otherwise(none("failure_code")))
+        .when((kind == "ChildJoined") & (state == "Ready"), here("ready_at"))
+        .when(kind == "CancellationRequested", none("failure_code") & F.when(state == "Cancelled", here("completed_at")).otherwise(none("completed_at")))
+        .otherwise(F.lit(True))
+    )
+    rule = F.when((kind != "Created") & rewritten, "written twice").when(~good, "details of the change")
+    return fell.unionByName(c.select("run_id", "stream_version", "ordinal", rule.alias("rule")).where("rule is not null"))
 
 
 def _record_faults(r: DataFrame, c: DataFrame) -> DataFrame:
@@ -239,14 +310,29 @@ def audit_run_leases(records: DataFrame, lease_s: float = 5.0, turn_s: float = 1
     return rows.select("run_id", "seq", "owner", result.alias("result"))
 
 
-def node_inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each ready node the outputs of its direct dependencies as a map; a missing output is an invalid mapping."""
-    o = nodes.select("run_id", F.col("ordinal").alias("dep_ordinal"), F.col("node_id").alias("dep_id"), "output")
+def node_inputs(nodes: DataFrame, edges: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """For each ready node the outputs of its direct dependencies as a map, and its run's ``input``; a missing output is an invalid mapping.
+
+    A node that is declared to have no result (``resultful`` false, where nodes carry it) gives no entry, and none is missed.
+    """
+    gives = F.coalesce("resultful", F.lit(True)) if "resultful" in nodes.columns else F.lit(True)
+    o = nodes.select("run_id", F.col("ordinal").alias("dep_ordinal"), F.col("node_id").alias("dep_id"), "output", gives.alias("gives"))
     ready = nodes.where("state = 'Ready'").select("run_id", "ordinal")
     deps = edges.join(ready, ["run_id", "ordinal"], "left_semi").join(o, ["run_id", "dep_ordinal"], "left")
-    per = deps.groupBy("run_id", "ordinal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("output").isNotNull(), F.struct("dep_id", "output"))))).alias("inputs"), F.bool_or(F.col("output").isNull()).alias("missing"))
+    has = F.col("output").isNotNull() & F.col("gives")
+    missing = F.coalesce(F.col("gives"), F.lit(True)) & F.col("output").isNull()
+    per = deps.groupBy("run_id", "ordinal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(has, F.struct("dep_id", "output"))))).alias("inputs"), F.bool_or(missing).alias("missing"))
     out = ready.join(per, ["run_id", "ordinal"], "left")
-    return out.select("run_id", "ordinal", F.coalesce("inputs", F.expr("cast(map() as map<string, string>)")).alias("inputs"), F.when(F.coalesce("missing", F.lit(False)), "DAG_INPUT_MAPPING_INVALID").alias("fault"))
+    out = out.join(runs.select("run_id", "input"), "run_id", "left") if runs is not None else out.withColumn("input", F.lit(None).cast("string"))
+    return out.select("run_id", "ordinal", "input", F.coalesce("inputs", F.expr("cast(map() as map<string, string>)")).alias("inputs"), F.when(F.coalesce("missing", F.lit(False)), "DAG_INPUT_MAPPING_INVALID").alias("fault"))
+
+
+def node_durations(nodes: DataFrame) -> DataFrame:
+    """Per node: seconds from ready to start (queue) and from start to end (work); null where it hasn't come so far, never below 0."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    took = lambda a, b: F.greatest(F.lit(0), (us(b) - us(a)) / 1000000)
+    spans = (("queue_s", "ready_at", "started_at"), ("work_s", "started_at", "completed_at"))
+    return nodes.select("run_id", "ordinal", "state", *[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), took(a, b)).alias(n) for n, a, b in spans])
 
 
 def dag_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -160,12 +160,13 @@ def run_steps_with_retry(df: DataFrame, step: Callable[[dict], dict], max_attemp
     return df.mapInPandas(run, schema)
 
 
-def attempt_summary(attempts: DataFrame) -> DataFrame:
-    """Per step: attempts, successes, failures, timeouts, first-try successes, 95th percentile of the duration."""
+def attempt_summary(attempts: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Per step: attempts, successes, failures, timeouts, first-try successes, 95th percentile of the duration; with ``accuracy`` within 1 / accuracy of the rank, by sketches of bounded size."""
     r = F.col("result")
+    p95 = F.percentile("duration_ms", F.lit(0.95)) if accuracy is None else F.percentile_approx("duration_ms", 0.95, accuracy)
     return attempts.groupBy("step_path").agg(
         F.count("*").alias("attempts"), F.count_if(r == "success").alias("success"), F.count_if(r == "failed").alias("failed"), F.count_if(r == "timed_out").alias("timed_out"),
-        F.count_if((r == "success") & (F.col("attempt") == 0)).alias("first_try"), F.round(F.percentile("duration_ms", F.lit(0.95)), 3).alias("p95_ms"),
+        F.count_if((r == "success") & (F.col("attempt") == 0)).alias("first_try"), F.round(p95.cast("double"), 3).alias("p95_ms"),
     )
 
 
@@ -179,17 +180,27 @@ def derive_status(fibers: DataFrame, scopes: DataFrame, key: str = "instance_id"
     return out.select(key, status.alias("status"))
 
 
-def flatten_failures(df: DataFrame, key: str, tree: str, depth: int = 8) -> DataFrame:
-    """A failure tree as JSON {code, message, causes: [..]} -> rows (key, depth, path, code, message) in cause order; below ``depth`` causes stay JSON in ``rest``."""
-    node = "code string, message string, causes array<string>"
-    level = df.select(key, F.lit("0").alias("path"), F.from_json(tree, node).alias("n")).where("n is not null")
+FAILURE = "code string, message string, location string, exception_type string, occurrence_kind string, branch_id string, item_index int, causes array<string>"
+
+
+def flatten_failures(df: DataFrame, key: str, tree: str, depth: int | None = None) -> DataFrame:
+    """A failure tree as JSON (fields of ``FAILURE``) -> rows (key, depth, path, code, message, location, exception_type, occurrence, occurrence_id) in cause order.
+
+    occurrence: root, branch or item; its id is the branch's name or the item's index. Without ``depth`` all levels are given, as many as the tree with most lists of causes may have;
+    with it causes below stay JSON in ``rest``.
+    """
+    if depth is None:
+        depth = df.agg(F.max(F.size(F.split(tree, '"causes"')))).first()[0] or 1
+    level = df.select(key, F.lit("0").alias("path"), F.from_json(tree, FAILURE).alias("n")).where("n is not null")
     parts = []
     for d in range(depth + 1):
         rest = F.when(F.size("n.causes") > 0, F.to_json("n.causes")) if d == depth else F.lit(None).cast("string")
-        parts.append(level.select(key, F.lit(d).alias("depth"), "path", F.col("n.code").alias("code"), F.col("n.message").alias("message"), rest.alias("rest")))
+        who = F.coalesce("n.branch_id", F.col("n.item_index").cast("string"))
+        kind = F.coalesce(F.lower("n.occurrence_kind"), F.when(F.col("n.branch_id").isNotNull(), "branch").when(F.col("n.item_index").isNotNull(), "item").otherwise("root"))
+        parts.append(level.select(key, F.lit(d).alias("depth"), "path", "n.code", "n.message", "n.location", "n.exception_type", kind.alias("occurrence"), F.when(kind != "root", who).alias("occurrence_id"), rest.alias("rest")))
         if d < depth:
             down = level.select(key, "path", F.posexplode("n.causes").alias("i", "cause"))
-            level = down.select(key, F.concat_ws(".", "path", F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), F.from_json("cause", node).alias("n"))
+            level = down.select(key, F.concat_ws(".", "path", F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), F.from_json("cause", FAILURE).alias("n"))
     return reduce(DataFrame.unionByName, parts)
 
 

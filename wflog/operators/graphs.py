@@ -1,7 +1,8 @@
 """Many small graphs (or a few large ones) at once: whole Arrow batches of runs, peeled and searched with numpy.
 
 Nodes and edges meet once by run, sorted; a task works through runs in chunks of about ``CHUNK`` rows, all graphs of
-a chunk at the same time, so the cost per run is that of its rows. A run is never cut: its nodes and edges (some 30 bytes a row) fit a task.
+a chunk at the same time, so the cost per run is that of its rows. There a run is never cut: its nodes and edges (some 30 bytes a row) fit a task.
+Runs with more rows than that go by joins, a frontier at a time (``split_by_size``, ``peel_by_joins``, ``reach_by_joins``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 CHUNK = 1 << 18
+#: Rows of a run that a task is given at most.
+LARGEST = 30_000_000
 
 
 class Graphs:
@@ -99,3 +104,57 @@ def over_graphs(nodes: DataFrame, edges: DataFrame, carried: str, solve: Callabl
             yield run_chunk(held)
 
     return rows.repartition("run_id").sortWithinPartitions("run_id", "is_edge").mapInArrow(make, schema)
+
+
+def split_by_size(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges) of the runs with more than ``most`` rows, or None where there is none; rows are counted first, combined map-side."""
+    rows = nodes.select("run_id").unionByName(edges.select("run_id")).groupBy("run_id").count()
+    if (rows.agg(F.max("count")).first()[0] or 0) <= most:
+        return None
+    large = materialize(rows.where(F.col("count") > most).select("run_id"), "graph-large")
+    pick = lambda df: materialize(df.join(large, "run_id", "left_semi"), "graph-part")
+    return pick(nodes), pick(edges)
+
+
+def _known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between nodes that there are."""
+    n = nodes.select("run_id", "ordinal").distinct()
+    e = edges.select("run_id", "ordinal", "dep_ordinal").join(n, ["run_id", "ordinal"], "left_semi")
+    return materialize(e.join(n.withColumnRenamed("ordinal", "dep_ordinal"), ["run_id", "dep_ordinal"], "left_semi"), "graph-edges")
+
+
+def peel_by_joins(nodes: DataFrame, edges: DataFrame, every: int = 8) -> DataFrame:
+    """(run_id, ordinal, wave) like ``Graphs.peel``, -1 for nodes on or behind a cycle: each round joins the last wave with the edges that leave it.
+
+    What is still open is written anew every ``every`` rounds, the waves each round; there are as many rounds as waves.
+    """
+    e = _known(nodes, edges)
+    n = nodes.select("run_id", "ordinal").distinct()
+    open_ = materialize(e.groupBy("run_id", "ordinal").agg(F.count("*").alias("left")), "graph-open")
+    now = materialize(n.join(open_, ["run_id", "ordinal"], "left_anti"), "graph-wave")
+    waves, k = [], 0
+    while not now.isEmpty():
+        waves.append(now.withColumn("wave", F.lit(k)))
+        met = e.join(now.withColumnRenamed("ordinal", "dep_ordinal"), ["run_id", "dep_ordinal"]).groupBy("run_id", "ordinal").agg(F.count("*").alias("met"))
+        after = open_.join(met, ["run_id", "ordinal"], "left").select("run_id", "ordinal", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        now = materialize(after.where("left = 0").select("run_id", "ordinal"), "graph-wave")
+        k += 1
+        open_ = after.where("left > 0")
+        if k % every == 0:
+            open_ = materialize(open_, "graph-open")
+    out = open_.select("run_id", "ordinal", F.lit(-1).alias("wave"))
+    for w in waves:
+        out = out.unionByName(w)
+    return out.withColumn("wave", F.col("wave").cast("int"))
+
+
+def reach_by_joins(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(run_id, ordinal) at or behind ``start``, a frontier at a time."""
+    e = _known(nodes, edges)
+    now = seen = materialize(start.select("run_id", "ordinal").distinct(), "graph-reached")
+    while True:
+        met = e.join(now.withColumnRenamed("ordinal", "dep_ordinal"), ["run_id", "dep_ordinal"]).select("run_id", "ordinal").distinct()
+        now = materialize(met.join(seen, ["run_id", "ordinal"], "left_anti"), "graph-reached")
+        if now.isEmpty():
+            return seen
+        seen = materialize(seen.unionByName(now), "graph-reached")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import backoff_seconds, route_key
 from .log import TERMINAL
+from .ranks import ranked
 
 
 def classify_acceptance(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -84,11 +85,18 @@ def pick_wait(waits: DataFrame) -> DataFrame:
     return waits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def deliver_exactly_once(events: DataFrame, waits: DataFrame, key: list[str]) -> DataFrame:
-    """The k-th event of a key meets its k-th wait: both queues are first in, first out."""
-    e = events.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("acceptance_sequence", "event_id")))
-    w = waits.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("registered_at", "wait_id")))
-    return e.join(w.select(*key, "k", "wait_id"), [*key, "k"])
+def deliver_exactly_once(events: DataFrame, waits: DataFrame, key: list[str], most: int = 5_000_000) -> DataFrame:
+    """The k-th event of a key meets its k-th wait: both queues are first in, first out.
+
+    Keys are numbered by windows where each has ``most`` rows at most, counted before; otherwise by ranges, which deal a hot key out over many tasks.
+    """
+    sides = (events, ["acceptance_sequence", "event_id"]), (waits.select(*key, "registered_at", "wait_id"), ["registered_at", "wait_id"])
+    largest = max(df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0 for df, _ in sides)
+    if largest <= most:
+        e, w = (df.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))) for df, order in sides)
+    else:
+        e, w = (ranked(df, key, order).withColumnRenamed("rank", "k").drop("members") for df, order in sides)
+    return e.join(w.drop("registered_at"), [*key, "k"])
 
 
 def list_received(inbox: DataFrame, targets: DataFrame, after: int, limit: int) -> DataFrame:

@@ -33,15 +33,17 @@ def find_active_waits(projections: DataFrame, waits: DataFrame, event_name: str,
 
 
 def apply_projection_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(instance_id, seq, op, wait_id, value) in order -> (summaries, waits, history).
+    """(instance_id, seq, op, wait_id, value, waits array<struct<wait_id, value>>) in order -> (summaries, waits, history).
 
-    The last UpsertSummary of an instance counts and resets its waits; later wait operations apply on top, the last per wait wins.
+    The last UpsertSummary of an instance counts and resets its waits to its own list ``waits``; later wait operations apply on top, the last per wait wins.
     """
-    summary = ops.where("op = 'UpsertSummary'").groupBy("instance_id").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("at"))
-    w = Window.partitionBy("instance_id", "wait_id").orderBy(F.desc("seq"))
+    summary = ops.where("op = 'UpsertSummary'").groupBy("instance_id").agg(F.max_by(F.struct("value", "waits"), "seq").alias("s"), F.max("seq").alias("at"))
+    own = summary.select("instance_id", F.explode("s.waits").alias("w"), F.col("at").alias("seq")).select("instance_id", "w.wait_id", "w.value", "seq", F.lit("UpsertActiveWait").alias("op"))
     late = ops.where(F.col("op").isin("UpsertActiveWait", "RemoveActiveWait")).join(summary.select("instance_id", "at"), "instance_id", "left").where(F.col("seq") > F.coalesce("at", F.lit(-1)))
-    waits = late.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 and op = 'UpsertActiveWait'").select("instance_id", "wait_id", "value")
-    return summary.drop("at"), waits, ops.where("op = 'AppendHistory'").select("instance_id", "seq", "value")
+    every = late.select("instance_id", "wait_id", "value", "seq", "op").unionByName(own)
+    w = Window.partitionBy("instance_id", "wait_id").orderBy(F.desc("seq"))
+    waits = every.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 and op = 'UpsertActiveWait'").select("instance_id", "wait_id", "value")
+    return summary.select("instance_id", "s.value"), waits, ops.where("op = 'AppendHistory'").select("instance_id", "seq", "value")
 
 
 def status_groups(projections: DataFrame) -> DataFrame:
@@ -135,10 +137,10 @@ def instance_ages(projections: DataFrame, waits: DataFrame, at: Column) -> DataF
     return out.select("instance_id", age("created_at").alias("age_s"), age("updated_at").alias("status_age_s"), age("last_active_at").alias("idle_s"), age("oldest").alias("oldest_wait_s"))
 
 
-def blocked_on(waits: DataFrame, at: Column, threshold_s: int) -> DataFrame:
-    """Waits older than the threshold by event name: count, oldest, median and 95th percentile of the age in seconds."""
+def blocked_on(waits: DataFrame, at: Column, threshold_s: int, accuracy: int | None = None) -> DataFrame:
+    """Waits older than the threshold by event name: count, oldest, median and 95th percentile of the age in seconds; with ``accuracy`` within 1 / accuracy of the rank, by sketches of bounded size."""
     aged = waits.withColumn("age_s", F.floor((micros(at) - micros(F.col("registered_at"))) / 1_000_000)).where(F.col("age_s") > threshold_s)
-    p = lambda q: F.round(F.percentile("age_s", F.lit(q)), 3)
+    p = lambda q: F.round((F.percentile("age_s", F.lit(q)) if accuracy is None else F.percentile_approx("age_s", q, accuracy)).cast("double"), 3)
     return aged.groupBy("event_name").agg(F.count("*").alias("n"), F.min("registered_at").alias("oldest_at"), p(0.5).alias("p50_s"), p(0.95).alias("p95_s"))
 
 

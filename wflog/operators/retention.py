@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .projections import ACTIVE
+from .ranks import top
 
 
 def retention_plan(settled: DataFrame, at: Column, max_age: Column, max_retained: int) -> DataFrame:
     """(instance_id, settled_at, ordinal): rows to retire: all of at least ``max_age``, then the oldest until ``max_retained`` remain.
 
-    The kept rows are a top-n by ordinal: tasks send their own newest, the rest is never sorted as a whole.
+    The ordinal from which on rows are kept is found by counting ranges of ordinals, so neither the kept rows nor the others are ever sorted or joined.
     """
     aged = F.col("settled_at") <= at - max_age
-    keep = settled.where(~aged).orderBy(F.desc("ordinal")).limit(max_retained).select("instance_id")
-    return settled.join(keep, "instance_id", "left_anti").withColumn("reason", F.when(aged, "age").otherwise("count"))
+    kept = top(settled.where(~aged), "ordinal", max_retained, "instance_id")
+    gone = aged if kept is None else aged | ~kept
+    return settled.where(gone).withColumn("reason", F.when(aged, "age").otherwise("count"))
 
 
 BLOCKERS = ("ActiveInstance", "PendingInboxDelivery", "ClaimedOutbox", "PendingOutbox", "PoisonedOutbox")

@@ -127,7 +127,14 @@ def rate_windows(events: DataFrame, labels: list[str], time: str = "occurred_at"
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *labels, "n", F.round(F.col("n") / seconds, 6).alias("rate"))
 
 
+def approx_quantiles(points: DataFrame, by: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Quantiles that are values of the group, their rank within 1 / ``accuracy`` of the group's size: sketches of bounded size, merged map-side, whatever the number of different values."""
+    p = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)
+    return points.groupBy(by).agg(F.count("*").alias("n"), p.alias("p")).select(by, "n", *[F.col("p")[i].alias(x) for i, x in enumerate(("p50", "p95", "p99"))])
+
+
 def exact_quantiles(points: DataFrame, by: str, value: str) -> DataFrame:
+    """Exact, interpolated quantiles; every different value of a group is held in one task, see ``approx_quantiles``."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     return points.groupBy(by).agg(F.count("*").alias("n"), p.alias("p")).select(by, "n", *[F.round(F.col("p")[i], 3).alias(x) for i, x in enumerate(("p50", "p95", "p99"))])
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made in this process, by session.
 _MADE: dict[str, list[str]] = {}
@@ -37,6 +37,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage, and lost executors read files instead of computing all before anew."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Remove the intermediate tables of this application, once its results are written; returns how many there were."""
     paths = _MADE.pop(spark.sparkContext.applicationId, [])

@@ -180,18 +180,18 @@ def derive_status(fibers: DataFrame, scopes: DataFrame, key: str = "instance_id"
     return out.select(key, status.alias("status"))
 
 
-FAILURE = "code string, message string, location string, exception_type string, occurrence_kind string, branch_id string, item_index int, causes array<string>"
+CAUSES = "code string, message string, location string, exception_type string, occurrence_kind string, branch_id string, item_index int, causes array<string>"
 
 
 def flatten_failures(df: DataFrame, key: str, tree: str, depth: int | None = None) -> DataFrame:
-    """A failure tree as JSON (fields of ``FAILURE``) -> rows (key, depth, path, code, message, location, exception_type, occurrence, occurrence_id) in cause order.
+    """A failure tree as JSON (fields of ``CAUSES``) -> rows (key, depth, path, code, message, location, exception_type, occurrence, occurrence_id) in cause order.
 
     occurrence: root, branch or item; its id is the branch's name or the item's index. Without ``depth`` all levels are given, as many as the tree with most lists of causes may have;
     with it causes below stay JSON in ``rest``.
     """
     if depth is None:
         depth = df.agg(F.max(F.size(F.split(tree, '"causes"')))).first()[0] or 1
-    level = df.select(key, F.lit("0").alias("path"), F.from_json(tree, FAILURE).alias("n")).where("n is not null")
+    level = df.select(key, F.lit("0").alias("path"), F.from_json(tree, CAUSES).alias("n")).where("n is not null")
     parts = []
     for d in range(depth + 1):
         rest = F.when(F.size("n.causes") > 0, F.to_json("n.causes")) if d == depth else F.lit(None).cast("string")
@@ -200,7 +200,7 @@ def flatten_failures(df: DataFrame, key: str, tree: str, depth: int | None = Non
         parts.append(level.select(key, F.lit(d).alias("depth"), "path", "n.code", "n.message", "n.location", "n.exception_type", kind.alias("occurrence"), F.when(kind != "root", who).alias("occurrence_id"), rest.alias("rest")))
         if d < depth:
             down = level.select(key, "path", F.posexplode("n.causes").alias("i", "cause"))
-            level = down.select(key, F.concat_ws(".", "path", F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), F.from_json("cause", FAILURE).alias("n"))
+            level = down.select(key, F.concat_ws(".", "path", F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), F.from_json("cause", CAUSES).alias("n"))
     return reduce(DataFrame.unionByName, parts)
 
 

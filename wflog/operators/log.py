@@ -97,7 +97,7 @@ def apply_event(s: dict, e) -> None:
     elif kind == "Parked":
         status, s["park_reason"], s["error_summary"] = "Waiting", e.reason, e.error
     elif kind == "ContinuationAttemptFailed":
-        s.update(failure_count=e.attempt_count, failure_position=e.position_stream_version, retry_not_before=e.next_eligible_at)
+        s.update(failure_count=e.attempt_count or 0, failure_position=e.position_stream_version, retry_not_before=e.next_eligible_at)
     elif kind == "StepCompleted":
         status, s["last_step_path"] = ("Waiting" if before == "Waiting" else "Running"), e.step_path
     elif kind == "StepFailed":
@@ -135,7 +135,7 @@ def apply_event(s: dict, e) -> None:
             timers.discard(e.timer_id)
         status = "Waiting" if waits or timers else "Running"
     elif kind == "ContinuedAsNew":
-        status, s["generation"], s["error_summary"], s["outcome"] = "Running", e.generation, None, None
+        status, s["generation"], s["error_summary"], s["outcome"] = "Running", e.generation or 0, None, None
     elif kind not in ("ExecutionPositionChanged", "ContinuationAttemptReset"):
         raise ValueError(f"unknown kind of event: {kind}")
     if kind in ("Unparked", "ContinuedAsNew", "ContinuationAttemptReset"):
@@ -240,7 +240,7 @@ def _fold(events: DataFrame, start: DataFrame | None) -> DataFrame:
     return both.select(
         "stream_id", status.alias("status"), (old["stream_version"] + F.coalesce("n", F.lit(0))).cast("long").alias("stream_version"), F.coalesce(old["created_at"], "created").alias("created_at"), F.coalesce("updated", old["updated_at"]).alias("updated_at"),
         *[written("started", c, c) for c in ("definition_id", "definition_version", "parent_instance_id", "root_instance_id")], written("step", "step_path", "last_step_path"), written("error", "x", "error_summary"), written("outcome", "x", "outcome"), written("park", "x", "park_reason"),
-        written("generation", "generation", "generation"), written("failure", "n", "failure_count"), written("failure", "position", "failure_position"), written("failure", "retry", "retry_not_before"), *[sets[c].alias(c) for c in SETS],
+        F.coalesce(written("generation", "generation", "generation"), F.lit(0)).alias("generation"), F.coalesce(written("failure", "n", "failure_count"), F.lit(0)).alias("failure_count"), written("failure", "position", "failure_position"), written("failure", "retry", "retry_not_before"), *[sets[c].alias(c) for c in SETS],
     )
 
 

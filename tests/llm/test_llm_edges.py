@@ -57,15 +57,111 @@ def names():
     return sorted(queries())
 
 
-@pytest.mark.parametrize("name", names())
-def test_query_on_edges(spark, edge_dir, name):
+EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def result(spark, edge_dir, name):
     from wflog.llm.queries import queries
 
-    out = queries()[name](spark, edge_dir).collect()
-    if name != "op2_decontaminate":
-        assert len(out) == len(rows())
-    else:
-        assert {r.doc_id for r in out} == {1, 9, 10, None}
+    return queries()[name](spark, edge_dir).collect()
+
+
+def of(out, doc_id):
+    return [r for r in out if r.doc_id == doc_id]
+
+
+def test_edges_op1(spark, edge_dir):
+    out = result(spark, edge_dir, "op1_license_scans")
+    assert len(out) == len(rows()) and {(r.doc_id, r.families) for r in out if r.families} == {(10, "mit")}
+    assert all(r.n_paragraphs == 0 and r.probability == 0 for r in out if r.doc_id in (2, 3, 4))
+
+
+def test_edges_op2(spark, edge_dir):
+    out = result(spark, edge_dir, "op2_decontaminate")
+    assert {r.doc_id for r in out} == {1, 9, 10, None} and {r.item_id for r in out} == {1} and all(r.distance == 0 for r in out)
+
+
+def test_edges_op3(spark, edge_dir):
+    out = result(spark, edge_dir, "op3_mix_sources")
+    assert len(out) == len(rows()) and all(r.size == 0 == r.taken for r in out if r.doc_id in (2, 3, 4)) and all(0 <= r.taken <= 2 * r.size for r in out)
+    assert len({(r.size, r.taken) for r in of(out, 1)}) == 1 and len(of(out, 1)) == 2
+
+
+def test_edges_op4(spark, edge_dir):
+    out = result(spark, edge_dir, "op4_quality_classifier")
+    assert len(out) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out) and all(r.held_out for r in of(out, None))
+    assert len({r.score for r in out if r.doc_id in (2, 3)}) == 1 and len({r.score for r in of(out, 1)}) == 1
+
+
+def test_edges_op5(spark, edge_dir):
+    out = result(spark, edge_dir, "op5_language_id")
+    assert len(out) == len(rows()) and all(r.lang_pred == "und" for r in out if r.doc_id in (2, 3, 4, 11)) and all(0 <= r.score <= 1 for r in out) and of(out, 6)[0].lang_pred != "und"
+
+
+def test_edges_op6(spark, edge_dir):
+    out = result(spark, edge_dir, "op6_suffix_dedup")
+    assert len(out) == len(rows()) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (0, 0, 0, EMPTY_SHA) for r in out if r.doc_id in (2, 3))
+    x = of(out, 8)[0]
+    assert (x.n_removed, x.n_spans, x.kept_sha256) == (300_000, 1, EMPTY_SHA) and of(out, 6)[0].n_removed > 0 and of(out, 5)[0].n_removed == 0
+
+
+def test_edges_op7(spark, edge_dir):
+    out = result(spark, edge_dir, "op7_secret_scans")
+    assert len(out) == len(rows()) and all((r.n_assign, r.n_access, r.n_hex, r.spans) == (0, 0, 0, "") for r in out if r.doc_id in (2, 3, 4))
+    x = of(out, 5)[0]
+    assert (x.n_assign, x.n_access) == (1, 1) and "assign:0:25" in x.spans and "access:26:46" in x.spans and of(out, 13)[0].n_assign == 20_000
+
+
+def test_edges_op8(spark, edge_dir):
+    out = result(spark, edge_dir, "op8_line_dedup")
+    assert len(out) == len(rows()) and len({str(r) for r in of(out, 1)}) <= 2
+
+
+def test_edges_op9(spark, edge_dir):
+    out = result(spark, edge_dir, "op9_simhash")
+    assert len(out) == len(rows()) and all(r.fingerprint == "0" * 16 for r in out if r.doc_id in (2, 3, 4)) and {r.component_id for r in out if r.doc_id in (2, 3, 4)} == {2}
+    assert len({(r.fingerprint, r.component_id) for r in of(out, 1)}) == 1
+
+
+def test_edges_op10(spark, edge_dir):
+    out = result(spark, edge_dir, "op10_quality_rules")
+    assert len(out) == len(rows()) and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (0, 0, 0, 0, 0, True, False) for r in out if r.doc_id in (2, 3, 4))
+    assert of(out, 9)[0].n_dup_lines == 199 and of(out, 13)[0].n_dup_lines == 0 and of(out, 14)[0].n_words == 400_000
+
+
+def test_edges_op11(spark, edge_dir):
+    out = result(spark, edge_dir, "op11_packing")
+    ids = [r[0] for r in rows()]
+    whole: dict = {}
+    for r in out:
+        whole.setdefault(r.doc_id, []).append(r)
+    assert set(whole) == set(ids)
+    for k, parts in whole.items():
+        assert sum(r.length for r in parts) == sum(r.doc_tokens for r in parts if r.start == 0) and len([r for r in parts if r.start == 0]) == ids.count(k)
+    assert [(r.start, r.length, r.doc_tokens) for r in whole[2]] == [(r.start, r.length, r.doc_tokens) for r in whole[3]] == [(0, 1, 1)]
+    assert len({r.ids_crc32 for k in (2, 3, 4) for r in whole[k]}) == 1 and len(whole[14]) > 100
+    used: dict = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert all(n == 4096 or n & (n - 1) == 0 for n in used.values())
+
+
+def test_edges_op12(spark, edge_dir):
+    import hashlib
+
+    out = result(spark, edge_dir, "op12_periodic_runs")
+    assert len(out) == len(rows()) and all((r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) == (0, None, None, None, None, EMPTY_SHA, EMPTY_SHA) for r in out if r.doc_id in (2, 3, 4))
+    x = of(out, 14)[0]
+    assert (x.n_runs, x.start, x.length, x.period, x.exponent_milli) == (1, 0, 400_000, 5000, 80_000) and x.collapsed_sha256 == hashlib.sha256(" ".join(f"w{i}" for i in range(5000)).encode()).hexdigest()
+    assert len({str(r) for r in of(out, 1)}) == 1 and {r.n_runs for r in of(out, None)} == {0}
+
+
+def test_edges_op13(spark, edge_dir):
+    from tests.llm.test_llm_round_three import manifest_brute
+
+    out = result(spark, edge_dir, "op13_merkle_manifest")
+    assert sorted(map(tuple, out), key=str) == manifest_brute(spark.read.parquet(f"{edge_dir}/documents.parquet").collect())
 
 
 @pytest.mark.parametrize("name", names())
@@ -113,3 +209,12 @@ def test_operators_keep_clashing_columns(spark, edge_dir):
         assert len(got) == len(rows()) and all(r["key"] == "own key" and r["row"] == "own row" for r in got)
     assert scan_secrets(docs)[0].count() == len(rows())
     assert suffix_dedup(docs)[0].count() == len(rows())
+    from wflog.llm.packing import pack_documents
+    from wflog.llm.periodic_runs import periodic_runs
+
+    got = periodic_runs(docs.withColumn("runs", F.lit("own runs"))).collect()
+    assert len(got) == len(rows()) and all(r["key"] == "own key" and isinstance(r["runs"], list) for r in got)
+    import public_tokenizers
+
+    pieces = pack_documents(docs.withColumn("start", F.lit("own")).withColumn("at", F.lit("own")).withColumn("ids", F.lit("own")), public_tokenizers.path("word_bpe_49k.json"))
+    assert pieces.where("start = 0").count() == len(rows())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wflog.llm import decontaminate, licenses, merkle, mixing, packing, periodic_runs, simhash
+from wflog.llm import decontaminate, licenses, merkle, mixing, packing, periodic_runs, quality_rules, simhash
 from wflog.llm.common import ranked
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -202,7 +204,7 @@ def test_long_periodic_text_is_quick():
 
 
 def digests(text, doc_id):
-    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     n = len(words)
     h = zlib.crc32(str(doc_id).encode())
     if h % 10 == 0 and n:
@@ -464,3 +466,91 @@ def test_texts_of_one_hash_are_told_apart(spark):
     for r in simhash._told_apart(rows).collect():
         got.setdefault(r["text"], set()).add(r["text_hash__"])
     assert got["a"] == {7} and got["c"] == {8} and len(got["b"]) == 1 and got["b"] != {7}
+
+
+# the stages quality rules and mixing against plain versions
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def kept_brute(rows):
+    """(doc_id, text) of the documents that the quality rules keep."""
+    texts = defaultdict(set)
+    for r in rows:
+        texts[r.source].add(r.text or "")
+    norm = lambda line: " ".join(WORD.findall(line)).lower()
+    frequent = {}
+    for host, own in texts.items():
+        counts = Counter(x for t in own for x in {norm(line) for line in t.split("\n")} if x)
+        frequent[host] = {x for x, n in counts.items() if n > 20 and n > 0.05 * len(own)}
+    out = []
+    for r in rows:
+        words = WORD.findall(r.text or "")
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+            continue
+        lines = r.text.split("\n")
+        gone = [line for line in lines if norm(line) in frequent[r.source]]
+        if len(words) - sum(len(WORD.findall(x)) for x in gone) < 0.5 * len(words):
+            continue
+        out.append((r.doc_id, "\n".join(x for x in lines if norm(x) not in frequent[r.source]) if gone else r.text))
+    return sorted(out)
+
+
+def test_quality_stage_against_plain_rules(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    extra = spark.range(60).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("Read the full  story on our site\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), i.cast("string"))), " ")).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    docs = docs.unionByName(extra)
+    got = sorted((r.doc_id, r.text) for r in quality_rules.quality_stage(spark, docs, MORE).collect())
+    assert got == kept_brute(docs.collect()) and any(i >= 10_000 and "story" not in t for i, t in got)
+
+
+def mixed_brute(rows, weights=(5, 2, 1), share=1.5, cap=2.0, seed=42):
+    """{doc_id: copies}: targets by giving shares again and again, samples by sorting."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append((r.doc_id, len(WORD.findall(r.text or ""))))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n in by[s]) for s in names}
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, open_, target = share * sum(size.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total > cap * size[s]}
+        if not full:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        target |= {s: cap * size[s] for s in full}
+        left -= sum(cap * size[s] for s in full)
+        open_ -= full
+    out = {}
+    for s in names:
+        whole = math.floor(target[s] / size[s] + 1e-12) if size[s] else 0
+        rest = target[s] - whole * size[s]
+        out |= {i: whole for i, _ in by[s]}
+        if rest <= 1e-9:
+            continue
+        sizes, sure = sorted((n for _, n in by[s] if n), reverse=True), 0
+        while (c := (rest - sum(sizes[:sure])) / sum(n * n for n in sizes[sure:])) * sizes[sure] > 1:
+            sure += 1
+        ranks = []
+        for i, n in by[s]:
+            if n:
+                u = (int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                p = c * n
+                ranks.append((0.0 if p >= 1 else u / (1 - u) / (p / (1 - p)), str(i), n, i))
+        upto = 0
+        for _, _, n, i in sorted(ranks):
+            if 2 * upto + n > 2 * rest:
+                break
+            upto += n
+            out[i] += 1
+    return out
+
+
+def test_mixing_stage_against_plain_sampling(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    want = mixed_brute(docs.collect())
+    got = Counter(r.doc_id for r in mixing.mix_stage(spark, docs, MORE).collect())
+    assert got == Counter({i: n for i, n in want.items() if n}) and len(set(want.values())) > 1

@@ -37,7 +37,7 @@ def raw(spark, d):
     return encoded.withColumn("payload", payload).withColumn("event_type", kind)
 
 
-_BAD = "(event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0 or (event_id % 229 = 0 and event_type in ('StepCompleted', 'StepFailed')) or (event_id % 4 = 0 and event_type in ('ResourcePoolAcquired', 'ResourcePoolReleased')))"
+_BAD = "(event_id % 211 = 0 or event_id % 223 = 0 or event_id % 227 = 0 or (event_id % 229 = 0 and event_type in ('StepCompleted', 'StepFailed')) or (event_id % 4 = 0 and event_type in ('ResourcePoolAcquired', 'ResourcePoolReleased')) or (error is null and event_type in ('Parked', 'ContinuationAttemptFailed', 'StepFailed')))"
 
 
 def _of(kinds: str, value: str, name: str) -> str:

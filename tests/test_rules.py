@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wflog.functions import canonical_location
-from wflog.operators import dag, fanout, inbox, log, projections, queues, ranks, retention, telemetry
+from wflog.operators import dag, fanout, inbox, log, pools, projections, queues, ranks, retention, telemetry
 from wflog.sources import store
 from wflog.sources.schemas import SCHEMAS
 from wflog.streaming import streams
@@ -36,13 +36,13 @@ def routed(df):
 
 
 def test_route_keys_hold_all_parts(spark):
-    rows = [(str(i), i, "Received", k, 7, 9, 2, "paid", "order-é") for i, k in enumerate(("direct", "correlation", "definition"))]
+    rows = [(str(i), i, "Received", k, 7, 9, 2, "paid", "order-é") for i, k in enumerate(("direct", "correlation", "definition-fanout"))]
     got = [r.route_key for r in routed(spark.createDataFrame(rows, EVENT)).orderBy("event_id").collect()]
     tail = f"2|{b64('paid')}|{b64('order-é')}"
     assert got == [f"direct|7|{tail}", f"correlation|9|{tail}", f"definition-fanout-target|7|9|{tail}"]
 
 
-@pytest.mark.parametrize("kind", ["direct", "correlation", "definition"])
+@pytest.mark.parametrize("kind", ["direct", "correlation", "definition-fanout"])
 def test_another_correlation_resumes_nothing(spark, kind):
     wait = spark.createDataFrame([("w", 1, 5, 1, "paid", "order-A")], WAIT)
     event = lambda i, seq, **x: (i, seq, "Received", kind, x.get("instance", 1), x.get("definition", 5), x.get("version", 1), x.get("name", "paid"), x.get("correlation", "order-A"))
@@ -504,3 +504,89 @@ def test_inputs_of_nodes_without_results(spark):
     runs = spark.createDataFrame([(1, "in"), (2, None)], "run_id long, input string")
     got = {r.run_id: (r.input, r.inputs, r.fault) for r in dag.node_inputs(nodes, edges, runs).collect()}
     assert got == {1: ("in", {"a": "x"}, None), 2: (None, {}, "DAG_INPUT_MAPPING_INVALID"), 3: (None, {}, None)}
+
+
+def test_received_and_retries_take_targets_but_no_roots(spark):
+    c = "event_id string, instance_id long, acceptance_sequence long, state string, route_kind string, handoff_failure_count int, handoff_retry_not_before timestamp_ntz"
+    rows = [("a", 1, 1, "Received", "direct", 1, at(5)), ("b", None, 2, "Received", None, 1, at(3)), ("c", None, 3, "Received", "definition-fanout", 0, None), ("d", 1, 4, "Applied", "direct", 1, at(1))]
+    members = [("c", 8, 3, "Received", "definition-fanout-target", 2, at(4)), ("c", 7, 3, "Received", "definition-fanout-target", 1, at(4)), ("c", 9, 3, "Received", "definition-fanout-target", 1, at(99))]
+    i, t = spark.createDataFrame(rows, c), spark.createDataFrame(members, c)
+    assert [(r.event_id, r.instance_id) for r in inbox.list_received(i, t, 0, 10).collect()] == [("a", 1), ("b", None), ("c", 7), ("c", 8), ("c", 9)]
+    assert [(r.event_id, r.instance_id) for r in inbox.list_handoff_retries(i, t, F.lit(at(10)), 10).collect()] == [("b", None), ("c", 7), ("c", 8), ("a", 1)]
+    changes = spark.createDataFrame([("c", 8, "Received", "Applied"), ("c", 9, "Poisoned", "Applied")], "event_id string, instance_id long, expected string, new_state string")
+    got = {r.instance_id: (r.state, r.applied) for r in inbox.transition_inbox(t, changes, ("event_id", "instance_id")).collect()}
+    assert got == {7: ("Received", False), 8: ("Applied", True), 9: ("Received", False)}
+
+
+def test_blockers_by_name(spark):
+    ids = spark.createDataFrame([(i,) for i in range(1, 9)], "instance_id long")
+    status = {1: "Waiting", 2: "Completed", 3: "Failed", 4: "Completed", 5: "Completed", 6: "Completed", 8: "Completed"}
+    p = spark.createDataFrame(list(status.items()), "instance_id long, status string")
+    received = lambda *i: spark.createDataFrame([(x, "Received") for x in i], "instance_id long, state string")
+    out = spark.createDataFrame([(1, "Claimed"), (4, "Poisoned"), (4, "Claimed"), (5, "Poisoned"), (5, "Retryable"), (6, "Poisoned")], "instance_id long, state string")
+    heads = spark.createDataFrame([(3,)], "stream_id long")
+    got = {r.instance_id: (r.exists, r.blocker) for r in retention.maintenance_blockers(ids, p, heads, received(1, 2), out, received(3)).collect()}
+    assert got == {
+        1: (True, "ActiveInstance"), 2: (True, "PendingInboxDelivery"), 3: (True, "PendingInboxDelivery"), 4: (True, "ClaimedOutboxDispatch"), 5: (True, "PendingOutboxDispatch"),
+        6: (True, "PoisonedOutboxDispatch"), 7: (False, "None"), 8: (True, "None"),
+    }
+
+
+def test_timers_follow_their_operations_in_order(spark):
+    t = spark.createDataFrame([(x, i, at(0), True, at(50)) for i, x in enumerate("abcde")], "timer_id string, instance_id long, fire_at timestamp_ntz, claimed boolean, claimed_until timestamp_ntz")
+    ops = [
+        ("a", 1, "upsert", at(7), 70), ("a", 2, "release", None, None),  # the new time stays
+        ("b", 1, "complete", None, None), ("b", 2, "release", None, None),  # gone for good
+        ("c", 1, "complete", None, None), ("c", 2, "upsert", at(9), 90),  # back
+        ("d", 1, "release", None, None), ("x", 1, "release", None, None), ("y", 1, "upsert", at(8), 80), ("y", 2, "complete", None, None), ("z", 1, "upsert", at(6), 60),
+    ]
+    got = queues.maintain_timers(t, spark.createDataFrame(ops, "timer_id string, seq long, op string, fire_at timestamp_ntz, instance_id long"))
+    assert sorted(tuple(r) for r in got.select("timer_id", "instance_id", "fire_at", "claimed", "claimed_until").collect()) == [
+        ("a", 70, at(7), False, None), ("c", 90, at(9), False, None), ("d", 3, at(0), False, None), ("e", 4, at(0), True, at(50)), ("z", 60, at(6), False, None),
+    ]
+
+
+def test_signals_that_can_not_advance(spark):
+    rows = [
+        ("1", '{"instance_id": 5, "occurred_at": "2024-01-01T00:00:02"}'), ("2", '{"instance_id": 5, "occurred_at": "2024-01-01T00:00:01", "not_before": null}'),
+        ("3", '{"instance_id": 5, "occurred_at": "2024-01-01T00:00:00", "not_before": "2024-01-01T00:01:00"}'), ("4", '{"instance_id": 6}'), ("5", '{"occurred_at": "2024-01-01T00:00:00"}'),
+        ("6", "{"), ("7", None), ("8", '{"instance_id": 7, "occurred_at": "2024-01-01T00:00:00", "not_before": "soon"}'),
+    ]
+    due, others = queues.coalesce_continuations(spark.createDataFrame(rows, "outbox_record_id string, payload string"), F.lit(at(10)))
+    assert [tuple(r) for r in due.collect()] == [(5, 2, 9_000_000, ["1", "2"])]
+    assert {r.outbox_record_id: r.state for r in others.collect()} == {"3": "Retryable", "4": "Poisoned", "5": "Poisoned", "6": "Poisoned", "7": "Poisoned", "8": "Poisoned"}
+
+
+def test_resizes_are_applied_again_without_effect(spark):
+    ops = [("r1", 1, "p", 5), ("r2", 2, "p", 7), ("r1", 3, "p", 5), ("r1", 4, "p", 9), ("r2", 5, "q", 7)]
+    out, now = pools.apply_resizes(spark.createDataFrame(ops, "operation_id string, seq long, pool string, capacity long"))
+    got = [(r.seq, r.result, r.replay, r.recorded_pool, r.recorded_capacity) for r in out.orderBy("seq").collect()]
+    assert got == [(1, "Applied", False, "p", 5), (2, "Applied", False, "p", 7), (3, "Applied", True, "p", 5), (4, "Conflict", True, "p", 5), (5, "Conflict", True, "p", 7)]
+    assert [tuple(r) for r in now.collect()] == [("p", 7)]
+
+
+def test_a_token_released_without_confirmation_is_not_found(spark):
+    c = spark.createDataFrame([("c1", 1, "held"), ("c2", 2, "gone"), ("c3", 3, "old"), ("c4", 4, "both"), ("c1", 5, "gone")], "confirmation_id string, seq long, token string")
+    holders = spark.createDataFrame([("held",), ("both",)], "token string")
+    released = spark.createDataFrame([("gone", None), ("old", "c0"), ("both", None)], "token string, confirmation_id string")
+    got = [r.result for r in pools.classify_stop_confirmations(c, holders, released).orderBy("seq").collect()]
+    assert got == ["Released", "TokenNotFound", "AlreadyConfirmed", "TokenNotFound", "ConfirmationConflict"]
+
+
+def test_lease_status_and_gauges(spark):
+    phases = ["Queued", "PendingCommit", "Held", "ReviewMarked", "AmbiguousHeld", "Quarantined", "Released", "CancelledBeforeGrant", "LeaseLost", "Granted"]
+    ticket = '{{"ticket_id": "t{0}", "pool": "p", "units": {0}, "generation": 1, "review_marked": false}}'
+    one = '{{"kind": "Resource", "token": "k{0}", "phase": "{1}", "holder_key": "h{0}", "lease_tickets": [{2}]}}'
+    rows = [(1, at(3), '{"obligations": [' + ", ".join(one.format(i, p, ticket.format(i)) for i, p in enumerate(phases)) + ', {"kind": "Other", "token": "x", "phase": "Held"}, {"kind": "Resource", "phase": "Held"}]}')]
+    envelopes = spark.createDataFrame(rows, "instance_id long, updated_at timestamp_ntz, envelope string")
+    tickets = spark.createDataFrame([(1, "h2", "t2", "p", 2, True), (1, "h3", "t3", "p", 3, False), (2, "h5", "t5", "q", 5, True)], "instance_id long, holder_key string, ticket_id string, pool string, units long, review_marked boolean")
+    leases = pools.outstanding_leases(envelopes, tickets)
+    got = {r.token: (r.status, [t.review_marked for t in r.tickets], r.quarantined_at) for r in leases.collect()}
+    assert got == {
+        "k0": ("Queued", [False], None), "k1": ("PendingCommit", [False], None), "k2": ("Held", [True], None), "k3": ("ReviewMarked", [False], None), "k4": ("AmbiguousHeld", [False], None),
+        "k5": ("Quarantined", [False], at(3)), "k8": ("LeaseLost", [False], None), "k9": ("Queued", [False], None),
+    }
+    gauges = pools.lease_gauges(leases)
+    assert sorted(tuple(r) for r in gauges.collect()) == [("p", "ambiguous_held", 1, 4, None), ("p", "held", 1, 2, None), ("p", "pending_commit", 1, 1, None), ("p", "quarantined", 1, 5, at(3)), ("p", "review_marked", 1, 3, None)]
+    states = sorted(tuple(r) for r in pools.pool_states(tickets, gauges.where("state <> 'held'")).collect())
+    assert states == [("p", "ambiguous_held", 1, 4), ("p", "held", 1, 3), ("p", "pending_commit", 1, 1), ("p", "quarantined", 1, 5), ("p", "review_marked", 1, 3), ("q", "review_marked", 1, 5)]

@@ -59,11 +59,11 @@ def check_direct_targets(spark, d):
     return I.check_direct_targets(adapt(spark, d, "inbox").where("route_kind = 'direct'"), adapt(spark, d, "projections")).select("acceptance_sequence", "instance_id", "check")
 
 
-_FAN = "e as (select event_id, acceptance_sequence, definition_id from inbox where route_kind = 'definition' and state = 'Received'), live as (select definition_id, instance_id from projections where status not in " + TERMINAL + "), n as (select definition_id, count(*) as n from live group by 1)"
+_FAN = "e as (select event_id, acceptance_sequence, definition_id from inbox where route_kind = 'definition-fanout' and state = 'Received'), live as (select definition_id, instance_id from projections where status not in " + TERMINAL + "), n as (select definition_id, count(*) as n from live group by 1)"
 
 
 def fan_events(spark, d):
-    return adapt(spark, d, "inbox").where("route_kind = 'definition' and state = 'Received'").select("event_id", "acceptance_sequence", "definition_id")
+    return adapt(spark, d, "inbox").where("route_kind = 'definition-fanout' and state = 'Received'").select("event_id", "acceptance_sequence", "definition_id")
 
 
 @job("definition_fanout", cte("inbox", "projections") + f", {_FAN} select acceptance_sequence, instance_id from e join n using (definition_id) join live using (definition_id) where n.n <= 1024")
@@ -109,13 +109,15 @@ def deliver_exactly_once(spark, d):
 @job("list_received", cte("inbox") + """ select acceptance_sequence, event_id, instance_id from inbox where state = 'Received' and acceptance_sequence > 1000 order by 1, 2, 3 limit 500""")
 def list_received(spark, d):
     i = adapt(spark, d, "inbox")
-    return I.list_received(i, i.where("route_kind = 'definition'"), 1000, 500)
+    return I.list_received(i, i.where("route_kind = 'definition-fanout'"), 1000, 500)
 
 
 @job("list_handoff_retries", cte("inbox") + f""" select acceptance_sequence, event_id, instance_id from inbox where state = 'Received' and handoff_failure_count > 0 and handoff_retry_not_before <= {AT_SQL}
     order by handoff_retry_not_before, acceptance_sequence, event_id, instance_id limit 300""")
 def list_handoff_retries(spark, d):
-    return I.list_handoff_retries(adapt(spark, d, "inbox"), F.expr(AT), 300).select("acceptance_sequence", "event_id", "instance_id")
+    i = adapt(spark, d, "inbox")
+    roots = F.col("route_kind") == "definition-fanout"
+    return I.list_handoff_retries(i.where(~roots), i.where(roots), F.expr(AT), 300).select("acceptance_sequence", "event_id", "instance_id")
 
 
 @job("record_handoff_failure", cte("inbox") + f""", f as (select acceptance_sequence, cast(acceptance_sequence % 5 as int) as expected_count from inbox),

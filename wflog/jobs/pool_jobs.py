@@ -50,11 +50,11 @@ RESIZES = "select 'r' || cast(o_orderkey % 4000 as string) as operation_id, o_or
 
 
 @job("apply_resizes", f"with r as ({RESIZES.format(orders='orders')}), b as (select *, first_value(pool) over w = pool and first_value(capacity) over w = capacity as same, row_number() over w as rn from r window w as (partition by operation_id order by seq))" + """,
-    c as (select *, case when rn = 1 then 'Applied' when same then 'Replayed' else 'Conflict' end as result from b)
-    select 'operation' as part, operation_id || '@' || seq as id, result as value from c union all select 'pool', cast(pool as varchar), cast(arg_max(capacity, seq) as varchar) from c where result = 'Applied' group by pool""")
+    c as (select *, case when same then case when rn = 1 then 'Applied' else 'Applied again' end else 'Conflict' end as result from b)
+    select 'operation' as part, operation_id || '@' || seq as id, result as value from c union all select 'pool', cast(pool as varchar), cast(arg_max(capacity, seq) as varchar) from c where rn = 1 group by pool""")
 def apply_resizes(spark, d):
     out, now = P.apply_resizes(spark.sql(RESIZES, orders=spark.read.parquet(f"{d}/orders.parquet")))
-    a = out.select(F.lit("operation").alias("part"), F.concat_ws("@", "operation_id", "seq").alias("id"), F.col("result").alias("value"))
+    a = out.select(F.lit("operation").alias("part"), F.concat_ws("@", "operation_id", "seq").alias("id"), F.when((F.col("result") == "Applied") & F.col("replay"), "Applied again").otherwise(F.col("result")).alias("value"))
     return a.unionByName(now.select(F.lit("pool").alias("part"), F.col("pool").cast("string").alias("id"), F.col("capacity").cast("string").alias("value")))
 
 
@@ -62,9 +62,9 @@ CONFIRM = "select 'c' || cast(event_id % 900 as string) as confirmation_id, even
 
 
 @job("classify_stop_confirmations", f"with c as ({CONFIRM.format(events='events')})" + """, h as (select distinct token from c where cast(substring(token, 2) as int) % 3 = 0),
-    r as (select distinct token, case when cast(substring(token, 2) as int) % 2 = 0 then 'old' || token end as was from c where cast(substring(token, 2) as int) % 3 = 1),
+    r as (select distinct token, case when cast(substring(token, 2) as int) % 2 = 0 then 'old' || token end as was from c where cast(substring(token, 2) as int) % 3 = 1 or cast(substring(token, 2) as int) % 15 = 0),
     x as (select confirmation_id, seq, token, true as new from c union all select was, -1, token, false from r where was is not null),
-    y as (select x.*, h.token is not null as held, r.was from x left join h on h.token = x.token left join r on r.token = x.token),
+    y as (select x.*, h.token is not null and r.token is null as held, r.was from x left join h on h.token = x.token left join r on r.token = x.token),
     z as (select *, first_value(case when not new or held then token end ignore nulls) over (partition by confirmation_id order by seq rows between unbounded preceding and 1 preceding) as bound from y),
     f as (select *, coalesce(bool_or(new and held and bound is null) over (partition by token order by seq, confirmation_id rows between unbounded preceding and 1 preceding), false) as freed from z)
     select confirmation_id, seq, token, case when bound is not null then case when bound = token then 'AlreadyConfirmed' else 'ConfirmationConflict' end when freed or was is not null then 'AlreadyConfirmed'
@@ -73,28 +73,41 @@ def classify_stop_confirmations(spark, d):
     c = spark.sql(CONFIRM, events=spark.read.parquet(f"{d}/events.parquet"))
     token = F.regexp_extract("token", "([0-9]+)", 1).cast("int")
     holders = c.where(token % 3 == 0).select("token").distinct()
-    released = c.where(token % 3 == 1).select("token", F.when(token % 2 == 0, F.concat(F.lit("old"), F.col("token"))).alias("confirmation_id")).distinct()
+    released = c.where((token % 3 == 1) | (token % 15 == 0)).select("token", F.when(token % 2 == 0, F.concat(F.lit("old"), F.col("token"))).alias("confirmation_id")).distinct()
     return P.classify_stop_confirmations(c.drop("event_id"), holders, released)
 
 
 ENVELOPES = """select l_orderkey as instance_id, 'h' || cast(l_linenumber as string) as holder_key, case when l_linenumber = 7 then 'Other' else 'Resource' end as kind,
-  case when l_linenumber = 6 then null else 'tok' || cast(l_orderkey * 10 + l_linenumber as string) end as token,
-  case l_orderkey % 5 when 0 then 'Granted' when 1 then 'Releasing' when 2 then 'Released' when 3 then 'Quarantined' else 'Requested' end as phase, l_orderkey % 6 = 0 as review
+  case when l_linenumber = 6 then null else 'tok' || cast(l_orderkey * 10 + l_linenumber as string) end as token, min(min(l_shipdate)) over (partition by l_orderkey) as updated_at,
+  case (l_orderkey + l_linenumber) % 9 when 0 then 'Held' when 1 then 'PendingCommit' when 2 then 'Released' when 3 then 'Quarantined' when 4 then 'ReviewMarked' when 5 then 'AmbiguousHeld' when 6 then 'LeaseLost' when 7 then 'CancelledBeforeGrant' else 'Requested' end as phase
 from {lineitem} group by l_orderkey, l_linenumber"""
+#: Open obligations and their tickets; the pools know three quarters of the tickets.
+LEASES = f"""e as ({ENVELOPES.format(lineitem="lineitem")}), o as (select * from e where kind = 'Resource' and token is not null and phase not in ('Released', 'CancelledBeforeGrant')),
+    lt as (select instance_id, holder_key, cast(pool as varchar) as pool, units % 5 as generation, ticket_id, units, units % 7 = 0 or (review_marked and units % 4 <> 0) as marked from tickets),
+    lg as (select pool, case phase when 'PendingCommit' then 'pending_commit' when 'Held' then 'held' when 'ReviewMarked' then 'review_marked' when 'AmbiguousHeld' then 'ambiguous_held' else 'quarantined' end as state, count(*) as n, sum(units)::bigint as units, min(updated_at) filter (phase = 'Quarantined') as oldest
+      from o join lt using (instance_id, holder_key) where phase in ('PendingCommit', 'Held', 'ReviewMarked', 'AmbiguousHeld', 'Quarantined') group by all)"""
 
 
-@job("outstanding_leases", cte("tickets") + f""", e as ({ENVELOPES.format(lineitem='lineitem')}), t as (select instance_id, holder_key, string_agg(ticket_id, ',' order by ticket_id) as tickets, bool_or(review_marked) as marked from tickets group by all)
-    select e.instance_id, e.holder_key, e.token, case phase when 'Granted' then 'Held' when 'Releasing' then 'Releasing' when 'Quarantined' then 'Quarantined' else 'Queued' end as status, e.review or coalesce(marked, false) as review, coalesce(tickets, '') as tickets
-    from e left join t using (instance_id, holder_key) where kind = 'Resource' and token is not null and phase not in ('Released', 'CancelledBeforeGrant')""")
+def leases(spark, d):
+    e, t = spark.sql(ENVELOPES, lineitem=spark.read.parquet(f"{d}/lineitem.parquet")), adapt(spark, d, "tickets")
+    ticket = F.struct("ticket_id", F.col("pool").cast("string").alias("pool"), "units", (F.col("units") % 5).alias("generation"), (F.col("units") % 7 == 0).alias("review_marked"))
+    own = t.groupBy("instance_id", "holder_key").agg(F.collect_list(ticket).alias("lease_tickets"))
+    e = e.join(own, ["instance_id", "holder_key"], "left")
+    json = e.groupBy("instance_id", "updated_at").agg(F.to_json(F.struct(F.collect_list(F.struct("kind", "token", "phase", "holder_key", "lease_tickets")).alias("obligations"))).alias("envelope"))
+    return P.outstanding_leases(json, t.where("units % 4 <> 0"))
+
+
+@job("outstanding_leases", cte("tickets") + f""", {LEASES}, g as (select instance_id, holder_key, string_agg(concat_ws('/', pool, generation, ticket_id, units, marked), ',' order by pool, generation, ticket_id) as tickets from lt group by all)
+    select instance_id, holder_key, token, case when phase in ('Held', 'PendingCommit', 'Quarantined', 'ReviewMarked', 'AmbiguousHeld', 'LeaseLost') then phase else 'Queued' end as status, coalesce(tickets, '') as tickets, case when phase = 'Quarantined' then updated_at end as quarantined_at
+    from o left join g using (instance_id, holder_key)""")
 def outstanding_leases(spark, d):
-    e = spark.sql(ENVELOPES, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
-    json = e.groupBy("instance_id").agg(F.to_json(F.struct(F.collect_list(F.struct("kind", "token", "phase", "holder_key", "review")).alias("obligations"))).alias("envelope"))
-    return P.outstanding_leases(json, adapt(spark, d, "tickets")).withColumn("tickets", F.array_join("tickets", ","))
+    text = F.transform("tickets", lambda t: F.concat_ws("/", t["pool"], t["generation"].cast("string"), t["ticket_id"], t["units"].cast("string"), t["review_marked"].cast("string")))
+    return leases(spark, d).withColumn("tickets", F.array_join(text, ","))
 
 
-@job("lease_gauges", cte("tickets") + " select pool, case when review_marked then 'quarantined' else 'held' end as state, count(*) as n, sum(units)::bigint as units, min(review_deadline) as oldest from tickets group by all")
+@job("lease_gauges", cte("tickets") + f", {LEASES} select * from lg")
 def lease_gauges(spark, d):
-    return P.lease_gauges(adapt(spark, d, "tickets"))
+    return P.lease_gauges(leases(spark, d))
 
 
 @job("release_evidence", "with e as (select user_id as instance_id, 'h' || (event_id % 3) as holder_key, event_id as seq, event_type as evidence from events) select * from e qualify row_number() over (partition by instance_id, holder_key order by seq desc) = 1")

@@ -9,7 +9,7 @@ from ..operators import log, pools, projections as P
 from ..sources.adapters import adapt, cte
 from .dag_jobs import SUBSCRIPTIONS
 from .log_jobs import CHECKPOINTS, checkpoints_of
-from .pool_jobs import three
+from .pool_jobs import LEASES, leases, three
 from .registry import job
 
 AT = "timestamp_ntz '1998-06-01 00:00:00'"
@@ -109,27 +109,28 @@ def dag_pressure(spark, d):
     return P.dag_pressure(r, adapt(spark, d, "dag_nodes"), adapt(spark, d, "outbox"), spark.sql(SUBSCRIPTIONS, dag_runs=r), at(), at())
 
 
-_LANES = " union all ".join(f"select 'outbox.lanes' as instrument, 'lane={n}, state={s}' as tags, count(*) filter ({t} and state = '{s}') as value from outbox" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-run-ready-v1')")) for s in P.OUTBOX_STATES)
+_LANES = " union all ".join(f"select 'outbox.lanes' as instrument, 'lane={n}, state={s.lower()}' as tags, count(*) filter ({t} and state = '{s}') as value from outbox" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-run-ready-v1')")) for s in P.OUTBOX_STATES)
 
 
 @job("fleet_gauges", cte(*PW, "outbox", "event_log", "dag_runs", "dag_nodes", "pools", "tickets", "waiters") + f""", {CHECKPOINTS}, {_SUBS}, dag as ({_DAG}), lanes as ({_LANES}),
     q as (select pool, count(distinct waiter_id) as queued from waiters group by 1), k as (select pool, sum(units) as reserved, count(*) filter (review_marked) as expired from tickets group by 1),
     pl as (select pool, coalesce(queued, 0) as queued, greatest(0, coalesce(reserved, 0) - capacity)::bigint as debt, coalesce(expired, 0) as expired from pools left join q using (pool) left join k using (pool)),
-    ls as (select pool, case when review_marked then 'quarantined' else 'held' end as state, count(*) as n, sum(units)::bigint as units from tickets group by all)
+    {LEASES}, own as (select cast(pool as varchar) as pool, case when review_marked then 'review_marked' else 'held' end as state, count(*) as n, sum(units)::bigint as units from tickets group by all),
+    ls as (select pool, state, n, units from lg union all select * from own where (pool, state) not in (select (pool, state) from lg))
     select 'instances.active' as instrument, 'definition_id=' || definition_id || ', definition_version=' || definition_version || ', status=' || status as tags, count(*) as value from projections
       where status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') group by all
     union all select 'instances.stuck', 'definition_id=' || definition_id, count(*) from projections where is_stuck group by all
     union all select 'waits.active', 'definition_id=' || p.definition_id || ', event_name=' || event_name, count(*) from active_waits join projections p using (instance_id) group by all
-    union all select 'outbox.records', 'state=' || state, count(*) from outbox group by all
+    union all select 'outbox.pending', 'state=' || lower(state), count(*) from outbox where not (kind = 'dag-run-ready-v1' and recipient_host_id is not null) group by all
     union all select * from lanes union all select 'dag', 'gauge=' || gauge, n from dag
-    union all select 'stream.events', '', sum(stream_version)::bigint from heads union all select 'checkpoints.count', '', count(*) from checkpoints
+    union all select 'stream.events', '', (sum(stream_version) + (select sum(version) from dag_runs))::bigint from heads union all select 'checkpoints.count', '', count(*) + (select count(*) from dag_runs) from checkpoints
     union all select 'checkpoints.lag', '', max(h.stream_version - coalesce(c.stream_version, 0)) from heads h left join checkpoints c using (stream_id)
-    union all select 'pool.waiters', 'pool=' || pool, queued from pl union all select 'pool.over_capacity_debt', 'pool=' || pool, debt from pl union all select 'pool.reconciliation_due', 'pool=' || pool, expired from pl
-    union all select 'pool.tickets', 'pool=' || pool || ', state=' || state, n from ls union all select 'pool.reserved_units', 'pool=' || pool || ', state=' || state, units from ls""")
+    union all select 'resource_pool.waiters', 'pool=' || pool, queued from pl union all select 'resource_pool.over_capacity_debt', 'pool=' || pool, debt from pl union all select 'resource_pool.reconciliation_due', 'pool=' || pool, expired from pl
+    union all select 'resource_pool.tickets', 'pool=' || pool || ', state=' || state, n from ls union all select 'resource_pool.reserved_units', 'pool=' || pool || ', state=' || state, units from ls""")
 def fleet_gauges(spark, d):
     p, t, w = three(spark, d)
     pool = pools.pool_management(p, t, w).join(pools.pool_snapshots(p, t, w).select("pool", "expired"), "pool").select("pool", "queued", "debt", "expired")
-    out = P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), adapt(spark, d, "outbox"), operational_pressure(spark, d), dag_pressure(spark, d), pool, pools.lease_gauges(t))
+    out = P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), adapt(spark, d, "outbox"), operational_pressure(spark, d), dag_pressure(spark, d), pool, pools.pool_states(t, pools.lease_gauges(leases(spark, d))))
     return out.select("instrument", render_tags(F.col("tags")).alias("tags"), "value")
 
 

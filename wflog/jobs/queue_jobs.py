@@ -61,15 +61,15 @@ SIGNALS = "select outbox_record_id, rid, instance_id, occurred_at, case when rid
 
 @job("coalesce_continuations", cte("outbox") + f""", s as ({SIGNALS.format(outbox='outbox')}), g as (select * from s where rid % 13 <> 0 and (not_before is null or not_before <= {AT_SQL}))
     select 'due' as part, instance_id, count(*) as n, max(greatest(0, epoch_us({AT_SQL}) - epoch_us(occurred_at))) as lag_micros, string_agg(outbox_record_id, ',' order by outbox_record_id) as records from g group by instance_id
-    union all select 'poisoned', null, null, null, outbox_record_id from s where rid % 13 = 0""")
+    union all select case when rid % 13 = 0 then 'Poisoned' else 'Retryable' end, null, null, null, outbox_record_id from s where rid % 13 = 0 or not_before > {AT_SQL}""")
 def coalesce_continuations(spark, d):
     s = spark.sql(SIGNALS, outbox=adapt(spark, d, "outbox"))
-    bad = F.when(F.col("rid") % 26 == 0, "{not json").otherwise('{"x": 1}')
+    bad = F.when(F.col("rid") % 26 == 0, "{not json").otherwise('{"instance_id": 7}')
     payload = F.when(F.col("rid") % 13 == 0, bad).otherwise(F.to_json(F.struct("instance_id", "occurred_at", "not_before")))
-    due, poisoned = Q.coalesce_continuations(s.select("outbox_record_id", payload.alias("payload")), at())
+    due, others = Q.coalesce_continuations(s.select("outbox_record_id", payload.alias("payload")), at())
     due = due.select(F.lit("due").alias("part"), "instance_id", "n", "lag_micros", F.array_join("records", ",").alias("records"))
     none = F.lit(None).cast("long")
-    return due.unionByName(poisoned.select(F.lit("poisoned").alias("part"), none.alias("instance_id"), none.alias("n"), none.alias("lag_micros"), F.col("outbox_record_id").alias("records")))
+    return due.unionByName(others.select(F.col("state").alias("part"), none.alias("instance_id"), none.alias("n"), none.alias("lag_micros"), F.col("outbox_record_id").alias("records")))
 
 
 @job("failure_backoff", cte("event_log") + """, a as (select stream_id, version, 'step-' || (version // 7) as step_path, event_type <> 'StepCompleted' as failed from event_log),
@@ -86,15 +86,18 @@ def claim_timers(spark, d):
     return Q.claim_timers(adapt(spark, d, "timers"), at(), at(), F.expr(DAY), 700)[0].select("timer_id", "fire_at", "claimed_until")
 
 
-TIMER_OPS = "select case when instance_id % 9 = 0 then 'new' || timer_id else timer_id end as timer_id, instance_id as seq, case instance_id % 3 when 0 then 'upsert' when 1 then 'complete' else 'release' end as op, fire_at + interval '7' day as fire_at from {timers} where instance_id % 4 = 0"
+TIMER_OPS = """select case when instance_id % 9 = 0 then 'new' || timer_id else timer_id end as timer_id, instance_id * 2 as seq, case instance_id % 3 when 0 then 'upsert' when 1 then 'complete' else 'release' end as op, fire_at + interval '7' day as fire_at, instance_id + 1 as instance_id
+from {timers} where instance_id % 4 = 0
+union all select case when instance_id % 9 = 0 then 'new' || timer_id else timer_id end as timer_id, instance_id * 2 + 1 as seq, 'release' as op, fire_at, instance_id from {timers} where instance_id % 20 = 0"""
 
 
-@job("maintain_timers", cte("timers") + f""", o as ({TIMER_OPS.format(timers='timers')})
-    select coalesce(t.timer_id, o.timer_id) as timer_id, case when op = 'upsert' then o.fire_at else t.fire_at end as fire_at, case when op in ('upsert', 'release') then false else claimed end as claimed, case when op in ('upsert', 'release') then null else claimed_until end as claimed_until
-    from timers t full join o on o.timer_id = t.timer_id where coalesce(op <> 'complete', true) and (t.timer_id is not null or op = 'upsert')""")
+@job("maintain_timers", cte("timers") + f""", o as ({TIMER_OPS.format(timers='timers')}), s as (select * from o where op <> 'release'), f as (select distinct timer_id from o where op = 'release')
+    select coalesce(t.timer_id, s.timer_id) as timer_id, case when op = 'upsert' then s.instance_id else t.instance_id end as instance_id, case when op = 'upsert' then s.fire_at else t.fire_at end as fire_at,
+      case when op = 'upsert' or f.timer_id is not null then false else claimed end as claimed, case when op = 'upsert' or f.timer_id is not null then null else claimed_until end as claimed_until
+    from timers t full join s on s.timer_id = t.timer_id left join f on f.timer_id = coalesce(t.timer_id, s.timer_id) where coalesce(op <> 'complete', true)""")
 def maintain_timers(spark, d):
     t = adapt(spark, d, "timers")
-    return Q.maintain_timers(t, spark.sql(TIMER_OPS, timers=t)).select("timer_id", "fire_at", "claimed", "claimed_until")
+    return Q.maintain_timers(t, spark.sql(TIMER_OPS, timers=t)).select("timer_id", "instance_id", "fire_at", "claimed", "claimed_until")
 
 
 @job("wait_outcomes", cte("event_log") + """, w as (select stream_id, wait_id, version from event_log where event_type = 'WaitRegistered'),
@@ -126,14 +129,16 @@ BLOCK = """w as (select distinct user_id * 5 as instance_id from events union se
     i as (select distinct instance_id from inbox where state = 'Received'),
     o as (select instance_id, bool_or(state = 'Claimed') as c, bool_or(state in ('Pending', 'Retryable')) as p, bool_or(state = 'Poisoned') as x from outbox group by 1),
     b as (select w.instance_id, p.status, p.status is not null or h.stream_id is not null as "exists",
-      case when p.status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') then 'ActiveInstance' when i.instance_id is not null then 'PendingInboxDelivery' when c then 'ClaimedOutbox' when o.p then 'PendingOutbox' when x then 'PoisonedOutbox' else 'None' end as blocker
+      case when p.status in ('Pending', 'Running', 'Waiting', 'CancellationRequested') then 'ActiveInstance' when i.instance_id is not null then 'PendingInboxDelivery' when c then 'ClaimedOutboxDispatch' when o.p then 'PendingOutboxDispatch' when x then 'PoisonedOutboxDispatch' else 'None' end as blocker
       from w left join projections p using (instance_id) left join (select distinct stream_id from event_log) h on h.stream_id = w.instance_id left join i using (instance_id) left join o using (instance_id))"""
 
 
 def blockers(spark, d):
     p, e = adapt(spark, d, "projections"), adapt(spark, d, "event_log")
     want = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") * 5).alias("instance_id")).union(p.select("instance_id"))
-    return p, R.maintenance_blockers(want, p, log.stream_heads(e), adapt(spark, d, "inbox"), adapt(spark, d, "outbox"))
+    i = adapt(spark, d, "inbox")
+    roots = F.col("route_kind") == "definition-fanout"
+    return p, R.maintenance_blockers(want, p, log.stream_heads(e), i.where(~roots), adapt(spark, d, "outbox"), i.where(roots))
 
 
 _TABLES = cte("projections", "event_log", "inbox", "outbox", "timers")

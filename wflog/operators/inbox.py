@@ -102,12 +102,14 @@ def deliver_exactly_once(events: DataFrame, waits: DataFrame, key: list[str], mo
 def list_received(inbox: DataFrame, targets: DataFrame, after: int, limit: int) -> DataFrame:
     """A page of Received records after a sequence: inbox without fan-out roots, and fan-out targets."""
     c = ["acceptance_sequence", "event_id", "instance_id"]
-    rows = inbox.where("state = 'Received' and route_kind <> 'definition'").select(*c).unionByName(targets.where("state = 'Received'").select(*c))
+    rows = inbox.where("state = 'Received' and route_kind is distinct from 'definition-fanout'").select(*c).unionByName(targets.where("state = 'Received'").select(*c))
     return rows.where(F.col("acceptance_sequence") > after).orderBy(*c).limit(limit)
 
 
-def list_handoff_retries(inbox: DataFrame, at: Column, limit: int) -> DataFrame:
-    due = inbox.where((F.col("state") == "Received") & (F.col("handoff_failure_count") > 0) & (F.col("handoff_retry_not_before") <= at))
+def list_handoff_retries(inbox: DataFrame, targets: DataFrame, at: Column, limit: int) -> DataFrame:
+    """The first Received records, of the inbox and of fan-out targets, whose handoff failed and may be tried again."""
+    c = ["event_id", "instance_id", "acceptance_sequence", "state", "handoff_failure_count", "handoff_retry_not_before"]
+    due = inbox.select(*c).unionByName(targets.select(*c)).where((F.col("state") == "Received") & (F.col("handoff_failure_count") > 0) & (F.col("handoff_retry_not_before") <= at))
     return due.orderBy("handoff_retry_not_before", "acceptance_sequence", "event_id", "instance_id").limit(limit)
 
 
@@ -130,9 +132,9 @@ def record_handoff_failure(inbox: DataFrame, failures: DataFrame, at: Column, mo
     )
 
 
-def transition_inbox(inbox: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes (acceptance_sequence, expected or null, new_state): compare and set; ``applied`` tells which took effect."""
-    out = inbox.join(changes, "acceptance_sequence", "left")
+def transition_inbox(inbox: DataFrame, changes: DataFrame, key: tuple[str, ...] = ("acceptance_sequence",)) -> DataFrame:
+    """changes (key, expected or null, new_state): compare and set; ``applied`` tells which took effect. Fan-out targets have their instance in the ``key``."""
+    out = inbox.join(changes, list(key), "left")
     hit = F.col("new_state").isNotNull() & (F.col("expected").isNull() | (F.col("expected") == F.col("state")))
     return out.withColumn("applied", hit).withColumn("state", F.when(hit, F.col("new_state")).otherwise(F.col("state"))).drop("expected", "new_state")
 

@@ -103,24 +103,27 @@ def mark_stuck_dag_runs(runs: DataFrame, nodes: DataFrame, cutoff: Column) -> Da
 def fleet_gauges(projections: DataFrame, waits: DataFrame, outbox: DataFrame, pressure: DataFrame, dag: DataFrame, pools: DataFrame, leases: DataFrame) -> DataFrame:
     """Long table (instrument, tags, value).
 
-    ``pressure``: the row of ``operational_pressure``; ``dag``: ``dag_pressure``; ``pools``: (pool, queued, debt, expired); ``leases``: (pool, state, n, units).
+    ``pressure``: the row of ``operational_pressure``; ``dag``: ``dag_pressure``; ``pools``: (pool, queued, debt, expired); ``leases``: (pool, state, n, units), see ``pool_states``.
+    Totals of events and checkpoints are those of instances and runs together; notices to observers are no pending outbox of the fleet.
     """
     tag = lambda *c: F.create_map(*[x for k in c for x in (F.lit(k), F.col(k).cast("string"))])
     no_tags = F.expr("cast(map() as map<string, string>)")
     row = lambda name, tags, value: F.struct(F.lit(name).alias("instrument"), tags.alias("tags"), value.cast("long").alias("value"))
     unfold = lambda f, rows: f.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     lane = lambda n, s: F.create_map(F.lit("lane"), F.lit(n), F.lit("state"), F.lit(s))
-    queues = [row("outbox.lanes", lane(n, s), F.col(f"{n}_{s.lower()}")) for n in ("continuation", "external") for s in OUTBOX_STATES]
-    totals = [row(name, no_tags, F.col(c)) for name, c in (("stream.events", "stream_events"), ("checkpoints.count", "checkpoints"), ("checkpoints.lag", "max_lag"))]
+    queues = [row("outbox.lanes", lane(n, s.lower()), F.col(f"{n}_{s.lower()}")) for n in ("continuation", "external") for s in OUTBOX_STATES]
+    of_runs = dag.agg(*[F.coalesce(F.sum(F.when(F.col("gauge") == g, F.col("n"))), F.lit(0)).alias(f"run_{g}") for g in ("events", "checkpoints")])
+    totals = [row(name, no_tags, c) for name, c in (("stream.events", F.col("stream_events") + F.col("run_events")), ("checkpoints.count", F.col("checkpoints") + F.col("run_checkpoints")), ("checkpoints.lag", F.col("max_lag")))]
+    noticed = (F.col("kind") == "dag-run-ready-v1") & F.col("recipient_host_id").isNotNull()
     parts = [
         status_groups(projections.where(F.col("status").isin(*ACTIVE))).select(F.lit("instances.active").alias("instrument"), tag("definition_id", "definition_version", "status").alias("tags"), F.col("n").alias("value")),
         stuck_groups(projections).select(F.lit("instances.stuck").alias("instrument"), tag("definition_id").alias("tags"), F.col("n").alias("value")),
         active_wait_groups(projections, waits).select(F.lit("waits.active").alias("instrument"), tag("definition_id", "event_name").alias("tags"), F.col("n").alias("value")),
-        outbox.groupBy("state").agg(F.count("*").alias("value")).select(F.lit("outbox.records").alias("instrument"), tag("state").alias("tags"), "value"),
-        unfold(pressure, queues + totals),
+        outbox.where(F.col("state").isin(*OUTBOX_STATES) & ~noticed).groupBy(F.lower("state").alias("state")).agg(F.count("*").alias("value")).select(F.lit("outbox.pending").alias("instrument"), tag("state").alias("tags"), "value"),
+        unfold(pressure.crossJoin(of_runs), queues + totals),  # rows of one
         dag.select(F.lit("dag").alias("instrument"), tag("gauge").alias("tags"), F.col("n").alias("value")),
-        unfold(pools, [row(f"pool.{n}", tag("pool"), F.col(c)) for n, c in (("waiters", "queued"), ("over_capacity_debt", "debt"), ("reconciliation_due", "expired"))]),
-        unfold(leases, [row(f"pool.{n}", tag("pool", "state"), F.col(c)) for n, c in (("tickets", "n"), ("reserved_units", "units"))]),
+        unfold(pools, [row(f"resource_pool.{n}", tag("pool"), F.col(c)) for n, c in (("waiters", "queued"), ("over_capacity_debt", "debt"), ("reconciliation_due", "expired"))]),
+        unfold(leases, [row(f"resource_pool.{n}", tag("pool", "state"), F.col(c)) for n, c in (("tickets", "n"), ("reserved_units", "units"))]),
     ]
     return reduce(DataFrame.unionByName, parts)
 

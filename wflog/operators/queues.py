@@ -43,7 +43,7 @@ def apply_dispatch_results(outbox: DataFrame, results: DataFrame) -> DataFrame:
         *[c for c in outbox.columns if c not in ("state", "claimed_until", "poison_code")],
         F.coalesce("_new", "state").alias("state"),
         F.when(F.col("_new").isNull(), F.col("claimed_until")).alias("claimed_until"),
-        F.when(F.col("_new") == "Poisoned", F.col("code")).otherwise(F.col("poison_code") if "poison_code" in outbox.columns else F.lit(None)).alias("poison_code"),
+        F.coalesce(F.when(F.col("_new") == "Poisoned", F.col("code")), F.col("poison_code") if "poison_code" in outbox.columns else F.lit(None)).alias("poison_code"),
     )
 
 
@@ -60,14 +60,18 @@ def dispatch_summary(results: DataFrame) -> DataFrame:
 
 
 def coalesce_continuations(signals: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """(record id, payload json with instance_id, occurred_at, not_before) -> (one row per due instance, records with a bad payload)."""
+    """(record id, payload json with instance_id, occurred_at, not_before) -> (one row per due instance, the other records with their new state).
+
+    Without a readable instance and time a signal is Poisoned, for it can never advance anything; one that is not due yet goes back as Retryable.
+    """
     shape = "instance_id long, occurred_at timestamp_ntz, not_before timestamp_ntz"
     p = signals.withColumn("p", F.from_json("payload", shape))
-    good = F.col("p.instance_id").isNotNull()
-    due = p.where(good & (F.col("p.not_before").isNull() | (F.col("p.not_before") <= at)))
+    good = F.col("p.instance_id").isNotNull() & F.col("p.occurred_at").isNotNull() & (F.col("p.not_before").isNotNull() | F.get_json_object("payload", "$.not_before").isNull())
+    early = F.coalesce(F.col("p.not_before") > at, F.lit(False))
+    due = p.where(good & ~early)
     lag = F.greatest(F.lit(0), F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("p.occurred_at").cast("timestamp")))
     out = due.groupBy(F.col("p.instance_id").alias("instance_id")).agg(F.count("*").alias("n"), F.max(lag).alias("lag_micros"), F.sort_array(F.collect_list("outbox_record_id")).alias("records"))
-    return out, p.where(~F.coalesce(good, F.lit(False))).select("outbox_record_id", F.lit("Poisoned").alias("state"))
+    return out, p.where(~good | early).select("outbox_record_id", F.when(good, "Retryable").otherwise("Poisoned").alias("state"))
 
 
 def failure_backoff(attempts: DataFrame, most: int = 5) -> DataFrame:
@@ -91,17 +95,22 @@ def claim_timers(timers: DataFrame, due: Column, at: Column, lease: Column, limi
 
 
 def maintain_timers(timers: DataFrame, ops: DataFrame) -> DataFrame:
-    """ops (timer_id, seq, op, fire_at): the last of a timer counts: upsert resets the claim, complete deletes, release unclaims."""
-    w = Window.partitionBy("timer_id").orderBy(F.desc("seq"))
-    last = ops.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("timer_id", "op", F.col("fire_at").alias("_fire"))
-    out = timers.join(last, "timer_id", "full_outer").where(F.coalesce(F.col("op") != "complete", F.lit(True)))
-    out = out.where(F.col("fire_at").isNotNull() | (F.col("op") == "upsert"))
-    touched = F.col("op").isin("upsert", "release")
+    """ops (timer_id, seq, op, and the timer's columns that an upsert sets) in order: upsert writes a timer and resets its claim, complete deletes it, release unclaims it.
+
+    The last upsert or complete of a timer decides whether it is there and what it holds; a release has no timer come back.
+    """
+    claim = ("claimed", "claimed_until")
+    given = [c for c in timers.columns if c in ops.columns and c not in ("timer_id", *claim)]
+    decides = F.col("op").isin("upsert", "complete")
+    last = ops.groupBy("timer_id").agg(F.max_by(F.when(decides, F.struct("op", *given)), F.when(decides, F.col("seq"))).alias("_set"), F.bool_or(F.col("op") == "release").alias("_freed"))
+    out = timers.withColumn("_there", F.lit(True)).join(last, "timer_id", "full_outer")
+    written = F.coalesce(F.col("_set.op") == "upsert", F.lit(False))
+    out = out.where(written | (F.col("_there").isNotNull() & F.col("_set").isNull()))
+    free = written | F.coalesce("_freed", F.lit(False))
     return out.select(
-        "timer_id", *[c for c in timers.columns if c not in ("timer_id", "fire_at", "claimed", "claimed_until")],
-        F.when(F.col("op") == "upsert", F.col("_fire")).otherwise(F.col("fire_at")).alias("fire_at"),
-        F.when(touched, F.lit(False)).otherwise(F.col("claimed")).alias("claimed"),
-        F.when(~F.coalesce(touched, F.lit(False)), F.col("claimed_until")).alias("claimed_until"),
+        "timer_id", *[(F.when(written, F.col(f"_set.{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)) for c in timers.columns if c not in ("timer_id", *claim)],
+        F.when(free, F.lit(False)).otherwise(F.col("claimed")).alias("claimed"),
+        F.when(~free, F.col("claimed_until")).alias("claimed_until"),
     )
 
 

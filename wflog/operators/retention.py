@@ -20,15 +20,19 @@ def retention_plan(settled: DataFrame, at: Column, max_age: Column, max_retained
     return settled.where(gone).withColumn("reason", F.when(aged, "age").otherwise("count"))
 
 
-BLOCKERS = ("ActiveInstance", "PendingInboxDelivery", "ClaimedOutbox", "PendingOutbox", "PoisonedOutbox")
+#: What keeps an instance from being purged, in the order in which it is reported: fixed values.
+BLOCKERS = ("ActiveInstance", "PendingInboxDelivery", "ClaimedOutboxDispatch", "PendingOutboxDispatch", "PoisonedOutboxDispatch")
 
 
-def maintenance_blockers(requested: DataFrame, projections: DataFrame, heads: DataFrame, inbox: DataFrame, outbox: DataFrame) -> DataFrame:
-    """Per requested instance: exists, and the first blocker in a fixed order (None: none)."""
+def maintenance_blockers(requested: DataFrame, projections: DataFrame, heads: DataFrame, inbox: DataFrame, outbox: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Per requested instance: exists, and the first blocker in a fixed order (None: none). ``targets``: events to definitions by instance, whose deliveries count as well."""
+    received = inbox.where("state = 'Received'").select("instance_id")
+    if targets is not None:
+        received = received.union(targets.where("state = 'Received'").select("instance_id"))
     want = requested.select("instance_id").distinct()
     p = projections.select("instance_id", "status")
     h = heads.select(F.col("stream_id").alias("instance_id")).distinct().withColumn("has_head", F.lit(True))
-    i = inbox.where("state = 'Received'").join(want, "instance_id", "left_semi").groupBy("instance_id").agg(F.lit(True).alias("pending_inbox"))
+    i = received.join(want, "instance_id", "left_semi").groupBy("instance_id").agg(F.lit(True).alias("pending_inbox"))
     s = F.col("state")
     o = outbox.join(want, "instance_id", "left_semi").groupBy("instance_id").agg(F.bool_or(s == "Claimed").alias("claimed"), F.bool_or(s.isin("Pending", "Retryable")).alias("pending"), F.bool_or(s == "Poisoned").alias("poisoned"))
     out = want.join(p, "instance_id", "left").join(h, "instance_id", "left").join(i, "instance_id", "left").join(o, "instance_id", "left")

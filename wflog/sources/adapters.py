@@ -59,7 +59,7 @@ where o_orderstatus = 'P' and o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o
 select event_id as acceptance_sequence, cast(event_id - event_id % 3 as string) as event_id, md5(event_type || cast(event_id % 2 as string)) as envelope_fingerprint,
   case when event_id % 7 = 0 then 'Applied' when event_id % 31 = 0 then 'Poisoned' else 'Received' end as state,
   'evt-' || cast(event_id % 5 as string) as event_name, cast(1 + event_id % 2 as int) as event_contract_version, 'c' || cast(user_id as string) as correlation_id,
-  case event_id % 3 when 0 then 'direct' when 1 then 'correlation' else 'definition' end as route_kind, user_id * 4 as instance_id, user_id % 20 as definition_id,
+  case event_id % 3 when 0 then 'direct' when 1 then 'correlation' else 'definition-fanout' end as route_kind, user_id * 4 as instance_id, user_id % 20 as definition_id,
   ts as occurred_at, cast(event_id % 6 as int) as handoff_failure_count, case when event_id % 6 > 0 then ts + (event_id % 90) * interval '1' minute end as handoff_retry_not_before, props as payload
 from {events}""",
     "outbox": """

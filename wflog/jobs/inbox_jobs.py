@@ -207,7 +207,7 @@ def poison_start_keys(spark, d):
     r as (select e.*, p.status, a.instance_id is not null as waiting from e left join projections p using (instance_id) left join a on a.instance_id = e.instance_id and a.event_name = e.event_name and a.event_contract_version = e.event_contract_version),
     f as (select *, coalesce(status not in {TERMINAL} and waiting, false) as fit from r),
     g as (select *, first_value(case when fit then envelope_fingerprint end ignore nulls) over (partition by instance_id, event_id order by acceptance_sequence rows between unbounded preceding and 1 preceding) as earlier from f)
-    select acceptance_sequence, case when earlier is not null then case when earlier = envelope_fingerprint then 'Duplicate' else 'EventConflict' end when status is null or status in {TERMINAL} then 'InstanceTerminal' when not waiting then 'NoActiveWait' else 'Accepted' end as result from g""")
+    select acceptance_sequence, case when earlier is not null then case when earlier = envelope_fingerprint then 'Duplicate' else 'EventConflict' end when status is null then 'InstanceNotFound' when status in {TERMINAL} then 'InstanceTerminal' when not waiting then 'NoActiveWait' else 'Accepted' end as result from g""")
 def classify_direct_delivery(spark, d):
     i = adapt(spark, d, "inbox").withColumn("correlation_id", F.lit("c"))
     w = adapt(spark, d, "active_waits").withColumn("correlation_id", F.lit("c"))

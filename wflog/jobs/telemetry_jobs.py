@@ -47,7 +47,7 @@ _SEEN = """case event_type when 'Started' then 'InstanceStarted' when 'Continued
       when 'Terminal' then case status when 'Failed' then 'InstanceFailed' when 'Cancelled' then 'InstanceCancelled' when 'Terminated' then 'InstanceTerminated' end end"""
 
 
-@job("lifecycle_observations", cte(E) + f" select stream_id, version, occurred_at, event_type, {_SEEN} as observation, case when event_type in ('StepCompleted', 'StepFailed') then step_path end as step_path, case when event_type = 'StepFailed' then error end as error_kind from event_log")
+@job("lifecycle_observations", cte(E) + f" select stream_id, version, occurred_at, event_type, {_SEEN} as observation, case when event_type in ('StepCompleted', 'StepFailed') then step_path end as step_path, case when event_type = 'StepFailed' then 'WorkflowStepFailedEvent' end as error_kind, case when event_type = 'StepFailed' then error end as error_summary from event_log")
 def lifecycle_observations(spark, d):
     return T.lifecycle_observations(adapt(spark, d, E))
 
@@ -61,14 +61,14 @@ def wait_durations(spark, d):
 
 @job("event_counters", cte(E, "inbox") + f""", u as (select event_name, row_number() over w as rn, envelope_fingerprint = first_value(envelope_fingerprint) over w as same from inbox window w as (partition by event_id order by acceptance_sequence))
     select 'events' as counter, event_type as label, count(*) as n from event_log group by all union all select 'steps.completed', step_path, count(*) from event_log where event_type = 'StepCompleted' group by all
-    union all select 'steps.failed', step_path || '|' || error, count(*) from event_log where event_type = 'StepFailed' group by all
+    union all select 'steps.failed', step_path || '|WorkflowStepFailedEvent', count(*) from event_log where event_type = 'StepFailed' group by all
     union all select 'lifecycle', {_SEEN}, count(*) from event_log where {_SEEN} is not null group by all
     union all select 'inbox.duplicates', event_name, count(*) from u where rn > 1 and same group by all""")
 def event_counters(spark, d):
     return T.event_counters(adapt(spark, d, E), adapt(spark, d, "inbox"))
 
 
-_BOUNDS = ", ".join(f"({b})" for b in T.BOUNDS_MS)
+_BOUNDS = "(5), (10), (25), (50), (100), (250), (500), (1000), (2500), (5000), (10000), (30000), (60000)"
 _HIST = f"b(le) as (select col0::bigint from (values {_BOUNDS}, (null)) v(col0)), h as (select step_path, le, count(*) filter (le is null or duration_ms <= le) as n from attempts cross join b group by all)"
 
 

@@ -199,7 +199,7 @@ def poison_targets(inbox: DataFrame, instances: DataFrame, code: str) -> DataFra
 
 
 def classify_direct_delivery(events: DataFrame, projections: DataFrame, waits: DataFrame) -> DataFrame:
-    """Delivery without buffering: Duplicate or EventConflict against earlier accepted events, InstanceTerminal, NoActiveWait or Accepted.
+    """Delivery without buffering: Duplicate or EventConflict against earlier accepted events, InstanceNotFound, InstanceTerminal, NoActiveWait or Accepted.
 
     Only accepted ids are remembered; a later event of an id is compared with the first that could be accepted.
     """
@@ -213,7 +213,8 @@ def classify_direct_delivery(events: DataFrame, projections: DataFrame, waits: D
     rows = rows.withColumn("earlier", earlier)
     result = (
         F.when(F.col("earlier").isNotNull(), F.when(F.col("earlier") == F.col("envelope_fingerprint"), "Duplicate").otherwise("EventConflict"))
-        .when(F.col("target_status").isNull() | F.col("target_status").isin(*TERMINAL), "InstanceTerminal")
+        .when(F.col("target_status").isNull(), "InstanceNotFound")
+        .when(F.col("target_status").isin(*TERMINAL), "InstanceTerminal")
         .when(F.col("waiting").isNull(), "NoActiveWait")
         .otherwise("Accepted")
     )

@@ -57,6 +57,9 @@ OBSERVATIONS = {
 #: The same for a Terminal event by its status: fixed values.
 TERMINAL_OBSERVATIONS = {"Failed": "InstanceFailed", "Cancelled": "InstanceCancelled", "Terminated": "InstanceTerminated"}
 
+#: The kind of error of a failed step, the only one that events tell of; what went wrong is its summary: fixed value.
+STEP_ERROR = "WorkflowStepFailedEvent"
+
 
 def _looked_up(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
@@ -68,10 +71,10 @@ def lifecycle_name(event_type: Column, status: Column) -> Column:
 
 
 def lifecycle_observations(events: DataFrame) -> DataFrame:
-    """Events with ``observation`` (null for kinds that are none), the step of step events, the error of failures."""
+    """Events with ``observation`` (null for kinds that are none), the step of step events, the kind and summary of failures."""
     name = lifecycle_name(F.col("event_type"), F.col("status"))
     step = F.col("event_type").isin("StepCompleted", "StepFailed")
-    return events.select("stream_id", "version", "occurred_at", "event_type", name.alias("observation"), F.when(step, F.col("step_path")).alias("step_path"), F.when(F.col("event_type") == "StepFailed", F.col("error")).alias("error_kind"))
+    return events.select("stream_id", "version", "occurred_at", "event_type", name.alias("observation"), F.when(step, F.col("step_path")).alias("step_path"), *[F.when(F.col("event_type") == "StepFailed", c).alias(n) for n, c in (("error_kind", F.lit(STEP_ERROR)), ("error_summary", F.col("error")))])
 
 
 def wait_durations(events: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def wait_durations(events: DataFrame) -> DataFrame:
 
 
 def event_counters(events: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
-    """(counter, label, n): events by type, completed steps by path, failed steps by path and error, lifecycle events by name; one pass over the log.
+    """(counter, label, n): events by type, completed steps by path, failed steps by path and kind of error, lifecycle events by name; one pass over the log.
 
     ``inbox``: accepted envelopes; what repeats an earlier one is counted as a duplicate by its event's name.
     """
@@ -93,7 +96,7 @@ def event_counters(events: DataFrame, inbox: DataFrame | None = None) -> DataFra
     labels = F.array(
         F.struct(F.lit("events").alias("counter"), F.col("event_type").alias("label")),
         F.when(F.col("event_type") == "StepCompleted", F.struct(F.lit("steps.completed").alias("counter"), F.col("step_path").alias("label"))),
-        F.when(F.col("event_type") == "StepFailed", F.struct(F.lit("steps.failed").alias("counter"), F.concat_ws("|", "step_path", "error").alias("label"))),
+        F.when(F.col("event_type") == "StepFailed", F.struct(F.lit("steps.failed").alias("counter"), F.concat_ws("|", "step_path", F.lit(STEP_ERROR)).alias("label"))),
         F.when(seen.isNotNull(), F.struct(F.lit("lifecycle").alias("counter"), seen.alias("label"))),
     )
     out = events.select(F.explode(labels).alias("x")).where("x is not null").groupBy("x.counter", "x.label").agg(F.count("*").alias("n"))

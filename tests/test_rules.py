@@ -353,6 +353,17 @@ def test_gap_is_reported_and_held(spark, tmp_path):
     assert {(r.stream_id, r.stream_version, r.fault) for r in out} == {(1, 1, None), (1, 1, "version 2 is missing"), (2, 1, None)}
 
 
+# records that share an id or a version
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_records_of_one_version_are_checked_by_payload(spark, turned):
+    rows = [(1, 1, "p"), (1, 2, "a"), (1, 2, "b"), (1, 3, "c")]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "owner long, version long, payload string").coalesce(1)
+    df = df.withColumn("checksum", F.when(F.col("payload") == "b", "x").otherwise(F.sha2("payload", 256)))
+    assert [tuple(r) for r in log.verify_checksums(df).collect()] == [(1, 2, "checksum")]
+
+
 # ranks, selections, large graphs
 
 

@@ -364,6 +364,12 @@ def test_records_of_one_version_are_checked_by_payload(spark, turned):
     assert [tuple(r) for r in log.verify_checksums(df).collect()] == [(1, 2, "checksum")]
 
 
+def test_released_records_may_share_an_id(spark):
+    o = spark.createDataFrame([("o1", 1, "Claimed", at(0)), ("o1", 2, "Claimed", at(0))], "outbox_record_id string, rid long, state string, claimed_until timestamp")
+    got = queues.release_outbox(o, o.where("rid = 2"), ("outbox_record_id", "rid"))
+    assert sorted((r.rid, r.state, r.claimed_until) for r in got.collect()) == [(1, "Claimed", at(0)), (2, "Retryable", None)]
+
+
 # ranks, selections, large graphs
 
 

@@ -47,9 +47,10 @@ def apply_dispatch_results(outbox: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def release_outbox(outbox: DataFrame, ids: DataFrame) -> DataFrame:
-    hit = ids.select("outbox_record_id").distinct().withColumn("_hit", F.lit(True))
-    out = outbox.join(hit, "outbox_record_id", "left")
+def release_outbox(outbox: DataFrame, ids: DataFrame, key: tuple[str, ...] = ("outbox_record_id",)) -> DataFrame:
+    """Claimed records among ``ids`` become Retryable, without a lease. ``key``: the columns that tell records apart, more than the id where ids repeat."""
+    hit = ids.select(*key).distinct().withColumn("_hit", F.lit(True))
+    out = outbox.join(hit, list(key), "left")
     back = F.col("_hit").isNotNull() & (F.col("state") == "Claimed")
     return out.withColumn("claimed_until", F.when(~back, F.col("claimed_until"))).withColumn("state", F.when(back, "Retryable").otherwise(F.col("state"))).drop("_hit")
 

@@ -118,7 +118,7 @@ def partition_items_by_key(spark, d):
 
 @job("partition_items_custom", I_SQL + " select scope, item, q // 10 as batch from i")
 def partition_items_custom(spark, d):
-    return X.partition_custom(items(spark, d).select("scope", "item", "q"), "scope", lambda pdf: pdf["q"] // 10).select("scope", "item", "batch")
+    return X.partition_custom(items(spark, d).select("scope", "item", "q"), "scope", lambda pdf: pdf["q"] // 10, many=True).select("scope", "item", "batch")
 
 
 def _flaky(row: dict) -> dict:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,10 +124,61 @@ def partition_items(items: DataFrame, scope: str, index: str, size: int = 1, by:
     return first.withColumn("batch", (F.dense_rank().over(Window.partitionBy(scope).orderBy("_first")) - 1).cast("long")).drop("_first")
 
 
-def partition_custom(items: DataFrame, scope: str, function: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Batch numbers from a function of a scope's items."""
+def _scopes(column: pa.Array) -> list[int]:
+    """Where scopes begin in a sorted column, and its length; nulls are one scope, as are NaNs."""
+    a, b = column.slice(0, max(len(column) - 1, 0)), column.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False)))
+    return [0, *(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1).tolist(), len(column)]
+
+
+def partition_custom(items: DataFrame, scope: str, function: Callable[[pd.DataFrame], pd.Series], many: bool = False) -> DataFrame:
+    """Batch numbers from a function of a scope's items.
+
+    Scopes come sorted, many in one Arrow batch, and the function is called for slices of it: most scopes are small, and a batch of their own costs far more than they do.
+    With ``many`` it is called once for all whole scopes of a batch, which it tells apart by ``scope`` where it needs to; integers with nulls are floats there.
+    """
     schema = T.StructType([*items.schema.fields, T.StructField("batch", T.LongType())])
-    return items.groupBy(scope).applyInPandas(lambda pdf: pdf.assign(batch=function(pdf)), schema)
+
+    def numbers(rows: pd.DataFrame) -> np.ndarray:
+        got = function(rows)
+        return (got if got.index is rows.index else got.reindex(rows.index)).to_numpy() if isinstance(got, pd.Series) else np.asarray(got)
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        if many:
+            batch = pa.array(numbers(t.to_pandas()), pa.int64(), from_pandas=True)
+            return t.append_column("batch", batch).combine_chunks().to_batches()[0]
+        edges = _scopes(t.column(scope).chunk(0))
+        # integers become floats in pandas where one is null: then each scope is turned on its own, so that none depends on its neighbours
+        alone = any(c.null_count and (pa.types.is_integer(c.type) or pa.types.is_boolean(c.type)) for c in t.columns)
+        pdf = None if alone else t.to_pandas()
+        out = []
+        for s, e in zip(edges, edges[1:], strict=False):
+            rows = t.slice(s, e - s).to_pandas() if alone else pdf.iloc[s:e]
+            rows.index = pd.RangeIndex(e - s)
+            out.append(pa.array(numbers(rows), pa.int64(), from_pandas=True))
+        return pa.Table.from_arrays([*t.columns, pa.chunked_array(out)], [*t.column_names, "batch"]).combine_chunks().to_batches()[0]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            cut = _scopes(b.column(scope))[-2]  # the last scope may go on in the next batch
+            meets = [x.column(scope).slice(at, 1) for x, at in ((held[-2], held[-2].num_rows - 1), (b, 0))] if len(held) > 1 else []
+            if cut == 0 and meets and len(_scopes(pa.concat_arrays(meets))) > 2:
+                yield solve(pa.Table.from_batches(held[:-1]))
+                held = [b]
+            elif cut:
+                yield solve(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                held = [b.slice(cut)]
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return items.repartition(scope).sortWithinPartitions(scope).mapInArrow(make, schema)
 
 
 FAILURE = "struct<code: string, message: string, exception_type: string>"

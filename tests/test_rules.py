@@ -416,6 +416,22 @@ def test_custom_partition_calls_per_scope(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_files_of_a_live_table_grow_with_it(spark, tmp_path):
+    from wflog.jobs import stream_jobs
+
+    spark.range(4000).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 50 as user_id", "'view' as event_type", "1.0d as value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    conf = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        live = stream_jobs.live(spark, str(tmp_path), "inbox")
+        assert len(streams.run_available(live.select("event_id", F.input_file_name().alias("f"))).select("f").distinct().collect()) == 9
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ranks, selections, large graphs
 
 

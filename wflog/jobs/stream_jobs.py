@@ -15,10 +15,10 @@ E = "event_log"
 
 
 def live(spark, d, table: str):
-    """An adapted table as a stream: written once as files, in several parts, then read as a stream."""
+    """An adapted table as a stream: written once as files, as many as its size asks for, then read as a stream."""
     t = adapt(spark, d, table)
     path = new_path(spark, f"live-{table}")
-    t.repartition(4, "stream_id" if table == E else "acceptance_sequence").write.parquet(path)
+    t.repartition("stream_id" if table == E else "acceptance_sequence").write.parquet(path)
     return spark.readStream.schema(t.schema).parquet(path)
 
 
@@ -92,7 +92,7 @@ def stream_sessions(spark, d):
 @job("stream_decode", cte(E) + f" select event_id, case when event_id % 227 = 0 then 'Unknown' else event_type end as event_type, case when {_BAD} then 'bad' else 'good' end as part from event_log")
 def stream_decode(spark, d):
     rows, path = raw(spark, d), new_path(spark, "live-raw")
-    rows.repartition(4, "event_id").write.parquet(path)
+    rows.repartition("event_id").write.parquet(path)
     good, bad = new_path(spark, "good"), new_path(spark, "bad")
     S.stream_decode(spark.readStream.schema(rows.schema).parquet(path), good, bad, new_path(spark, "decode-state")).awaitTermination()
     part = lambda p, name: spark.read.parquet(p).select("event_id", "event_type", F.lit(name).alias("part"))

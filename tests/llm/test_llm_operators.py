@@ -590,6 +590,24 @@ def test_near_copies_equal_all_pairs(spark, block, crowded):
     assert {r.doc_id for r in kept} == {min(v) for v in want.values()}
 
 
+def test_stage_links_fingerprints_first(spark, monkeypatch):
+    from wflog.llm import near_copies
+
+    rnd = random.Random(4)
+    words = [f"w{rnd.randint(0, 5000)}" for _ in range(600)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(rnd.sample(words, 600)))]
+    seen = []
+
+    def watched(texts, pairs):
+        ids = {r.th: r.text for r in texts.collect()}
+        seen.extend({ids[r.a], ids[r.b]} for r in pairs.collect())
+        return near_copies.near_copies(texts, pairs=pairs)
+
+    monkeypatch.setattr(simhash, "near_copies", watched)
+    kept = simhash.simhash_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in kept} == {1, 3} and seen == [{docs[0][1], docs[1][1]}]
+
+
 def test_components_of_chains(spark):
     rnd = random.Random(8)
     n = list(range(200))

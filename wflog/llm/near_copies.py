@@ -161,21 +161,32 @@ def _cells(rows: DataFrame, packed: DataFrame, block: int) -> DataFrame:
     return rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
 
 
-def near_copies(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 500, turns: int = 6, crowded: int = 4000) -> DataFrame:
-    """Different texts (th, text) -> (node, root) of the components of two texts and more."""
+def near_copies(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 500, turns: int = 6, crowded: int = 4000, pairs: DataFrame | None = None) -> DataFrame:
+    """Different texts (th, text) -> (node, root) of the components of two texts and more.
+
+    ``pairs`` (a, b): candidates found by other means. They are decided first and exactly, so what they join needs no further comparison.
+    """
     similar = _similar(shingle, similarity)
     rows = materialize(texts.select("th", F.col("text").cast("binary").alias("t")).mapInArrow(_band_rows(shingle), "key long, th long, n long"), "near-bands")
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("th", "n")).alias("first")).where("m > 1").drop("m")
     rows = materialize(rows.join(shared, "key"), "near-shared")
-    packed = materialize(texts.join(rows.select("th").distinct(), "th", "left_semi").select("th", pack(F.col("text")).alias("z")), "near-texts")
+    used = rows.select("th") if pairs is None else rows.select("th").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("th")))
+    packed = materialize(texts.join(used.distinct(), "th", "left_semi").select("th", pack(F.col("text")).alias("z")), "near-texts")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(found: DataFrame) -> DataFrame:
         fit = F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(similarity) - F.lit(1e-9)
-        pairs = pairs.where(fit).select("a", "b").distinct()
+        return similar_of(found.where(fit).select("a", "b").distinct())
+
+    def similar_of(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(packed.select(F.col("th").alias("a"), F.col("z").alias("x")), "a").join(packed.select(F.col("th").alias("b"), F.col("z").alias("y")), "b")
         return materialize(pairs.where(similar("x", "y")).select("a", "b"), "near-links")
 
-    done = links(rows.where("th <> first.th").select(F.col("first.th").alias("a"), F.col("th").alias("b"), F.col("first.n").alias("an"), F.col("n").alias("bn")))
+    met = rows.where("th <> first.th").select(F.col("first.th").alias("a"), F.col("th").alias("b"), F.col("first.n").alias("an"), F.col("n").alias("bn"))
+    if pairs is None:
+        done = links(met)
+    else:
+        done = similar_of(pairs.select("a", "b").distinct())
+        done = done.unionByName(links(met.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")))
     for turn in range(turns + 1):
         roots = connected_components(done, "near-components")
         left = _open_bands(rows.select("key", "th", "n"), roots)

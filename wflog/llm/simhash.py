@@ -59,6 +59,12 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash64(t) for t in texts], np.uint64).view(np.int64))
 
 
+@F.pandas_udf(T.LongType())
+def fingerprint_5(texts: pd.Series) -> pd.Series:
+    """Fingerprints of word 5-shingles, those of the pipeline's stage."""
+    return pd.Series(np.array([simhash64(t, 5) for t in texts], np.uint64).view(np.int64))
+
+
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
     shift, width = SEGMENTS[i]
     return (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
@@ -244,9 +250,21 @@ def _told_apart(rows: DataFrame) -> DataFrame:
     return materialize(both.select(*[own.alias(c) if c == "text_hash__" else c for c in rows.columns]), "simhash-docs")
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Different texts (th, text) -> pairs (a, b) whose 5-shingle fingerprints are linked: a text of each fingerprint with the others of it and with one of each linked fingerprint."""
+    prints = materialize(texts.select("th", fingerprint_5("text").alias("fp")), "simhash-prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("th").alias("least")), "simhash-nodes")
+    equal = prints.join(nodes, "fp").where("th <> least").select(F.col("least").alias("a"), F.col("th").alias("b"))
+    links = fingerprint_links(nodes.select("fp")).distinct()
+    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_th"))
+    near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_th").alias("a"), F.col("b_th").alias("b"))
+    return materialize(equal.unionByName(near), "simhash-pairs")
+
+
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of the documents linked by near copies (word 5-shingles, similarity 0.8) that of the smallest id stays (null last, then by text hash).
 
+    Fingerprints of the shingles are linked first, as in ``op9``, and their pairs held to the similarity. 4 bits keep only the nearest copies: what they miss comes from ``near_copies``.
     Null and empty texts are copies of each other, as all wordless texts; of repeated rows one stays; an empty table gives none.
     """
     small_batches(spark)
@@ -254,7 +272,7 @@ def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     printed = materialize(docs.withColumn("text_hash__", F.xxhash64(text)).withColumn("text_hash_2__", F.xxhash64(F.lit(1), text)), "simhash-docs")
     printed = _told_apart(printed).drop("text_hash_2__")
     texts = printed.select(F.col("text_hash__").alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])
-    roots = near_copies(texts)
+    roots = near_copies(texts, pairs=fingerprint_pairs(texts))
     found = printed.select("doc_id", F.col("text_hash__").alias("th")).join(roots, F.col("th") == F.col("node"), "left")
     found = found.select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wflog.functions import canonical_location
 from wflog.operators import dag, fanout, inbox, log, pools, projections, queues, ranks, retention, telemetry
-from wflog.sources import store
+from wflog.sources import spread, store
 from wflog.sources.schemas import SCHEMAS
 from wflog.streaming import streams
 
@@ -611,6 +611,19 @@ def test_blockers_by_name(spark):
     }
 
 
+def parts(df) -> int:
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_blockers_meet_in_parts_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    ids = spark.range(2000).select(F.col("id").alias("instance_id"))
+    state = ids.withColumn("state", F.lit("Pending"))
+    p = ids.withColumn("status", F.lit("Completed"))
+    out = retention.maintenance_blockers(ids, p, ids.withColumnRenamed("instance_id", "stream_id").where("stream_id < 5"), state.where("instance_id < 0"), state.where("instance_id % 2 = 0"))
+    assert parts(out) > 30 and out.where("blocker = 'PendingOutboxDispatch'").count() == 1000 and out.count() == 2000
+
+
 def test_timers_follow_their_operations_in_order(spark):
     t = spark.createDataFrame([(x, i, at(0), True, at(50)) for i, x in enumerate("abcde")], "timer_id string, instance_id long, fire_at timestamp_ntz, claimed boolean, claimed_until timestamp_ntz")
     ops = [

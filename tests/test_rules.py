@@ -624,6 +624,14 @@ def test_blockers_meet_in_parts_of_few_rows(spark, monkeypatch):
     assert parts(out) > 30 and out.where("blocker = 'PendingOutboxDispatch'").count() == 1000 and out.count() == 2000
 
 
+def test_purged_tables_are_cut_in_parts_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    ids = spark.range(2000).select(F.col("id").alias("instance_id"))
+    blockers = ids.select("instance_id", F.lit(True).alias("exists"), F.when(F.col("instance_id") % 4 == 0, "None").otherwise("ActiveInstance").alias("blocker"))
+    report, left = retention.purge_instances(blockers, {"timers": (ids.withColumnRenamed("instance_id", "of"), "of")})
+    assert parts(left["timers"]) > 20 and left["timers"].count() == 1500 and report.where("result = 'Purged'").count() == 500
+
+
 def test_timers_follow_their_operations_in_order(spark):
     t = spark.createDataFrame([(x, i, at(0), True, at(50)) for i, x in enumerate("abcde")], "timer_id string, instance_id long, fire_at timestamp_ntz, claimed boolean, claimed_until timestamp_ntz")
     ops = [

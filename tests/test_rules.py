@@ -489,6 +489,31 @@ def test_lowest_ready_node_of_a_long_run(spark):
     assert [r.pos for r in dag._passed_over(ready.unionByName(admitted)).collect()] == [7002]
 
 
+def test_graphs_are_cut_in_parts_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    n = spark.range(2000).select((F.col("id") / 4).cast("long").alias("run_id"), (F.col("id") % 4).cast("int").alias("ordinal"), F.lit("Failed").alias("state"))
+    e = n.where("ordinal > 0").select("run_id", "ordinal", (F.col("ordinal") - 1).alias("dep_ordinal"))
+    for f in (dag.topological_waves, dag.blocked_closure):
+        out = f(n, e)
+        assert parts(out) > 20 and out.count() == 2000
+
+
+def test_faulty_graphs_are_cut_in_parts_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    n = spark.range(2000).select(F.col("id").alias("run_id"), F.lit(0).alias("ordinal"), F.lit("a").alias("node_id"))
+    out = dag.validate_dag(n.unionByName(n), n.select("run_id", "ordinal", F.lit(7).alias("dep_ordinal")))
+    found = {r.code: (r.n, r.parts) for r in out.withColumn("part", F.spark_partition_id()).groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).collect()}
+    assert {c: x for c, (x, _) in found.items()} == {"NODE-001": 2000, "DEPENDENCY-004": 2000} and all(p > 20 for _, p in found.values())
+
+
+def test_nodes_without_a_child_are_no_single_task(spark):
+    n = spark.range(4000).select(F.col("id").alias("run_id"), F.lit(0).alias("ordinal"), F.lit("a").alias("node_id"), F.lit("Ready").alias("state"), F.when(F.col("id") < 8, F.concat(F.lit("c"), F.col("id").cast("string"))).alias("child_id"))
+    c = spark.createDataFrame([("c1", "Failed", None, None, "x"), (None, "Running", None, None, None)], "child_id string, status string, created_at timestamp, updated_at timestamp, error_summary string")
+    out = dag.reconstruct_run(n, c.hint("shuffle_merge"))
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+    assert [(r.run_id, r.error_summary) for r in out.where("child_status is not null").collect()] == [(1, "x")] and out.count() == 4000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_blocks_cover_their_range(spark, seed):
     rnd = random.Random(seed)

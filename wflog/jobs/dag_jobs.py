@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import child_id, render_tags
 from ..operators import dag as D
 from ..sources.adapters import adapt, cte
+from ..sources.scratch import materialize
 from .registry import job
 
 AT, AT_SQL = "timestamp_ntz '1998-06-01 00:00:00'", "timestamp '1998-06-01 00:00:00'"
@@ -18,11 +19,17 @@ def ne(spark, d):
     return adapt(spark, d, "dag_nodes"), adapt(spark, d, "dag_edges")
 
 
+def stored_ne(spark, d):
+    """The graphs as tables, for operators that read them more than once."""
+    n, e = ne(spark, d)
+    return materialize(n.select("run_id", "ordinal", "node_id", "state"), "dag-nodes"), materialize(e, "dag-edges")
+
+
 @job("topological_waves", "with recursive " + cte(*NE)[5:] + """, w as (select run_id, ordinal, 0 as wave from dag_nodes n where not exists (select 1 from dag_edges e where e.run_id = n.run_id and e.ordinal = n.ordinal)
       union select e.run_id, e.ordinal, w.wave + 1 from w join dag_edges e on e.run_id = w.run_id and e.dep_ordinal = w.ordinal)
     select run_id, ordinal, max(wave)::int as wave from w group by all""")
 def topological_waves(spark, d):
-    return D.topological_waves(*ne(spark, d))
+    return D.topological_waves(*stored_ne(spark, d))
 
 
 BROKEN_E = "select run_id, ordinal, dep_ordinal from {dag_edges} union all select run_id, ordinal, dep_ordinal from {dag_edges} where run_id % 31 = 0 union all select run_id, ordinal, ordinal from {dag_edges} where run_id % 37 = 0 union all select run_id, dep_ordinal, ordinal from {dag_edges} where run_id % 41 = 0 union all select run_id, ordinal, cast(99 as int) from {dag_edges} where run_id % 43 = 0"
@@ -38,7 +45,7 @@ BROKEN_N = "select run_id, ordinal, case when run_id % 29 = 0 and ordinal = 1 th
     union all select run_id, 'DEPENDENCY-003', 0 from loops
     union all select run_id, case mapping_count when 0 then 'MAP-001' else 'MAP-002' end, ordinal from n where mapping_count <> 1""")
 def validate_dag(spark, d):
-    n, e = ne(spark, d)
+    n, e = stored_ne(spark, d)
     return D.validate_dag(spark.sql(BROKEN_N, dag_nodes=n), spark.sql(BROKEN_E, dag_edges=e))
 
 
@@ -51,7 +58,7 @@ def ready_nodes(spark, d):
 @job("blocked_closure", "with recursive " + cte(*NE)[5:] + """, b as (select run_id, ordinal from dag_nodes where state = 'Failed' union select e.run_id, e.ordinal from b join dag_edges e on e.run_id = b.run_id and e.dep_ordinal = b.ordinal)
     select n.run_id, n.ordinal, case when b.ordinal is not null and state in ('Pending', 'Ready') then 'DependencyBlocked' else state end as state from dag_nodes n left join b on b.run_id = n.run_id and b.ordinal = n.ordinal""")
 def blocked_closure(spark, d):
-    return D.blocked_closure(*ne(spark, d))
+    return D.blocked_closure(*stored_ne(spark, d))
 
 
 _REQ = "q as (select x.run_id, state from (select run_id from dag_runs union select -user_id from events) x left join dag_runs r using (run_id))"
@@ -298,4 +305,5 @@ def reconcile_runs(spark, d):
 
 @job("reconstruct_run", cte("dag_nodes") + f", {_JOINED} select n.run_id, n.ordinal, n.node_id, n.state, n.child_id, c.status as child_status, c.created_at, c.updated_at, c.error_summary from x n left join c using (child_id)")
 def reconstruct_run(spark, d):
-    return D.reconstruct_run(*children(spark, d))
+    n = materialize(children(spark, d)[0], "joined-nodes")
+    return D.reconstruct_run(n, spark.sql(CHILDREN, dag_nodes=n))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import child_id
+from ..sources.spread import parts_for, spread
 from .graphs import LARGEST, over_graphs, peel_by_joins, reach_by_joins, split_by_size
 
 LIVE = ("Pending", "Ready", "StartAuthorized", "CancellationRequested")
@@ -27,17 +28,21 @@ def topological_waves(nodes: DataFrame, edges: DataFrame, most: int = LARGEST) -
             wave[now] = level
         return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(wave[g.of_row])], ["run_id", "ordinal", "wave"])
 
-    large = split_by_size(nodes, edges, most)
-    out = over_graphs(_but(nodes, large), _but(edges, large), "", waves, "run_id long, ordinal int, wave int")
+    total, large = split_by_size(nodes, edges, most)
+    out = over_graphs(_but(nodes, large), _but(edges, large), "", waves, "run_id long, ordinal int, wave int", total)
     return out if large is None else out.unionByName(large[0].select("run_id", "ordinal").join(peel_by_joins(*large), ["run_id", "ordinal"]))
 
 
 def validate_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Diagnostics (run_id, code, ordinal) per graph; mapping kinds are read from ``mapping_count`` where nodes carry it."""
-    twice = nodes.groupBy("run_id", "node_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).where("n > 1").select("run_id", F.lit("NODE-001").alias("code"), "ordinal")
-    again = edges.groupBy("run_id", "ordinal", "dep_ordinal").count().where("count > 1").select("run_id", F.lit("DEPENDENCY-001").alias("code"), "ordinal").distinct()
-    own = edges.where("ordinal = dep_ordinal").select("run_id", F.lit("DEPENDENCY-002").alias("code"), "ordinal").distinct()
-    unknown = edges.join(nodes.select("run_id", F.col("ordinal").alias("dep_ordinal")).distinct(), ["run_id", "dep_ordinal"], "left_anti").select("run_id", F.lit("DEPENDENCY-004").alias("code"), "ordinal").distinct()
+    parts = parts_for(nodes, nodes.count() + edges.count())
+    edges_by_run = spread(edges.select("run_id", "ordinal", "dep_ordinal"), parts, "run_id")
+    twice = spread(nodes.select("run_id", "node_id", "ordinal"), parts, "run_id").groupBy("run_id", "node_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).where("n > 1").select("run_id", F.lit("NODE-001").alias("code"), "ordinal")
+    again = edges_by_run.groupBy("run_id", "ordinal", "dep_ordinal").count().where("count > 1").select("run_id", F.lit("DEPENDENCY-001").alias("code"), "ordinal").distinct()
+    own = edges_by_run.where("ordinal = dep_ordinal").select("run_id", F.lit("DEPENDENCY-002").alias("code"), "ordinal").distinct()
+    asked = spread(edges.select("run_id", "ordinal", "dep_ordinal"), parts, "run_id", "dep_ordinal")
+    known = spread(nodes.select("run_id", F.col("ordinal").alias("dep_ordinal")), parts, "run_id", "dep_ordinal")
+    unknown = asked.join(known, ["run_id", "dep_ordinal"], "left_anti").select("run_id", F.lit("DEPENDENCY-004").alias("code"), "ordinal").distinct()
     cycle = topological_waves(nodes, edges.where("ordinal <> dep_ordinal")).where("wave < 0").groupBy("run_id").agg(F.lit("DEPENDENCY-003").alias("code"), F.min("ordinal").alias("ordinal"))
     out = twice.unionByName(again).unionByName(own).unionByName(unknown).unionByName(cycle)
     if "mapping_count" in nodes.columns:
@@ -62,8 +67,8 @@ def blocked_closure(nodes: DataFrame, edges: DataFrame, most: int = LARGEST) ->
         state[behind & ((state == "Pending") | (state == "Ready"))] = "DependencyBlocked"
         return pa.RecordBatch.from_arrays([columns["run_id"], columns["ordinal"], pa.array(state, pa.string())], ["run_id", "ordinal", "state"])
 
-    large = split_by_size(nodes, edges, most)
-    out = over_graphs(_but(nodes, large), _but(edges, large), "state string", close, "run_id long, ordinal int, state string")
+    total, large = split_by_size(nodes, edges, most)
+    out = over_graphs(_but(nodes, large), _but(edges, large), "state string", close, "run_id long, ordinal int, state string", total)
     if large is None:
         return out
     behind = reach_by_joins(*large, large[0].where("state = 'Failed'")).withColumn("behind", F.lit(True))
@@ -435,6 +440,14 @@ def reconcile_runs(runs: DataFrame, nodes: DataFrame, children: DataFrame) -> tu
 
 
 def reconstruct_run(nodes: DataFrame, children: DataFrame) -> DataFrame:
-    """Each node with its child's status, times and error; the order is (run_id, ordinal)."""
-    c = children.select("child_id", F.col("status").alias("child_status"), "created_at", "updated_at", "error_summary")
-    return nodes.select("run_id", "ordinal", "node_id", "state", "child_id").join(c, "child_id", "left")
+    """Each node with its child's status, times and error; the order is (run_id, ordinal).
+
+    Nodes without a child, often most of them, are dealt out by their run: by their child they would all be one task's.
+    """
+    parts = parts_for(nodes, nodes.count() + children.count())
+    of_child = F.xxhash64("child_id")
+    c = children.select("child_id", of_child.alias("deal"), F.col("status").alias("child_status"), "created_at", "updated_at", "error_summary")
+    deal = F.when(F.col("child_id").isNull(), F.xxhash64("run_id", "ordinal")).otherwise(of_child)
+    n = nodes.select("run_id", "ordinal", "node_id", "state", "child_id", deal.alias("deal"))
+    out = spread(n, parts, "child_id", "deal").join(spread(c, parts, "child_id", "deal"), ["child_id", "deal"], "left")
+    return out.drop("deal")

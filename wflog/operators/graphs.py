@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ..sources.spread import parts_for, spread
 
 CHUNK = 1 << 18
 #: Rows of a run that a task is given at most.
@@ -74,8 +75,8 @@ class Graphs:
         return seen
 
 
-def over_graphs(nodes: DataFrame, edges: DataFrame, carried: str, solve: Callable, schema: str) -> DataFrame:
-    """``solve(graphs, columns)`` for chunks of whole runs; columns: the node rows' Arrow arrays, ``carried`` ("name type, ..") among them."""
+def over_graphs(nodes: DataFrame, edges: DataFrame, carried: str, solve: Callable, schema: str, n_rows: int | None = None) -> DataFrame:
+    """``solve(graphs, columns)`` for chunks of whole runs; columns: the node rows' Arrow arrays, ``carried`` ("name type, ..") among them. ``n_rows``: of nodes and edges, where known."""
     names = [c.split()[0] for c in carried.split(",")] if carried else []
     nulls = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in carried.split(",")] if carried else []
     a = nodes.select("run_id", F.lit(False).alias("is_edge"), "ordinal", F.lit(0).alias("other"), *names)
@@ -103,17 +104,22 @@ def over_graphs(nodes: DataFrame, edges: DataFrame, carried: str, solve: Callabl
         if held:
             yield run_chunk(held)
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "is_edge").mapInArrow(make, schema)
+    by_run = rows.repartition("run_id") if n_rows is None else spread(rows, parts_for(rows, n_rows), "run_id")
+    return by_run.sortWithinPartitions("run_id", "is_edge").mapInArrow(make, schema)
 
 
-def split_by_size(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
-    """(nodes, edges) of the runs with more than ``most`` rows, or None where there is none; rows are counted first, combined map-side."""
-    rows = nodes.select("run_id").unionByName(edges.select("run_id")).groupBy("run_id").count()
+def split_by_size(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[int, tuple[DataFrame, DataFrame] | None]:
+    """(rows of all runs, (nodes, edges) of the runs with more than ``most`` rows, or None where there is none); runs are only counted where the rows of all together are more."""
+    total = nodes.count() + edges.count()
+    if total <= most:
+        return total, None
+    rows = nodes.select("run_id").unionByName(edges.select("run_id"))
+    rows = spread(rows, parts_for(rows, total), "run_id").groupBy("run_id").count()
     if (rows.agg(F.max("count")).first()[0] or 0) <= most:
-        return None
+        return total, None
     large = materialize(rows.where(F.col("count") > most).select("run_id"), "graph-large")
     pick = lambda df: materialize(df.join(large, "run_id", "left_semi"), "graph-part")
-    return pick(nodes), pick(edges)
+    return total, (pick(nodes), pick(edges))
 
 
 def _known(nodes: DataFrame, edges: DataFrame) -> DataFrame:

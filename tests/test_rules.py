@@ -723,3 +723,18 @@ def test_lease_status_and_gauges(spark):
     assert sorted(tuple(r) for r in gauges.collect()) == [("p", "ambiguous_held", 1, 4, None), ("p", "held", 1, 2, None), ("p", "pending_commit", 1, 1, None), ("p", "quarantined", 1, 5, at(3)), ("p", "review_marked", 1, 3, None)]
     states = sorted(tuple(r) for r in pools.pool_states(tickets, gauges.where("state <> 'held'")).collect())
     assert states == [("p", "ambiguous_held", 1, 4), ("p", "held", 1, 3), ("p", "pending_commit", 1, 1), ("p", "quarantined", 1, 5), ("p", "review_marked", 1, 3), ("q", "review_marked", 1, 5)]
+
+
+# the log as a live table
+
+
+def test_live_log_is_dealt_out_and_sorted_before_it_is_wide(spark):
+    from wflog.jobs import stream_jobs
+    from wflog.sources import adapters
+
+    d, columns = "/root/testdata/sf0.001", ["timer_id", "version", "occurred_at"]
+    t, want = adapters.log_by_stream(spark, d), adapters.adapt(spark, d, "event_log")
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1 and plan.index("Window ") < plan.index("Sort ")
+    assert t.count() == want.count() and t.exceptAll(want).isEmpty()
+    assert stream_jobs.live(spark, d, "event_log", *columns).columns == columns

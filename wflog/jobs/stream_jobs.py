@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.adapters import adapt, cte
+from ..operators.log import NEEDED
+from ..sources.adapters import adapt, cte, log_by_stream
 from ..sources.scratch import new_path
 from ..streaming import streams as S
 from .log_jobs import FOLD_SQL, flat
@@ -14,11 +15,12 @@ from .store_jobs import _BAD, raw
 E = "event_log"
 
 
-def live(spark, d, table: str):
-    """An adapted table as a stream: written once as files, as many as its size asks for, then read as a stream."""
-    t = adapt(spark, d, table)
+def live(spark, d, table: str, *columns: str):
+    """An adapted table, or some of its columns, as a stream: written once as files, as many as its size asks for, then read as a stream."""
+    t = log_by_stream(spark, d) if table == E else adapt(spark, d, table).repartition("acceptance_sequence")
+    t = t.select(*columns) if columns else t
     path = new_path(spark, f"live-{table}")
-    t.repartition("stream_id" if table == E else "acceptance_sequence").write.parquet(path)
+    t.write.parquet(path)
     return spark.readStream.schema(t.schema).parquet(path)
 
 
@@ -28,7 +30,7 @@ def timed(stream, column: str = "occurred_at"):
 
 @job("stream_fold", FOLD_SQL)
 def stream_fold(spark, d):
-    return flat(S.run_available(S.stream_fold(live(spark, d, E)), "update", ["stream_id"], "fold").drop("fault"))
+    return flat(S.run_available(S.stream_fold(live(spark, d, E, *NEEDED)), "update", ["stream_id"], "fold").drop("fault"))
 
 
 @job("stream_dedupe", cte("inbox") + """, b as (select *, first_value(envelope_fingerprint) over w as f, row_number() over w as rn from inbox window w as (partition by event_id order by acceptance_sequence))
@@ -60,7 +62,7 @@ def stream_join_waits(spark, d):
     m as (select max(ms) - 600000 as wm from t)
     select timer_id, due_ms from t, m where event_type = 'TimerScheduled' and due_ms <= wm and not exists (select 1 from t x where x.timer_id = t.timer_id and x.version > t.version and x.ms <= t.due_ms)""")
 def stream_timers(spark, d):
-    return S.run_available(S.stream_timers(timed(live(spark, d, E))), "append", None, "timers")
+    return S.run_available(S.stream_timers(timed(live(spark, d, E, "timer_id", "version", "event_type", "fire_at", "occurred_at"))), "append", None, "timers")
 
 
 _DOING = "case when event_type in ('WaitRegistered', 'TimerScheduled', 'Parked', 'ResourcePoolQueued') then 'Waiting' when event_type = 'Completed' then 'Completed' when event_type = 'StepFailed' then 'Failed' when event_type = 'Terminal' then status when event_type = 'CancellationRequested' then 'CancellationRequested' else 'Running' end"

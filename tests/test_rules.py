@@ -798,3 +798,11 @@ def test_streams_of_one_group_keep_their_own_gaps_and_ends(spark, tmp_path, monk
     out = streams.run_available(streams.stream_fold(live, "1 minute", 60_000, 60_000), "append").collect()
     got = sorted((str(r.stream_id), r.stream_version, r.status, str(r.fault)) for r in out)
     assert got == sorted([("1", 1, "Running", "None"), ("1", 1, "Running", "version 2 is missing"), ("2", 1, "Running", "None"), ("2", 3, "Running", "None"), ("3", 2, "Completed", "None"), ("4", 1, "Running", "None"), ("None", 1, "Running", "None")])
+
+
+def test_fleet_gauges_work_the_lines_out_once(spark):
+    """Tickets, waiters and the outbox are stored, so that only runs and envelopes read the lines, each for two parts of the plan that share it."""
+    from wflog.jobs import projection_jobs
+
+    plan = projection_jobs.fleet_gauges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("lineitem.parquet") <= 4  # 16 where each part works them out anew

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pools as P
 from ..sources.adapters import adapt, cte
+from ..sources.spread import parts_for, spread
 from .registry import job
 
 AT, AT_SQL = "timestamp_ntz '1998-06-01 00:00:00'", "timestamp '1998-06-01 00:00:00'"
@@ -88,12 +89,17 @@ LEASES = f"""e as ({ENVELOPES.format(lineitem="lineitem")}), o as (select * from
       from o join lt using (instance_id, holder_key) where phase in ('PendingCommit', 'Held', 'ReviewMarked', 'AmbiguousHeld', 'Quarantined') group by all)"""
 
 
-def leases(spark, d):
-    e, t = spark.sql(ENVELOPES, lineitem=spark.read.parquet(f"{d}/lineitem.parquet")), adapt(spark, d, "tickets")
+def leases(spark, d, tickets=None):
+    """Envelopes of obligations, read; all that is of an instance meets in the partition where its lines are, so that lines and tickets are dealt out once."""
+    lines, t = spark.read.parquet(f"{d}/lineitem.parquet"), adapt(spark, d, "tickets") if tickets is None else tickets
+    parts = parts_for(lines, lines.count())
+    e = spark.sql(ENVELOPES, lineitem=spread(lines, parts, "l_orderkey"))
+    e = e.groupBy("instance_id", "updated_at").agg(F.collect_list(F.struct("kind", "token", "phase", "holder_key")).alias("obligations"))
     ticket = F.struct("ticket_id", F.col("pool").cast("string").alias("pool"), "units", (F.col("units") % 5).alias("generation"), (F.col("units") % 7 == 0).alias("review_marked"))
-    own = t.groupBy("instance_id", "holder_key").agg(F.collect_list(ticket).alias("lease_tickets"))
-    e = e.join(own, ["instance_id", "holder_key"], "left")
-    json = e.groupBy("instance_id", "updated_at").agg(F.to_json(F.struct(F.collect_list(F.struct("kind", "token", "phase", "holder_key", "lease_tickets")).alias("obligations"))).alias("envelope"))
+    own = spread(t, parts, "instance_id").groupBy("instance_id").agg(F.collect_list(F.struct("holder_key", ticket.alias("ticket"))).alias("own"))
+    of = lambda o: F.filter("own", lambda x: x["holder_key"] == o["holder_key"])["ticket"]
+    whole = F.transform("obligations", lambda o: F.struct(*[o[c].alias(c) for c in ("kind", "token", "phase", "holder_key")], of(o).alias("lease_tickets")))
+    json = e.join(own, "instance_id", "left").select("instance_id", "updated_at", F.to_json(F.struct(whole.alias("obligations"))).alias("envelope"))
     return P.outstanding_leases(json, t.where("units % 4 <> 0"))
 
 

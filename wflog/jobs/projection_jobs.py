@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import render_tags
 from ..operators import log, pools, projections as P
 from ..sources.adapters import adapt, cte
+from ..sources.scratch import materialize
 from .dag_jobs import SUBSCRIPTIONS
-from .log_jobs import CHECKPOINTS, checkpoints_of
+from .log_jobs import CHECKPOINTS, checkpoints_at
 from .pool_jobs import LEASES, leases, three
 from .registry import job
 
@@ -82,9 +83,9 @@ _STATES = ", ".join(f"count(*) filter ({t} and state = '{s}') as {n}_{s.lower()}
 @job("operational_pressure", cte(*PW, "event_log", "outbox") + ", " + CHECKPOINTS + f""" select (select count(*) from projections where status in ('Pending', 'Running', 'Waiting', 'CancellationRequested')) as active,
     (select count(*) from projections where is_stuck) as stuck, (select count(*) from active_waits) as active_waits, (select sum(stream_version)::bigint from heads) as stream_events, (select count(*) from checkpoints) as checkpoints,
     (select max(h.stream_version - coalesce(c.stream_version, 0)) from heads h left join checkpoints c using (stream_id)) as max_lag, o.* from (select {_STATES} from outbox) o""")
-def operational_pressure(spark, d):
-    e = adapt(spark, d, "event_log")
-    return P.operational_pressure(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), log.stream_heads(e), checkpoints_of(e), adapt(spark, d, "outbox"))
+def operational_pressure(spark, d, outbox=None):
+    heads = materialize(log.stream_heads(adapt(spark, d, "event_log")), "heads")
+    return P.operational_pressure(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), heads, checkpoints_at(heads), adapt(spark, d, "outbox") if outbox is None else outbox)
 
 
 _STUCK_RUNS = f"r.state not in ('Succeeded', 'Failed', 'Cancelled') and last_progress_at <= {AT_SQL} and exists (select 1 from dag_nodes n where n.run_id = r.run_id and n.state = 'Ready')"
@@ -104,9 +105,9 @@ _SUBS = f"subs as ({SUBSCRIPTIONS.format(dag_runs='dag_runs')})"
 
 
 @job("dag_pressure", cte("dag_runs", "dag_nodes", "outbox") + f", {_SUBS} {_DAG}")
-def dag_pressure(spark, d):
+def dag_pressure(spark, d, outbox=None):
     r = adapt(spark, d, "dag_runs")
-    return P.dag_pressure(r, adapt(spark, d, "dag_nodes"), adapt(spark, d, "outbox"), spark.sql(SUBSCRIPTIONS, dag_runs=r), at(), at())
+    return P.dag_pressure(r, adapt(spark, d, "dag_nodes"), adapt(spark, d, "outbox") if outbox is None else outbox, spark.sql(SUBSCRIPTIONS, dag_runs=r), at(), at())
 
 
 _LANES = " union all ".join(f"select 'outbox.lanes' as instrument, 'lane={n}, state={s.lower()}' as tags, count(*) filter ({t} and state = '{s}') as value from outbox" for n, t in (("continuation", "kind = 'continue'"), ("external", "kind not in ('continue', 'dag-run-ready-v1')")) for s in P.OUTBOX_STATES)
@@ -129,8 +130,11 @@ _LANES = " union all ".join(f"select 'outbox.lanes' as instrument, 'lane={n}, st
     union all select 'resource_pool.tickets', 'pool=' || pool || ', state=' || state, n from ls union all select 'resource_pool.reserved_units', 'pool=' || pool || ', state=' || state, units from ls""")
 def fleet_gauges(spark, d):
     p, t, w = three(spark, d)
+    t, w = materialize(t, "tickets"), materialize(w.select("waiter_id", "pool"), "waiters")  # these and the outbox are read several times
+    o = materialize(adapt(spark, d, "outbox").select("kind", "state", "recipient_host_id"), "outbox")
     pool = pools.pool_management(p, t, w).join(pools.pool_snapshots(p, t, w).select("pool", "expired"), "pool").select("pool", "queued", "debt", "expired")
-    out = P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), adapt(spark, d, "outbox"), operational_pressure(spark, d), dag_pressure(spark, d), pool, pools.pool_states(t, pools.lease_gauges(leases(spark, d))))
+    gauges = pools.lease_gauges(leases(spark, d, t))
+    out = P.fleet_gauges(adapt(spark, d, "projections"), adapt(spark, d, "active_waits"), o, operational_pressure(spark, d, o), dag_pressure(spark, d, o), pool, pools.pool_states(t, gauges))
     return out.select("instrument", render_tags(F.col("tags")).alias("tags"), "value")
 
 

@@ -806,3 +806,13 @@ def test_fleet_gauges_work_the_lines_out_once(spark):
 
     plan = projection_jobs.fleet_gauges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert 1 <= plan.count("lineitem.parquet") <= 4  # 16 where each part works them out anew
+
+
+def test_generations_by_cut_and_by_the_number_that_events_carry(spark):
+    rows = [(1, 1, "Started", at(0), 7), (1, 2, "StepCompleted", at(1), 3), (1, 3, "ContinuedAsNew", at(2), 7), (1, 4, "StepCompleted", at(3), None), (2, 1, "ContinuedAsNew", at(5), 3)]
+    e = spark.createDataFrame(rows, "stream_id long, version long, event_type string, occurred_at timestamp_ntz, generation int")
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert of(log.generations(e)) == [(1, 0, 1, 2, at(0), at(1), 2), (1, 1, 3, 4, at(2), at(3), 2), (2, 1, 1, 1, at(5), at(5), 1)]
+    carried = log.generations(e, F.col("generation"))
+    assert of(carried) == [(1, 3, 2, 2, at(1), at(1), 1), (1, 7, 1, 3, at(0), at(2), 2), (1, None, 4, 4, at(3), at(3), 1), (2, 3, 1, 1, at(5), at(5), 1)]
+    assert carried.schema["generation"].dataType.simpleString() == "bigint"

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wflog.functions import canonical_location
+from wflog.jobs import queue_jobs
 from wflog.operators import dag, fanout, inbox, log, pools, projections, queues, ranks, retention, telemetry
 from wflog.sources import spread, store
 from wflog.sources.schemas import SCHEMAS
@@ -816,3 +817,21 @@ def test_generations_by_cut_and_by_the_number_that_events_carry(spark):
     carried = log.generations(e, F.col("generation"))
     assert of(carried) == [(1, 3, 2, 2, at(1), at(1), 1), (1, 7, 1, 3, at(0), at(2), 2), (1, None, 4, 4, at(3), at(3), 1), (2, 3, 1, 1, at(5), at(5), 1)]
     assert carried.schema["generation"].dataType.simpleString() == "bigint"
+
+
+def test_purge_asks_for_every_instance_and_clears_every_table(spark, tmp_path):
+    def table(name: str, rows: list[tuple], schema: str) -> None:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    # 2 completed; 4 completed with an outbox record; 8 waiting; 14 failed
+    table("orders", [(2, 1, "F", 1.0, at(0), "1-URGENT"), (4, 1, "F", 1.0, at(0), "1-URGENT"), (8, 1, "P", 1.0, at(0), "1-URGENT"), (14, 1, "P", 1.0, at(0), "1-URGENT")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    table("lineitem", [(4, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", at(0))],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    # streams 2 (a checkpoint), 3 (no projection) and 8 (a checkpoint)
+    events = [(i, at(i), 2 if i < 12 else 8, "view", 1.0, "{}") for i in range(23)] + [(23, at(23), 3, "view", 1.0, "{}")]
+    table("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    got = {r.tbl: r.n for r in queue_jobs.purge_instances(spark, str(tmp_path)).collect()}
+    assert got == {
+        "purged": 3, "rejected": 2, "not_found": 3, "projections": 2, "active_waits": 1, "timers": 1, "outbox": 1, "history": 11, "event_log": 11, "heads": 1, "checkpoints": 1,
+    }
